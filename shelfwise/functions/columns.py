@@ -81,14 +81,9 @@ def percent2(part: Column, whole: Column) -> Column:
 def parse_bill_date(text: Column) -> Column:
     """Mixed date texts to a timestamp without zone: month/day/year first, then day/month/year, then ISO.
 
-    Month first is only impossible when the leading number exceeds 12, and then day first is the only reading left, so
-    each text is rearranged to ISO once and cast once: no failing parse attempts per row. Anything else is NULL.
+    Slashed dates are rearranged to ISO, which ``try_cast`` reads without raising per bad row. Anything else is NULL.
     """
-    slashed = text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}")
-    iso = text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}")
-    shape = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
-    leading = F.substring_index(text, "/", 1).try_cast("int")
-    month_first = F.regexp_replace(text, shape, "$3-$1-$2")
-    day_first = F.regexp_replace(text, shape, "$3-$2-$1")
-    as_iso = F.when(slashed & (leading <= 12), month_first).when(slashed, day_first).when(iso, text)
-    return as_iso.try_cast("timestamp_ntz")
+    slashed = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?=$|[ T])"
+    month_first = F.regexp_replace(text, slashed, "$3-$1-$2").try_cast("timestamp_ntz")
+    day_first = F.regexp_replace(text, slashed, "$3-$2-$1").try_cast("timestamp_ntz")
+    return F.when(text.rlike(r"^\d+[-/]\d+[-/]\d+"), F.coalesce(month_first, day_first))

@@ -32,9 +32,8 @@ def parse_bill_dates(orders: DataFrame) -> DataFrame:
     return orders.withColumn("correct_date", parse_bill_date(F.col("bill_date_timestamp")))
 
 
-def _outside(start: str, end: str) -> Column:
-    day = F.col("correct_date")
-    return (day < F.lit(start).cast("timestamp_ntz")) | (day > F.lit(end).cast("timestamp_ntz"))
+def _inside(start: str, end: str) -> Column:
+    return F.col("correct_date").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
 
 
 def filter_date_range(orders: DataFrame, start: str = PERIOD[0], end: str = PERIOD[1]) -> DataFrame:
@@ -42,11 +41,11 @@ def filter_date_range(orders: DataFrame, start: str = PERIOD[0], end: str = PERI
 
     The source documents an end of 2023-10-31 but runs with 2023-12-31; the default is what runs.
     """
-    return orders.filter(~F.coalesce(_outside(start, end), F.lit(False)))
+    return orders.filter(F.coalesce(_inside(start, end), F.lit(True)))
 
 
 def filter_date_range_preview(orders: DataFrame, start: str = PERIOD[0], end: str = PERIOD[1]) -> DataFrame:
-    return orders.filter(_outside(start, end))
+    return orders.filter(~_inside(start, end))
 
 
 def dedupe_stores(stores: DataFrame) -> DataFrame:
@@ -84,7 +83,7 @@ def average_review(reviews: DataFrame) -> DataFrame:
 
 def add_line_amount(orders: DataFrame) -> DataFrame:
     """Line amount recomputed as quantity * (MRP - discount): the discount counts per unit here."""
-    return orders.withColumn("new_total_amount", line_amount().cast("decimal(28,4)"))
+    return orders.withColumn("new_total_amount", line_amount().cast("decimal(18,4)"))
 
 
 def audit_amounts(orders: DataFrame, payment_summary: DataFrame, tolerance: float = 1) -> DataFrame:
@@ -294,7 +293,7 @@ def clean_all(tables: RetailTables, start: str = PERIOD[0], end: str = PERIOD[1]
 
     Orphan payments are judged after the line repairs; customers change afterwards in the source, which cannot matter.
     """
-    lines = write_once(collapse_lines(prepare_lines(tables.orders, start, end)), "lines")
+    lines = write_once(collapse_lines(prepare_lines(tables.orders, start, end)), "lines", "order_id")
     return RetailTables(
         orders=unify_orders(lines),
         customers=tables.customers,
@@ -313,13 +312,13 @@ _REPAIRED: dict[tuple[str, str, str, str], RetailTables] = {}
 def repaired_once(name: str, tables: RetailTables, start: str, end: str) -> RetailTables:
     """Repair ``tables`` and write the results once per application and ``name``; later calls reuse the written tables.
 
-    Lines are written sorted by order within each file, so the lines of an order lie together and a later group-by on
-    the order collapses almost completely before its shuffle.
+    Lines are written clustered by order, so a later group-by on the order collapses almost completely before its
+    shuffle.
     """
     key = (tables.orders.sparkSession.sparkContext.applicationId, name, start, end)
     if key not in _REPAIRED:
         clean = clean_all(tables, start, end)
         written = {table: write_once(df, table) for table, df in clean.present().items() if table != "orders"}
-        written["orders"] = write_once(clean.orders.sortWithinPartitions("order_id"), "orders")
+        written["orders"] = write_once(clean.orders, "orders", "order_id")
         _REPAIRED[key] = RetailTables(**written)
     return _REPAIRED[key]

@@ -30,10 +30,6 @@ def _line_sums() -> list[Column]:
     ]
 
 
-def _add_up(*extra: Column) -> list[Column]:
-    return [F.sum(c).alias(c) for c in ("qty", "amount", "discount", "discounted", "cost", "profit")] + list(extra)
-
-
 def _reaches(column: str, threshold) -> Column:
     """``column >= threshold``; an absent threshold (no rows at all) is never reached."""
     return F.coalesce(F.col(column) >= F.lit(threshold), F.lit(False))
@@ -50,47 +46,78 @@ def day_part(ts: str, afternoon_until: int, evening_until: int) -> Column:
     )
 
 
+PLACE = ["storeid", "seller_city"]
+
+
+def _at_place(per_store: DataFrame, stores: DataFrame) -> DataFrame:
+    """Name the store of rows keyed by ``delivered_storeid``; all unknown ids share the NULL place."""
+    return per_store.join(
+        stores.select(*PLACE), F.col("delivered_storeid") == F.col("storeid"), "left"
+    )
+
+
+def _distinct_at_place(orders: DataFrame, stores: DataFrame, column: str, alias: str) -> DataFrame:
+    """Distinct values per place, from distinct (store, value) pairs."""
+    pairs = orders.select("delivered_storeid", column).distinct()
+    return _at_place(pairs, stores).groupBy(*PLACE).agg(F.countDistinct(column).alias(alias))
+
+
+def _join_places(left: DataFrame, right: DataFrame) -> DataFrame:
+    renamed = right.withColumnsRenamed({c: f"_{c}" for c in PLACE})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PLACE]
+    return left.join(renamed, same).drop(*[f"_{c}" for c in PLACE])
+
+
 def store360(orders: DataFrame, products: DataFrame, stores: DataFrame, review_scores: DataFrame) -> DataFrame:
     """One row per store with sales, profit, flags and per-visit averages.
 
     Only stores with orders appear; orders of unknown stores share one NULL row, whose visit columns are empty (0 for the
-    two sums) as they match no store. A visit is a distinct (order, customer, store, timestamp): lines are reduced to
-    visits once, and both halves of the view are aggregated from those, so the final join is one row per store.
+    two sums) as they match no store. A visit is a distinct (order, customer, store, timestamp).
+
+    Money is summed straight per store. Visits and distinct counts run as separate narrow aggregates over ids only, so
+    no wide row is repeated per distinct count; everything meets again at one row per store.
     """
-    visits = (
-        orders.groupBy("order_id", "customer_id", "delivered_storeid", "correct_date")
-        .agg(*_line_sums())
-        .join(stores.select("storeid", "seller_city"), F.col("delivered_storeid") == F.col("storeid"), "left")
-        .join(review_scores, "order_id", "left")
+    weekend = is_weekend("correct_date")
+    money = orders.groupBy("delivered_storeid").agg(
+        *_line_sums(),
+        F.max("correct_date").alias("last"),
+        F.sum(F.when(weekend, F.col("new_total_amount")).otherwise(0)).alias("weekend_sales"),
+        F.sum(F.when(~weekend, F.col("new_total_amount")).otherwise(0)).alias("weekday_sales"),
     )
-    place = ["storeid", "seller_city"]
-    weekend, known = is_weekend("correct_date"), F.col("storeid").isNotNull()
-    per_store = visits.groupBy(*place).agg(
-        *_add_up(
-            F.countDistinct("order_id").alias("orders"),
-            F.max("correct_date").alias("last"),
-            F.sum(F.when(weekend & known, F.col("amount")).otherwise(0)).alias("weekend_sales"),
-            F.sum(F.when(~weekend & known, F.col("amount")).otherwise(0)).alias("weekday_sales"),
-            F.sum(F.when(known, F.col("amount"))).alias("visit_amount"),
-            F.sum(F.when(known, F.col("profit"))).alias("visit_profit"),
-            F.count(F.when(known, F.col("amount"))).alias("priced_visits"),
-            F.count(F.when(known, F.col("profit"))).alias("costed_visits"),
-            F.count(F.when(known, F.col("order_id"))).alias("visits"),
-            F.countDistinct(F.when(known, F.col("customer_id"))).alias("customers"),
-            F.avg(F.when(known, F.col("average_score"))).alias("rating"),
+    sums = ("qty", "amount", "discount", "discounted", "cost", "profit", "weekend_sales", "weekday_sales")
+    per_place = _at_place(money, stores).groupBy(*PLACE).agg(*[F.sum(c).alias(c) for c in sums], F.max("last").alias("last"))
+
+    visits = orders.groupBy("order_id", "customer_id", "delivered_storeid", "correct_date").agg(
+        F.max(F.col("new_total_amount").isNotNull()).alias("priced"), F.max(line_profit().isNotNull()).alias("costed")
+    )
+    visited = (
+        _at_place(visits.join(review_scores, "order_id", "left"), stores)
+        .groupBy(*PLACE)
+        .agg(
+            F.count("order_id").alias("visits"),
+            F.count_if("priced").alias("priced_visits"),
+            F.count_if("costed").alias("costed_visits"),
+            F.avg("average_score").alias("rating"),
         )
     )
     assortment = (
-        orders.select("product_id", "delivered_storeid")
-        .distinct()
-        .join(products, "product_id", "left")
-        .join(stores.select("storeid", "seller_city"), F.col("delivered_storeid") == F.col("storeid"), "left")
-        .groupBy(*[F.col(c).alias(f"_{c}") for c in place])
+        _at_place(orders.select("delivered_storeid", "product_id").distinct().join(products, "product_id", "left"), stores)
+        .groupBy(*PLACE)
         .agg(F.countDistinct("product_id").alias("items"), F.countDistinct("category").alias("categories"))
     )
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
-    base = write_once(per_store.join(assortment, same), "store360")
+    parts = [
+        visited,
+        assortment,
+        _distinct_at_place(orders, stores, "order_id", "orders"),
+        _distinct_at_place(orders, stores, "customer_id", "customers"),
+    ]
+    base = write_once(reduce(_join_places, parts, per_place), "store360")
     high = exact_percentile(base, "profit", "storeid", HIGH_PROFIT)
+    known = F.col("storeid").isNotNull()
+
+    def per(total: str, count: str) -> Column:
+        return F.when(known, safe_divide(F.col(total), F.col(count)))
+
     return base.select(
         "storeid",
         F.col("seller_city").alias("Location"),
@@ -106,32 +133,28 @@ def store360(orders: DataFrame, products: DataFrame, stores: DataFrame, review_s
         F.when(_reaches("profit", high), 1).otherwise(0).alias("Orders_with_High_Profit"),
         F.col("categories").alias("Distinct_Categories"),
         F.when(is_weekend("last"), 1).otherwise(0).alias("Weekend_Trans_Flag"),
-        number(F.col("weekend_sales")).alias("Weekend_Sales"),
-        number(F.col("weekday_sales")).alias("Weekday_Sales"),
-        safe_divide(F.col("visit_amount"), F.col("priced_visits")).alias("Average_Order_Value"),
-        safe_divide(F.col("visit_profit"), F.col("costed_visits")).alias("Average_Profit_Per_Transaction"),
-        safe_divide(F.col("visit_profit"), F.col("customers")).alias("Average_Profit_Per_Customer"),
-        safe_divide(F.col("visits"), F.col("customers")).alias("Average_Customer_Visits"),
-        F.col("rating").alias("Average_Rating_Per_Customer"),
+        number(F.when(known, F.col("weekend_sales")).otherwise(0)).alias("Weekend_Sales"),
+        number(F.when(known, F.col("weekday_sales")).otherwise(0)).alias("Weekday_Sales"),
+        per("amount", "priced_visits").alias("Average_Order_Value"),
+        per("profit", "costed_visits").alias("Average_Profit_Per_Transaction"),
+        per("profit", "customers").alias("Average_Profit_Per_Customer"),
+        per("visits", "customers").alias("Average_Customer_Visits"),
+        F.when(known, F.col("rating")).alias("Average_Rating_Per_Customer"),
     )
 
 
 def _order_sums(orders: DataFrame, products: DataFrame) -> DataFrame:
-    """Per order, from per-(order, product) sums: the category is joined once per product of an order."""
-    per_product = orders.filter(F.col("order_id").isNotNull()).groupBy("order_id", "product_id").agg(
-        *_line_sums(), F.max("correct_date").alias("last")
-    )
-    return (
-        per_product.join(products, "product_id", "left")
+    """Per order: sums straight from the lines, distinct counts from (order, product) pairs; both hashed by order."""
+    known = orders.filter(F.col("order_id").isNotNull())
+    sums = known.groupBy("order_id").agg(*_line_sums(), F.max("correct_date").alias("last"))
+    variety = (
+        known.select("order_id", "product_id")
+        .distinct()
+        .join(products, "product_id", "left")
         .groupBy("order_id")
-        .agg(
-            *_add_up(
-                F.count("product_id").alias("items"),
-                F.countDistinct("category").alias("categories"),
-                F.max("last").alias("last"),
-            )
-        )
+        .agg(F.count("product_id").alias("items"), F.countDistinct("category").alias("categories"))
     )
+    return sums.join(variety, "order_id")
 
 
 def orders360(orders: DataFrame, products: DataFrame) -> DataFrame:

@@ -57,6 +57,7 @@ def _orders(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFram
     return (
         lineitem.join(orders, key == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .hint("rebalance", "l_orderkey")
         .withColumn("billed", billed)
         .select(
             key.alias("order_id"),

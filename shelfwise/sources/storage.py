@@ -29,13 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/shelfwise-{context.applicationId}"
 
 
-def write_once(df: DataFrame, label: str) -> DataFrame:
+def write_once(df: DataFrame, label: str, cluster_by: str | None = None) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and return a scan of it.
 
     Cuts the lineage like a reliable checkpoint, but stays columnar: later scans prune columns and push filters down.
+    ``cluster_by`` brings rows of the same key together in evenly sized files; adaptive execution splits a key that is
+    too large for one file.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    even = df.hint("rebalance", cluster_by).sortWithinPartitions(cluster_by) if cluster_by else df
+    even.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
