@@ -38,27 +38,22 @@ def _inner_products(orders: DataFrame, products: DataFrame, ends: DataFrame) ->
 
     Only categories with three lines or more in an order can have a product strictly between their ends.
     """
-    starts = ends.groupBy(F.col("order_id").alias("_order")).agg(
-        F.array_sort(F.collect_list("first")).alias("starts"), F.max("lines").alias("most")
+    starts = ends.groupBy("order_id").agg(F.array_sort(F.collect_list("first")).alias("starts"))
+    wide = (
+        ends.filter("lines > 2")
+        .join(starts, "order_id")
+        .select(F.col("order_id").alias("_order"), F.col("category").alias("_category"), "first", "last", "starts")
     )
-    wide = ends.filter("lines > 2").select(
-        F.col("order_id").alias("wide_order"), F.col("category").alias("wide_category"), "first", "last"
-    )
-    inside = (F.col("product_id") > F.col("first")) & (F.col("product_id") < F.col("last"))
-    lines = (
+    product = F.col("product_id")
+    inside = (product > F.col("first")) & (product < F.col("last"))
+    gap = F.size(F.filter("starts", lambda start: start < product))
+    return (
         orders.select("order_id", "product_id")
         .join(products, "product_id")
-        .join(
-            wide, (F.col("order_id") == F.col("wide_order")) & (F.col("category") == F.col("wide_category")) & inside
-        )
-        .select("order_id", "category", "product_id")
-    )
-    gap = F.size(F.filter("starts", lambda start: start < F.col("product_id")))
-    return (
-        lines.join(starts.filter("most > 2"), F.col("order_id") == F.col("_order"))
+        .join(wide, (F.col("order_id") == F.col("_order")) & (F.col("category") == F.col("_category")) & inside)
         .groupBy("order_id", "category", gap.alias("gap"))
-        .agg(F.min("product_id").alias("product_id"))
-        .select("order_id", F.col("product_id").alias("at"), "category")
+        .agg(F.min("product_id").alias("at"))
+        .select("order_id", "at", "category")
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import DecimalType
 
 from shelfwise.oracle.base import END, START
 from shelfwise.plans import basket, category, clean, customers, growth, kpi, quality, ratings, sales, views360
+from shelfwise.sources.session import tune
 from shelfwise.sources.star import star_tables
 from shelfwise.sources.storage import write_once
 from shelfwise.tables import RetailTables
@@ -196,15 +197,15 @@ for _number, _by in enumerate(ratings.DIMENSIONS, start=1):
 
 def all_queries() -> dict[str, Query]:
     def repair(build: Callable[[_Repair], DataFrame]) -> Query:
-        return lambda spark, sf_dir: plain(build(_Repair(spark, sf_dir)))
+        return lambda spark, sf_dir: plain(build(_Repair(tune(spark), sf_dir)))
 
     def analysis(build: Callable[[RetailTables], DataFrame]) -> Query:
-        return lambda spark, sf_dir: plain(build(repaired(spark, sf_dir)))
+        return lambda spark, sf_dir: plain(build(repaired(tune(spark), sf_dir)))
 
     return {
         **{name: repair(build) for name, build in REPAIRS.items()},
         **{name: repair(build) for name, build in PREVIEWS.items()},
         "repair_counts": repair(_repair_counts),
         **{name: analysis(build) for name, build in ANALYSES.items()},
-        "p09_quality_profile": lambda spark, sf_dir: quality.quality_profile(imported(spark, sf_dir)),
+        "p09_quality_profile": repair(lambda r: quality.quality_profile(r.raw)),
     }
