@@ -186,17 +186,20 @@ def running_totals(df: DataFrame, value: str, key: str) -> DataFrame:
 def numbered_surplus(df: DataFrame, keys: Sequence[str], order: Sequence[Column], number: str = "rn") -> DataFrame:
     """Rows that ``row_number() over (partition by keys order by order)`` would number 2 and up, with that number.
 
-    The number is the global position minus that of the group's first row, so a group of any size stays distributed.
+    Keys that occur once are dropped first, so only repeated rows are put in order. The number is the global position
+    minus that of the group's first row: a group of any size stays distributed.
     """
-    ordered = OrderedRows(df, [*[F.col(k) for k in keys], *order], "surplus").with_position()
-    starts = (
-        ordered.groupBy(*[F.col(k).alias(f"_{k}") for k in keys])
-        .agg(F.min("position").alias("_start"), F.count("*").alias("_n"))
-        .filter("_n > 1")
-    )
-    same_group = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+
+    def same_group(names: Sequence[str]) -> list[Column]:
+        return [F.col(k).eqNullSafe(F.col(name)) for k, name in zip(keys, names)]
+
+    names = [f"_{k}" for k in keys]
+    repeated = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count("*").alias("_n")).filter("_n > 1")
+    candidates = df.join(repeated, same_group(names), "left_semi")
+    ordered = OrderedRows(candidates, [*[F.col(k) for k in keys], *order], "surplus").with_position()
+    starts = ordered.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.min("position").alias("_start"))
     return (
-        ordered.join(starts, same_group)
+        ordered.join(starts, same_group(names))
         .withColumn(number, (F.col("position") - F.col("_start") + 1).cast("bigint"))
         .filter(F.col(number) > 1)
         .select(*df.columns, number)

@@ -59,13 +59,13 @@ def _inner_products(orders: DataFrame, products: DataFrame, ends: DataFrame) ->
 
 def _sequences(points: DataFrame) -> DataFrame:
     """(order, at, category) points to (sequence, orders): each order's categories by product id, equal ones counted."""
-    ordered = F.array_sort(F.collect_set(F.struct("at", "category")))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "category")))
     per_order = points.groupBy("order_id").agg(F.transform(ordered, lambda p: p["category"]).alias("sequence"))
     return per_order.filter(F.size("sequence") > 1).groupBy("sequence").agg(F.count("*").alias("orders"))
 
 
 def _end_points(ends: DataFrame) -> DataFrame:
-    return ends.select("order_id", F.explode(F.array("first", "last")).alias("at"), "category")
+    return ends.select("order_id", F.explode(F.array_distinct(F.array("first", "last"))).alias("at"), "category")
 
 
 def _after(sequence: str, value: str) -> Column:
