@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,12 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def imported(spark: SparkSession, sf_dir: str) -> RetailTables:
-    """The six raw tables of a folder, built from the star tables and written on first use: the import step."""
+    """The six raw tables of a folder. The order lines, a join of three star tables, are written on first use: the import
+    step. The others are cheap projections and stay scans of their source."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _IMPORTED:
-        built = star_tables(spark, sf_dir).present()
-        _IMPORTED[key] = RetailTables(**{name: write_once(df, f"raw-{name}") for name, df in built.items()})
+        built = star_tables(spark, sf_dir)
+        _IMPORTED[key] = replace(built, orders=write_once(built.orders, "raw-orders"))
     return _IMPORTED[key]
 
 

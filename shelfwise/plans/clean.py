@@ -312,13 +312,15 @@ _REPAIRED: dict[tuple[str, str, str, str], RetailTables] = {}
 def repaired_once(name: str, tables: RetailTables, start: str, end: str) -> RetailTables:
     """Repair ``tables`` and write the results once per application and ``name``; later calls reuse the written tables.
 
-    Lines are written clustered by order, so a later group-by on the order collapses almost completely before its
-    shuffle.
+    Tables no repair touches are passed on as they are. Lines are written clustered by order, so a later group-by on the
+    order collapses almost completely before its shuffle.
     """
     key = (tables.orders.sparkSession.sparkContext.applicationId, name, start, end)
     if key not in _REPAIRED:
         clean = clean_all(tables, start, end)
-        written = {table: write_once(df, table) for table, df in clean.present().items() if table != "orders"}
-        written["orders"] = write_once(clean.orders, "orders", "order_id")
-        _REPAIRED[key] = RetailTables(**written)
+        result = {}
+        for table, df in clean.present().items():
+            untouched = df is getattr(tables, table)
+            result[table] = df if untouched else write_once(df, table, "order_id" if table == "orders" else None)
+        _REPAIRED[key] = RetailTables(**result)
     return _REPAIRED[key]
