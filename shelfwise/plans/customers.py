@@ -92,9 +92,21 @@ def rfm_contribution(orders: DataFrame, best_is_high: bool = False) -> DataFrame
 
 
 def all_channel_customers(orders: DataFrame) -> DataFrame:
-    """Customers seen in every channel, with key figures (``avg_order_value`` is a mean over lines in the source)."""
+    """Customers seen in every channel, with key figures (``avg_order_value`` is a mean over lines in the source).
+
+    Channels are counted on distinct (customer, channel) pairs, figures on (customer, order) sums; both end up hashed by
+    customer, so the semi-join between them moves nothing.
+    """
     every = orders.agg(F.countDistinct(F.lower("channel"))).scalar()
-    per_order = orders.groupBy("customer_id", "order_id", F.lower("channel").alias("channel")).agg(
+    known = orders.filter(F.col("customer_id").isNotNull())
+    everywhere = (
+        known.select("customer_id", F.lower("channel").alias("channel"))
+        .distinct()
+        .groupBy("customer_id")
+        .agg(F.count("channel").alias("channels"))
+        .filter(F.col("channels") == every)
+    )
+    per_order = known.groupBy("customer_id", "order_id").agg(
         F.sum("quantity").alias("quantity"),
         _raw_sales().alias("sales"),
         F.count("total_amount").alias("lines"),
@@ -102,19 +114,16 @@ def all_channel_customers(orders: DataFrame) -> DataFrame:
         F.max("correct_date").alias("last"),
     )
     return (
-        per_order.filter(F.col("customer_id").isNotNull())
-        .groupBy("customer_id")
+        per_order.groupBy("customer_id")
         .agg(
-            F.countDistinct("channel").alias("channels"),
-            F.countDistinct("order_id").alias("total_orders"),
+            F.count("order_id").alias("total_orders"),
             F.sum("quantity").alias("total_quantity"),
             number(F.sum("sales")).alias("total_sales"),
             ratio2(F.sum("sales"), F.sum("lines")).alias("avg_order_value"),
             F.min("first").alias("first_purchase_date"),
             F.max("last").alias("last_purchase_date"),
         )
-        .filter(F.col("channels") == every)
-        .drop("channels")
+        .join(everywhere, "customer_id", "left_semi")
     )
 
 
