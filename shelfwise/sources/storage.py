@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.tables import SCHEMAS, SQL_NAMES, RetailTables
 
-_FALLBACK: dict[str, str] = {}
+#: Folders of the scopes that are open, innermost last.
+_SCOPES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediates: below ``spark.checkpoint.dir``, one subfolder per application.
 
-    Only a local session without that setting falls back to a temporary folder; on a cluster the setting is required,
+    Only a local session without that setting falls back to its warehouse folder; on a cluster the setting is required,
     because executors must all see the files.
     """
     context = spark.sparkContext
@@ -23,22 +25,42 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        if context.applicationId not in _FALLBACK:
-            _FALLBACK[context.applicationId] = tempfile.mkdtemp(prefix="run-")
-        base = _FALLBACK[context.applicationId]
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate"
     return f"{base.rstrip('/')}/shelfwise-{context.applicationId}"
 
 
-def write_once(df: DataFrame, label: str, cluster_by: str | None = None) -> DataFrame:
-    """Write ``df`` as parquet to the shared folder and return a scan of it.
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[str]:
+    """Owner of the tables that the code inside writes on the way: they are deleted when the block ends.
+
+    Results computed inside must therefore be written or collected before the block is left.
+    """
+    folder = f"{shared_dir(spark)}/scope-{uuid.uuid4().hex}"
+    _SCOPES.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPES.remove(folder)
+        drop_folder(spark, folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder through Hadoop, so that it may lie in any store Spark reaches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def write_once(df: DataFrame, label: str, cluster_by: str | None = None, compression: str | None = None) -> DataFrame:
+    """Write ``df`` as parquet to the shared folder and return a scan of it. Runs the job when called.
 
     Cuts the lineage like a reliable checkpoint, but stays columnar: later scans prune columns and push filters down.
     ``cluster_by`` brings rows of the same key together in evenly sized files; adaptive execution splits a key that is
-    too large for one file.
+    too large for one file. Inside a ``scope`` the table lives until the scope ends, else as long as the folder does.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_SCOPES[-1] if _SCOPES else shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     even = df.hint("rebalance", cluster_by).sortWithinPartitions(cluster_by) if cluster_by else df
-    even.write.parquet(path)
+    writer = even.write.option("compression", compression) if compression else even.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
