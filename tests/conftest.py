@@ -17,7 +17,7 @@ CLEAN_LINE = SCHEMAS["orders"] + ", correct_date timestamp_ntz, new_total_amount
 
 
 @pytest.fixture(scope="session")
-def spark() -> SparkSession:
+def spark(tmp_path_factory) -> SparkSession:
     session = (
         SparkSession.builder.master("local[8]")
         .appName("tests")
@@ -26,6 +26,8 @@ def spark() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
+        .config("spark.sql.warehouse.dir", f"file://{tmp_path_factory.mktemp('warehouse')}")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
