@@ -49,3 +49,66 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0) AS n_hit, coa
   sha256(coalesce(m.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
+
+_PHRASE = (
+    "all rights reserved|copyright|licensed under|released under|terms of use|terms of service|privacy policy|cookie|"
+    "click here|read more|sign in|log in|subscribe|javascript|powered by"
+)
+
+OP1 = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+keyed AS (SELECT row_number() OVER () AS k, * FROM docs),
+windows AS (SELECT k, i, list_slice(w, i, i + 4) AS win
+  FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM keyed WHERE len(w) >= 5)),
+twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, win) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT k, count(DISTINCT p)::BIGINT AS n FROM (SELECT k, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY k),
+lines AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM keyed),
+worded AS (SELECT k, line, regexp_extract_all(line, '{_WORD}') AS w FROM lines),
+judged AS (SELECT k, line, len(w)::BIGINT AS n,
+    len(list_filter(w, lambda x: x IN ('|', '>', '»', '›', '•', '·'))) AS seps,
+    len(regexp_extract_all(line, '[.,;:!?]')) AS marks, len(regexp_extract_all(line, '!')) AS shouts,
+    len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(list_aggregate(w, 'string_agg', '')) AS chars,
+    regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_PHRASE}') AS boiler
+  FROM worded WHERE len(w) > 0),
+failed AS (SELECT *, (n >= 8 AND marks = 0) OR (shouts >= 3 AND 2 * shouts >= n) OR (seps >= 2 AND 4 * seps >= n)
+    OR (n <= 4 AND marks = 0) OR boiler OR (symbols >= 3 AND 10 * symbols >= chars) AS f FROM judged),
+summed AS (SELECT k, sum(n) FILTER (f)::BIGINT AS lost, count(*) FILTER (f) AS lost_lines,
+    (count(*) - count(DISTINCT line))::BIGINT AS dups FROM failed GROUP BY k),
+figures AS (SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(len(list_aggregate(d.w, 'string_agg', '')), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(d.text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(s.dups, 0) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, coalesce(s.lost, 0) AS lost_words, coalesce(s.lost_lines, 0) AS lost_lines
+  FROM keyed d LEFT JOIN repeated r USING (k) LEFT JOIN summed s USING (k)),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM figures)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 100 * lost_words <= 50 * n_words AS kept, lost_words, lost_lines FROM based
+"""
+
+OP2 = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, list_slice(w, i, i + least(len(w), 4) - 1) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.low, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(l.low, d.doc_id)) AS kept
+FROM docs d LEFT JOIN sizes z USING (doc_id) LEFT JOIN lowest l ON l.a = d.doc_id
+"""
+
+OP3 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + length(text)
+    + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""

@@ -2,22 +2,93 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfwise.llm import decontamination, mixing, oracle
+from shelfwise.llm import (
+    chat,
+    classifier,
+    decontamination,
+    licenses,
+    mixing,
+    neardup,
+    oracle,
+    pseudonyms,
+    quality,
+    tokenfile,
+    toxicity,
+)
+from shelfwise.sources.storage import shared_dir
+
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.line_quality(table(spark, sf_dir, "documents"))
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The formatted turns, one conversation of control strings among them, are written and read back."""
+    control = spark.createDataFrame(
+        [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
+    folder = f"{shared_dir(spark)}/chat-{uuid.uuid4().hex}"
+    chat.format_turns(turns).write.parquet(folder)
+    return chat.read_back(spark.read.parquet(folder))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept_out = classifier.held_out()
+    machine = classifier.fit(docs, table(spark, sf_dir, "labels").filter(~kept_out))
+    return classifier.quality_scores(docs, machine).select(
+        "doc_id", kept_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit_chain(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="rotate this key")
+    return found.withColumn("private", F.col("n_private") > 0)
+
+
+def token_rows(docs: DataFrame) -> DataFrame:
+    """Encode, write and read back: what the token files of these documents hold."""
+    folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    tokenfile.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read_tokens(docs.sparkSession, folder)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rows(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -25,10 +96,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_quality": op1_line_quality,
+        "op2_near_duplicates": op2_near_duplicates,
+        "op3_chat_format": op3_chat_format,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_mixing": op5_mixing,
+        "op6_license_scan": op6_license_scan,
+        "op7_toxicity": op7_toxicity,
+        "op8_pseudonyms": op8_pseudonyms,
+        "op9_token_files": op9_token_files,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def all_sql() -> dict[str, str]:
-    return {"op5_mixing": oracle.OP5, "op10_decontamination": oracle.OP10}
+    """Queries that SQL can express; the classifiers, the alignment, the pseudonyms and the tokenizer are not among them."""
+    return {
+        "op1_line_quality": oracle.OP1,
+        "op2_near_duplicates": oracle.OP2,
+        "op3_chat_format": oracle.OP3,
+        "op5_mixing": oracle.OP5,
+        "op10_decontamination": oracle.OP10,
+    }

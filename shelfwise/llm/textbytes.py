@@ -124,12 +124,22 @@ def words_of(texts: Texts, is_word: np.ndarray = WORD_BYTE) -> Words:
     return Words(starts, ends, np.searchsorted(starts, texts.offsets))
 
 
+class SpanHasher:
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand; the bytes are summed up once."""
+
+    def __init__(self, data: np.ndarray):
+        up, self._down = _power_tables(len(data) + 1)
+        self._sums = np.zeros(len(data) + 1, _U)
+        np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=self._sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sums = (self._sums[ends] - self._sums[starts]) * self._down[starts]
+        return mix(sums + (ends - starts).astype(_U))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every byte span, equal for equal bytes wherever they stand."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+    """Hashes of one set of spans, see ``SpanHasher``."""
+    return SpanHasher(data)(starts, ends)
 
 
 def window_hashes(hashes: np.ndarray, words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
