@@ -11,6 +11,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.sources.storage import write_once
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
 #: Windows in one broadcast, about 200 bytes each; a larger benchmark is taken in blocks of that many.
@@ -81,6 +83,7 @@ def contamination(
     ``spans`` are the word positions (start from 1, length) of all hit windows in order. Null and empty texts have no words
     and no hits; benchmark items without words match nothing; a null item id is left out of the items, its hits count.
     Repeated rows each get the same verdict. Only ``doc_id, text`` and ``item_id, text`` are read.
+    Runs jobs: the hits of every document are a written table.
     """
     by_item = benchmark_windows(benchmark, width).withColumn("_window_id", F.md5(F.concat_ws(" ", "window")))
     distinct = by_item.select("window", "_window_id").distinct().withColumn("_window_key", F.xxhash64("window"))
@@ -96,7 +99,7 @@ def contamination(
         hits = found if hits is None else hits.unionByName(found)
 
     covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
-    documents = (
+    documents = write_once(
         hits.groupBy("doc_id", "_text")
         .agg(
             F.max("n_words").alias("n_words"),
@@ -104,7 +107,8 @@ def contamination(
             F.array_sort(F.collect_set("span")).alias("spans"),
             F.collect_set("_window_id").alias("_windows"),
         )
-        .withColumn("n_hit", F.size(F.array_distinct(covered)).cast("bigint"))
+        .withColumn("n_hit", F.size(F.array_distinct(covered)).cast("bigint")),
+        "contamination",
     )
     items = (
         documents.filter("n_hit > 0")
