@@ -3,8 +3,8 @@
 A document is its set of distinct word shingles; two are linked when their sets' Jaccard similarity reaches a threshold.
 Equal sets are one class from the start. Of the classes' signatures, bands of four registers are buckets. A bucket is not
 expanded into pairs: its members are compared with its smallest member first, and only members that are still in different
-groups afterwards are compared with each other, in blocks of bounded size. Links count only after the full sets have been
-compared.
+groups afterwards are compared with each other, in blocks of bounded size that yield a spanning forest of the links, not
+the links. Links count only after the full sets have been compared.
 
 With 32 bands of four registers two sets of similarity 0.8 miss each other with a probability of 5e-8, more similar ones with
 a smaller one; the cut on agreeing registers before the full comparison loses about 1e-7 more.
@@ -28,8 +28,8 @@ PERCENT = 80
 REGISTERS, BANDS = 128, 32
 #: Agreeing registers of 128 below which no full comparison is made: five standard deviations below the mean at 0.8.
 LEAST_AGREEING = 78
-#: Members that one copy of a bucket's or group's head serves, and rows in one side of a block comparison.
-PER_HEAD, PER_BLOCK = 256, 512
+#: Members that one copy of a bucket's head serves; rows and shingles on one side of a block comparison, about.
+PER_HEAD, PER_BLOCK, BLOCK_SHINGLES = 256, 512, 1 << 18
 _SLICE = 1 << 17
 _U = np.uint64
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -122,9 +122,8 @@ def _signature_batches(width: int) -> Callable[[Batches], Batches]:
 def _explode_bands(batches: Batches) -> Batches:
     for batch in batches:
         keys = _matrix(batch.column("bands"), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(batch.column("rep")), keys.shape[1]))], ["bucket", "rep"]
-        )
+        repeated = [pa.array(np.repeat(np.asarray(batch.column(c)), keys.shape[1])) for c in ("rep", "n_shingles")]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *repeated], ["bucket", "rep", "n_shingles"])
 
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -173,25 +172,46 @@ def _grouped(batches: Batches, keys: list[str]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pairs_in_blocks(percent: int) -> Callable[[Batches], Batches]:
-    """Pairs of different groups within a bucket's block pair that agree enough, each from its first common band only."""
+def _links_in_blocks(width: int, percent: int) -> Callable[[Batches], Batches]:
+    """Links between different groups within a bucket's pair of blocks, on full sets: no more than join the groups.
+
+    Pairs whose sizes or signatures rule the similarity out are passed over; a group that a link has joined to another
+    counts as one with it from then on.
+    """
+    least = LEAST_AGREEING * percent // PERCENT
 
     def run(batches: Batches) -> Batches:
         for table in _grouped(batches, ["bucket", "block_a", "block_b"]):
             column = lambda name: table.column(name).combine_chunks()  # noqa: B023, E731
-            rep, group, size, block = (np.asarray(column(c)) for c in ("rep", "component", "n_shingles", "block"))
-            signature, bands = _matrix(column("signature"), np.uint16), _matrix(column("bands"), np.int64)
-            bucket, block_a, block_b = (column(c)[0].as_py() for c in ("bucket", "block_a", "block_b"))
+            rep, group, block = (np.array(column(c)) for c in ("rep", "component", "block"))
+            block_a, block_b = column("block_a")[0].as_py(), column("block_b")[0].as_py()
+            if (group == group[0]).all():
+                continue
+            signature = _matrix(column("signature"), np.uint16)
+            sets = []
+            for part in chunks(column("text")):
+                values, bounds, _ = shingle_sets(part, width)
+                sets += [values[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+            size = np.array([len(x) for x in sets])
+            upto = np.concatenate([[0], np.cumsum(size)])
+            names, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+            own = np.zeros(len(names), bool)
             found = []
             for i in np.flatnonzero(block == block_a).tolist():
-                other = (group != group[i]) & _similar_sizes(size, size[i], percent)
-                other &= (block == block_b) & ((rep > rep[i]) if block_a == block_b else (rep != rep[i]))
-                j = np.flatnonzero(other)
-                if len(j):
-                    j = j[(signature[j] == signature[i]).sum(axis=1) >= LEAST_AGREEING * percent // PERCENT]
-                if len(j):
-                    j = j[bands[i][(bands[j] == bands[i]).argmax(axis=1)] == bucket]
-                found += [(min(rep[i], rep[k]), max(rep[i], rep[k])) for k in j.tolist()]
+                other = (group != group[i]) & _similar_sizes(size, size[i], percent) & (block == block_b)
+                j = np.flatnonzero(other & (rep > rep[i]) if block_a == block_b else other)
+                j = j[(signature[j] == signature[i]).sum(axis=1) >= least]
+                if not len(j):
+                    continue
+                mine = numbers[upto[i] : upto[i + 1]]
+                own[mine] = True
+                sums = np.concatenate([[0], np.cumsum(own[numbers])])
+                own[mine] = False
+                common = sums[upto[j + 1]] - sums[upto[j]]
+                for k in j[100 * common >= percent * (size[i] + size[j] - common)].tolist():
+                    if group[k] != group[i]:
+                        found.append((min(rep[i], rep[k]), max(rep[i], rep[k])))
+                        group[group == group[k]] = group[i]
             if found:
                 pairs = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -333,9 +353,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     )
 
-    banded = classes.select("rep", "bands").mapInArrow(_explode_bands, "bucket bigint, rep bigint")
-    crowded = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("members")).filter("members > 1")
-    members = write_once(banded.join(crowded, "bucket"), "buckets")
+    banded = classes.select("rep", "n_shingles", "bands").mapInArrow(
+        _explode_bands, "bucket bigint, rep bigint, n_shingles bigint"
+    )
+    crowded = (
+        banded.groupBy("bucket")
+        .agg(
+            F.min("rep").alias("head"),
+            F.count("*").alias("members"),
+            F.sum("n_shingles").alias("shingles"),
+            F.bit_xor(F.xxhash64("rep")).alias("who"),
+        )
+        .filter("members > 1")
+    )
+    # Buckets with the same members say the same: one of them is enough.
+    one_of = crowded.groupBy("head", "members", "shingles", "who").agg(F.min("bucket").alias("bucket"))
+    members = write_once(
+        banded.drop("n_shingles").join(one_of.select("bucket", "head", "members", "shingles"), "bucket"), "buckets"
+    )
 
     side = lambda s: classes.select(
         F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("signature").alias(f"sig_{s}")
@@ -355,30 +390,30 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     # Members of one bucket that are in different components yet, and neither is the head, were never compared.
     grouped = components(links)
+    blocks = F.ceil(F.greatest(F.col("members") / PER_BLOCK, F.col("shingles") / BLOCK_SHINGLES))
     open_ = (
         members.filter("members > 2 and rep <> head")
         .join(grouped, F.col("rep") == F.col("node"), "left")
-        .select("bucket", "rep", "members", F.coalesce("component", "rep").alias("component"))
+        .select("bucket", "rep", blocks.alias("blocks"), F.coalesce("component", "rep").alias("component"))
     )
     mixed = open_.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    blocks = F.ceil(F.col("members") / PER_BLOCK)
     blocked = (
         open_.join(mixed.select("bucket"), "bucket")
-        .join(classes.select("rep", "n_shingles", "signature", "bands"), "rep")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
-        .withColumn("partner", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        .join(classes.select("rep", "signature"), "rep")
+        .join(texts, "rep")
+        .withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+        .withColumn("partner", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         .withColumn("block_a", F.least("block", "partner"))
         .withColumn("block_b", F.greatest("block", "partner"))
-        .select("bucket", "block_a", "block_b", "block", "rep", "component", "n_shingles", "signature", "bands")
+        .select("bucket", "block_a", "block_b", "block", "rep", "component", "signature", "text")
     )
     rest = (
         blocked.repartition("bucket", "block_a", "block_b")
         .sortWithinPartitions("bucket", "block_a", "block_b")
-        .mapInArrow(_pairs_in_blocks(percent), "a bigint, b bigint")
-        .distinct()
+        .mapInArrow(_links_in_blocks(width, percent), "a bigint, b bigint")
     )
-    rest = write_once(rest, "pairs")
-    final = components(links.union(_verified(rest, texts, width, percent)))
+    rest = write_once(rest, "verified")
+    final = components(links.union(rest))
     return (
         signed.select("doc_id", "n_shingles")
         .join(final, F.col("doc_id") == F.col("node"), "left")
