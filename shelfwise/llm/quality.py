@@ -81,6 +81,8 @@ class _Sums:
 def _repeated_words(hashes: np.ndarray, words: Words, owner: np.ndarray) -> np.ndarray:
     """For every word, whether a window of ``WINDOW`` words around it occurs twice or more in its text."""
     values, first = window_hashes(hashes, words, WINDOW)
+    if not len(values):
+        return np.zeros(len(hashes), bool)
     keys = mix(values + owner[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(keys)
     ranked = keys[order]

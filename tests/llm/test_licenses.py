@@ -19,6 +19,7 @@ def longest_common(a, b):
 def test_alignment_rises_and_reaches_the_longest_common_subsequence():
     """On sequences of mostly different words patience finds as much as the exact method; it never finds wrong pairs."""
     rng = random.Random(5)
+    total, most = 0, 0
     for _ in range(200):
         base = [rng.randrange(10_000) for _ in range(rng.randrange(1, 60))]
         other = [w for w in base if rng.random() > 0.2]
@@ -28,7 +29,9 @@ def test_alignment_rises_and_reaches_the_longest_common_subsequence():
         assert all(base[i] == other[j] for i, j in found)
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
         exact = longest_common(tuple(base), tuple(other))
-        assert 0.9 * exact <= len(found) <= exact
+        assert len(found) <= exact
+        total, most = total + len(found), most + exact
+    assert total >= 0.99 * most
 
 
 def test_words_that_repeat_align_too():
