@@ -28,9 +28,8 @@ class OrderedRows:
     """
 
     def __init__(self, df: DataFrame, order: Sequence[str | Column], label: str):
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.frame = write_once(
-            df.repartitionByRange(partitions, *order)
+            df.repartitionByRange(*order)  # no number: adaptive execution sizes the partitions by their bytes
             .sortWithinPartitions(*order)
             .withColumn("_address", F.monotonically_increasing_id()),
             label,
@@ -118,18 +117,23 @@ def add_ntiles(df: DataFrame, key: str, buckets: int, **orders: tuple[str, bool]
     return result
 
 
-NARROW_FROM = 1_000_000  # rows from which a sketch first narrows a percentile search
 _ACCURACY = 10_000  # relative rank error of the sketch: one in this many rows
 
 
-def exact_percentile(
-    df: DataFrame, value: str, key: str, fraction: Fraction, narrow_from: int = NARROW_FROM
-) -> Decimal | None:
+def _bracket(present: DataFrame, fraction: Fraction, rows: int) -> tuple[Decimal, Decimal]:
+    """Two values that the wanted percentile of ``value`` should lie between, from a mergeable sketch."""
+    margin = Fraction(4, _ACCURACY) + Fraction(2, rows)
+    ends = [float(max(fraction - margin, 0)), float(min(fraction + margin, 1))]
+    return tuple(present.agg(F.percentile_approx("value", ends, _ACCURACY)).first()[0])
+
+
+def exact_percentile(df: DataFrame, value: str, key: str, fraction: Fraction) -> Decimal | None:
     """Continuous percentile of a decimal column: the two neighbouring rows of the global order, interpolated exactly.
 
-    On many rows a mergeable sketch first brackets the percentile, so that only the rows between two values (a few per
-    mille, unless a value repeats) have to be put in order. The rows below the bracket are counted, not guessed: should
-    the bracket miss the wanted ranks, all rows are ordered instead. ``df`` is read several times: pass a written table.
+    A sketch first brackets the percentile, so that only the rows between two values (a few per mille of many rows,
+    unless a value repeats) have to be put in order. The rows below the bracket are counted, not guessed: should the
+    bracket miss the wanted ranks, all rows are ordered instead. ``df`` is read several times: pass a written table.
+    Runs its jobs when called.
     """
     present = df.select(F.col(value).cast("decimal(38,4)").alias("value"), F.col(key).alias("key")).dropna(
         subset=["value"]
@@ -139,17 +143,13 @@ def exact_percentile(
         return None
     low, part = divmod(fraction * (rows - 1), 1)
     wanted = [low, low + 1] if part else [low]
-    below = 0
-    if rows >= narrow_from:
-        margin = Fraction(4, _ACCURACY) + Fraction(2, rows)
-        ends = [float(max(fraction - margin, 0)), float(min(fraction + margin, 1))]
-        start, stop = present.agg(F.percentile_approx("value", ends, _ACCURACY)).first()[0]
-        inside = F.col("value").between(start, stop)
-        below, within = present.agg(F.count_if(F.col("value") < start), F.count_if(inside)).first()
-        if below <= wanted[0] and wanted[-1] < below + within:
-            present = present.filter(inside)
-        else:
-            below = 0
+    start, stop = _bracket(present, fraction, rows)
+    inside = F.col("value").between(start, stop)
+    below, within = present.agg(F.count_if(F.col("value") < start), F.count_if(inside)).first()
+    if below <= wanted[0] and wanted[-1] < below + within:
+        present = present.filter(inside)
+    else:
+        below = 0
     found = OrderedRows(present, ["value", "key"], "percentile").rows_at([p - below for p in wanted])
     first = found[low - below]["value"]
     if not part:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.tables import SCHEMAS, SQL_NAMES, RetailTables
 
+#: Called with label and frame before a table is written, for tests and logs that want to see what is run.
+OBSERVERS: list[Callable[[str, DataFrame], None]] = []
 #: Folders of the scopes that are open, innermost last.
 _SCOPES: list[str] = []
 
@@ -50,6 +53,18 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fingerprint(df: DataFrame) -> str:
+    """What a frame computes and from which files: changes when its plan does, or when a file it reads is rewritten."""
+    spark = df.sparkSession
+    conf = spark._jsc.hadoopConfiguration()
+    digest = hashlib.sha256(f"{spark.sparkContext.applicationId} {df.semanticHash()}".encode())
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        digest.update(f"{name} {status.getLen()} {status.getModificationTime()}".encode())
+    return digest.hexdigest()
+
+
 def write_once(df: DataFrame, label: str, cluster_by: str | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and return a scan of it. Runs the job when called.
 
@@ -59,6 +74,8 @@ def write_once(df: DataFrame, label: str, cluster_by: str | None = None, compres
     """
     path = f"{_SCOPES[-1] if _SCOPES else shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     even = df.hint("rebalance", cluster_by).sortWithinPartitions(cluster_by) if cluster_by else df
+    for see in OBSERVERS:
+        see(label, even)
     writer = even.write.option("compression", compression) if compression else even.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
