@@ -78,12 +78,29 @@ def percent2(part: Column, whole: Column) -> Column:
     return ratio2(part.cast("decimal(31,4)") * 100, whole)
 
 
+# The four notations: month/day/year, day/month/year, and ISO with a blank or a T; the time may be left out.
+_TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?"
+_DATED = rf"^(?:\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}}){_TIME}$"
+_HALF_DAY = r"^(\S+) (0?[1-9]|1[0-2])(:\d{2}(?::\d{2})?) ?([AaPp])[Mm]$"
+
+
+def _full_day(text: Column) -> Column:
+    """A time with AM or PM on the 24-hour clock."""
+    part = lambda k: F.regexp_extract(text, _HALF_DAY, k)
+    hour = part(2).try_cast("int") % 12 + F.when(F.lower(part(4)) == "p", 12).otherwise(0)
+    return F.concat(part(1), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), part(3))
+
+
 def parse_bill_date(text: Column) -> Column:
     """Mixed date texts to a timestamp without zone: month/day/year first, then day/month/year, then ISO.
 
-    Slashed dates are rearranged to ISO, which ``try_cast`` reads without raising per bad row. Anything else is NULL.
+    Blanks around the text do not count; a time may be on the 24-hour clock or carry AM or PM. Slashed dates are
+    rearranged to ISO, which ``try_cast`` reads without raising per bad row. Anything else is NULL, also a text with a
+    zone offset (its wall-clock time elsewhere is unknown) or a year of more than four digits.
     """
-    slashed = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?=$|[ T])"
-    month_first = F.regexp_replace(text, slashed, "$3-$1-$2").try_cast("timestamp_ntz")
-    day_first = F.regexp_replace(text, slashed, "$3-$2-$1").try_cast("timestamp_ntz")
-    return F.when(text.rlike(r"^\d+[-/]\d+[-/]\d+"), F.coalesce(month_first, day_first))
+    trimmed = F.trim(text)
+    exact = F.when(trimmed.rlike(_HALF_DAY), _full_day(trimmed)).otherwise(trimmed)
+    slashed = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
+    month_first = F.regexp_replace(exact, slashed, "$3-$1-$2").try_cast("timestamp_ntz")
+    day_first = F.regexp_replace(exact, slashed, "$3-$2-$1").try_cast("timestamp_ntz")
+    return F.when(exact.rlike(_DATED), F.coalesce(month_first, day_first))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-# The period the registered queries keep (inside the range of the test tables, so that some lines drop out).
-START, END = "1995-02-01", "2001-06-30"
+from shelfwise.plans.catalog import END, START
 
 
 def dbl(expression: str) -> str:
@@ -33,28 +32,35 @@ MONTH = "strftime(correct_date, '%Y-%m')"
 CTES: dict[str, str] = {
     "l0": """
         SELECT l_orderkey AS order_id, l_linenumber AS line_no,
-               o_custkey + CASE WHEN l_orderkey % 97 = 0 AND l_linenumber = 1 THEN 1 ELSE 0 END AS customer_id,
-               l_partkey AS product_id,
+               CASE WHEN o_custkey % 43 = 6 THEN 2000000000 + l_orderkey
+                    ELSE o_custkey + CASE WHEN l_orderkey % 97 = 0 AND l_linenumber = 1 THEN 1 ELSE 0 END END AS customer_id,
+               CASE WHEN o_custkey % 41 = 3 THEN o_custkey % 7 + 1 ELSE l_partkey END AS product_id,
                CASE WHEN l_suppkey % 50 = 49 THEN 100000 + l_suppkey ELSE l_suppkey END AS delivered_storeid,
                CASE o_orderstatus WHEN 'O' THEN 'Online' WHEN 'P' THEN 'Phone'
                     ELSE CASE WHEN l_orderkey % 2 = 0 THEN 'Instore' ELSE 'instore' END END AS channel,
-               CASE WHEN l_orderkey % 101 = 0 THEN 'n/a'
+               CASE WHEN l_orderkey % 101 = 0 OR o_custkey % 499 = 7 THEN 'n/a'
+                    WHEN l_orderkey % 101 = 1 THEN strftime(billed, '%Y-%m-%dT%H:%M:%S') || '+02:00'
+                    WHEN l_orderkey % 101 = 2 THEN strftime(billed, '%-m/%-d/%Y %-I:%M %p')
+                    WHEN l_orderkey % 101 = 3 THEN ' ' || strftime(billed, '%Y-%m-%d %H:%M:%S')
+                    WHEN l_orderkey % 101 = 4 THEN '1' || strftime(billed, '%Y-%m-%d %H:%M:%S')
                     ELSE [strftime(billed, '%m/%d/%Y %H:%M'), strftime(billed, '%d/%m/%Y %H:%M'),
                           strftime(billed, '%Y-%m-%d %H:%M:%S'), strftime(billed, '%Y-%m-%dT%H:%M:%S')][l_orderkey % 4 + 1]
                     END AS bill_date_timestamp,
                CAST(l_quantity AS INTEGER) AS quantity,
                CAST(p_retailprice AS DECIMAL(12,2))::DECIMAL(18,4) AS mrp,
-               (CAST(p_retailprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)))::DECIMAL(18,4) AS discount,
+               (CAST(p_retailprice AS DECIMAL(12,2)) * CASE WHEN o_custkey % 37 = 5 THEN 0
+                   ELSE CAST(l_discount AS DECIMAL(4,2)) END)::DECIMAL(18,4) AS discount,
                (CAST(p_retailprice AS DECIMAL(12,2)) * 0.95::DECIMAL(3,2))::DECIMAL(18,4) AS cost_per_unit,
                CAST(l_extendedprice AS DECIMAL(18,2)) AS total_amount
         FROM (SELECT *, o_orderdate + to_hours((l_orderkey + l_linenumber) % 24) AS billed
               FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)""",
     "c": """
-        SELECT custid, 'CITY_' || custid % 60 AS customer_city, n_name AS customer_state,
+        SELECT custid, 'CITY_' || (custid % 60 + copy) AS customer_city, n_name AS customer_state,
                CASE WHEN custid % 3 = 0 THEN 'M' ELSE 'F' END AS gender
         FROM (SELECT c_custkey AS custid, c_nationkey AS nk FROM customer
               UNION ALL SELECT 1000000000 + s_suppkey, s_nationkey FROM supplier)
-        JOIN nation ON nk = n_nationkey""",
+        JOIN nation ON nk = n_nationkey JOIN (VALUES (0), (1)) AS twice(copy) ON copy = 0 OR custid = 11""",
+    "main_c": "SELECT * FROM c",
     "p0": """
         SELECT p_partkey AS product_id, CASE WHEN p_partkey % 50 = 0 THEN '#N/A' ELSE p_type END AS category FROM part""",
     "s0": """
@@ -64,19 +70,22 @@ CTES: dict[str, str] = {
         JOIN (VALUES (0), (1)) AS twice(copy) ON copy = 0 OR s_suppkey = 0""",
     "pay": """
         SELECT l_orderkey AS order_id,
-               ['Voucher', 'UPI/Cash', 'Credit_card', 'Debit_card'][l_partkey % 4 + 1] AS payment_type,
+               CASE l_orderkey % 13 WHEN 0 THEN lower(kind) WHEN 1 THEN upper(kind) ELSE kind END AS payment_type,
                CAST(CAST(l_extendedprice AS DECIMAL(18,2)) + CASE WHEN l_orderkey % 50 = 0 THEN 5 ELSE 0 END
                     AS DECIMAL(18,2)) AS payment_value
-        FROM lineitem""",
+        FROM (SELECT *, ['Voucher', 'UPI/Cash', 'Credit_card', 'Debit_card'][l_partkey % 4 + 1] AS kind FROM lineitem)""",
     "rev": """
         SELECT o_orderkey AS order_id,
                CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 5 + 1 AS INTEGER) END AS customer_satisfaction_score
         FROM orders
         UNION ALL
-        SELECT o_orderkey, CAST(o_orderkey % 3 + 1 AS INTEGER) FROM orders WHERE o_orderkey % 7 = 0""",
+        SELECT o_orderkey, CAST(o_orderkey % 3 + 1 AS INTEGER) FROM orders WHERE o_orderkey % 7 = 0
+        UNION ALL
+        SELECT o_orderkey, CAST(o_orderkey % 4 + 2 AS INTEGER) FROM orders WHERE o_orderkey % 77 = 0""",
     "l1": """
-        SELECT *, try_strptime(bill_date_timestamp, ['%m/%d/%Y %H:%M', '%d/%m/%Y %H:%M', '%Y-%m-%d %H:%M:%S',
-                                                     '%Y-%m-%dT%H:%M:%S']) AS correct_date
+        SELECT *, CASE WHEN NOT regexp_matches(bill_date_timestamp, '^[0-9]{5}') THEN
+               try_strptime(trim(bill_date_timestamp), ['%m/%d/%Y %H:%M', '%m/%d/%Y %I:%M %p', '%d/%m/%Y %H:%M',
+                                                        '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S']) END AS correct_date
         FROM l0""",
     "l2": f"""
         SELECT * FROM l1 WHERE correct_date IS NULL OR correct_date BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'""",
@@ -121,8 +130,8 @@ CTES: dict[str, str] = {
         SELECT * FROM s0
         QUALIFY row_number() OVER (PARTITION BY storeid ORDER BY seller_city, seller_state, region) = 1""",
     "ops0": """
-        PIVOT pay ON payment_type IN ('Voucher', 'UPI/Cash', 'Credit_card', 'Debit_card')
-        USING sum(payment_value) GROUP BY order_id""",
+        PIVOT (SELECT order_id, lower(payment_type) AS kind, payment_value FROM pay)
+        ON kind IN ('voucher', 'upi/cash', 'credit_card', 'debit_card') USING sum(payment_value) GROUP BY order_id""",
     "ops1": """
         SELECT order_id, coalesce(Voucher, 0) AS Voucher, coalesce("UPI/Cash", 0) AS "UPI/Cash",
                coalesce(Credit_card, 0) AS "Credit card", coalesce(Debit_card, 0) AS "Debit card", total AS Total_Amount
@@ -135,7 +144,7 @@ CTES: dict[str, str] = {
 _NEEDS = {
     "l1": "l0", "l2": "l1", "l7": "l2", "l9n": "l7", "l9": "l9n", "l10n": "l9", "l10": "l10n", "l11n": "l10",
     "l11": "l11n", "l13n": "l11", "o": "l13n", "p": "p0", "s": "s0", "ops0": "pay", "ops1": "ops0 pay",
-    "ops": "ops1 l11", "ras": "rev",
+    "ops": "ops1 l11", "ras": "rev", "main_c": "c",
 }
 
 

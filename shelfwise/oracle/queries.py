@@ -34,6 +34,9 @@ def _repair() -> dict[str, str]:
             """SELECT *, row_number() OVER (PARTITION BY storeid ORDER BY seller_city, seller_state, region) AS rn
                FROM s0 QUALIFY rn > 1""",
         ),
+        "c04_category_changes": (
+            "p0", "SELECT *, 'Others' AS new_category FROM p0 WHERE lower(category) = '#n/a'",
+        ),
         "c09_surplus_lines": ("l9n", f"SELECT {LINE}, rn FROM l9n WHERE rn > 1"),
         "c10_store_changes": (
             "l10n",
@@ -69,8 +72,8 @@ def _repair() -> dict[str, str]:
             "l7 ops1",
             f"""SELECT order_id, {dbl('sum_ta')} AS sum_ta, {dbl('pd_amt')} AS pd_amt,
                        {dbl('abs(pd_amt - sum_ta)')} AS diff
-                FROM (SELECT order_id, sum(total_amount)::DECIMAL(10,2) AS sum_ta FROM l7 GROUP BY ALL)
-                JOIN (SELECT order_id, Total_Amount::DECIMAL(10,2) AS pd_amt FROM ops1) USING (order_id)
+                FROM (SELECT order_id, sum(total_amount)::DECIMAL(28,2) AS sum_ta FROM l7 GROUP BY ALL)
+                JOIN (SELECT order_id, Total_Amount::DECIMAL(28,2) AS pd_amt FROM ops1) USING (order_id)
                 WHERE abs(pd_amt - sum_ta) > 1""",
         ),
         "c09_collapse_lines": with_tables("l9", f"SELECT {LINE} FROM l9"),
@@ -109,7 +112,7 @@ def _views() -> dict[str, str]:
                    {dbl('sum(amount)')} / count(amount) AS aov, {dbl('sum(profit)')} / count(profit) AS ppt,
                    {dbl('sum(profit)')} / nullif(count(DISTINCT customer_id), 0) AS ppc,
                    {dbl('count(order_id)')} / nullif(count(DISTINCT customer_id), 0) AS per_customer,
-                   avg(average_score) AS rating
+                   {dbl('sum(CAST(average_score AS DECIMAL(20,10)))')} / nullif(count(average_score), 0) AS rating
             FROM visit LEFT JOIN ras USING (order_id) GROUP BY place
         )
         SELECT storeid, seller_city AS "Location", orders AS "No_of_Orders", items AS "No_of_Items",
@@ -150,8 +153,11 @@ def _views() -> dict[str, str]:
     return {
         "v1_store360": with_tables("o p s ras", store),
         "v2_orders360": with_tables("o p", order),
-        "v3_customer360": with_tables("c o p s ops rev", _customer_view(first_only=False, dedupe=False)),
-        "v3_customer360_corrected": with_tables("c o p s ops rev", _customer_view(first_only=True, dedupe=True)),
+        "v3_customer360": with_tables("main_c o p s ops rev", _customer_view(first_only=False, dedupe=False)),
+        "v3_customer360_corrected": with_tables("main_c o p s ops rev", _customer_view(first_only=True, dedupe=True)),
+        "v3_customer360_percentile_segments": with_tables(
+            "main_c o p s ops rev", _customer_view(first_only=False, dedupe=False, percentiles=True)
+        ),
         "p05_discount_class": with_tables(
             "o",
             f"""SELECT order_id, pct AS discount_pct,
@@ -164,7 +170,7 @@ def _views() -> dict[str, str]:
     }
 
 
-def _customer_view(first_only: bool, dedupe: bool) -> str:
+def _customer_view(first_only: bool, dedupe: bool, percentiles: bool = False) -> str:
     """Line-by-line joins on purpose: the repeated rows are what the Spark side must reproduce without repeating them."""
     reviews = (
         "(SELECT order_id, avg(customer_satisfaction_score) AS customer_satisfaction_score FROM rev GROUP BY order_id)"
@@ -172,12 +178,19 @@ def _customer_view(first_only: bool, dedupe: bool) -> str:
         else "rev"
     )
     first = "WHERE correct_date = first_ts" if first_only else ""
+    tile = "ntile(3) OVER (ORDER BY monetary NULLS FIRST, cust)"
+    if percentiles:
+        cut = "(SELECT (v[{0} * top // 3 + 1] * (3 - {0} * top % 3) + coalesce(v[{0} * top // 3 + 2], 0) * ({0} * top % 3)) FROM cuts)"
+        tile = f"1 + CAST(3 * monetary > {cut.format(1)} AS INT) + CAST(3 * monetary > {cut.format(2)} AS INT)"
     return f"""
-        WITH wide AS (
-            SELECT c.custid AS cust, o.*, category, ops.Voucher AS voucher, "UPI/Cash" AS upi, "Credit card" AS credit,
+        WITH cu AS (
+            SELECT * FROM main_c
+            QUALIFY row_number() OVER (PARTITION BY custid ORDER BY customer_city, customer_state, gender) = 1
+        ), wide AS (
+            SELECT cu.custid AS cust, o.*, category, ops.Voucher AS voucher, "UPI/Cash" AS upi, "Credit card" AS credit,
                    "Debit card" AS debit, seller_city, customer_satisfaction_score AS score,
-                   min(correct_date) OVER (PARTITION BY c.custid) AS first_ts
-            FROM c LEFT JOIN o ON c.custid = o.customer_id LEFT JOIN p USING (product_id)
+                   min(correct_date) OVER (PARTITION BY cu.custid) AS first_ts
+            FROM cu LEFT JOIN o ON cu.custid = o.customer_id LEFT JOIN p USING (product_id)
                    LEFT JOIN ops ON ops.order_id = o.order_id LEFT JOIN s ON storeid = delivered_storeid
                    LEFT JOIN {reviews} AS r ON r.order_id = o.order_id
         ), once AS (
@@ -185,9 +198,11 @@ def _customer_view(first_only: bool, dedupe: bool) -> str:
                    datediff('day', max(correct_date), (SELECT max(correct_date) FROM o)) AS idle,
                    count(DISTINCT order_id) AS freq, sum({NTA}) AS monetary, sum({PROFIT}) AS profit,
                    sum(discount) AS discount, sum(quantity) AS qty, count(DISTINCT product_id) AS items
-            FROM c LEFT JOIN o ON custid = customer_id GROUP BY custid
+            FROM cu LEFT JOIN o ON custid = customer_id GROUP BY custid
+        ), cuts AS (
+            SELECT list(monetary ORDER BY monetary) FILTER (monetary IS NOT NULL) AS v, count(monetary) - 1 AS top FROM once
         ), spend AS (
-            SELECT cust, ntile(3) OVER (ORDER BY monetary NULLS FIRST, cust) AS tile FROM once
+            SELECT cust, {tile} AS tile FROM once
         ), favourite AS (
             SELECT cust, category FROM wide WHERE category IS NOT NULL GROUP BY cust, category
             QUALIFY row_number() OVER (PARTITION BY cust ORDER BY count(*) DESC, category) = 1
@@ -219,9 +234,9 @@ def _customer_view(first_only: bool, dedupe: bool) -> str:
                {big('bought.qty')} AS "First_Purchase_Qty", {dbl('bought.amount')} AS "First_Purchase_Amount",
                bought.items AS "First_Purchase_Distinct_Items", bought.categories AS "First_Purchase_Distinct_Categories",
                bought.score AS "Average_Satisfaction_Score", ['Low', 'Medium', 'High'][tile] AS "Customer_Segment"
-        FROM c JOIN once ON once.cust = custid JOIN spend ON spend.cust = custid JOIN many ON many.cust = custid
-             JOIN bought ON bought.cust = custid LEFT JOIN favourite ON favourite.cust = custid
-        WHERE bought.qty IS NOT NULL"""
+        FROM cu JOIN once ON once.cust = custid JOIN spend ON spend.cust = custid JOIN many ON many.cust = custid
+             LEFT JOIN bought ON bought.cust = custid LEFT JOIN favourite ON favourite.cust = custid
+        WHERE once.qty IS NOT NULL"""
 
 
 def _kpis() -> dict[str, str]:
@@ -373,6 +388,47 @@ def _sales() -> dict[str, str]:
             "o p s pay",
             trend.format(sales=dbl("sum(total_amount)"), quantity=big("sum(quantity)"), paid="pay"),
         ),
+        "l1_sales_trend_share_weighted": with_tables(
+            "o p s pay",
+            f"""WITH paid AS (
+                    SELECT order_id, payment_type, coalesce({dbl('sum(payment_value)')}
+                           / nullif({dbl('sum(sum(payment_value)) OVER (PARTITION BY order_id)')}, 0),
+                           {dbl('count(*)')} / {dbl('sum(count(*)) OVER (PARTITION BY order_id)')}) AS weight
+                    FROM pay GROUP BY order_id, payment_type
+                ), line AS (
+                    SELECT order_id, {MONTH} AS month, product_id, delivered_storeid, channel,
+                           sum(total_amount) AS sales, sum(quantity) AS quantity
+                    FROM o GROUP BY ALL
+                )
+                SELECT month AS "Month", category AS "Product_Category", region AS "Store_Region", storeid AS "StoreID",
+                       min(channel) AS "Channel", min(payment_type) AS payment_type,
+                       {dbl(f"sum(CAST({dbl('sales')} * coalesce(weight, 1) AS DECIMAL(28,6)))")} AS "Total_Sales",
+                       {dbl(f"sum(CAST({dbl('quantity')} * coalesce(weight, 1) AS DECIMAL(28,6)))")} AS "Total_Quantity"
+                FROM line LEFT JOIN paid USING (order_id) LEFT JOIN p USING (product_id)
+                     LEFT JOIN s ON storeid = delivered_storeid
+                GROUP BY 1, 2, 3, 4, lower(channel), lower(payment_type)""",
+        ),
+        "l6_top_bottom_products": with_tables(
+            "o p",
+            f"""WITH t AS (SELECT product_id, sum(total_amount) AS sales, sum(quantity) AS qty FROM o GROUP BY ALL),
+                     e AS (SELECT 'Bottom 10' AS which, * FROM (SELECT * FROM t ORDER BY sales ASC NULLS FIRST,
+                                                                product_id NULLS FIRST LIMIT 10)
+                           UNION ALL SELECT 'Top 10', * FROM (SELECT * FROM t ORDER BY sales DESC NULLS LAST,
+                                                              product_id NULLS FIRST LIMIT 10))
+                SELECT which AS "Category", product_id AS "Product_ID", category AS "Product_Category",
+                       {big('qty')} AS "Total_Quantity", {dbl('sales')} AS "Total_Sales"
+                FROM e LEFT JOIN p USING (product_id)""",
+        ),
+        "l7_store_category_performance": with_tables(
+            "o p s",
+            f"""WITH t AS (SELECT storeid, category, count(DISTINCT order_id) AS n, sum(quantity) AS qty, sum({NTA}) AS sales,
+                                  sum({PROFIT}) AS profit
+                           FROM o LEFT JOIN p USING (product_id) LEFT JOIN s ON storeid = delivered_storeid GROUP BY ALL)
+                SELECT storeid AS "StoreID", category AS "Product_Category", n AS "Orders", {big('qty')} AS "Total_Quantity",
+                       {dbl('sales')} AS "Total_Sales", {dbl('profit')} AS "Total_Profit",
+                       {pct2('sales', 'sum(sales) OVER (PARTITION BY storeid)')} AS "Sales_Percentage_of_Store"
+                FROM t""",
+        ),
         "l2_popular_products": with_tables(
             "o p s",
             f"""SELECT region AS "Region", seller_state, storeid AS "StoreID", category AS "Product_Category",
@@ -432,9 +488,10 @@ def _sales() -> dict[str, str]:
         "p03_state_share": with_tables("o s", share("seller_state")),
         "p04_payment_mix": with_tables(
             "pay",
-            f"""SELECT payment_type, count(DISTINCT order_id) AS orders, {dbl('sum(payment_value)')} AS value,
+            f"""SELECT min(payment_type) AS payment_type, count(DISTINCT order_id) AS orders,
+                       {dbl('sum(payment_value)')} AS value,
                        {pct2('sum(payment_value)', '(SELECT sum(payment_value) FROM pay)')} AS value_pct
-                FROM pay GROUP BY payment_type""",
+                FROM pay GROUP BY lower(payment_type)""",
         ),
         "p04_store_payment_mix": with_tables(
             "o ops",
@@ -475,7 +532,8 @@ def _customers() -> dict[str, str]:
     source_rfm = rfm.replace("{score}", "score")
     turned_rfm = rfm.replace("{score}", "15 - score")
     totals = """SELECT customer_id, count(DISTINCT order_id) AS n, sum(total_amount) AS sales, sum(quantity) AS qty,
-                       sum(discount) AS given, avg(CAST(total_amount AS DOUBLE)) AS mean_line
+                       sum(discount) AS given,
+                       CAST(CAST(sum(total_amount) AS DOUBLE) / count(total_amount) AS DECIMAL(28,6)) AS mean_line
                 FROM o GROUP BY customer_id"""
 
     def mode(value: str, source: str, alias: str) -> str:
@@ -486,7 +544,10 @@ def _customers() -> dict[str, str]:
         WITH ch AS (SELECT customer_id, c AS preferred_channel
                     FROM (SELECT customer_id, min(channel) AS c, count(*) AS n FROM o GROUP BY customer_id, lower(channel))
                     QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY n DESC, c NULLS FIRST) = 1),
-             y AS {mode('payment_type', 'o JOIN pay USING (order_id)', 'preferred_payment_method')},
+             y AS (SELECT customer_id, k AS preferred_payment_method
+                   FROM (SELECT customer_id, min(payment_type) AS k, count(*) AS n FROM o JOIN pay USING (order_id)
+                         GROUP BY customer_id, lower(payment_type))
+                   QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY n DESC, k NULLS FIRST) = 1),
              st AS {mode('delivered_storeid', 'o', 'preferred_store')},
              ct AS {mode('category', 'o JOIN p USING (product_id)', 'preferred_category')}
         SELECT customer_id, preferred_channel, preferred_payment_method, preferred_store, preferred_category,
@@ -522,7 +583,7 @@ def _customers() -> dict[str, str]:
                        {big('sum(n)')} AS total_orders, {big('sum(qty)')} AS total_quantity,
                        {dbl('sum(sales)')} AS total_sales,
                        {ratio2('sum(sales)', 'count(sales)')} AS avg_sales_per_customer,
-                       round(avg(mean_line), 2) AS avg_order_value,
+                       {ratio2('sum(mean_line)', 'count(mean_line)')} AS avg_order_value,
                        {ratio2('sum(n)', 'count(n)')} AS avg_orders_per_customer,
                        {pct2('sum(sales)', '(SELECT sum(sales) FROM t)')} AS contribution_to_total_sales_percent
                 FROM t GROUP BY 1""",

@@ -33,17 +33,36 @@ def _ends(orders: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def _inner_products(orders: DataFrame, products: DataFrame, ends: DataFrame) -> DataFrame:
-    """Per (order, category, gap between two categories' first products): the first product in that gap.
+def _per_order(orders: DataFrame, products: DataFrame) -> DataFrame:
+    """One row per order with its categories and their ends: all that later steps need, so that the lines are read once."""
+    entry = F.struct("category", "first", "last", "lines")
+    return _ends(orders, products).groupBy("order_id").agg(F.collect_list(entry).alias("categories"))
+
+
+def _point(at: Column, category: Column) -> Column:
+    return F.struct(at.alias("at"), category.alias("category"))
+
+
+def _end_points() -> Column:
+    """First and last product of every category of the order."""
+    return F.flatten(
+        F.transform(
+            "categories",
+            lambda c: F.array_distinct(F.array(_point(c["first"], c["category"]), _point(c["last"], c["category"]))),
+        )
+    )
+
+
+def _inner_points(orders: DataFrame, products: DataFrame, per_order: DataFrame) -> DataFrame:
+    """Per order: of every category and gap between two categories' first products, the first product in that gap.
 
     Only categories with three lines or more in an order can have a product strictly between their ends.
     """
-    starts = ends.groupBy("order_id").agg(F.array_sort(F.collect_list("first")).alias("starts"))
-    wide = (
-        ends.filter("lines > 2")
-        .join(starts, "order_id")
-        .select(F.col("order_id").alias("_order"), F.col("category").alias("_category"), "first", "last", "starts")
-    )
+    wide = per_order.select(
+        F.col("order_id").alias("_order"),
+        F.array_sort(F.transform("categories", lambda c: c["first"])).alias("starts"),
+        F.explode(F.filter("categories", lambda c: c["lines"] > 2)).alias("w"),
+    ).select("_order", "starts", F.col("w.category").alias("_category"), "w.first", "w.last")
     product = F.col("product_id")
     inside = (product > F.col("first")) & (product < F.col("last"))
     gap = F.size(F.filter("starts", lambda start: start < product))
@@ -53,21 +72,17 @@ def _inner_products(orders: DataFrame, products: DataFrame, ends: DataFrame) ->
         .join(wide, (F.col("order_id") == F.col("_order")) & (F.col("category") == F.col("_category")) & inside)
         .groupBy("order_id", "category", gap.alias("gap"))
         .agg(F.min("product_id").alias("at"))
-        .select("order_id", "at", "category")
+        .groupBy(F.col("order_id").alias("_order"))
+        .agg(F.collect_list(F.struct("at", "category")).alias("inner"))
     )
 
 
 def _sequences(points: DataFrame) -> DataFrame:
-    """(order, at, category) points to (sequence, orders): each order's categories by product id, equal ones counted."""
-    ordered = F.array_sort(F.collect_list(F.struct("at", "category")))
-    per_order = points.groupBy("order_id").agg(F.transform(ordered, lambda p: p["category"]).alias("sequence"))
+    """(points) per order to (sequence, orders): each order's categories by product id, equal ones counted."""
+    per_order = points.select(F.transform(F.array_sort("points"), lambda p: p["category"]).alias("sequence"))
     return per_order.filter(F.size("sequence") > 1).groupBy("sequence").agg(F.count("*").alias("orders"))
 
 
-def _end_points(ends: DataFrame) -> DataFrame:
-    return ends.select("order_id", F.explode(F.array_distinct(F.array("first", "last"))).alias("at"), "category")
-
-
 def _after(sequence: str, value: str) -> Column:
     """The part of ``sequence`` behind the first occurrence of ``value``."""
     return F.slice(F.col(sequence), (F.array_position(sequence, F.col(value)) + 1).cast("int"), F.size(sequence))
@@ -108,14 +123,16 @@ def category_pairs(orders: DataFrame, products: DataFrame, k: int = 10, unordere
 
     Pairs follow product id, not name, so (A, B) and (B, A) both occur, as in the source; ``unordered`` merges them.
     """
-    sequences = _sequences(_end_points(_ends(orders, products)))
-    return _top(_combinations(sequences, 2, unordered), 2, k)
+    points = _per_order(orders, products).select(_end_points().alias("points"))
+    return _top(_combinations(_sequences(points), 2, unordered), 2, k)
 
 
 def category_triples(orders: DataFrame, products: DataFrame, k: int = 10, unordered: bool = False) -> DataFrame:
     """The ``k`` triples of different categories found in most orders, in product id order unless ``unordered``."""
-    ends = _ends(orders, products)
-    points = _end_points(ends)
+    per_order = _per_order(orders, products)
+    points = _end_points()
     if not unordered:
-        points = points.unionByName(_inner_products(orders, products, ends))
-    return _top(_combinations(_sequences(points), 3, unordered), 3, k)
+        per_order = per_order.join(_inner_points(orders, products, per_order), F.col("order_id") == F.col("_order"), "left")
+        points = F.when(F.col("inner").isNull(), points).otherwise(F.concat(points, "inner"))
+    sequences = _sequences(per_order.select(points.alias("points")))
+    return _top(_combinations(sequences, 3, unordered), 3, k)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.columns import is_instore, line_amount, parse_bill_date, same_text
 from shelfwise.operators.grouping import first_per_key, total_order
 from shelfwise.operators.ranking import numbered_surplus
-from shelfwise.sources.storage import write_once
+from shelfwise.sources.storage import fingerprint, write_once
 from shelfwise.tables import RetailTables
 
 # Period kept, bad and replacement category, payment types with their summary columns.
@@ -67,6 +67,11 @@ def fix_category(products: DataFrame, bad: str = BAD_CATEGORY, new: str = GOOD_C
     return products.withColumn("category", F.when(same_text(category, bad), new).otherwise(category))
 
 
+def fix_category_preview(products: DataFrame, bad: str = BAD_CATEGORY, new: str = GOOD_CATEGORY) -> DataFrame:
+    """Products with the placeholder category and what they would get."""
+    return products.filter(same_text(F.col("category"), bad)).withColumn("new_category", F.lit(new))
+
+
 def pivot_payments(payments: DataFrame) -> DataFrame:
     """Payments per order in one column per known type, plus the total (which includes unknown types)."""
     columns = [
@@ -87,9 +92,9 @@ def add_line_amount(orders: DataFrame) -> DataFrame:
 
 
 def audit_amounts(orders: DataFrame, payment_summary: DataFrame, tolerance: float = 1) -> DataFrame:
-    """Orders whose raw total differs from what was paid by more than ``tolerance``."""
-    sums = orders.groupBy("order_id").agg(F.sum("total_amount").cast("decimal(10,2)").alias("sum_ta"))
-    paid = payment_summary.select("order_id", F.col("Total_Amount").cast("decimal(10,2)").alias("pd_amt"))
+    """Orders whose raw total differs from what was paid by more than ``tolerance``, both rounded to two places."""
+    sums = orders.groupBy("order_id").agg(F.sum("total_amount").cast("decimal(28,2)").alias("sum_ta"))
+    paid = payment_summary.select("order_id", F.col("Total_Amount").cast("decimal(28,2)").alias("pd_amt"))
     return (
         sums.join(paid, "order_id").withColumn("diff", F.abs(F.col("pd_amt") - F.col("sum_ta"))).filter(F.col("diff") > tolerance)
     )
@@ -306,16 +311,16 @@ def clean_all(tables: RetailTables, start: str = PERIOD[0], end: str = PERIOD[1]
     )
 
 
-_REPAIRED: dict[tuple[str, str, str, str], RetailTables] = {}
+_REPAIRED: dict[tuple[str, ...], RetailTables] = {}
 
 
-def repaired_once(name: str, tables: RetailTables, start: str, end: str) -> RetailTables:
-    """Repair ``tables`` and write the results once per application and ``name``; later calls reuse the written tables.
+def repaired_once(tables: RetailTables, start: str, end: str) -> RetailTables:
+    """Repair ``tables`` and write the results once; later calls on the same tables, files unchanged, reuse them.
 
     Tables no repair touches are passed on as they are. Lines are written clustered by order, so a later group-by on the
-    order collapses almost completely before its shuffle.
+    order collapses almost completely before its shuffle. Runs its jobs when called.
     """
-    key = (tables.orders.sparkSession.sparkContext.applicationId, name, start, end)
+    key = (start, end, *(f"{table} {fingerprint(df)}" for table, df in sorted(tables.present().items())))
     if key not in _REPAIRED:
         clean = clean_all(tables, start, end)
         result = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import is_weekend, line_profit, number, percent2, ratio2
@@ -138,39 +138,39 @@ def _customer_totals(orders: DataFrame, *extra: Column) -> DataFrame:
 
 def buyer_types(orders: DataFrame, integer_averages: bool = False) -> DataFrame:
     """One-time against repeat buyers. ``avg_order_value`` is a mean of each customer's mean line amount."""
-    total = orders.agg(F.sum("total_amount")).scalar()
-    mean_line = F.sum("total_amount").cast("double") / F.count("total_amount")
+    # The means are rounded to decimals before they are summed: the sum does not depend on the order of its inputs.
+    mean_line = (F.sum("total_amount").cast("double") / F.count("total_amount")).cast("decimal(28,6)")
     kind = F.when(F.col("orders") == 1, "One-time Buyer").otherwise("Repeat Buyer")
+    total = F.sum("_sales").over(Window.partitionBy())  # of the two rows
     return (
         _customer_totals(orders, mean_line.alias("mean_line"))
         .groupBy(kind.alias("buyer_type"))
         .agg(
+            F.sum("sales").alias("_sales"),
             F.count("customer_id").alias("num_customers"),
             F.sum("orders").alias("total_orders"),
             F.sum("quantity").alias("total_quantity"),
             number(F.sum("sales")).alias("total_sales"),
             ratio2(F.sum("sales"), F.count("sales")).alias("avg_sales_per_customer"),
-            F.round(F.avg("mean_line"), 2).alias("avg_order_value"),
+            ratio2(F.sum("mean_line"), F.count("mean_line")).alias("avg_order_value"),
             ratio2(F.sum("orders"), F.count("*"), integer_averages).alias("avg_orders_per_customer"),
-            percent2(F.sum("sales"), total).alias("contribution_to_total_sales_percent"),
         )
+        .withColumn("contribution_to_total_sales_percent", percent2(F.col("_sales"), total))
+        .drop("_sales")
     )
 
 
 def discount_seekers(orders: DataFrame) -> DataFrame:
     """Customers who ever got a discount against the others. The discount share counts positive totals only."""
-    totals = orders.agg(F.sum("total_amount")).scalar()
-    given = (
-        orders.groupBy("customer_id")
-        .agg(F.sum("discount").alias("d"))
-        .agg(F.sum(F.when(F.col("d") > 0, F.col("d"))))
-        .scalar()
-    )
     kind = F.when(F.col("discount") > 0, "Discount Seeker").otherwise("Non-Discount Seeker")
+    both = Window.partitionBy()  # the two rows
+    seekers = F.sum(F.when(F.col("customer_type") == "Discount Seeker", F.col("_discount"))).over(both)
     return (
         _customer_totals(orders, F.sum("discount").alias("discount"))
         .groupBy(kind.alias("customer_type"))
         .agg(
+            F.sum("sales").alias("_sales"),
+            F.sum("discount").alias("_discount"),
             F.count("customer_id").alias("num_customers"),
             F.sum("orders").alias("total_orders"),
             F.sum("quantity").alias("total_quantity"),
@@ -178,50 +178,85 @@ def discount_seekers(orders: DataFrame) -> DataFrame:
             number(F.sum("discount")).alias("total_discount_given"),
             ratio2(F.sum("sales"), F.count("sales")).alias("avg_sales_per_customer"),
             ratio2(F.sum("discount"), F.count("discount")).alias("avg_discount_per_customer"),
-            percent2(F.sum("sales"), totals).alias("contribution_to_total_sales_percent"),
-            percent2(F.sum("discount"), given).alias("share_of_total_discount_percent"),
         )
+        .withColumn("contribution_to_total_sales_percent", percent2(F.col("_sales"), F.sum("_sales").over(both)))
+        .withColumn("share_of_total_discount_percent", percent2(F.col("_discount"), seekers))
+        .drop("_sales", "_discount")
     )
 
 
 def customer_preferences(orders: DataFrame, payments: DataFrame, products: DataFrame) -> DataFrame:
     """Most frequent channel, payment type, store and category per customer, and the discount habit.
 
-    Frequencies count lines; for payments, lines times payment rows of the order. Ties go to the smallest value.
+    Frequencies count lines; for payments, lines times payment rows of the order. Channels and payment types are spelled
+    in any case. Ties go to the smallest value.
     """
     lines = orders.groupBy("customer_id", "order_id").agg(F.count("*").alias("lines"))
     paid = payments.groupBy("order_id", "payment_type").agg(F.count("*").alias("rows"))
-    by_channel = (
-        orders.groupBy("customer_id", "channel")
-        .agg(F.count("*").alias("n"))
-        .groupBy("customer_id", F.lower("channel").alias("_channel"))
-        .agg(F.sum("n").alias("n"), F.min("channel").alias("channel"))
-    )
-    by_payment = lines.join(paid, "order_id").select(
-        "customer_id", "payment_type", (F.col("lines") * F.col("rows")).alias("n")
-    )
-    by_store = orders.groupBy("customer_id", "delivered_storeid").agg(F.count("*").alias("n"))
-    by_category = (
-        orders.groupBy("customer_id", "product_id")
-        .agg(F.count("*").alias("n"))
-        .join(products, "product_id")
-        .select("customer_id", "category", "n")
+    by_payment = (
+        lines.join(paid, "order_id")
+        .groupBy("customer_id", F.lower("payment_type").alias("_kind"))
+        .agg(F.sum(F.col("lines") * F.col("rows")).alias("n"), F.min("payment_type").alias("payment_type"))
     )
     habit = F.when(F.sum("discount") > 0, "Discount Lover").otherwise("Non-Discount Buyer")
-    result = orders.groupBy("customer_id").agg(
+    habits = orders.groupBy("customer_id").agg(
         ratio2(F.sum("discount"), F.count("discount")).alias("avg_discount_used"), habit.alias("discount_preference")
     )
-    preferred = {
-        "preferred_channel": (by_channel, "channel"),
-        "preferred_payment_method": (by_payment, "payment_type"),
-        "preferred_store": (by_store, "delivered_storeid"),
-        "preferred_category": (by_category, "category"),
-    }
-    for alias, (counts, value) in preferred.items():
-        result = result.join(mode_per_key(counts, "customer_id", value, "n", alias), "customer_id", "left")
+    result = (
+        habits.join(_usual_choices(orders, products), "customer_id", "left")
+        .join(mode_per_key(by_payment, "customer_id", "payment_type", "n", "preferred_payment_method"), "customer_id", "left")
+    )
     known = F.col("customer_id").isNotNull()  # a missing customer never matches in the source's joins
     return result.select(
-        "customer_id", *preferred, *[F.when(known, F.col(c)).alias(c) for c in ("avg_discount_used", "discount_preference")]
+        "customer_id",
+        "preferred_channel",
+        "preferred_payment_method",
+        "preferred_store",
+        "preferred_category",
+        *[F.when(known, F.col(c)).alias(c) for c in ("avg_discount_used", "discount_preference")],
+    )
+
+
+def _usual_choices(orders: DataFrame, products: DataFrame) -> DataFrame:
+    """Most frequent channel, store and category per customer from one pass over the lines.
+
+    Lines are counted per combination first; each count then stands for its channel, its store and its category.
+    """
+    named = products.select(F.col("product_id").alias("_product"), "category")
+    counts = (
+        orders.groupBy("customer_id", "channel", "delivered_storeid", "product_id")
+        .agg(F.count("*").alias("n"))
+        .join(named, F.col("product_id") == F.col("_product"), "left")
+    )
+    none = F.lit(None)
+
+    def entry(what: str, group: Column, text: Column, number_: Column) -> Column:
+        return F.struct(
+            F.lit(what).alias("what"),
+            group.cast("string").alias("group"),
+            text.cast("string").alias("text"),
+            number_.cast("bigint").alias("id"),
+        )
+
+    entries = [
+        entry("channel", F.lower("channel"), F.col("channel"), none),
+        entry("store", F.col("delivered_storeid"), none, F.col("delivered_storeid")),
+        entry("category", F.col("category"), F.col("category"), none),
+    ]
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("id"), F.col("text")))
+    chosen = (
+        counts.withColumn("e", F.explode(F.array(*entries)))
+        .filter("e.what <> 'category' or _product is not null")
+        .groupBy("customer_id", "e.what", "e.group")
+        .agg(F.sum("n").alias("n"), F.min("e.text").alias("text"), F.min("e.id").alias("id"))
+        .groupBy("customer_id", "what")
+        .agg(best.alias("best"))
+    )
+    pick = lambda what, field: F.max(F.when(F.col("what") == what, F.col("best")[field]))
+    return chosen.groupBy("customer_id").agg(
+        pick("channel", "text").alias("preferred_channel"),
+        pick("store", "id").alias("preferred_store"),
+        pick("category", "text").alias("preferred_category"),
     )
 
 

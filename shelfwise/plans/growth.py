@@ -56,7 +56,8 @@ def cohorts(orders: DataFrame, integer_averages: bool = False) -> DataFrame:
     """Customers grouped by first month: size, how many came back in a later month, when, and with what revenue.
 
     Sums over no rows are NULL (a cohort nobody returned from), as in the source. The mean months to repeat is over
-    (customer, later month) pairs. One shuffle by customer serves the aggregate, the window and the per-customer sums.
+    (customer, later month) pairs. Lines shrink to one row per customer and month in two steps, as orders are counted once;
+    one more exchange by customer then serves the window and the per-customer sums, and one gathers the cohorts.
     """
     stamp = F.col("correct_date")
     monthly = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import parse_bill_date, same_text
@@ -31,13 +31,20 @@ def _long(counts: DataFrame, table: str, rule: str, columns: list[str]) -> DataF
     return counts.select(F.lit(table).alias("table"), F.lit(rule).alias("rule"), F.inline(entries))
 
 
-def _count(df: DataFrame, condition: Column, table: str, rule: str, column: str) -> DataFrame:
-    return _long(df.agg(F.count_if(condition).alias(column)), table, rule, [column])
-
-
-def missing_values(df: DataFrame, table: str) -> DataFrame:
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-    return _long(counts, table, "missing", df.columns)
+def row_rules(df: DataFrame, table: str) -> DataFrame:
+    """Rules that look at one row at a time, all in one pass: missing values, unreadable dates, placeholders."""
+    rules = [("missing", c, F.col(c).isNull()) for c in df.columns]
+    if table == "orders":
+        text = F.col("bill_date_timestamp")
+        rules.append(("unreadable", "bill_date_timestamp", text.isNotNull() & parse_bill_date(text).isNull()))
+    if table == "products":
+        rules.append(("placeholder", "category", same_text(F.col("category"), BAD_CATEGORY)))
+    counts = df.agg(*[F.count_if(condition).alias(f"n_{i}") for i, (_, _, condition) in enumerate(rules)])
+    entries = [
+        F.struct(F.lit(rule).alias("rule"), F.lit(column).alias("column"), F.col(f"n_{i}").alias("rows"))
+        for i, (rule, column, _) in enumerate(rules)
+    ]
+    return counts.select(F.lit(table).alias("table"), F.inline(F.array(*entries)))
 
 
 def duplicate_keys(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
@@ -60,16 +67,9 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
 def quality_profile(tables: RetailTables) -> DataFrame:
     """Missing values, duplicate keys, unreadable dates, placeholder categories and orphan ids of the raw tables."""
     frames = tables.present()
-    text = F.col("bill_date_timestamp")
-    parts = [missing_values(df, name) for name, df in frames.items()]
+    parts = [row_rules(df, name) for name, df in frames.items()]
     parts += [duplicate_keys(frames[name], name, keys) for name, keys in UNIQUE_KEYS.items()]
     parts += [orphans(frames[t], c, frames[p], pc, t) for t, c, p, pc in REFERENCES]
-    parts.append(
-        _count(
-            tables.orders, text.isNotNull() & parse_bill_date(text).isNull(), "orders", "unreadable", "bill_date_timestamp"
-        )
-    )
-    parts.append(_count(tables.products, same_text(F.col("category"), BAD_CATEGORY), "products", "placeholder", "category"))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

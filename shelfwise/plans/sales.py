@@ -1,7 +1,7 @@
 """Sales by time, product, store, region and payment type.
 
-Lines are aggregated by their own ids first; names from products and stores are joined to those much smaller results, so
-a best-selling product or store does not skew a join. Unknown ids keep their sales under NULL names.
+Lines are aggregated by their own ids first; names from products and stores are joined to those smaller results, so a
+best-selling product or store does not skew a join. Unknown ids keep their sales under NULL names.
 """
 
 from __future__ import annotations
@@ -28,34 +28,38 @@ def sales_trend(
     """Raw sales by month, category, region, store, channel and payment type.
 
     An order's sales count once per payment row, as in the source; ``share_weighted`` splits them by payment value
-    instead, so that they add up to the true total. Payment rows are counted per order and type before the join, and the
-    counts multiply the sums: the same numbers without repeating lines.
+    instead, each part rounded to a millionth, so that they add up to the true total but for that rounding. Payment rows
+    are counted per order and type before the join, and the counts multiply the sums: the same numbers without repeating
+    lines. Lines move once, by order; products and stores are named on the aggregated result.
     """
-    lines = (
-        orders.join(products, "product_id", "left")
-        .groupBy(
-            "order_id", month_of("correct_date").alias("month"), "category", "delivered_storeid", "channel"
-        )
-        .agg(F.sum("total_amount").alias("sales"), F.sum("quantity").alias("quantity"))
-    )
+    lines = orders.groupBy(
+        "order_id", month_of("correct_date").alias("month"), "product_id", "delivered_storeid", "channel"
+    ).agg(F.sum("total_amount").alias("sales"), F.sum("quantity").alias("quantity"))
     paid = payments.groupBy("order_id", "payment_type").agg(
         F.count("*").alias("rows"), F.sum("payment_value").alias("value")
     )
     if share_weighted:
         whole = payments.groupBy("order_id").agg(F.sum("payment_value").alias("whole"), F.count("*").alias("all_rows"))
-        by_value = F.try_divide(F.col("value"), F.col("whole"))
-        paid = paid.join(whole, "order_id").withColumn("weight", F.coalesce(by_value, F.col("rows") / F.col("all_rows")))
+        by_value = F.try_divide(F.col("value").cast("double"), F.col("whole").cast("double"))
+        weight = F.coalesce(by_value, F.col("rows") / F.col("all_rows"))
+        paid = paid.join(whole, "order_id").withColumn("weight", weight)
     else:
         paid = paid.withColumn("weight", F.col("rows"))
-    weight = F.coalesce("weight", F.lit(1))
+
+    def weighted(column: str) -> Column:
+        if share_weighted:  # a rounded decimal, so that the sum does not depend on the order of its inputs
+            return (F.col(column).cast("double") * F.coalesce("weight", F.lit(1.0))).cast("decimal(28,6)")
+        return F.col(column) * F.coalesce("weight", F.lit(1))
+
     grouped = (
         lines.join(paid, "order_id", "left")
-        .groupBy("month", "category", "delivered_storeid", "channel", "payment_type")
-        .agg(F.sum(F.col("sales") * weight).alias("sales"), F.sum(F.col("quantity") * weight).alias("quantity"))
+        .groupBy("month", "product_id", "delivered_storeid", "channel", "payment_type")
+        .agg(F.sum(weighted("sales")).alias("sales"), F.sum(weighted("quantity")).alias("quantity"))
     )
     quantity = F.sum("quantity")
     return (
-        grouped.join(stores.select("storeid", "region"), F.col("delivered_storeid") == F.col("storeid"), "left")
+        grouped.join(products, "product_id", "left")
+        .join(stores.select("storeid", "region"), F.col("delivered_storeid") == F.col("storeid"), "left")
         .groupBy(
             F.col("month").alias("Month"),
             F.col("category").alias("Product_Category"),
@@ -78,8 +82,8 @@ def popular_products(orders: DataFrame, products: DataFrame, stores: DataFrame)
     """Products ranked by quantity within their store (region, state, store).
 
     The rank is one plus the number of products with a larger quantity, taken from a histogram of quantities per store:
-    the window sees one row per distinct quantity, not per product. The rank column keeps its source name although it
-    ranks products.
+    the window sees one row per distinct quantity, not per product, also for the NULL place that all unknown stores share.
+    The rank column keeps its source name although it ranks products.
     """
     sold = write_once(
         orders.groupBy("product_id", "delivered_storeid")
@@ -137,6 +141,67 @@ def sold_products(orders: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
+def _best_and_worst(rows: DataFrame, k: int, tie: list[str]) -> DataFrame:
+    """The ``k`` rows with most and with least ``sales``, marked so in ``Category``."""
+    worst = rows.orderBy(F.col("sales").asc(), *tie).limit(k).withColumn("Category", F.lit(f"Bottom {k}"))
+    best = rows.orderBy(F.col("sales").desc(), *tie).limit(k).withColumn("Category", F.lit(f"Top {k}"))
+    return worst.unionByName(best)
+
+
+def top_bottom_products(orders: DataFrame, products: DataFrame, k: int = 10) -> DataFrame:
+    """README-derived: the ``k`` best and ``k`` worst products by raw sales, ties by id; a missing total is the worst."""
+    per_product = orders.groupBy("product_id").agg(F.sum("total_amount").alias("sales"), F.sum("quantity").alias("quantity"))
+    return (
+        _best_and_worst(per_product, k, ["product_id"])
+        .join(products.withColumnRenamed("category", "product_category"), "product_id", "left")
+        .select(
+            "Category",
+            F.col("product_id").alias("Product_ID"),
+            F.col("product_category").alias("Product_Category"),
+            F.col("quantity").alias("Total_Quantity"),
+            number(F.col("sales")).alias("Total_Sales"),
+        )
+    )
+
+
+def store_category_performance(orders: DataFrame, products: DataFrame, stores: DataFrame) -> DataFrame:
+    """README-derived: orders, quantity, sales and profit per store and category, with the share of the store's sales.
+
+    Lines are summed per (store, product) and orders counted per (store, category) on distinct pairs. Unknown stores
+    form one NULL store, unknown products a NULL category.
+    """
+    known = F.col("storeid")
+    per_product = orders.groupBy("delivered_storeid", "product_id").agg(
+        F.sum("quantity").alias("quantity"), F.sum("new_total_amount").alias("sales"), F.sum(line_profit()).alias("profit")
+    )
+    place = stores.select("storeid")
+    sums = (
+        per_product.join(products, "product_id", "left")
+        .join(place, F.col("delivered_storeid") == known, "left")
+        .groupBy("storeid", "category")
+        .agg(*[F.sum(c).alias(c) for c in ("quantity", "sales", "profit")])
+    )
+    counted = (
+        orders.select("delivered_storeid", "product_id", "order_id")
+        .distinct()
+        .join(products, "product_id", "left")
+        .join(place, F.col("delivered_storeid") == known, "left")
+        .groupBy(known.alias("_store"), F.col("category").alias("_category"))
+        .agg(F.countDistinct("order_id").alias("orders"))
+    )
+    same = known.eqNullSafe(F.col("_store")) & F.col("category").eqNullSafe(F.col("_category"))
+    whole = F.sum("sales").over(Window.partitionBy("storeid"))
+    return sums.join(counted, same).select(
+        F.col("storeid").alias("StoreID"),
+        F.col("category").alias("Product_Category"),
+        F.col("orders").alias("Orders"),
+        F.col("quantity").alias("Total_Quantity"),
+        number(F.col("sales")).alias("Total_Sales"),
+        number(F.col("profit")).alias("Total_Profit"),
+        percent2(F.col("sales"), whole).alias("Sales_Percentage_of_Store"),
+    )
+
+
 def top_bottom_stores(orders: DataFrame, stores: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` best and ``k`` worst stores by raw sales. Unknown stores form one row; a missing total is the worst."""
     per_store = (
@@ -146,9 +211,7 @@ def top_bottom_stores(orders: DataFrame, stores: DataFrame, k: int = 10) -> Data
         .agg(F.sum("sales").alias("sales"))
     )
     tie = ["storeid", "seller_city", "seller_state", "region"]
-    worst = per_store.orderBy(F.col("sales").asc(), *tie).limit(k).withColumn("Category", F.lit("Bottom 10"))
-    best = per_store.orderBy(F.col("sales").desc(), *tie).limit(k).withColumn("Category", F.lit("Top 10"))
-    return worst.unionByName(best).select(
+    return _best_and_worst(per_store, k, tie).select(
         "Category",
         F.col("storeid").alias("StoreID"),
         "seller_city",
@@ -240,10 +303,12 @@ def region_share(orders: DataFrame, stores: DataFrame, by: str = "region") -> Da
 
 
 def payment_mix(payments: DataFrame) -> DataFrame:
-    """README-derived: orders and value per payment type with the type's share of the value."""
+    """README-derived: orders and value per payment type (spelled in any case) with the type's share of the value."""
     total = payments.agg(F.sum("payment_value")).scalar()
-    grouped = payments.groupBy("payment_type").agg(
-        F.countDistinct("order_id").alias("orders"), F.sum("payment_value").alias("v")
+    grouped = payments.groupBy(F.lower("payment_type").alias("_kind")).agg(
+        F.min("payment_type").alias("payment_type"),
+        F.countDistinct("order_id").alias("orders"),
+        F.sum("payment_value").alias("v"),
     )
     return grouped.select(
         "payment_type", "orders", number(F.col("v")).alias("value"), percent2(F.col("v"), total).alias("value_pct")

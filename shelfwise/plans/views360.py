@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import is_weekend, line_cost, line_profit, number, percent2, safe_divide
+from shelfwise.operators.grouping import first_per_key, total_order
 from shelfwise.operators.ranking import add_ntiles, exact_percentile
 from shelfwise.sources.storage import write_once
 
@@ -97,7 +98,8 @@ def store360(orders: DataFrame, products: DataFrame, stores: DataFrame, review_s
             F.count("order_id").alias("visits"),
             F.count_if("priced").alias("priced_visits"),
             F.count_if("costed").alias("costed_visits"),
-            F.avg("average_score").alias("rating"),
+            # A mean of decimals: it does not depend on the order of its inputs.
+            safe_divide(F.sum(F.col("average_score").cast("decimal(20,10)")), F.count("average_score")).alias("rating"),
         )
     )
     assortment = (
@@ -158,7 +160,10 @@ def _order_sums(orders: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def orders360(orders: DataFrame, products: DataFrame) -> DataFrame:
-    """One row per order with sums, profit flags, weekend flag and part of the day (evening ends at 21 here)."""
+    """One row per order with sums, profit flags, weekend flag and part of the day (evening ends at 21 here).
+
+    Runs jobs when called: the sums are written before the percentile is looked for.
+    """
     base = write_once(_order_sums(orders, products), "orders360")
     high = exact_percentile(base, "profit", "order_id", HIGH_PROFIT)
     weekday = F.dayofweek("last")
@@ -249,8 +254,8 @@ def _buyer_orders(
     return rated, joined.withColumn("copies", F.coalesce("copies", F.lit(1)))
 
 
-def _buyer_totals(buyer_orders: DataFrame, latest: Column) -> DataFrame:
-    """Per customer sums, repeated per review where the source does so."""
+def _buyer_totals(buyer_orders: DataFrame, latest: Column, extra: list[Column]) -> DataFrame:
+    """Per customer sums, repeated per review where the source does so, and the ``extra`` ones in the same pass."""
     copies = F.col("copies")
     flags = _payment_flags()
     kinds = {k: F.coalesce(v, F.lit(False)) for k, v in flags.items()}
@@ -276,19 +281,20 @@ def _buyer_totals(buyer_orders: DataFrame, latest: Column) -> DataFrame:
         *[
             F.sum(F.when(v, F.col("lines") * copies).otherwise(0)).alias(f"paid_{k}") for k, v in kinds.items()
         ],
+        *extra,
     )
 
 
-def _purchase_sums(buyer_orders: DataFrame) -> DataFrame:
+def _purchase_sums() -> list[Column]:
     """The "first purchase" figures, which in the source cover all purchases and repeat per review."""
     copies = F.col("copies")
-    return buyer_orders.groupBy(F.col("customer_id").alias("buyer")).agg(
+    return [
         F.sum(F.col("qty") * copies).alias("First_Purchase_Qty"),
         F.sum(F.col("amount") * copies).alias("first_amount"),
         safe_divide(F.sum(F.col("lines") * F.col("score_sum")), F.sum(F.col("lines") * F.col("scored"))).alias(
             "Average_Satisfaction_Score"
         ),
-    )
+    ]
 
 
 def _first_lines(orders: DataFrame) -> DataFrame:
@@ -332,25 +338,25 @@ def customer360(
     reviews: DataFrame,
     dedupe_reviews: bool = False,
     first_purchase_only: bool = False,
+    percentile_segments: bool = False,
 ) -> DataFrame:
     """One row per customer who bought something: activity, money, variety, payment habits, spend segment.
 
     Known oddities of the source are the default: joining raw reviews repeats lines (counts of discounted, loss-making
     and paid lines, top category, the First_Purchase_* sums), and the First_Purchase_* columns cover all purchases.
     ``dedupe_reviews`` counts every line once; ``first_purchase_only`` restricts those columns to lines with the
-    customer's first timestamp. The spend segment is NTILE(3) over all customers, buyers or not.
+    customer's first timestamp; for a buyer without any they are NULL. The spend segment is NTILE(3) over all customers,
+    buyers or not; with ``percentile_segments`` it follows from where the spend of buyers has its 1/3 and 2/3 percentiles
+    (equal spends then always share a segment). A customer listed twice counts once, with the first by the other columns.
 
-    Nothing is repeated physically: lines are summed per (customer, order), reviews and payments per order, and the
+    Runs jobs when called: the view is written before customers are put in order. Nothing is repeated physically: lines are summed per (customer, order), reviews and payments per order, and the
     products of the two give the repeated figures. All parts end up hashed by customer, so joining them is local.
     """
     latest = orders.agg(F.max("correct_date")).scalar()
     rated, buyer_orders = _buyer_orders(orders, payment_summary, reviews, dedupe_reviews)
-    totals = _buyer_totals(buyer_orders, latest)
+    totals = _buyer_totals(buyer_orders, latest, [] if first_purchase_only else _purchase_sums())
     kept = orders.filter(F.col("customer_id").isNotNull())
     first_lines = _first_lines(kept) if first_purchase_only else kept
-    first_orders = (
-        _buyer_orders(first_lines, payment_summary, reviews, dedupe_reviews)[1] if first_purchase_only else buyer_orders
-    )
     places = (
         kept.select(F.col("customer_id").alias("buyer"), "delivered_storeid")
         .distinct()
@@ -364,9 +370,10 @@ def customer360(
         _counts(kept, F.lower("channel"), "Channels_Used"),
         places,
         _categories(kept, products, rated),
-        _purchase_sums(first_orders),
     ]
     if first_purchase_only:
+        first_orders = _buyer_orders(first_lines, payment_summary, reviews, dedupe_reviews)[1]
+        parts.append(first_orders.groupBy(F.col("customer_id").alias("buyer")).agg(*_purchase_sums()))
         variety = _categories(first_lines, products, rated)
         parts += [
             _counts(first_lines, F.col("product_id"), "First_Purchase_Distinct_Items"),
@@ -377,13 +384,23 @@ def customer360(
         buyers = buyers.withColumn("First_Purchase_Distinct_Items", F.col("Distinct_Items_Purchased")).withColumn(
             "First_Purchase_Distinct_Categories", F.col("Distinct_Categories_Purchased")
         )
-    everyone = write_once(customers.join(buyers, F.col("custid") == F.col("buyer"), "left"), "customer360")
+    single = first_per_key(customers, ["custid"], total_order(customers, [], ["custid"]))
+    everyone = write_once(single.join(buyers, F.col("custid") == F.col("buyer"), "left"), "customer360")
     segment = F.element_at(F.array(*[F.lit(s) for s in SPEND_SEGMENTS]), F.col("tile"))
-    counted = ["Distinct_Categories_Purchased", "First_Purchase_Distinct_Categories"]
+    if percentile_segments:
+        parts = len(SPEND_SEGMENTS)
+        limits = [exact_percentile(everyone, "monetary", "custid", Fraction(k, parts)) for k in range(1, parts)]
+        tile = reduce(lambda a, b: a + b, [F.when(F.col("monetary") > F.lit(x), 1).otherwise(0) for x in limits], F.lit(1))
+        tiled = everyone.withColumn("tile", F.when(F.col("monetary").isNotNull(), tile))
+    else:
+        tiled = add_ntiles(everyone, "custid", len(SPEND_SEGMENTS), tile=("monetary", False))
+    first_categories = F.when(
+        F.col("First_Purchase_Qty").isNotNull(), F.coalesce("First_Purchase_Distinct_Categories", F.lit(0))
+    )
     return (
-        add_ntiles(everyone, "custid", len(SPEND_SEGMENTS), tile=("monetary", False))
-        .filter(F.col("First_Purchase_Qty").isNotNull())
-        .fillna(0, counted)
+        tiled.filter(F.col("Total_Quantity").isNotNull())
+        .fillna(0, ["Distinct_Categories_Purchased"])
+        .withColumn("First_Purchase_Distinct_Categories", first_categories)
         .select(
             "custid",
             "customer_city",

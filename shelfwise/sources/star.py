@@ -11,7 +11,7 @@ from shelfwise.tables import RetailTables
 PAYMENT_TYPES = ("Voucher", "UPI/Cash", "Credit_card", "Debit_card")
 DATE_FORMATS = ("MM/dd/yyyy HH:mm", "dd/MM/yyyy HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
 UNKNOWN_STORE_OFFSET = 100_000
-PROSPECT_OFFSET = 1_000_000_000
+PROSPECT_OFFSET, WALK_IN_OFFSET = 1_000_000_000, 2_000_000_000
 
 
 def _pick(index: Column, values: list[Column]) -> Column:
@@ -21,6 +21,25 @@ def _pick(index: Column, values: list[Column]) -> Column:
     return chosen
 
 
+def _spelled(kind: Column) -> Column:
+    """Some payment types in small, some in capital letters."""
+    spelling = F.col("l_orderkey") % 13
+    return F.when(spelling == 0, F.lower(kind)).when(spelling == 1, F.upper(kind)).otherwise(kind)
+
+
+def _bill_date(key: Column) -> Column:
+    """The four notations in turn; of some orders a text that is no date, or one that only looks like the four."""
+    iso, odd = F.date_format("billed", DATE_FORMATS[2]), key % 101
+    return (
+        F.when((odd == 0) | (F.col("o_custkey") % 499 == 7), "n/a")
+        .when(odd == 1, F.concat(F.date_format("billed", DATE_FORMATS[3]), F.lit("+02:00")))
+        .when(odd == 2, F.date_format("billed", "M/d/yyyy h:mm a"))
+        .when(odd == 3, F.concat(F.lit(" "), iso))
+        .when(odd == 4, F.concat(F.lit("1"), iso))
+        .otherwise(_pick(key % 4, [F.date_format("billed", f) for f in DATE_FORMATS]))
+    )
+
+
 def star_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -35,7 +54,7 @@ def star_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
         stores=_stores(table("supplier"), table("nation"), table("region")),
         payments=table("lineitem").select(
             F.col("l_orderkey").alias("order_id"),
-            _pick(F.col("l_partkey") % 4, [F.lit(t) for t in PAYMENT_TYPES]).alias("payment_type"),
+            _spelled(_pick(F.col("l_partkey") % 4, [F.lit(t) for t in PAYMENT_TYPES])).alias("payment_type"),
             (F.col("l_extendedprice").cast("decimal(18,2)") + F.when(F.col("l_orderkey") % 50 == 0, 5).otherwise(0))
             .cast("decimal(18,2)")
             .alias("payment_value"),
@@ -47,7 +66,8 @@ def star_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
 def _orders(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
     billed = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), ((key + line) % 24).cast("int"))
-    price = F.col("p_retailprice").cast("decimal(12,2)")
+    price, buyer = F.col("p_retailprice").cast("decimal(12,2)"), F.col("o_custkey")
+    discount = F.when(buyer % 37 == 5, 0).otherwise(F.col("l_discount")).cast("decimal(4,2)")
     channel = (
         F.when(F.col("o_orderstatus") == "O", "Online")
         .when(F.col("o_orderstatus") == "P", "Phone")
@@ -57,23 +77,22 @@ def _orders(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFram
     return (
         lineitem.join(orders, key == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .hint("rebalance", "l_orderkey")
         .withColumn("billed", billed)
         .select(
             key.alias("order_id"),
             line.alias("line_no"),
-            (F.col("o_custkey") + F.when((key % 97 == 0) & (line == 1), 1).otherwise(0)).alias("customer_id"),
-            F.col("l_partkey").alias("product_id"),
+            F.when(buyer % 43 == 6, key + WALK_IN_OFFSET)
+            .otherwise(buyer + F.when((key % 97 == 0) & (line == 1), 1).otherwise(0))
+            .alias("customer_id"),
+            F.when(buyer % 41 == 3, buyer % 7 + 1).otherwise(F.col("l_partkey")).alias("product_id"),
             F.when(F.col("l_suppkey") % 50 == 49, F.col("l_suppkey") + UNKNOWN_STORE_OFFSET)
             .otherwise(F.col("l_suppkey"))
             .alias("delivered_storeid"),
             channel.alias("channel"),
-            F.when(key % 101 == 0, "n/a")
-            .otherwise(_pick(key % 4, [F.date_format("billed", f) for f in DATE_FORMATS]))
-            .alias("bill_date_timestamp"),
+            _bill_date(key).alias("bill_date_timestamp"),
             F.col("l_quantity").cast("int").alias("quantity"),
             price.cast("decimal(18,4)").alias("mrp"),
-            (price * F.col("l_discount").cast("decimal(4,2)")).cast("decimal(18,4)").alias("discount"),
+            (price * discount).cast("decimal(18,4)").alias("discount"),
             (price * F.lit("0.95").cast("decimal(3,2)")).cast("decimal(18,4)").alias("cost_per_unit"),
             F.col("l_extendedprice").cast("decimal(18,2)").alias("total_amount"),
         )
@@ -81,15 +100,16 @@ def _orders(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFram
 
 
 def _customers(customer: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFrame:
-    """The customers, and one prospect per supplier who never bought anything."""
+    """The customers, one of them listed twice, and one prospect per supplier who never bought anything."""
     people = customer.select(F.col("c_custkey").alias("custid"), F.col("c_nationkey").alias("n_nationkey")).unionByName(
         supplier.select(
             (F.col("s_suppkey") + PROSPECT_OFFSET).alias("custid"), F.col("s_nationkey").alias("n_nationkey")
         )
     )
-    return people.join(nation, "n_nationkey").select(
+    twice = F.when(F.col("custid") == 11, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return people.join(nation, "n_nationkey").withColumn("copy", F.explode(twice)).select(
         "custid",
-        F.concat(F.lit("CITY_"), F.col("custid") % 60).alias("customer_city"),
+        F.concat(F.lit("CITY_"), F.col("custid") % 60 + F.col("copy")).alias("customer_city"),
         F.col("n_name").alias("customer_state"),
         F.when(F.col("custid") % 3 == 0, "M").otherwise("F").alias("gender"),
     )
@@ -115,5 +135,10 @@ def _reviews(orders: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
     first = F.when(key % 11 != 0, (key % 5 + 1).cast("int"))
     second = (key % 3 + 1).cast("int")
-    scores = F.when(key % 7 == 0, F.array(first, second)).otherwise(F.array(first))
+    third = (key % 4 + 2).cast("int")
+    scores = (
+        F.when(key % 77 == 0, F.array(first, second, third))
+        .when(key % 7 == 0, F.array(first, second))
+        .otherwise(F.array(first))
+    )
     return orders.select(key.alias("order_id"), F.explode(scores).alias("customer_satisfaction_score"))

@@ -1,5 +1,6 @@
 """Hand-made rows for the traps, and invariants over the smallest test data."""
 
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
@@ -147,11 +148,63 @@ def test_customer_view(tiny):
 
 def test_customer_view_corrected(tiny):
     got = customer_view(tiny, dedupe_reviews=True, first_purchase_only=True)
-    assert set(got) == {1, 3}  # customer 2 has no dated line, hence no first purchase
+    assert set(got) == {1, 2, 3}  # customer 2 has no dated line, hence no first purchase, and stays
+    assert [got[2][c] for c in got[2].asDict() if c.startswith("First_Purchase")] == [None] * 4
+    assert got[2].Total_Quantity == 1 and got[3].First_Purchase_Distinct_Categories == 0
     assert got[1].Transactions_with_Discount == 1 and got[1].First_Purchase_Qty == 3
     assert got[1].First_Purchase_Distinct_Items == 2 and got[1].Distinct_Items_Purchased == 3
 
 
+def test_customer_listed_twice_comes_out_once(tiny, make):
+    again = tiny.customers.unionByName(make.table("customers", [(1, "another city", "state9", "M")] * 3))
+    twice = customer_view(replace(tiny, customers=again))
+    once = customer_view(tiny)
+    assert {c: r.Customer_Segment for c, r in twice.items()} == {c: r.Customer_Segment for c, r in once.items()}
+    view = views360.customer360(again, tiny.orders, tiny.products, tiny.payment_summary, tiny.stores, tiny.reviews)
+    assert view.count() == 3
+
+
+def test_percentile_segments_keep_equal_spends_together(make, tiny):
+    lines = make.lines(*[{"order": i, "cust": i % 4 + 1, "amount": 10, "nta": 10} for i in range(4)])
+    view = views360.customer360(
+        tiny.customers, lines, tiny.products, tiny.payment_summary, tiny.stores, tiny.reviews, percentile_segments=True
+    )
+    assert {r.Customer_Segment for r in view.collect()} == {"Low"}
+
+
+def test_payment_types_in_any_spelling(make, tiny):
+    pay = make.table(
+        "payments",
+        [(1, "Voucher", Decimal(1)), (1, "voucher", Decimal(2)), (2, "VOUCHER", Decimal(3)), (2, "Debit_card", Decimal(4))],
+    )
+    assert rows(sales.payment_mix(pay)) == [("Debit_card", 1, 4.0, 40.0), ("VOUCHER", 2, 6.0, 60.0)]
+    cards = make.table(
+        "payments",
+        [(1, "Credit_card", Decimal(1)), (1, "credit_card", Decimal(1)), (1, "Debit_card", Decimal(1)), (1, "Debit_card", Decimal(1))],
+    )
+    got = {r.customer_id: r for r in customers.customer_preferences(tiny.orders, cards, tiny.products).collect()}
+    assert got[1].preferred_payment_method == "Credit_card"
+
+
+def test_labels_follow_k(tiny):
+    assert set(r.Category for r in sales.top_bottom_stores(tiny.orders, tiny.stores, k=2).collect()) == {"Top 2", "Bottom 2"}
+    best = sales.top_bottom_products(tiny.orders, tiny.products, k=1).collect()
+    assert sorted((r.Category, r.Product_ID) for r in best) == [("Bottom 1", 2), ("Top 1", 1)]
+
+
+def test_store_category_performance(tiny):
+    got = {(r.StoreID, r.Product_Category): r for r in sales.store_category_performance(tiny.orders, tiny.products, tiny.stores).collect()}
+    assert set(got) == {(1, "A"), (1, "B"), (None, None), (2, "A"), (2, None)}
+    assert got[1, "A"].Orders == 1 and got[1, "A"].Total_Sales == 18.0 and got[2, "A"].Sales_Percentage_of_Store == 50.0
+    assert got[1, "B"].Sales_Percentage_of_Store == 35.71
+
+
+def test_share_weighted_trend_adds_up(tiny):
+    trend = sales.sales_trend(tiny.orders, tiny.products, tiny.stores, tiny.payments, share_weighted=True)
+    total = tiny.orders.agg(F.sum("total_amount")).first()[0]
+    assert abs(trend.agg(F.sum("Total_Sales")).first()[0] - float(total)) < 1e-4
+
+
 def test_tied_debit_falls_to_upi(make, tiny):
     lines = make.lines({"order": 1, "cust": 1})
     pay = clean.pivot_payments(make.table("payments", [(1, "UPI/Cash", Decimal(1)), (1, "Debit_card", Decimal(1))]))
@@ -167,7 +220,7 @@ def test_few_stores_are_top_and_bottom(make, tiny):
         key=lambda r: tuple((v is not None, str(v)) for v in r),
     )
     worst = sales.top_bottom_stores(lines, tiny.stores, k=1)
-    assert rows(worst, "Category", "StoreID") == [("Bottom 10", 1), ("Top 10", None)]
+    assert rows(worst, "Category", "StoreID") == [("Bottom 1", 1), ("Top 1", None)]
 
 
 def test_sales_repeat_per_payment_unless_weighted(tiny):

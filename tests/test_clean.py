@@ -1,10 +1,16 @@
+from dataclasses import replace
 from decimal import Decimal
 
 from conftest import day, rows
 from pyspark.sql import functions as F
 
 from shelfwise.plans import clean
-from shelfwise.tables import RetailTables
+from shelfwise.plans.catalog import END, START
+from shelfwise.sources.star import star_tables
+from shelfwise.sources.storage import save_as_tables, scope, write_once
+from shelfwise.tables import SQL_NAMES, RetailTables
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_bill_dates(make):
@@ -14,6 +20,15 @@ def test_bill_dates(make):
         "13/02/2022 10:15": "2022-02-13 10:15:00",
         "2022-02-13 10:15:00": "2022-02-13 10:15:00",
         "2022-02-13T10:15:00": "2022-02-13 10:15:00",
+        "9/5/2021 1:30 PM": "2021-09-05 13:30:00",
+        "13/9/2021 12:05 am": "2021-09-13 00:05:00",
+        " 2022-02-13 10:15:00 ": "2022-02-13 10:15:00",
+        "2021-09-05T10:00:00+02:00": None,
+        "2021-09-05T10:00:00Z": None,
+        "12021-09-05": None,
+        "2021-9-5": None,
+        "9/5/2021 13:30 PM": None,
+        "2021-09-05 10:00:00 x": None,
         "02/30/2022": None,
         "31/31/2022": None,
         "1/2/20225": None,
@@ -43,6 +58,13 @@ def test_stores_and_categories(make):
     assert rows(clean.fix_category(products)) == [(1, "Others"), (2, "x #N/A"), (3, None), (4, "Others")]
 
 
+def test_category_preview_and_count(make):
+    products = make.table("products", [(1, "#N/A"), (2, "x #N/A"), (3, None), (4, "#n/a")])
+    preview = clean.fix_category_preview(products)
+    assert rows(preview) == [(1, "#N/A", "Others"), (4, "#n/a", "Others")]
+    assert clean.changed_rows(preview).first()[0] == 2
+
+
 def test_payment_pivot(make):
     pay = make.table(
         "payments",
@@ -54,6 +76,47 @@ def test_payment_pivot(make):
     assert got[3] == (0, 2, 0, 0, 2)
 
 
+def test_audit_of_a_huge_order(make):
+    lines = make.lines({"order": 1, "amount": 10**9})
+    pay = make.table("payments", [(1, "Voucher", Decimal(1))])
+    assert rows(clean.audit_amounts(lines, clean.pivot_payments(pay)), "diff") == [(Decimal("999999999.00"),)]
+
+
+def test_repair_follows_its_tables(spark, tmp_path):
+    """A part of the tables, or files rewritten in place, are repaired anew; the same tables are not."""
+    raw = star_tables(spark, SMALL)
+    half = replace(raw, orders=raw.orders.filter("order_id % 2 = 0"))
+    whole = clean.repaired_once(raw, START, END).orders
+    assert clean.repaired_once(raw, START, END).orders is whole
+    assert clean.repaired_once(half, START, END).orders.count() < whole.count()
+    path = str(tmp_path / "orders")
+    raw.orders.limit(100).write.parquet(path)
+    first = clean.repaired_once(replace(raw, orders=spark.read.parquet(path)), START, END).orders.count()
+    raw.orders.limit(1).write.mode("overwrite").parquet(path)
+    assert clean.repaired_once(replace(raw, orders=spark.read.parquet(path)), START, END).orders.count() <= 1 < first
+
+
+def test_scope_deletes_what_is_written_in_it(spark):
+    with scope(spark) as folder:
+        written = write_once(spark.range(10).toDF("order_id"), "scoped")
+        assert written.count() == 10 and written.inputFiles()[0].startswith(folder.replace("file:///", "file:///"))
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        assert system.exists(path)
+    assert not system.exists(path)
+
+
+def test_tables_in_the_catalog(spark, make):
+    tables = RetailTables(
+        orders=make.lines({"order": 1}), customers=make.table("customers", []), products=make.table("products", [(1, "A")]),
+        stores=make.table("stores", []), payments=make.table("payments", []), reviews=make.table("reviews", []),
+    )
+    save_as_tables(tables, mode="overwrite")
+    assert spark.table(f"default.{SQL_NAMES['products']}").count() == 1
+    for name in tables.present():
+        spark.sql(f"drop table default.{SQL_NAMES[name]}")
+
+
 def test_audit_is_strict(make, spark):
     lines = make.lines({"order": 1, "amount": 10}, {"order": 2, "amount": 10}, {"order": 3, "amount": 10})
     pay = make.table("payments", [(1, "Voucher", Decimal(11)), (2, "Voucher", Decimal("11.01")), (4, "Voucher", Decimal(1))])

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.plans import basket, catalog, clean, growth, views360
-from shelfwise.sources.storage import shared_dir
+from shelfwise.sources import storage
+from shelfwise.sources.storage import shared_dir, write_once
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -20,9 +21,26 @@ def tables(spark):
     return catalog.repaired(spark, SMALL)
 
 
-def test_every_query_stays_in_the_engine_and_distributed(spark):
+@pytest.fixture(scope="module")
+def plans(spark):
+    """The plan of every query and of every frame written for it, nothing being reused from earlier queries."""
+    found = {}
+    for cache in (catalog._IMPORTED, catalog._STEPS, clean._REPAIRED):
+        cache.clear()
     for name, query in catalog.all_queries().items():
-        text = plan(query(spark, SMALL))
+        seen = []
+        storage.OBSERVERS.append(lambda label, df: seen.append((label, plan(df))))
+        try:
+            seen.append(("result", plan(query(spark, SMALL))))
+        finally:
+            storage.OBSERVERS.pop()
+        found |= {f"{name}/{i}-{label}": text for i, (label, text) in enumerate(seen)}
+    return found
+
+
+def test_every_query_stays_in_the_engine_and_distributed(plans):
+    assert len(plans) > len(catalog.all_queries()) + 10
+    for name, text in plans.items():
         assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|Python|ArrowEval|MapInPandas", text), name
         # A single partition may only hold what a global aggregate or a top-k has already reduced.
         for match in re.finditer(r"Exchange SinglePartition.*\n(.*)", text):
@@ -30,6 +48,20 @@ def test_every_query_stays_in_the_engine_and_distributed(spark):
             assert re.search(r"HashAggregate|SortAggregate|ObjectHashAggregate|Limit", below), (name, below)
 
 
+#: Scans of the repaired lines that a query may make.
+MOST_FACT_SCANS = {
+    "b4_buyer_types": 1, "b5_discount_seekers": 1, "b6_customer_preferences": 3, "h1_cohorts": 1, "l1_sales_trend": 1,
+    "x1_category_pairs": 2, "l7_store_category_performance": 2,
+}
+
+
+def test_lines_are_not_read_too_often(plans):
+    for name, most in MOST_FACT_SCANS.items():
+        texts = [t for n, t in plans.items() if n.startswith(f"{name}/") and re.search("-(result|customer360|rfm|popular)$", n)]
+        scans = sum(len(re.findall(r"FileScan parquet \[[^\]]*\b(?:new_total_amount|total_amount|customer_id|order_id)#[^\n]*/orders-", t)) for t in texts)
+        assert 1 <= scans <= most, (name, scans)
+
+
 def test_repairs_reduce_before_they_shuffle(spark, tables):
     collapse = plan(clean.collapse_lines(tables.orders))
     assert re.search(r"WindowGroupLimit.*Partial", collapse)
@@ -88,5 +120,6 @@ def test_skewed_join_partitions_are_split(spark, tables, tmp_path):
 
 
 def test_intermediates_go_to_the_folder_the_session_names(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    assert base is None or shared_dir(spark).startswith(base.rstrip("/"))
+    base = spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(spark).startswith(base.rstrip("/"))
+    assert write_once(spark.range(1), "where").inputFiles()[0].startswith(base)
