@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm import decontamination, mixing, neardup, toxicity
 from shelfwise.llm.queries import table, token_rows
-from shelfwise.sources.storage import shared_dir
+from shelfwise.sources.storage import scope, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        result = stage(spark, docs, sf_dir)
-        result.write.parquet(f"{folder}/{name}")
+        with scope(spark):  # what the stage writes on the way goes when its result is written
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(result.schema).parquet(f"{folder}/{name}")
     return docs
