@@ -53,11 +53,15 @@ def transaction_gaps(orders: DataFrame) -> DataFrame:
 
     Consecutive differences telescope, so the days are last minus first date and no per-customer sort is needed.
     """
+    return orders.groupBy("customer_id").agg(*_gaps())
+
+
+def _gaps() -> list[Column]:
     stamp = F.col("correct_date")
-    return orders.groupBy("customer_id").agg(
+    return [
         F.greatest(F.count(stamp) - 1, F.lit(0)).alias("gaps"),
         F.coalesce(F.date_diff(F.max(stamp).cast("date"), F.min(stamp).cast("date")), F.lit(0)).alias("days"),
-    )
+    ]
 
 
 def _lines(build: Callable[[], Column], name: str) -> Callable[[RetailTables, bool], DataFrame]:
@@ -135,49 +139,53 @@ def kpi(name: str, tables: RetailTables, integer_averages: bool = False) -> Data
 def kpi_summary(tables: RetailTables, integer_averages: bool = False) -> DataFrame:
     """All KPIs in one row.
 
-    Each grain is aggregated once into one struct (lines, orders, customers, ...) and the KPIs are computed from those,
-    instead of one query per KPI. Every grain reads only its own columns.
+    Three passes over the lines, by customer, by order and by what is sold where, each ending in one struct that the KPIs
+    are computed from; every pass reads only its own columns.
     """
-    lines = tables.orders.agg(
+    sums = {
+        "sales": _sales(),
+        "discount": F.sum("discount"),
+        "discounts": F.count("discount"),
+        "quantity": F.sum("quantity"),
+        "cost": F.sum(line_cost()),
+        "profit": F.sum(line_profit()),
+    }
+    per_customer = tables.orders.groupBy("customer_id").agg(
+        _count("order_id").alias("orders"), *_gaps(), *[column.alias(name) for name, column in sums.items()]
+    )
+    customers = per_customer.agg(
         F.struct(
-            _sales().alias("sales"),
-            F.sum("discount").alias("discount"),
-            F.count("discount").alias("discounts"),
-            F.sum("quantity").alias("quantity"),
-            F.sum(line_cost()).alias("cost"),
-            F.sum(line_profit()).alias("profit"),
+            F.count("customer_id").alias("known"),
+            F.count("*").alias("all"),
+            F.sum("orders").alias("orders"),
+            F.count_if(F.col("orders") > 1).alias("repeat"),
+            F.count_if(F.col("orders") == 1).alias("single"),
+            *[F.sum(c).alias(c) for c in ("gaps", "days", *sums)],
         )
     ).scalar()
-    orders = (
-        tables.orders.groupBy("order_id")
-        .agg(F.sum("quantity").alias("items"))
-        .agg(
-            F.struct(
-                F.count("order_id").alias("orders"), F.sum("items").alias("items"), F.count("items").alias("counted")
-            )
-        )
-        .scalar()
+    per_order = (
+        tables.orders.groupBy("order_id", "product_id")
+        .agg(F.sum("quantity").alias("quantity"))
+        .join(tables.products.select(F.col("product_id").alias("_product"), "category"), F.col("product_id") == F.col("_product"), "left")
+        .groupBy("order_id")
+        .agg(F.sum("quantity").alias("items"), F.count("_product").alias("found"), _count("category").alias("categories"))
     )
-    customers = (
-        _per_customer(tables.orders)
-        .agg(
-            F.struct(
-                F.count("customer_id").alias("known"),
-                F.count("*").alias("all"),
-                F.sum("orders").alias("orders"),
-                F.count_if(F.col("orders") > 1).alias("repeat"),
-                F.count_if(F.col("orders") == 1).alias("single"),
-            )
+    orders = per_order.agg(
+        F.struct(
+            F.count("order_id").alias("orders"),
+            F.sum("items").alias("items"),
+            F.count("items").alias("counted"),
+            F.sum("categories").alias("categories"),
+            F.count_if(F.col("found") > 0).alias("baskets"),
         )
+    ).scalar()
+    sold = (
+        tables.orders.select("product_id", "delivered_storeid", F.lower("channel").alias("channel"))
+        .distinct()
+        .join(tables.products.select(F.col("product_id").alias("_product"), "category"), F.col("product_id") == F.col("_product"), "left")
+        .agg(F.struct(*[_count(c).alias(c) for c in ("product_id", "delivered_storeid", "channel", "category")]))
         .scalar()
     )
-    gaps = (
-        transaction_gaps(tables.orders).agg(F.struct(F.sum("days").alias("days"), F.sum("gaps").alias("gaps"))).scalar()
-    )
-    baskets = (
-        categories_per_order(tables).agg(F.struct(F.sum("categories").alias("sum"), F.count("*").alias("n"))).scalar()
-    )
-    sold = tables.orders.agg(_count("product_id")).scalar()
     places = tables.stores.agg(
         F.struct(_count("seller_city").alias("cities"), _count("seller_state").alias("states"))
     ).scalar()
@@ -187,30 +195,30 @@ def kpi_summary(tables: RetailTables, integer_averages: bool = False) -> DataFra
 
     values = {
         "Total_Orders": orders["orders"],
-        "Total_Discount": _money(lines["discount"]),
-        "Average_Discount_Per_Customer": ratio2(lines["discount"], customers["known"]),
-        "Average_Discount_Per_Order": ratio2(lines["discount"], lines["discounts"]),
-        "Average_Order_Value": ratio2(lines["sales"], orders["orders"]),
-        "Average_Sales_Per_Customer": ratio2(lines["sales"], customers["known"]),
-        "Average_Profit_Per_Customer": ratio2(lines["profit"], customers["known"]),
-        "Avg_Categories_Per_Order": ratio2(baskets["sum"], baskets["n"], integer_averages),
+        "Total_Discount": _money(customers["discount"]),
+        "Average_Discount_Per_Customer": ratio2(customers["discount"], customers["known"]),
+        "Average_Discount_Per_Order": ratio2(customers["discount"], customers["discounts"]),
+        "Average_Order_Value": ratio2(customers["sales"], orders["orders"]),
+        "Average_Sales_Per_Customer": ratio2(customers["sales"], customers["known"]),
+        "Average_Profit_Per_Customer": ratio2(customers["profit"], customers["known"]),
+        "Avg_Categories_Per_Order": ratio2(orders["categories"], orders["baskets"], integer_averages),
         "Avg_Items_Per_Order": ratio2(orders["items"], orders["counted"], integer_averages),
         "Total_Customers": customers["known"],
         "Transactions_Per_Customer": ratio2(customers["orders"], customers["all"], integer_averages),
-        "Total_Revenue": _money(lines["sales"]),
-        "Total_Profit": _money(lines["profit"]),
-        "Total_Cost": _money(lines["cost"]),
-        "Total_Quantity": lines["quantity"],
-        "Total_Products": sold,
-        "Total_Categories": alone("Total_Categories"),
-        "Total_Stores": alone("Total_Stores"),
+        "Total_Revenue": _money(customers["sales"]),
+        "Total_Profit": _money(customers["profit"]),
+        "Total_Cost": _money(customers["cost"]),
+        "Total_Quantity": customers["quantity"],
+        "Total_Products": sold["product_id"],
+        "Total_Categories": sold["category"],
+        "Total_Stores": sold["delivered_storeid"],
         "Total_Locations": places["cities"],
         "Total_Regions": places["states"],
-        "Total_Channels": alone("Total_Channels"),
+        "Total_Channels": sold["channel"],
         "Total_Payment_Methods": alone("Total_Payment_Methods"),
-        "Avg_Days_Between_Transactions": ratio2(gaps["days"], gaps["gaps"]),
-        "Profit_Percentage": percent2(lines["profit"], lines["sales"]),
-        "Discount_Percentage": percent2(lines["discount"], lines["sales"]),
+        "Avg_Days_Between_Transactions": ratio2(customers["days"], customers["gaps"]),
+        "Profit_Percentage": percent2(customers["profit"], customers["sales"]),
+        "Discount_Percentage": percent2(customers["discount"], customers["sales"]),
         "Repeat_Purchase_Rate": percent2(customers["repeat"], customers["all"]),
         "Repeat_Customer_Percentage": percent2(customers["repeat"], customers["all"]),
         "One_Time_Buyers_Percentage": percent2(customers["single"], customers["all"]),
