@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from shelfwise.llm.textbytes import chunks, mix, shingle_sets
 from shelfwise.sources.storage import write_once
 
-WIDTH = 4
+#: Words of a shingle.
+WIDTH = 5
 #: Similarity at which documents are linked, in hundredths.
 PERCENT = 80
 REGISTERS, BANDS = 128, 32

@@ -36,7 +36,7 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,16 +7,16 @@ from shelfwise.llm import neardup
 from shelfwise.llm.textbytes import LOWER, Texts, shingle_sets
 
 
-def shingles(text):
+def shingles(text, width=4):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
-    n = min(4, len(words))
+    n = min(width, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
 
 
-def brute(rows):
+def brute(rows, width=4):
     """Smallest id reachable over links, for every id."""
-    sets = [(d, shingles(t)) for d, t in rows if d is not None]
+    sets = [(d, shingles(t, width)) for d, t in rows if d is not None]
     ids = sorted({d for d, _ in sets})
     parent = {d: d for d in ids}
 
@@ -48,7 +48,7 @@ def family(seed, size, base_words, changed):
 
 def check(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    got = neardup.near_duplicates(docs).collect()
+    got = neardup.near_duplicates(docs, width=4).collect()
     want = brute(rows)
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got) == sorted((d is not None, d or 0) for d, _ in rows)
     for r in got:
@@ -82,7 +82,7 @@ def test_odd_documents(spark, odd_documents):
 
 
 def test_shingle_counts_and_kept_rows(spark, odd_documents):
-    counts = {(r["doc_id"], r["n_shingles"]) for r in neardup.near_duplicates(odd_documents).collect()}
+    counts = {(r["doc_id"], r["n_shingles"]) for r in neardup.near_duplicates(odd_documents, width=4).collect()}
     assert counts == {(r["doc_id"], len(shingles(r["text"]))) for r in odd_documents.collect()}
     kept = neardup.keep_one(odd_documents, neardup.near_duplicates(odd_documents))
     assert kept.columns == odd_documents.columns

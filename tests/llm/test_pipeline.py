@@ -26,7 +26,7 @@ def test_stages_decide_as_their_operators_and_as_brute_force(spark):
     left = sorted(set(texts) - rejected)
     assert sorted(r["doc_id"] for r in clean.collect()) == left
 
-    low = groups_of([(d, texts[d]) for d in left])
+    low = groups_of([(d, texts[d]) for d in left], width=5)
     left = sorted(set(low.values()))
     assert sorted(r["doc_id"] for r in single.collect()) == left
 
@@ -44,7 +44,7 @@ def test_stages_decide_as_their_operators_and_as_brute_force(spark):
         assert frame.columns == docs.columns
     assert sorted(r["doc_id"] for r in tokens.collect()) == sorted(d for d in left for _ in range(copies[d]))
     assert corpus_pipeline.run(spark, SMALL).count() == tokens.count()
-    assert neardup.PERCENT == 80 and tokenfile.END_ID == 0
+    assert (neardup.WIDTH, neardup.PERCENT, tokenfile.END_ID) == (5, 80, 0)
 
 
 def test_odd_documents_pass_all_stages(spark, odd_documents, no_documents):
