@@ -1,10 +1,10 @@
 import re
 
+from llm.test_neardup import brute as groups_of
+
 import corpus_pipeline
 from shelfwise.llm import decontamination, mixing, neardup, tokenfile, toxicity
 
-from test_neardup import brute as groups_of
-
 SMALL = "/root/testdata/sf0.001"
 
 
