@@ -11,6 +11,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.naming import fresh
 from shelfwise.sources.storage import write_once
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -136,8 +137,9 @@ def contamination(
 
 def clean_documents(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose document has no hit; rows with a null id are judged by the verdicts of null ids."""
-    bad = verdicts.filter("contaminated").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
+    id_ = fresh(docs, "_id")
+    bad = verdicts.filter("contaminated").select(F.col("doc_id").alias(id_)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")
 
 
 def cut_spans(text: Column, spans: Column) -> Column:

@@ -13,6 +13,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.llm.naming import fresh
 from shelfwise.sources.storage import write_once
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -169,13 +170,15 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
     Texts move once, to meet their narrow verdict. Rows with equal keys and source have the same verdict.
     """
-    verdict = mixed.filter("copies > 0").select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("copies").alias("_copies")
+    id_, source, copies, copy = (fresh(docs, name) for name in ("_id", "_source", "_copies", "_copy"))
+    verdict = (
+        mixed.filter("copies > 0")
+        .groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source))
+        .agg(F.max("copies").alias(copies))
     )
-    verdict = verdict.groupBy("_d", "_s").agg(F.max("_copies").alias("_copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source))
     return (
         docs.join(verdict, same)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies))))
         .select(*[F.col(c) for c in docs.columns])
     )

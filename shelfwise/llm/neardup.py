@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.llm.naming import fresh
 from shelfwise.llm.textbytes import chunks, mix, shingle_sets
 from shelfwise.sources.storage import write_once
 
@@ -31,7 +32,7 @@ REGISTERS, BANDS = 128, 32
 LEAST_AGREEING = 78
 #: Members that one copy of a bucket's head serves; rows and shingles on one side of a block comparison, about.
 PER_HEAD, PER_BLOCK, BLOCK_SHINGLES = 256, 512, 1 << 18
-_SLICE = 1 << 17
+_SLICE = 1 << 16
 _U = np.uint64
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -425,7 +426,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 def keep_one(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The documents that represent their group; of rows that share an id one stays, rows without an id all stay."""
-    ids = verdicts.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    id_, nth = fresh(docs, "_id"), fresh(docs, "_nth")
+    ids = verdicts.filter("kept and doc_id is not null").select(F.col("doc_id").alias(id_)).distinct()
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    chosen = docs.join(ids, F.col("doc_id") == F.col("_id")).withColumn("_nth", once).filter("_nth = 1")
+    chosen = docs.join(ids, F.col("doc_id") == F.col(id_)).withColumn(nth, once).filter(F.col(nth) == 1)
     return chosen.select([F.col(c) for c in docs.columns]).unionByName(docs.filter("doc_id is null"))

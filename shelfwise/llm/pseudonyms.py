@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.naming import fresh
+
 ROUNDS = 8
 # The notations that are recognised.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -219,7 +221,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Columns of ``docs`` that have these names are replaced. Null texts stay null, with zero counts; empty texts stay empty.
     Every match of the whole text is treated. Rows are independent: equal texts get equal results under one key.
     """
-    source = F.col(text)
+    source, name = F.col(text), fresh(docs, "_found")
     held = F.coalesce(source, F.lit(""))
     matches = F.when(held.rlike("[0-9@]|(?i:passw|secret|token|api_key)"), F.regexp_extract_all(held, F.lit(ANY), F.lit(0)))
     found = F.transform(F.coalesce(matches, F.array().cast("array<string>")), lambda m: pseudonym(m, key))
@@ -227,18 +229,24 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     joined = F.array_join(
         F.zip_with(
             F.split(held, ANY, -1),
-            F.transform(F.col("_found"), lambda f: f["value"]),
+            F.transform(F.col(name), lambda f: f["value"]),
             lambda gap, value: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(value, F.lit(""))),
         ),
         "",
     )
-    counts = {f"n_{name}": _count(name) for name in KINDS}
-    private = F.size(F.filter("_found", lambda f: f["kind"].isNotNull())).cast("bigint")
-    marked = docs.withColumn("_found", found)
-    return marked.withColumns(
-        {text: F.when(F.size("_found") > 0, joined).otherwise(source), "n_private": private, **counts}
-    ).drop("_found")
-
 
-def _count(kind: str) -> Column:
-    return F.size(F.filter("_found", lambda f: f["kind"] == kind)).cast("bigint")
+    def count(kind: str) -> Column:
+        return F.size(F.filter(name, lambda f: f["kind"] == kind)).cast("bigint")
+
+    private = F.size(F.filter(name, lambda f: f["kind"].isNotNull())).cast("bigint")
+    return (
+        docs.withColumn(name, found)
+        .withColumns(
+            {
+                text: F.when(F.size(name) > 0, joined).otherwise(source),
+                "n_private": private,
+                **{f"n_{kind}": count(kind) for kind in KINDS},
+            }
+        )
+        .drop(name)
+    )

@@ -22,6 +22,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     )
     share = min(1.0, rows / max(known.count(), 1))
     chosen = known.filter(F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(_PARTS)) < int(share * _PARTS))
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
+    texts = docs.select("doc_id", "text")
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "label"
     )

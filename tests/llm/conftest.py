@@ -11,10 +11,14 @@ ODD_TEXTS = [None, "", " \n\t ", "one", "a b c", "Ünïcödé \U0001f600 中文
 @pytest.fixture(scope="session")
 def odd_documents(spark):
     """Documents with nulls in every column, repeated rows and ids, and columns whose names the operators use themselves."""
-    rows = [(i, t, "en", f"src{i % 2}", 1, i, True) for i, t in enumerate(ODD_TEXTS)]
-    rows += [(7, "the same row twice here now", "en", None, 1, 1, None)] * 2
-    rows += [(None, "a text without an id is here", None, "src1", None, None, None), (3, "another text for id three", "en", "src0", 2, 5, False)]
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, kept boolean"
+    rows = [(i, t, "en", f"src{i % 2}", 1, i, True, 7, 1, "x") for i, t in enumerate(ODD_TEXTS)]
+    rows += [(7, "the same row twice here now", "en", None, 1, 1, None, None, None, None)] * 2
+    rows += [(None, "a text without an id is here", None, "src1", None, None, None, None, 0, None)]
+    rows += [(3, "another text for id three", "en", "src0", 2, 5, False, 3, 0, "y")]
+    schema = (
+        "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, kept boolean, "
+        "_id bigint, label int, _found string"
+    )
     return spark.createDataFrame(rows, schema).repartition(3)
 
 
