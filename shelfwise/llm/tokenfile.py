@@ -320,7 +320,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
         .select("_shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
     return (
-        blocks.join(shards, F.col("shard") == F.col("_shard"))
+        blocks.join(F.broadcast(shards), F.col("shard") == F.col("_shard"))  # one small row per shard
         .withColumn("start", F.col("start") + F.col("_before"))
         .select("start", "doc_ids", "lengths", "n_values", "control", "data")
         .mapInArrow(_decode_batches(id_of, with_ids), _DECODED + (", ids array<bigint>" if with_ids else ""))
