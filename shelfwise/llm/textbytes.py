@@ -1,7 +1,7 @@
 """Words, word hashes and shingles of many texts at once, straight from the bytes of an Arrow string column.
 
 A text is cut at bytes, not characters: every separator is ASCII, so the words are those of the code-point pattern. All
-work is done per chunk of about a megabyte, whatever the size of the Arrow batch, so memory stays bounded.
+work is done per chunk of about half a megabyte, whatever the size of the Arrow batch, so memory stays bounded.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 CHUNK_ROWS = 2000
 #: Bits of a shingle key that hold its hash; the bits above number the text within its chunk.
 HASH_BITS = 52

@@ -24,10 +24,10 @@ from shelfwise.llm.textbytes import Texts, as_bytes, chunks, span_hashes
 from shelfwise.sources.storage import write_once
 
 END_ID = 0
-_ENCODE_BYTES = 2 << 20
+_ENCODE_BYTES = 1 << 20
 #: Distinct pieces a task remembers; beyond that it forgets all and starts again.
-_MEMO_PIECES = 1_500_000
-_BLOCK_TOKENS = 1 << 20
+_MEMO_PIECES = 600_000
+_BLOCK_TOKENS = 1 << 18
 
 _ascii_space = np.zeros(256, bool)
 _ascii_space[[0x20, *range(0x09, 0x0E)]] = True
@@ -80,7 +80,7 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)  # sorted hashes
-        self.slot = np.zeros(0, np.int64)  # of each hash, its place below
+        self.slot = np.zeros(0, np.int32)  # of each hash, its place below
         self.begin = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -88,7 +88,7 @@ class PieceEncoder:
         encoded = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(lengths.sum()))
-        slots = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(pieces))
+        slots = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(pieces), dtype=np.int32)
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, flat])
         places = np.searchsorted(self.known, hashes)
@@ -202,9 +202,11 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     counts = np.zeros(0, np.int64)
     for batch in batches:
         data, offsets = as_bytes(batch.column("ids"))
-        found = np.bincount(data[offsets[0] : offsets[-1]].view("<u4"))
-        counts = np.pad(counts, (0, max(0, len(found) - len(counts))))
-        counts[: len(found)] += found
+        ids = data[offsets[0] : offsets[-1]].view("<u4")
+        for at in range(0, len(ids), _BLOCK_TOKENS):
+            found = np.bincount(ids[at : at + _BLOCK_TOKENS])
+            counts = np.pad(counts, (0, max(0, len(found) - len(counts))))
+            counts[: len(found)] += found
     present = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(present, pa.int64()), pa.array(counts[present], pa.int64())], ["id", "n"])
 
