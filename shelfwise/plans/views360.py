@@ -357,18 +357,24 @@ def customer360(
     totals = _buyer_totals(buyer_orders, latest, [] if first_purchase_only else _purchase_sums())
     kept = orders.filter(F.col("customer_id").isNotNull())
     first_lines = _first_lines(kept) if first_purchase_only else kept
-    places = (
-        kept.select(F.col("customer_id").alias("buyer"), "delivered_storeid")
+    # What, how and where a customer buys, from one pass: distinct combinations first, then distinct counts of them.
+    habits = (
+        kept.select(
+            F.col("customer_id").alias("buyer"), "product_id", F.lower("channel").alias("channel"), "delivered_storeid"
+        )
         .distinct()
         .join(stores.select("storeid", "seller_city"), F.col("delivered_storeid") == F.col("storeid"), "left")
         .groupBy("buyer")
-        .agg(F.count("delivered_storeid").alias("Distinct_Stores"), F.countDistinct("seller_city").alias("Distinct_Cities"))
+        .agg(
+            F.countDistinct("product_id").alias("Distinct_Items_Purchased"),
+            F.countDistinct("channel").alias("Channels_Used"),
+            F.countDistinct("delivered_storeid").alias("Distinct_Stores"),
+            F.countDistinct("seller_city").alias("Distinct_Cities"),
+        )
     )
     parts = [
         totals,
-        _counts(kept, F.col("product_id"), "Distinct_Items_Purchased"),
-        _counts(kept, F.lower("channel"), "Channels_Used"),
-        places,
+        habits,
         _categories(kept, products, rated),
     ]
     if first_purchase_only:
