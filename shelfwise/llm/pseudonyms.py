@@ -8,6 +8,8 @@ different in all documents, and with the key the rounds can be undone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from shelfwise.llm.naming import fresh
 
 ROUNDS = 8
 # The notations that are recognised.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 SECRET = r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|secret|token|api_key)\s?[=:]\s?\"?)[A-Za-z0-9_+/-]{8,}"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.]*\d)"
 DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d)"
@@ -32,6 +34,11 @@ ANY = "|".join(KINDS.values())
 FIRST_DAY, DATE_X, DATE_Y = -25508, 17, 4297
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _long(column: Column) -> Column:
     return column.cast("bigint")
 
@@ -95,17 +102,21 @@ def _split_digits(digits: Column, left: Column, key: str, kind: str) -> Column:
     pair = permute(
         F.substring(digits, F.lit(1), left), F.substring(digits, left + 1, right), _power(left), _power(right), key, kind
     )
-    return F.concat(_padded(pair["x"], left), _padded(pair["y"], right))
+    return _let(pair, lambda p: F.concat(_padded(p["x"], left), _padded(p["y"], right)))
 
 
 def _card(text: Column, key: str) -> Column:
     """Cards valid by Luhn's check: all digits but the last are permuted, the last is the new check digit."""
-    digits = _digits(text)
-    size = F.length(digits)
-    valid = _luhn_sum(digits, size % 2 == 0) % 10 == 0
-    body = _split_digits(F.substring(digits, F.lit(1), size - 1), F.floor((size - 1) / 2).cast("int"), key, "card")
-    check = (10 - _luhn_sum(body, size % 2 == 0) % 10) % 10
-    return F.when(valid, _into(text, F.concat(body, check.cast("string"))))
+
+    def changed(digits: Column) -> Column:
+        size = F.length(digits)
+        valid = _luhn_sum(digits, size % 2 == 0) % 10 == 0
+        body = _split_digits(F.substring(digits, F.lit(1), size - 1), F.floor((size - 1) / 2).cast("int"), key, "card")
+        check = lambda b: ((10 - _luhn_sum(b, size % 2 == 0) % 10) % 10).cast("string")
+        new = _let(_let(body, lambda b: F.concat(b, check(b))), lambda d: _into(text, d))
+        return F.when(valid, new)
+
+    return _let(_digits(text), changed)
 
 
 def _phone(text: Column, key: str) -> Column:
@@ -115,14 +126,19 @@ def _phone(text: Column, key: str) -> Column:
     area, rest = F.substring(ten, F.lit(1), F.lit(3)), F.substring(ten, F.lit(4), F.lit(7))
     pair = permute(_long(area) - 200, _long(rest), F.lit(800), F.lit(10_000_000), key, "phone")
     country = F.substring(all_digits, F.lit(1), F.length(all_digits) - 10)
-    return _into(text, F.concat(country, (pair["x"] + 200).cast("string"), _padded(pair["y"], 7)))
+    new = _let(pair, lambda p: F.concat(country, (p["x"] + 200).cast("string"), _padded(p["y"], 7)))
+    return _let(new, lambda d: _into(text, d))
 
 
 def _ip(text: Column, key: str) -> Column:
     parts = F.transform(F.split(text, r"\."), lambda p: p.cast("int"))
     pair = permute(parts[0] * 256 + parts[1], parts[2] * 256 + parts[3], F.lit(65536), F.lit(65536), key, "ip")
-    octets = [F.floor(pair["x"] / 256), pair["x"] % 256, F.floor(pair["y"] / 256), pair["y"] % 256]
-    return F.when(F.array_max(parts) <= 255, F.concat_ws(".", *[o.cast("string") for o in octets]))
+
+    def dotted(p: Column) -> Column:
+        octets = [F.floor(p["x"] / 256), p["x"] % 256, F.floor(p["y"] / 256), p["y"] % 256]
+        return F.concat_ws(".", *[o.cast("string") for o in octets])
+
+    return F.when(F.array_max(parts) <= 255, _let(pair, dotted))
 
 
 def _ssn(text: Column, key: str) -> Column:
@@ -131,11 +147,14 @@ def _ssn(text: Column, key: str) -> Column:
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     x = area - F.when(area > 666, 2).otherwise(1)
     pair = permute(x, (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn")
-    new_area = pair["x"] + F.when(pair["x"] >= 665, 2).otherwise(1)
-    new = F.concat_ws(
-        "-", _padded(new_area, 3), _padded(F.floor(pair["y"] / 9999) + 1, 2), _padded(pair["y"] % 9999 + 1, 4)
-    )
-    return F.when(valid, new)
+
+    def dashed(p: Column) -> Column:
+        new_area = p["x"] + F.when(p["x"] >= 665, 2).otherwise(1)
+        return F.concat_ws(
+            "-", _padded(new_area, 3), _padded(F.floor(p["y"] / 9999) + 1, 2), _padded(p["y"] % 9999 + 1, 4)
+        )
+
+    return F.when(valid, _let(pair, dashed))
 
 
 def _date(text: Column, key: str) -> Column:
@@ -144,7 +163,7 @@ def _date(text: Column, key: str) -> Column:
     for sign, pattern in (("-", "yyyy-MM-dd"), ("/", "MM/dd/yyyy"), (".", "dd.MM.yyyy")):
         day = F.unix_date(F.try_to_timestamp(text, F.lit(pattern)).cast("date")) - FIRST_DAY
         pair = permute(F.floor(day / DATE_Y), day % DATE_Y, F.lit(DATE_X), F.lit(DATE_Y), key, "date")
-        new = F.date_from_unix_date((pair["x"] * DATE_Y + pair["y"] + FIRST_DAY).cast("int"))
+        new = _let(pair, lambda p: F.date_from_unix_date((p["x"] * DATE_Y + p["y"] + FIRST_DAY).cast("int")))
         valid = F.contains(text, F.lit(sign)) & day.between(0, DATE_X * DATE_Y - 1)
         out = F.coalesce(out, F.when(valid, F.date_format(new, pattern)))
     return out
@@ -153,7 +172,10 @@ def _date(text: Column, key: str) -> Column:
 def _shifted(half: Column, other: Column, r: Column, key: str, kind: str) -> Column:
     """Letters and digits of one half moved on within their class by a keyed hash of the other."""
     stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), other), 256)
+    return _let(stream, lambda s: _moved(half, s))
+
 
+def _moved(half: Column, stream: Column) -> Column:
     def move(c: Column, i: Column) -> Column:
         k = F.conv(F.substring(stream, 1 + 2 * (i % 32), F.lit(2)), 16, 10).cast("int")
         within = lambda low, size: F.char(F.lit(low) + (F.ascii(c) - low + k) % size)
@@ -182,7 +204,7 @@ def permute_text(text: Column, key: str, kind: str) -> Column:
         F.substring(text, F.lit(1), left).alias("x"), F.substring(text, left + 1, F.length(text)).alias("y")
     )
     pair = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), begin, step)
-    return F.concat(pair["x"], pair["y"])
+    return _let(pair, lambda p: F.concat(p["x"], p["y"]))
 
 
 def _email(text: Column, key: str) -> Column:
@@ -192,7 +214,8 @@ def _email(text: Column, key: str) -> Column:
 
 def _secret(text: Column, key: str) -> Column:
     value = F.regexp_extract(text, r"(?:^AKIA|[=:]\s?\"?)([A-Za-z0-9_+/-]+)$", 1)
-    return F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(value)), permute_text(value, key, "secret"))
+    head = lambda v: F.substring(text, F.lit(1), F.length(text) - F.length(v))
+    return _let(value, lambda v: F.concat(head(v), permute_text(v, key, "secret")))
 
 
 _MAKERS = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
@@ -208,11 +231,17 @@ def _kind(found: Column) -> Column:
 
 def pseudonym(found: Column, key: str) -> Column:
     """Struct ``kind, value``: the pseudonym of a match; kind null and value unchanged if it does not validate."""
-    kind = _kind(found)
-    value = F.lit(None).cast("string")
-    for name, make in _MAKERS.items():
-        value = F.when(kind == name, make(found, key)).otherwise(value)
-    return F.struct(F.when(value.isNotNull(), kind).alias("kind"), F.coalesce(value, found).alias("value"))
+
+    def made(kind: Column) -> Column:
+        value = F.lit(None).cast("string")
+        for name, make in _MAKERS.items():
+            value = F.when(kind == name, make(found, key)).otherwise(value)
+        both = lambda v: F.struct(
+            F.when(v.isNotNull(), kind).alias("kind"), F.coalesce(v, found).alias("value")
+        )
+        return _let(value, both)
+
+    return _let(_kind(found), made)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
