@@ -26,7 +26,17 @@ CARD = (
     r"(?<![\d.])(?<!\d-)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})"
     r"(?!-?\d)"
 )
-PHONE = r"(?:\+1[ .-]?)?(?:\([2-9]\d{2}\)[ ]?|(?<!\d)[2-9]\d{2}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+_CODE = r"(?>[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d)"
+#: A country code, and one digit in brackets behind it, as in +44 (0)20.
+_ABROAD = rf"\+(?!1){_CODE}(?:[ ]?\(\d\))?"
+PHONE = (
+    r"\+1(?:[ ./()-]{0,2}+\d){10}(?!\d)"
+    r"|(?:(?<!\d)1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    r"|(?<!\d)(?:1[ .-]\d{3}|[2-9]\d{2})[ .-]\d{3}[ .-]\d{4}(?!\d)"
+    r"|(?<![\w.])1?\d{10}(?!\w|\.\d)"
+    # Abroad: 5 to 14 digits; behind the fifth, what looks like another kind is not taken in.
+    rf"|(?<!\w){_ABROAD}(?:[ ./()-]{{0,2}}+\d){{5}}(?:(?:[ ./()-]{{1,2}}+(?!{IP}|{DATE}|{SSN}|{CARD}))?\d){{0,9}}(?!\d)"
+)
 #: In the order in which they are tried at a place in the text.
 KINDS = {"email": EMAIL, "secret": SECRET, "ip": IP, "date": DATE, "ssn": SSN, "card": CARD, "phone": PHONE}
 ANY = "|".join(KINDS.values())
@@ -120,13 +130,23 @@ def _card(text: Column, key: str) -> Column:
 
 
 def _phone(text: Column, key: str) -> Column:
-    """The ten digits of a number whose area code begins with 2 to 9; a country code stays."""
+    """The ten digits of a number of country code 1, which itself stays, as does whether the first of them is 0 or 1; of
+    other countries all digits behind the code."""
     all_digits = _digits(text)
     ten = F.substring(all_digits, F.length(all_digits) - 9, F.lit(10))
-    area, rest = F.substring(ten, F.lit(1), F.lit(3)), F.substring(ten, F.lit(4), F.lit(7))
-    pair = permute(_long(area) - 200, _long(rest), F.lit(800), F.lit(10_000_000), key, "phone")
+    area, rest = _long(F.substring(ten, F.lit(1), F.lit(3))), F.substring(ten, F.lit(4), F.lit(7))
+    low = area < 200
+    first, areas = F.when(low, 0).otherwise(200), F.when(low, 200).otherwise(800)
+    pair = permute(area - first, _long(rest), areas, F.lit(10_000_000), key, "phone")
     country = F.substring(all_digits, F.lit(1), F.length(all_digits) - 10)
-    new = _let(pair, lambda p: F.concat(country, (p["x"] + 200).cast("string"), _padded(p["y"], 7)))
+    home = _let(pair, lambda p: F.concat(country, _padded(p["x"] + first, 3), _padded(p["y"], 7)))
+
+    def abroad(code: Column) -> Column:
+        national = F.substring(all_digits, F.length(code) + 1, F.length(all_digits))
+        return F.concat(code, _split_digits(national, F.floor(F.length(national) / 2).cast("int"), key, "phone abroad"))
+
+    code = _digits(F.regexp_extract(text, f"^{_ABROAD}", 0))
+    new = F.when(text.rlike(r"^\+(?!1)"), _let(code, abroad)).otherwise(home)
     return _let(new, lambda d: _into(text, d))
 
 

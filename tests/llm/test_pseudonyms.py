@@ -124,3 +124,30 @@ def test_odd_documents(spark, odd_documents, no_documents):
     clash = spark.createDataFrame([("1.2.3.4", 9, "x")], "text string, n_private int, _found string")
     row = ps.pseudonymise(clash, KEY).first()
     assert row["n_private"] == 1 and row["_found"] == "x"
+
+
+def test_phones_of_all_area_and_country_codes(spark):
+    texts = [
+        "+1 (017) 555-7713", "+1 017 555 7713", "+10175557713", "1-017-555-7713", "(017)555-7713", "0175557713", "10175557713",
+        "+49 30 1234567", "+49301234567", "+49 (0)30 1234567", "+7 (495) 123-45-67", "+353 1 234 5678", "+86 138 0013 8000",
+    ]
+    tail = " 10.20.30.40 or 2024-05-06"
+    got = replaced(spark, [f"call {t}{tail}" for t in texts])
+    shape = lambda t: re.sub(r"\d", "0", t)
+    digits = lambda t: re.sub(r"\D", "", t)
+    out = []
+    for i, t in enumerate(texts):
+        out.append(got[i]["text"][5 : 5 + len(t)])
+        assert got[i]["n_phone"] == 1 and got[i]["n_private"] == 3 and shape(out[i]) == shape(t)
+    x, y = forward(17, 5557713, 200, 10**7, "phone")
+    assert {digits(o)[-10:] for o in out[:7]} == {f"{x:03d}{y:07d}"} and "0175557713" not in out
+    assert [digits(o)[:1] for o in out[:4]] == ["1"] * 4 and digits(out[6])[0] == "1"
+    x, y = forward(3012, 34567, 10**4, 10**5, "phone abroad")
+    assert digits(out[7]) == digits(out[8]) == f"49{x:04d}{y:05d}" and digits(out[9]) == f"490{x:04d}{y:05d}"
+    assert [o.split()[0] for o in out[10:]] == ["+7", "+353", "+86"] and all(digits(a) != digits(b) for a, b in zip(out, texts))
+
+
+def test_other_runs_of_digits_are_no_phones(spark):
+    texts = ["3.1415926535", "ede43f42c939b6405768150e0411", "12345678901234567890", "1 + 1234", "x0123456789y", "0.1234567890"]
+    got = replaced(spark, texts)
+    assert all(got[i]["n_phone"] == 0 and got[i]["text"] == t for i, t in enumerate(texts))
