@@ -17,7 +17,7 @@ from shelfwise.llm.naming import fresh
 
 ROUNDS = 8
 # The notations that are recognised.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 SECRET = r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|secret|token|api_key)\s?[=:]\s?\"?)[A-Za-z0-9_+/-]{8,}"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.]*\d)"
 DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d)"
@@ -272,7 +272,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     source, name = F.col(text), fresh(docs, "_found")
     held = F.coalesce(source, F.lit(""))
-    matches = F.when(held.rlike("[0-9@]|(?i:passw|secret|token|api_key)"), F.regexp_extract_all(held, F.lit(ANY), F.lit(0)))
+    matches = F.when(held.rlike("[0-9@]|AKIA|(?i:passw|secret|token|api_key)"), F.regexp_extract_all(held, F.lit(ANY), F.lit(0)))
     found = F.transform(F.coalesce(matches, F.array().cast("array<string>")), lambda m: pseudonym(m, key))
     # What lies between the matches, and the matches' pseudonyms, in turn.
     joined = F.array_join(
