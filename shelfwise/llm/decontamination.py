@@ -80,8 +80,9 @@ def contamination(
 ) -> DataFrame:
     """Benchmark passages in every document.
 
-    Returns one row per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans`` where
-    ``spans`` are the word positions (start from 1, length) of all hit windows in order. Null and empty texts have no words
+    Returns one row per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, text_hash``
+    where ``spans`` are the word positions (start from 1, length) of all hit windows in order and ``text_hash`` tells rows of one
+    id apart. Null and empty texts have no words
     and no hits; benchmark items without words match nothing; a null item id is left out of the items, its hits count.
     Repeated rows each get the same verdict. Only ``doc_id, text`` and ``item_id, text`` are read.
     Runs jobs: the hits of every document are a written table.
@@ -131,15 +132,17 @@ def contamination(
             F.sha2(F.array_join(found_items, ","), 256).alias("items_sha256"),
             (F.col("n_hit") > 0).alias("contaminated"),
             "spans",
+            F.col("_text").alias("text_hash"),
         )
     )
 
 
 def clean_documents(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose document has no hit; rows with a null id are judged by the verdicts of null ids."""
-    id_ = fresh(docs, "_id")
-    bad = verdicts.filter("contaminated").select(F.col("doc_id").alias(id_)).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")
+    """Rows of ``docs`` whose own text has no hit; other rows of the same id, or without one, do not count."""
+    id_, hash_ = fresh(docs, "_id"), fresh(docs, "_hash")
+    bad = verdicts.filter("contaminated").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
+    return docs.join(bad, same, "left_anti")
 
 
 def cut_spans(text: Column, spans: Column) -> Column:

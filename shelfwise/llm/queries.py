@@ -91,7 +91,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("spans")
+    return found.drop("spans", "text_hash")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -74,3 +74,12 @@ def test_spans_are_cut(spark):
     cut = docs.join(spans, "doc_id").select("doc_id", dc.cut_spans(docs["text"], spans["spans"]).alias("t"))
     texts = {r["doc_id"]: r["t"] for r in cut.collect()}
     assert texts[2] == "Nothing here." and texts[1] == "Keep this, . And this."
+
+
+def test_only_the_hit_rows_of_an_id_go(spark):
+    rows = [(None, f"bad {LONG}"), (None, "a clean text"), (None, None), (1, LONG), (1, "clean too"), (1, "clean too"), (2, LONG)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    benchmark = spark.createDataFrame([(1, LONG)], "item_id bigint, text string")
+    clean = dc.clean_documents(docs, dc.contamination(docs, benchmark))
+    left = [(None, "a clean text"), (None, None), (1, "clean too"), (1, "clean too")]
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted(left, key=str)
