@@ -3,7 +3,8 @@
 A text and a template are aligned on the words that occur once in both: the longest chain of them that stands in the same
 order in both is kept, and the gaps between its links are aligned in the same way. The share of the template's words that
 are aligned is its coverage. Only places that hold enough of a template's words to reach the wanted coverage are aligned;
-that is a necessary condition, so nothing is lost by it.
+that is a necessary condition, so nothing is lost by it. Words between asterisks in a template (name, version, variant) must
+all be aligned, to consecutive words of the text: they tell a license from its neighbours.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,10 @@ COVERAGE = 0.8
 #: Gaps without a common unique word are aligned word by word up to this many cells; longer ones by their ends only.
 SMALL_GAP = 4096
 
-# Notices and grants of common licenses, by name and class.
-TEMPLATES = {
+# Notices, grants, names and whole texts of common licenses, by name and class.
+TEMPLATES: dict[tuple[str, str], list[str]] = {
     ("MIT", "permissive"): [
-        "Released under the MIT License.",
+        "Released under the *MIT* License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
         "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
@@ -35,27 +37,140 @@ TEMPLATES = {
         "notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     ("Apache-2.0", "permissive"): [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the "
+        "Licensed under the *Apache License, Version 2.0* (the License); you may not use this file except in compliance with the "
         "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ],
     ("BSD", "permissive"): [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met",
     ],
-    ("GPL-3.0", "copyleft"): [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
-        "version.",
+    ("ISC", "permissive"): [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
     ],
-    ("CC-BY-NC-4.0", "noncommercial"): [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    ("Zlib", "permissive"): [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it "
+        "and redistribute it freely, subject to the following restrictions",
+    ],
+    ("Unlicense", "permissive"): ["This is free and unencumbered software released into the public domain."],
+    ("BSL-1.0", "permissive"): ["Distributed under the *Boost Software License, Version 1.0*."],
+    ("CC0-1.0", "permissive"): [
+        "To the extent possible under law, the author has *waived all copyright* and related or neighboring rights to this work.",
+    ],
+    ("GPL-3.0", "copyleft"): ["This work is licensed under the *GNU General Public License, version 3*."],
+    ("MPL-2.0", "copyleft"): [
+        "This Source Code Form is subject to the terms of the *Mozilla Public License, v. 2.0*. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
+    ("EPL-2.0", "copyleft"): [
+        "This program and the accompanying materials are made available under the terms of the *Eclipse Public License 2.0* "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/",
     ],
-    ("CC-BY-4.0", "permissive"): ["Licensed under CC BY 4.0."],
     ("Reserved", "reserved"): ["All rights reserved."],
 }
+#: Names by which a text is put under a license.
+_NAMES = {
+    ("MIT", "permissive"): ["MIT License", "MIT"],
+    ("Apache-2.0", "permissive"): ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0"],
+    ("BSD", "permissive"): ["BSD License"],
+    ("BSD-2-Clause", "permissive"): ["BSD 2-Clause", "2-Clause BSD"],
+    ("BSD-3-Clause", "permissive"): ["BSD 3-Clause", "3-Clause BSD"],
+    ("ISC", "permissive"): ["ISC License"],
+    ("CC0-1.0", "permissive"): ["CC0 1.0", "Creative Commons Zero 1.0"],
+    ("Zlib", "permissive"): ["zlib License"],
+    ("Unlicense", "permissive"): ["Unlicense"],
+    ("BSL-1.0", "permissive"): ["Boost Software License 1.0"],
+    ("Artistic-1.0", "permissive"): ["Artistic License 1.0"],
+    ("Artistic-2.0", "permissive"): ["Artistic License 2.0"],
+    ("MPL-1.1", "copyleft"): ["Mozilla Public License, Version 1.1", "Mozilla Public License 1.1", "MPL 1.1"],
+    ("MPL-2.0", "copyleft"): ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0"],
+    ("EPL-1.0", "copyleft"): ["Eclipse Public License, Version 1.0", "Eclipse Public License 1.0", "EPL 1.0"],
+    ("EPL-2.0", "copyleft"): ["Eclipse Public License, Version 2.0", "Eclipse Public License 2.0", "EPL 2.0"],
+}
+_GNU = {
+    "GPL": ("General Public", ["1", "2", "3"]),
+    "LGPL": ("Lesser General Public", ["2.1", "3"]),
+    "AGPL": ("Affero General Public", ["3"]),
+    "GFDL": ("Free Documentation", ["1.1", "1.2", "1.3"]),
+}
+_CREATIVE = {"": "", "-SA": "-ShareAlike", "-ND": "-NoDerivatives", "-NC": "-NonCommercial", "-NC-SA": "-NonCommercial-ShareAlike",
+             "-NC-ND": "-NonCommercial-NoDerivatives"}
+#: Files of whole texts, the words that must be aligned in them, and their licenses.
+_WHOLE = {
+    "MIT": ("THE SOFTWARE IS PROVIDED", "MIT", "permissive"),
+    "Apache-2.0": ("Version 2.0, January 2004", "Apache-2.0", "permissive"),
+    "BSD": ("Neither the name", "BSD-3-Clause", "permissive"),
+    "Artistic": ("Artistic License", "Artistic-1.0", "permissive"),
+    "CC0-1.0": ("CC0 1.0 Universal", "CC0-1.0", "permissive"),
+    "MPL-1.1": ("Version 1.1", "MPL-1.1", "copyleft"),
+    "MPL-2.0": ("Mozilla Public License Version 2.0", "MPL-2.0", "copyleft"),
+    "GPL-1": ("Version 1, February 1989", "GPL-1.0", "copyleft"),
+    "GPL-2": ("GENERAL PUBLIC LICENSE\n                       Version 2, June 1991", "GPL-2.0", "copyleft"),
+    "GPL-3": ("GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", "GPL-3.0", "copyleft"),
+    "LGPL-2": ("GNU LIBRARY GENERAL PUBLIC LICENSE\n                       Version 2, June 1991", "LGPL-2.0", "copyleft"),
+    "LGPL-2.1": ("Version 2.1, February 1999", "LGPL-2.1", "copyleft"),
+    "LGPL-3": ("GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", "LGPL-3.0", "copyleft"),
+    "GFDL-1.2": ("Version 1.2, November 2002", "GFDL-1.2", "copyleft"),
+    "GFDL-1.3": ("Version 1.3, 3 November 2008", "GFDL-1.3", "copyleft"),
+}
+
+
+def _versioned(name: str, version: str) -> str:
+    return f"{name}-{version}" if "." in version else f"{name}-{version}.0"
+
+
+def _complete() -> None:
+    """Adds to the templates what follows from the tables above."""
+
+    def add(name: str, kind: str, text: str) -> None:
+        TEMPLATES.setdefault((name, kind), []).append(text)
+
+    for (name, kind), names in _NAMES.items():
+        for one in names:
+            add(name, kind, f"Licensed under the *{one}*.")
+    for short, (long, versions) in _GNU.items():
+        for version in versions:
+            name, full = _versioned(short, version), f"GNU {long} License"
+            for one in (f"{full}, version {version}", f"{full} v{version}", name.replace("-", " "), f"{short}v{version}"):
+                add(name, "copyleft", f"Licensed under the *{one}*.")
+            if short == "GFDL":
+                add(name, "copyleft",
+                    "Permission is granted to copy, distribute and/or modify this document under the terms of the "
+                    f"*{full}, Version {version}* or any later version published by the Free Software Foundation")
+                continue
+            add(name, "copyleft",
+                "This program is free software: you can redistribute it and/or modify it under the terms of the "
+                f"*{full}* as published by the Free Software Foundation, either *version {version}* of the License, or (at your "
+                "option) any later version.")
+    library = "GNU Library General Public License"
+    add("LGPL-2.0", "copyleft", f"Licensed under the *{library}, version 2*.")
+    add("LGPL-2.0", "copyleft",
+        f"This library is free software; you can redistribute it and/or modify it under the terms of the *{library}* as published "
+        "by the Free Software Foundation; either *version 2* of the License, or (at your option) any later version.")
+    for short, long in _CREATIVE.items():
+        kind = "noncommercial" if "NC" in short else {"-SA": "copyleft", "-ND": "noderivatives"}.get(short, "permissive")
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            name = f"CC-BY{short}-{version}"
+            port = {"4.0": "International", "3.0": "Unported"}.get(version, "Generic")
+            add(name, kind, f"Licensed under *CC BY{short} {version}*.")
+            add(name, kind, f"This work is licensed under a *Creative Commons Attribution{long} {version}* {port} License.")
+            if "ND" in short:
+                older = long.replace("Derivatives", "Derivs")
+                add(name, kind, f"This work is licensed under a *Creative Commons Attribution{older} {version}* {port} License.")
+    for file, (mark, name, kind) in _WHOLE.items():
+        text = (Path(__file__).parent / "license_texts" / f"{file}.txt").read_text().replace("*", " ")
+        if mark not in text:
+            raise ValueError(f"{file}: {mark!r} is missing")
+        add(name, kind, text.replace(mark, f"*{mark}*", 1))
+        if file == "BSD":
+            start, end = text.index("3. Neither"), text.index("THIS SOFTWARE")
+            add("BSD-2-Clause", "permissive", text[:start] + text[end:])
+    for name, kind in list(TEMPLATES):
+        if name not in ("BSD", "Reserved"):
+            add(name, kind, f"SPDX-License-Identifier: *{name}*")
+
+
+_complete()
 
 _letter = np.zeros(256, bool)
 for _range in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
@@ -69,6 +184,8 @@ class Template:
     name: str
     kind: str
     words: tuple[int, ...]
+    #: Places (first, end) of the words that must be aligned to consecutive words.
+    required: tuple[tuple[int, int], ...] = ()
 
 
 def word_ids(text: str) -> list[int]:
@@ -79,7 +196,18 @@ def word_ids(text: str) -> list[int]:
 
 
 def templates(texts: dict[tuple[str, str], list[str]] = TEMPLATES) -> list[Template]:
-    return [Template(name, kind, tuple(word_ids(t))) for (name, kind), all_ in texts.items() for t in all_]
+    return [_template(name, kind, t) for (name, kind), all_ in texts.items() for t in all_]
+
+
+def _template(name: str, kind: str, text: str) -> Template:
+    words: list[int] = []
+    required = []
+    for k, part in enumerate(text.split("*")):
+        begin = len(words)
+        words += word_ids(part)
+        if k % 2:
+            required.append((begin, len(words)))
+    return Template(name, kind, tuple(words), tuple(required))
 
 
 def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -146,24 +274,55 @@ def patience(a: tuple[int, ...], b: tuple[int, ...]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _occurrences(words: np.ndarray, row: tuple[int, ...]) -> np.ndarray:
+    """Places at which the words of ``row`` stand in a row."""
+    at = np.flatnonzero(words == np.uint64(row[0]))
+    at = at[at + len(row) <= len(words)]
+    for k, w in enumerate(row[1:], 1):
+        at = at[words[at + k] == np.uint64(w)]
+    return at
+
+
+def _aligned(template: Template, window: tuple[int, ...], rows: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Patience alignment through the first places of the required words; empty if they do not stand in order."""
+    found: list[tuple[int, int]] = []
+    i = j = 0
+    for (first, end), row in zip(template.required, rows):
+        k = int(np.searchsorted(row, j))
+        if k == len(row) or row[k] + (end - first) > len(window):
+            return []
+        at = int(row[k])
+        found += [(i + p, j + q) for p, q in patience(template.words[i:first], window[j:at])]
+        found += [(first + n, at + n) for n in range(end - first)]
+        i, j = end, at + (end - first)
+    return found + [(i + p, j + q) for p, q in patience(template.words[i:], window[j:])]
+
+
 def matches(words: np.ndarray, template: Template, least: float = COVERAGE) -> list[tuple[int, int, float]]:
     """Places (first word, end, coverage) where a text covers at least that share of the template, from left to right.
 
     A place is a window a quarter longer than the template that begins with one of its words; a window with too few of
-    the template's words to reach the share is passed over. After a match the search goes on behind it.
+    the template's words to reach the share, or without its required words in a row, is passed over. After a match the search
+    goes on behind it.
     """
     size = len(template.words)
+    rows = [_occurrences(words, template.words[i:j]) for i, j in template.required]
+    if any(not len(r) for r in rows):
+        return []
     needed = int(np.ceil(least * size - 1e-9))
     width = size + max(2, size // 4)
     member = np.isin(words, np.array(template.words, np.uint64))
     sums = np.concatenate([[0], np.cumsum(member)])
     begins = np.flatnonzero(member)
     begins = begins[sums[np.minimum(begins + width, len(words))] - sums[begins] >= needed]
+    for (i, j), r in zip(template.required, rows):
+        at = np.searchsorted(r, begins)
+        begins = begins[(at < len(r)) & (r[np.minimum(at, len(r) - 1)] + (j - i) <= begins + width)]
     found, free = [], 0
     for begin in begins.tolist():
         if begin < free:
             continue
-        aligned = patience(template.words, tuple(words[begin : begin + width].tolist()))
+        aligned = _aligned(template, tuple(words[begin : begin + width].tolist()), [r - begin for r in rows])
         if len(aligned) >= needed and aligned:
             first, last = begin + aligned[0][1], begin + aligned[-1][1] + 1
             if first >= free:
@@ -188,7 +347,7 @@ def _scan_batches(all_: list[Template], least: float) -> Callable[[Batches], Bat
     """Per text the templates it covers. ``bound`` distinct words are needed of each: if a share ``least`` of its words is
     aligned, at most the rest of its words can be missing."""
     vocabulary = np.unique(np.array([w for t in all_ for w in t.words], np.uint64))
-    holds = np.zeros((len(vocabulary), len(all_)), np.int64)
+    holds = np.zeros((len(vocabulary), len(all_)), np.int16)
     for k, t in enumerate(all_):
         holds[np.searchsorted(vocabulary, np.array(sorted(set(t.words)), np.uint64)), k] = 1
     missing = [len(t.words) - int(np.ceil(least * len(t.words) - 1e-9)) for t in all_]
@@ -208,8 +367,9 @@ def _scan_batches(all_: list[Template], least: float) -> Callable[[Batches], Bat
                 pairs = np.unique(words.text_of()[at] * len(vocabulary) + place)
                 texts, which = np.divmod(pairs, len(vocabulary))
                 begins = np.searchsorted(texts, np.arange(len(part) + 1))
-                sums = np.concatenate([np.zeros((1, len(all_)), np.int64), np.cumsum(holds[which], axis=0)])
-                enough = sums[begins[1:]] - sums[begins[:-1]] >= bound
+                enough = np.zeros((len(part), len(all_)), bool)
+                for i in np.flatnonzero(begins[1:] - begins[:-1] >= bound.min()):
+                    enough[i] = holds[which[begins[i] : begins[i + 1]]].sum(axis=0, dtype=np.int64) >= bound
                 found: list[list[tuple[int, int, float, Template]]] = [[] for _ in range(len(part))]
                 for i, k in zip(*np.nonzero(enough)):
                     own = hashes[words.bounds[i] : words.bounds[i + 1]]

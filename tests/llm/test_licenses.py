@@ -77,3 +77,33 @@ def test_scan_equals_search_without_candidates(spark, documents):
 def test_odd_documents(spark, odd_documents, no_documents):
     assert licenses.license_scan(odd_documents).count() == odd_documents.count()
     assert licenses.license_scan(no_documents).count() == 0
+
+
+def test_versions_and_variants_are_told_apart(spark):
+    cases = {
+        "Licensed under CC BY-SA 4.0.": ("CC-BY-SA-4.0", True),
+        "Licensed under CC BY-ND 4.0.": ("CC-BY-ND-4.0", True),
+        "Licensed under CC BY 3.0.": ("CC-BY-3.0", False),
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.": ("CC-BY-NC-SA-3.0", True),
+        "This work is licensed under the GNU General Public License, version 2.": ("GPL-2.0", True),
+        "This work is licensed under the GNU General Public License, version 9.": ("", False),
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": ("LGPL-2.1", True),
+        "This work is licensed under the GNU Affero General Public License, version 3.": ("AGPL-3.0", True),
+        "Licensed under the Mozilla Public License, version 2.0.": ("MPL-2.0", True),
+        "Released under the ISC License.": ("ISC", False),
+        "Released under the XYZ License.": ("", False),
+        "Licensed under the Apache License, Version 1.1.": ("", False),
+        "SPDX-License-Identifier: CC0-1.0": ("CC0-1.0", False),
+    }
+    got = scan(spark, [f"some words before. {c} Some words behind." for c in cases])
+    assert {c: (got[i]["licenses"], got[i]["restricted"]) for i, c in enumerate(cases)} == cases
+
+
+def test_whole_texts_are_found_as_themselves():
+    folder = licenses.Path(licenses.__file__).parent / "license_texts"
+    all_ = licenses.templates()
+    for file, (_, name, _) in licenses._WHOLE.items():
+        words = licenses.np.array(licenses.word_ids((folder / f"{file}.txt").read_text()), licenses.np.uint64)
+        found = licenses.distinct_passages([(a, b, c, t) for t in all_ for a, b, c in licenses.matches(words, t)])
+        best = max(found, key=lambda f: f["words"])
+        assert (best["license"], best["coverage"]) == (name, 1.0), file
