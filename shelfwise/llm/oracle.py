@@ -112,3 +112,26 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
     + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id
 """
+
+OP11 = rf"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM worded GROUP BY lang),
+grams AS (SELECT lang, m, list_slice(w, i, i + m - 1) AS g
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM worded, range(1, 6) AS o(m) WHERE len(w) >= m)),
+frequent AS (SELECT lang, m, g, count(*)::HUGEINT AS f FROM grams GROUP BY lang, m, g HAVING count(*) >= 100),
+cuts AS (SELECT c.lang, c.m, c.g, c.f, k, x.f AS l, y.f AS r, 1000 * c.f * t.n // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM frequent WHERE m >= 2) c JOIN totals t ON t.lang = c.lang
+  JOIN frequent x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, k)
+  JOIN frequent y ON y.lang = c.lang AND y.g = list_slice(c.g, k + 1, c.m)),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (SELECT DISTINCT lang, f, list_slice(g, i, i + s - 1) AS g
+  FROM (SELECT lang, g, f, m, s, unnest(range(1, m - s + 2)) AS i FROM frequent, range(2, 5) AS o(s) WHERE m > s)),
+kept AS (SELECT * FROM lowest c WHERE NOT EXISTS
+  (SELECT 1 FROM inner_ i WHERE i.lang = c.lang AND i.g = c.g AND 100 * i.f >= 100 * c.f)),
+spelled AS (SELECT *, array_to_string(g, ' ') AS phrase FROM kept),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank FROM spelled)
+SELECT r.lang, r.rank::BIGINT AS rank, phrase, f::BIGINT AS a, l::BIGINT AS l, r.r::BIGINT AS r, t.n::BIGINT AS n,
+  score::BIGINT AS score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
\ No newline at end of file

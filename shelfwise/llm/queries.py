@@ -17,6 +17,7 @@ from shelfwise.llm import (
     mixing,
     neardup,
     oracle,
+    phrases,
     pseudonyms,
     quality,
     tokenfile,
@@ -94,6 +95,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans", "text_hash")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_quality": op1_line_quality,
@@ -106,6 +111,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pseudonyms": op8_pseudonyms,
         "op9_token_files": op9_token_files,
         "op10_decontamination": op10_decontamination,
+        "op11_collocations": op11_collocations,
     }
 
 
@@ -117,4 +123,5 @@ def all_sql() -> dict[str, str]:
         "op3_chat_format": oracle.OP3,
         "op5_mixing": oracle.OP5,
         "op10_decontamination": oracle.OP10,
+        "op11_collocations": oracle.OP11,
     }
