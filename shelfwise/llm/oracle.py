@@ -134,4 +134,32 @@ spelled AS (SELECT *, array_to_string(g, ' ') AS phrase FROM kept),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank FROM spelled)
 SELECT r.lang, r.rank::BIGINT AS rank, phrase, f::BIGINT AS a, l::BIGINT AS l, r.r::BIGINT AS r, t.n::BIGINT AS n,
   score::BIGINT AS score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
-"""
\ No newline at end of file
+"""
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+  lambda x: list_transform(range(0, 8), lambda k: ((ascii(x) >> k) & 1)::BIGINT)))),
+  lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))))"""
+
+OP13 = rf"""
+WITH numbered AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM numbered)),
+heads AS (SELECT i.conv_id, n.p, n.role, n.text FROM ids i JOIN numbered n ON n.conv_id = i.base AND n.p <= i.h),
+taken AS (SELECT conv_id, count(*) AS k FROM heads GROUP BY conv_id),
+turns AS (SELECT * FROM heads UNION ALL
+  SELECT n.conv_id, n.p - i.h + coalesce(k, 0), n.role, n.text FROM numbered n JOIN ids i ON i.conv_id = n.conv_id
+    LEFT JOIN taken t ON t.conv_id = n.conv_id WHERE n.p > i.h),
+paths AS (SELECT conv_id, p AS depth, length(text) AS chars,
+    list({{'role': role, 'text': text}}) OVER (PARTITION BY conv_id ORDER BY p) AS path FROM turns),
+members AS (SELECT conv_id, depth, chars, path FROM paths UNION ALL SELECT conv_id, 0, 0, [] FROM ids),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars FROM members GROUP BY path, depth),
+children AS (SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c USING (path)),
+below AS (SELECT list_slice(path, 1, k) AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM counted) GROUP BY 1),
+ends AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends
+  FROM (SELECT * FROM members QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY path)
+SELECT c.conv_id, c.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, c.n_convs, c.n_children, b.n_leaves::BIGINT AS n_leaves,
+  b.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM counted c JOIN below b USING (path) LEFT JOIN ends e USING (path)
+LEFT JOIN nodes u ON c.depth > 0 AND u.path = list_slice(c.path, 1, c.depth - 1)
+"""

@@ -22,6 +22,7 @@ from shelfwise.llm import (
     quality,
     tokenfile,
     toxicity,
+    trie,
 )
 from shelfwise.sources.storage import shared_dir
 
@@ -99,6 +100,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    return trie.trie_nodes(*trie.with_shared_heads(turns))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_quality": op1_line_quality,
@@ -112,6 +118,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_files": op9_token_files,
         "op10_decontamination": op10_decontamination,
         "op11_collocations": op11_collocations,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -124,4 +131,5 @@ def all_sql() -> dict[str, str]:
         "op5_mixing": oracle.OP5,
         "op10_decontamination": oracle.OP10,
         "op11_collocations": oracle.OP11,
+        "op13_prefix_trie": oracle.OP13,
     }
