@@ -13,6 +13,7 @@ from shelfwise.llm import (
     chat,
     classifier,
     decontamination,
+    editprint,
     licenses,
     mixing,
     neardup,
@@ -100,6 +101,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = trie.numbered_turns(table(spark, sf_dir, "conversations"))
     return trie.trie_nodes(*trie.with_shared_heads(turns))
@@ -118,6 +123,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_files": op9_token_files,
         "op10_decontamination": op10_decontamination,
         "op11_collocations": op11_collocations,
+        "op12_edit_fingerprints": op12_edit_fingerprints,
         "op13_prefix_trie": op13_prefix_trie,
     }
 
