@@ -220,8 +220,6 @@ def _count_phrases(orders: range, sieve: Sieve) -> Callable[[Batches], Batches]:
             for order in range(2, orders[-1] + 1):
                 holds = begins + order - 2 < len(pair)
                 holds[holds] = pair[begins[holds] + order - 2]
-                if order in orders:
-                    holds &= begins + order > repeated
                 begins, prefix = begins[holds], prefix[holds]
                 if not len(begins):
                     break
@@ -229,6 +227,9 @@ def _count_phrases(orders: range, sieve: Sieve) -> Callable[[Batches], Batches]:
                     prefix << 32 | ids[begins + order - 1], return_index=True, return_inverse=True, return_counts=True
                 )
                 if order in orders:
+                    if repeated:  # what lies in the repeated words has been counted in the part before
+                        counts = np.bincount(same[begins + order > repeated], minlength=len(keys))
+                        keys, first, counts = keys[counts > 0], first[counts > 0], counts[counts > 0]
                     spelled = [words.take(pa.array(ids[begins[first] + k])) for k in range(order)]
                     edges = np.append(np.flatnonzero(np.diff(keys >> 32, prepend=-1)), len(keys))
                     heads = pa.array(edges[:-1])
