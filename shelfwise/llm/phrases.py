@@ -5,14 +5,13 @@ merged element by element. The merged stripes hold all that the scores need: an
 entries' counts are the totals of the prefixes of the next order, and the largest entry of a stripe tells whether the
 prefix is always continued the same way. Words are compared as bytes, never by hash.
 
-Three passes over the texts count words, pairs, and phrases of three to five words. A phrase can only be frequent if the
-words and pairs in it are, so from the second pass on a bitmap of fixed size (a hash of what was frequent before) passes
-over most others. The bitmap only saves work: a false hit costs a row that the count drops.
+One pass over the texts counts words and pairs, another phrases of three to five words. A phrase can only be frequent if the
+pairs in it are, so the second pass leaves out most others by a bitmap of fixed size, a hash of the frequent pairs. The
+bitmap only saves work: a false hit costs an entry that the count drops.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,14 +28,15 @@ from shelfwise.sources.storage import write_once
 LEAST, LONGEST, TOP = 100, 5, 2000
 UNKNOWN = "und"
 
-#: Bytes of text whose words are counted together, and entries that one stripe holds at most.
-_CHUNK_BYTES, _STRIPE = 8 << 20, 4096
+#: Bytes of text whose words are counted together, and entries of stripes that one row holds.
+_CHUNK_BYTES, _ROW_ENTRIES = 8 << 20, 4096
 #: Words a task remembers; beyond that it forgets them and starts again.
 _KNOWN_WORDS = 1_000_000
 #: Bits of the bitmap: 64 for every frequent phrase, but no more than this (8 MB), whatever the corpus.
 _MOST_BITS = 1 << 26
 
-_STRIPES = "lang string, prefix string, next array<string>, counts array<bigint>"
+#: A row holds stripes one after the other, the prefix beside each of its next words.
+_STRIPES = "lang string, prefix array<string>, next array<string>, counts array<bigint>"
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
 
@@ -155,23 +155,10 @@ def _parts(batches: Batches, longest: int) -> Iterator[tuple[str, bytes, int]]:
         yield one, b"\n".join(texts), 0
 
 
-def _stripe_batch(lang: str, prefixes: pa.Array, lengths: np.ndarray, following: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-    langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(lengths), np.int32)))
-    lists = [pa.ListArray.from_arrays(offsets, x) for x in (following, pa.array(counts, pa.int64()))]
-    return pa.RecordBatch.from_arrays([langs, prefixes, *lists], ["lang", "prefix", "next", "counts"])
-
-
-def _count_words(batches: Batches) -> Batches:
-    """The stripes of the empty prefix, and per language one without a prefix that counts all words."""
-    for lang, raw, _ in _parts(batches, 1):
-        found = Counter(raw.split())
-        counts = np.fromiter(found.values(), np.int64, len(found))
-        words = pa.array(list(found), pa.binary()).cast(pa.string())
-        lengths = np.diff([*range(0, len(found), _STRIPE), len(found)])
-        prefixes = pa.array([""] * len(lengths), pa.string())
-        yield _stripe_batch(lang, prefixes, lengths, words, counts)
-        yield _stripe_batch(lang, pa.array([None], pa.string()), np.ones(1, int), pa.array([""]), counts.sum(keepdims=True))
+def _stripe_rows(lang: str, prefixes: pa.Array, following: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    bounds = np.append(np.arange(0, len(counts), _ROW_ENTRIES), len(counts)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(bounds), x) for x in (prefixes, following, pa.array(counts, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array([lang] * (len(bounds) - 1), pa.string()), *lists], ["lang", "prefix", "next", "counts"])
 
 
 class _Numbers(dict):
@@ -187,10 +174,10 @@ class _Numbers(dict):
         return number
 
 
-def _count_phrases(orders: range, sieve: Sieve) -> Callable[[Batches], Batches]:
-    """Stripes of all phrases of the given numbers of words whose parts are in the sieve.
+def _count_phrases(orders: range, sieve: Sieve | None = None) -> Callable[[Batches], Batches]:
+    """Stripes of all phrases of the given numbers of words, of those whose pairs are in the sieve.
 
-    The parts are single words for pairs and pairs for longer phrases.
+    Words follow the empty prefix; an entry without a prefix counts all words of a language.
     """
 
     def run(batches: Batches) -> Batches:
@@ -202,19 +189,19 @@ def _count_phrases(orders: range, sieve: Sieve) -> Callable[[Batches], Batches]:
             ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
             del tokens
             ids = np.append(ids[ids != -2], -1)
-            new = numbers.words[len(hashes) :]
-            hashes = np.concatenate([hashes, np.fromiter(map(_word_hash, new), _U, len(new))])
-            if not len(hashes):
-                continue
-            seed, both = _seed(lang), (ids[:-1] >= 0) & (ids[1:] >= 0)
-            if orders[0] == 2:
-                known = sieve(_fold(seed, [hashes]))
-                pair = both & known[ids[:-1]] & known[ids[1:]]
-            else:
-                at = np.flatnonzero(both)
-                pair = np.zeros(len(both), bool)
-                pair[at] = sieve(_fold(seed, [hashes[ids[at]], hashes[ids[at + 1]]]))
             words = pa.array(numbers.words, pa.binary()).cast(pa.string())
+            if 1 in orders:
+                counts = np.bincount(ids[repeated:][ids[repeated:] >= 0], minlength=1)
+                found = np.flatnonzero(counts)
+                prefixes = pa.array([None, ""], pa.string()).take(pa.array(np.append(0, np.ones(len(found), int))))
+                spelled = pa.concat_arrays([pa.array([""]), words.take(pa.array(found))])
+                yield _stripe_rows(lang, prefixes, spelled, np.append(counts.sum(), counts[found]))
+            pair = (ids[:-1] >= 0) & (ids[1:] >= 0)
+            if sieve is not None:
+                new = numbers.words[len(hashes) :]
+                hashes = np.concatenate([hashes, np.fromiter(map(_word_hash, new), _U, len(new))])
+                at = np.flatnonzero(pair)
+                pair[at] = sieve(_fold(_seed(lang), [hashes[ids[at]], hashes[ids[at + 1]]]))
             # Where phrases of the order begin, and for each the number of its words but the last.
             begins, prefix = np.arange(len(pair)), ids[:-1]
             for order in range(2, orders[-1] + 1):
@@ -226,17 +213,16 @@ def _count_phrases(orders: range, sieve: Sieve) -> Callable[[Batches], Batches]:
                 keys, first, same, counts = np.unique(
                     prefix << 32 | ids[begins + order - 1], return_index=True, return_inverse=True, return_counts=True
                 )
-                if order in orders:
-                    if repeated:  # what lies in the repeated words has been counted in the part before
-                        counts = np.bincount(same[begins + order > repeated], minlength=len(keys))
-                        keys, first, counts = keys[counts > 0], first[counts > 0], counts[counts > 0]
-                    spelled = [words.take(pa.array(ids[begins[first] + k])) for k in range(order)]
-                    edges = np.append(np.flatnonzero(np.diff(keys >> 32, prepend=-1)), len(keys))
-                    heads = pa.array(edges[:-1])
-                    prefixes = [w.take(heads) for w in spelled[:-1]]
-                    joined = pc.binary_join_element_wise(*prefixes, " ") if order > 2 else prefixes[0]
-                    yield _stripe_batch(lang, joined, np.diff(edges), spelled[-1], counts)
                 prefix = same
+                if order not in orders:
+                    continue
+                if repeated:  # what lies in the repeated words has been counted in the part before
+                    counts = np.bincount(same[begins + order > repeated], minlength=len(keys))
+                    first, counts = first[counts > 0], counts[counts > 0]
+                spelled = [words.take(pa.array(ids[begins[first] + k])) for k in range(order)]
+                prefixes = pc.binary_join_element_wise(*spelled[:-1], " ") if order > 2 else spelled[0]
+                yield _stripe_rows(lang, prefixes, spelled[-1], counts)
+
     return run
 
 
@@ -246,8 +232,8 @@ def _merged(stripes: DataFrame, least: int) -> DataFrame:
     An element, not a stripe, is the unit that is moved, so a prefix that a third of all words follow is no task's burden.
     """
     return (
-        stripes.select("lang", "prefix", F.explode(F.arrays_zip("next", "counts")).alias("entry"))
-        .groupBy("lang", "prefix", F.col("entry.next").alias("next"))
+        stripes.select("lang", F.explode(F.arrays_zip("prefix", "next", "counts")).alias("entry"))
+        .groupBy("lang", F.col("entry.prefix").alias("prefix"), F.col("entry.next").alias("next"))
         .agg(F.sum("entry.counts").alias("f"))
         .filter((F.col("f") >= least) | F.col("prefix").isNull())
     )
@@ -291,17 +277,16 @@ def collocations(
     of every order are written tables.
     """
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    counted = write_once(_merged(texts.mapInArrow(_count_words, _STRIPES), least), "phrases")
+    short = range(1, min(longest, 2) + 1)
+    counted = write_once(_merged(texts.mapInArrow(_count_phrases(short), _STRIPES), least), "phrases")
     totals = counted.filter("prefix is null").select("lang", F.col("f").alias("n"))
     empty = F.array().cast("array<bigint>")
-    words = counted.filter("prefix is not null").select(
+    words = counted.filter("prefix = ''").select(
         "lang", F.col("next").alias("phrase"), "f", empty.alias("firsts"), empty.alias("rests")
     )
     by_order = [words]
     if longest >= 2:
-        pairs = write_once(
-            _merged(texts.mapInArrow(_count_phrases(range(2, 3), sieve_of(words)), _STRIPES), least), "phrases"
-        )
+        pairs = counted.filter("prefix <> ''")
         by_order.append(write_once(_totals_of_parts(pairs, words), "phrase-parts"))
     if longest >= 3:
         passing = _count_phrases(range(3, longest + 1), sieve_of(by_order[1]))

@@ -244,21 +244,28 @@ def subtree_totals(nodes: DataFrame) -> DataFrame:
         "tree",
     )
     is_leaf = F.when(F.col("n_children") == 0, 1).otherwise(0).cast("bigint")
-    tree = counted.select("id", "parent", "n_children", is_leaf.alias("leaves"), F.col("own").alias("saved"))
+    none = F.lit(0).cast("bigint")
+    # What a node holds by now, and what compressed nodes between it and its parent hold besides.
+    tree = counted.select(
+        "id", "parent", "n_children", is_leaf.alias("leaves"), F.col("own").alias("saved"),
+        none.alias("up_leaves"), none.alias("up_saved"),
+    )
     raked, compressed = [], []
     while True:
-        leaves = tree.filter("n_children = 0").select("id", "leaves", "saved")
-        raked.append(leaves)
+        raked.append(tree.filter("n_children = 0").select("id", "leaves", "saved"))
         # What each inner node gets from its leaves, how many other children it has, and one of these.
+        leaf = F.col("n_children") == 0
         below = tree.filter("parent is not null").groupBy(F.col("parent").alias("of")).agg(
-            F.coalesce(F.sum(F.when(F.col("n_children") == 0, F.col("leaves"))), F.lit(0)).alias("more_leaves"),
-            F.coalesce(F.sum(F.when(F.col("n_children") == 0, F.col("saved"))), F.lit(0)).alias("more_saved"),
-            F.count_if(F.col("n_children") > 0).alias("n"),
-            F.min(F.when(F.col("n_children") > 0, F.col("id"))).alias("child"),
+            F.sum(F.when(leaf, F.col("leaves") + F.col("up_leaves")).otherwise(none)).alias("more_leaves"),
+            F.sum(F.when(leaf, F.col("saved") + F.col("up_saved")).otherwise(none)).alias("more_saved"),
+            F.count_if(~leaf).alias("n"),
+            F.min(F.when(~leaf, F.col("id"))).alias("child"),
+            F.sum(F.when(leaf, none).otherwise(F.col("up_leaves"))).alias("child_leaves"),
+            F.sum(F.when(leaf, none).otherwise(F.col("up_saved"))).alias("child_saved"),
         )
         inner, rows = _held(
             tree.filter("n_children > 0").join(below, F.col("id") == F.col("of")).select(
-                "id", "parent", F.col("n").alias("n_children"), "child",
+                "id", "parent", F.col("n").alias("n_children"), "child", "child_leaves", "child_saved", "up_leaves", "up_saved",
                 (F.col("leaves") + F.col("more_leaves")).alias("leaves"), (F.col("saved") + F.col("more_saved")).alias("saved"),
             ),
             "raked",
@@ -266,21 +273,28 @@ def subtree_totals(nodes: DataFrame) -> DataFrame:
         if not rows:
             break
         unary = inner.filter("n_children = 1")
-        chains = _chain_ends(unary.select("id", "child", "leaves", "saved"))
+        chains = _chain_ends(
+            unary.select("id", "child", (F.col("leaves") + F.col("child_leaves")).alias("leaves"),
+                         (F.col("saved") + F.col("child_saved")).alias("saved"))
+        )
         compressed.append(chains)
-        # The first node of a chain hands its parent on to the chain's end.
+        # The first node of a chain hands its parent and all that the chain holds on to the chain's end.
         within = unary.select(F.col("id").alias("unary_id"))
         firsts = (
-            unary.select("id", "parent")
+            unary.select("id", "parent", "up_leaves", "up_saved")
             .join(within, F.col("parent") == F.col("unary_id"), "left_anti")
-            .join(chains.select("id", F.col("end").alias("below")), "id")
-            .select("below", F.col("parent").alias("above"), F.lit(True).alias("moved"))
-        )
+            .join(chains.select("id", F.col("end").alias("below"), "leaves", "saved"), "id")
+            .select(
+                "below", F.col("parent").alias("above"), F.lit(True).alias("moved"),
+                (F.col("up_leaves") + F.col("leaves")).alias("new_leaves"), (F.col("up_saved") + F.col("saved")).alias("new_saved"),
+            )
+        )
         tree, _ = _held(
             inner.filter("n_children <> 1")
             .join(firsts, F.col("id") == F.col("below"), "left")
             .select("id", F.when(F.col("moved"), F.col("above")).otherwise(F.col("parent")).alias("parent"),
-                    "n_children", "leaves", "saved"),
+                    "n_children", "leaves", "saved", F.coalesce("new_leaves", "up_leaves").alias("up_leaves"),
+                    F.coalesce("new_saved", "up_saved").alias("up_saved")),
             "compressed",
         )
     totals = raked.pop()

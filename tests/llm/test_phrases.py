@@ -87,9 +87,8 @@ def test_long_texts_in_parts_count_every_phrase_once(monkeypatch, limit):
     def counted(stripes):
         total = Counter()
         for b in stripes:
-            for prefix, following, counts in zip(*(b.column(c).to_pylist() for c in ("prefix", "next", "counts"))):
-                for word, n in zip(following, counts):
-                    total[(prefix, word)] += n
+            for prefix, word, n in zip(*(b.column(c).flatten().to_pylist() for c in ("prefix", "next", "counts"))):
+                total[(prefix, word)] += n
         return total
 
     want = {order: Counter() for order in range(1, 6)}
@@ -97,10 +96,9 @@ def test_long_texts_in_parts_count_every_phrase_once(monkeypatch, limit):
         for order in want:
             for i in range(len(words) - order + 1):
                 want[order][" ".join(words[i : i + order - 1]), words[i + order - 1]] += 1
-    assert counted(phrases._count_phrases(range(2, 3), ALL)(iter([batch]))) == want[2]
+    short = counted(phrases._count_phrases(range(1, 3))(iter([batch])))
+    assert short.pop((None, "")) == sum(want[1].values()) and short == want[1] + want[2]
     assert counted(phrases._count_phrases(range(3, 6), ALL)(iter([batch]))) == want[3] + want[4] + want[5]
-    words = counted(phrases._count_words(iter([batch])))
-    assert words.pop((None, "")) == sum(want[1].values()) and words == want[1]
 
 
 def test_a_full_sieve_changes_nothing(spark, monkeypatch):
@@ -115,5 +113,5 @@ def test_odd_and_empty_tables(odd_documents, no_documents):
     short = [d for d in docs if len(d[1] or "") < 1000]
     found = phrases.collocations(odd_documents.filter("length(text) < 1000 or text is null"), least=2)
     assert sorted(tuple(r) for r in found.collect()) == brute(short, 2, 2000)
-    assert phrases.collocations(odd_documents, least=40).count() > 0
+    assert phrases.collocations(odd_documents, least=2).count() > 0
     assert phrases.collocations(no_documents).collect() == []
