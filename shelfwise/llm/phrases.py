@@ -28,10 +28,10 @@ from shelfwise.sources.storage import write_once
 LEAST, LONGEST, TOP = 100, 5, 2000
 UNKNOWN = "und"
 
-#: Bytes of text whose words are counted together, and entries of stripes that one row holds.
-_CHUNK_BYTES, _ROW_ENTRIES = 8 << 20, 4096
+#: Bytes of text whose words are counted together, entries of stripes that one row holds, and rows handed on at once.
+_CHUNK_BYTES, _ROW_ENTRIES, _BATCH_ROWS = 3 << 20, 4096, 16
 #: Words a task remembers; beyond that it forgets them and starts again.
-_KNOWN_WORDS = 1_000_000
+_KNOWN_WORDS = 250_000
 #: Bits of the bitmap: 64 for every frequent phrase, but no more than this (8 MB), whatever the corpus.
 _MOST_BITS = 1 << 26
 
@@ -155,10 +155,13 @@ def _parts(batches: Batches, longest: int) -> Iterator[tuple[str, bytes, int]]:
         yield one, b"\n".join(texts), 0
 
 
-def _stripe_rows(lang: str, prefixes: pa.Array, following: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+def _stripe_rows(lang: str, prefixes: pa.Array, following: pa.Array, counts: np.ndarray) -> Batches:
     bounds = np.append(np.arange(0, len(counts), _ROW_ENTRIES), len(counts)).astype(np.int32)
     lists = [pa.ListArray.from_arrays(pa.array(bounds), x) for x in (prefixes, following, pa.array(counts, pa.int64()))]
-    return pa.RecordBatch.from_arrays([pa.array([lang] * (len(bounds) - 1), pa.string()), *lists], ["lang", "prefix", "next", "counts"])
+    langs = pa.array([lang] * (len(bounds) - 1), pa.string())
+    rows = pa.RecordBatch.from_arrays([langs, *lists], ["lang", "prefix", "next", "counts"])
+    for first in range(0, rows.num_rows, _BATCH_ROWS):
+        yield rows.slice(first, _BATCH_ROWS)
 
 
 class _Numbers(dict):
@@ -195,7 +198,7 @@ def _count_phrases(orders: range, sieve: Sieve | None = None) -> Callable[[Batch
                 found = np.flatnonzero(counts)
                 prefixes = pa.array([None, ""], pa.string()).take(pa.array(np.append(0, np.ones(len(found), int))))
                 spelled = pa.concat_arrays([pa.array([""]), words.take(pa.array(found))])
-                yield _stripe_rows(lang, prefixes, spelled, np.append(counts.sum(), counts[found]))
+                yield from _stripe_rows(lang, prefixes, spelled, np.append(counts.sum(), counts[found]))
             pair = (ids[:-1] >= 0) & (ids[1:] >= 0)
             if sieve is not None:
                 new = numbers.words[len(hashes) :]
@@ -221,7 +224,7 @@ def _count_phrases(orders: range, sieve: Sieve | None = None) -> Callable[[Batch
                     first, counts = first[counts > 0], counts[counts > 0]
                 spelled = [words.take(pa.array(ids[begins[first] + k])) for k in range(order)]
                 prefixes = pc.binary_join_element_wise(*spelled[:-1], " ") if order > 2 else spelled[0]
-                yield _stripe_rows(lang, prefixes, spelled[-1], counts)
+                yield from _stripe_rows(lang, prefixes, spelled[-1], counts)
 
     return run
 

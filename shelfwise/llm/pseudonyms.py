@@ -17,7 +17,8 @@ from shelfwise.llm.naming import fresh
 
 ROUNDS = 8
 # The notations that are recognised.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# Repeated groups are bounded, for the engine goes one level deeper with every repetition: a host name has 127 labels at most.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}"
 SECRET = r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|secret|token|api_key)\s?[=:]\s?\"?)[A-Za-z0-9_+/-]{8,}"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.]*\d)"
 DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d)"
@@ -37,6 +38,8 @@ PHONE = (
     # Abroad: 5 to 14 digits; behind the fifth, what looks like another kind is not taken in.
     rf"|(?<!\w){_ABROAD}(?:[ ./()-]{{0,2}}+\d){{5}}(?:(?:[ ./()-]{{1,2}}+(?!{IP}|{DATE}|{SSN}|{CARD}))?\d){{0,9}}(?!\d)"
 )
+#: What the first four digits of a card say of its issuer.
+ISSUER = r"^(?:4|5[0-8]|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)|3(?:0[0-5]|[4-9])|6[0-7])"
 #: In the order in which they are tried at a place in the text.
 KINDS = {"email": EMAIL, "secret": SECRET, "ip": IP, "date": DATE, "ssn": SSN, "card": CARD, "phone": PHONE}
 ANY = "|".join(KINDS.values())
@@ -116,13 +119,15 @@ def _split_digits(digits: Column, left: Column, key: str, kind: str) -> Column:
 
 
 def _card(text: Column, key: str) -> Column:
-    """Cards valid by Luhn's check: all digits but the last are permuted, the last is the new check digit."""
+    """Cards whose first digits are an issuer's and that Luhn's check finds valid. The first four digits stay, so that the
+    issuer does; the last is the new check digit, and all between are permuted."""
 
     def changed(digits: Column) -> Column:
         size = F.length(digits)
-        valid = _luhn_sum(digits, size % 2 == 0) % 10 == 0
-        body = _split_digits(F.substring(digits, F.lit(1), size - 1), F.floor((size - 1) / 2).cast("int"), key, "card")
+        valid = digits.rlike(ISSUER) & (_luhn_sum(digits, size % 2 == 0) % 10 == 0)
+        middle = _split_digits(F.substring(digits, F.lit(5), size - 5), F.floor((size - 5) / 2).cast("int"), key, "card")
         check = lambda b: ((10 - _luhn_sum(b, size % 2 == 0) % 10) % 10).cast("string")
+        body = F.concat(F.substring(digits, F.lit(1), F.lit(4)), middle)
         new = _let(_let(body, lambda b: F.concat(b, check(b))), lambda d: _into(text, d))
         return F.when(valid, new)
 

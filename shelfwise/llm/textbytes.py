@@ -18,8 +18,10 @@ CHUNK_ROWS = 2000
 HASH_BITS = 52
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)  # odd, so that powers can be inverted modulo 2**64
-_UNBASE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_GOLDEN = _U(0x9E3779B97F4A7C15)
+#: Spans are hashed by two polynomials modulo this prime. (Modulo a power of two, some strings collide whatever the base.)
+_PRIME = (1 << 31) - 1
+_BASES = (0x4F1BBCDD, 0x2C9277B5)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,7 +31,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=_U))
+#: What each byte counts in either polynomial.
+_BYTE_VALUES = [mix(np.arange(1, 257, dtype=_U) + _U(k << 32)) % _U(_PRIME - 1) + _U(1) for k in range(2)]
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
@@ -40,16 +43,24 @@ _lower[ord("A") : ord("Z") + 1] += 32
 #: Byte table that lower-cases A-Z and leaves everything else.
 LOWER = _lower
 
-_powers = [np.ones(1, _U), np.ones(1, _U)]
+#: Powers of either base and of its inverse, as far as any chunk has needed them.
+_powers = [[np.ones(1, np.uint32), np.ones(1, np.uint32)] for _ in _BASES]
 
 
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < size:
-        for i, base in enumerate((_BASE, _UNBASE)):
-            steps = np.full(max(size, CHUNK_BYTES + 1), base, _U)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0][:size], _powers[1][:size]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Residues modulo the prime (or the prime for 0) of integers below 2**62."""
+    x = (x & _U(_PRIME)) + (x >> _U(31))
+    return (x & _U(_PRIME)) + (x >> _U(31))
+
+
+def _power_tables(lane: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[lane][0]) < size:
+        for i, base in enumerate((_BASES[lane], pow(_BASES[lane], -1, _PRIME))):
+            table = np.ones(1, _U)
+            while len(table) < max(size, CHUNK_BYTES + 1):
+                table = np.concatenate([table, _reduced(table * _U(pow(base, len(table), _PRIME)))])
+            _powers[lane][i] = table.astype(np.uint32)
+    return _powers[lane][0][:size], _powers[lane][1][:size]
 
 
 @dataclass
@@ -128,13 +139,19 @@ class SpanHasher:
     """64-bit hashes of byte spans, equal for equal bytes wherever they stand; the bytes are summed up once."""
 
     def __init__(self, data: np.ndarray):
-        up, self._down = _power_tables(len(data) + 1)
-        self._sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=self._sums[1:])
+        self._lanes = []
+        for lane, values in enumerate(_BYTE_VALUES):
+            up, down = _power_tables(lane, len(data) + 1)
+            sums = np.zeros(len(data) + 1, _U)
+            np.cumsum(_reduced(values[data] * up[: len(data)]), out=sums[1:])
+            self._lanes.append((sums, down))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        sums = (self._sums[ends] - self._sums[starts]) * self._down[starts]
-        return mix(sums + (ends - starts).astype(_U))
+        hashed = (ends - starts).astype(_U)
+        for sums, down in self._lanes:
+            at_start = _reduced(_reduced(sums[ends] - sums[starts]) * down[starts])
+            hashed = mix(hashed + _GOLDEN) ^ np.where(at_start == _U(_PRIME), _U(0), at_start)
+        return mix(hashed)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -149,7 +166,7 @@ def window_hashes(hashes: np.ndarray, words: Words, width: int) -> tuple[np.ndar
         return np.zeros(0, _U), np.zeros(0, np.int64)
     combined = hashes[: total - width + 1].copy()
     for k in range(1, width):
-        combined = mix(combined + _BASE) + hashes[k : total - width + 1 + k]
+        combined = mix(combined + _GOLDEN) + hashes[k : total - width + 1 + k]
     valid = np.ones(total - width + 1, bool)
     # A window must not begin in the last width-1 words of its text.
     for back in range(1, width):
@@ -178,7 +195,7 @@ def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray, np.n
             h = hashes[words.bounds[i] : words.bounds[i + 1]]
             folded = h[:1].copy()
             for k in range(1, len(h)):
-                folded = mix(folded + _BASE) + h[k]
+                folded = mix(folded + _GOLDEN) + h[k]
             whole.append(int(mix(folded + _U(len(h)))[0]))
         values = np.concatenate([values, np.array(whole, _U)])
         owner = np.concatenate([owner, short])

@@ -5,7 +5,7 @@ import pytest
 SMALL = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(60_000)) + "."
 #: Texts that every operator must take: null, empty, blank, short, odd characters, very long.
-ODD_TEXTS = [None, "", " \n\t ", "one", "a b c", "Ünïcödé \U0001f600 中文   x y", "<|im_end|> <\\|a|b", "x" * 100_000, LONG]
+ODD_TEXTS = [None, "", " \n\t ", "one", "a b c", "Ünïcödé \U0001f600 中文   x y", "<|im_end|> <\\|a|b", "x" * 100_000, LONG, f"x@{'b.' * 2000}com"]
 
 
 @pytest.fixture(scope="session")

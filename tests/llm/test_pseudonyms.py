@@ -31,7 +31,7 @@ def luhn(digits):
 
 
 def card(rng, size=16):
-    body = "".join(rng.choice("0123456789") for _ in range(size - 1))
+    body = "4" + "".join(rng.choice("0123456789") for _ in range(size - 2))
     return body + str(next(c for c in range(10) if luhn(body + str(c)) == 0))
 
 
@@ -94,8 +94,8 @@ def test_pseudonyms_equal_the_brute_force_network(spark):
     cards, hosts = [card(rng) for _ in range(40)], [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(40)]
     got = replaced(spark, [f"{c} {h}" for c, h in zip(cards, hosts)])
     for i, (c, h) in enumerate(zip(cards, hosts)):
-        x, y = forward(int(c[:7]), int(c[7:15]), 10**7, 10**8, "card")
-        body = f"{x:07d}{y:08d}"
+        x, y = forward(int(c[4:9]), int(c[9:15]), 10**5, 10**6, "card")
+        body = f"{c[:4]}{x:05d}{y:06d}"
         p = [int(o) for o in h.split(".")]
         u, v = forward(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, "ip")
         check = next(k for k in range(10) if luhn(body + str(k)) == 0)
@@ -159,3 +159,37 @@ def test_long_mail_names_and_keys_without_digits(spark):
     assert got[0]["n_email"] == 1 and re.fullmatch(r"to [a-z]{6}-[a-z]{200}@example\.com now", got[0]["text"])
     assert "abcdefghij" not in got[0]["text"]
     assert got[1]["n_secret"] == 1 and "ABCDEFGHIJKLMNOP" not in got[1]["text"]
+
+
+def test_no_text_is_too_much_for_a_pattern(spark):
+    n = 100_000
+    texts = [f"x@{'b.' * n}com", "a" * n + "@x.com", "a@" * n, f"a@{'b-' * n}.com", "1." * n, "1-" * n, "1 " * n, "(" * n, "1" * n,
+             "4111 1111 1111 1111 " * (n // 20), "+44 (0)" * (n // 7), "+44" + " 1" * n, "+1" + "( 1" * n, "password=" * (n // 9),
+             "password=" + "a" * n, "AKIA" * (n // 4), "2020-01-" * (n // 8), "12/" * (n // 3), "123-45-" * (n // 7), "@." * n]
+    found = replaced(spark, texts)
+    assert len(found) == len(texts)
+    assert all(len(r["text"]) == len(texts[i]) or "2020" in texts[i] for i, r in found.items())
+    assert found[1]["n_email"] == 1 and found[9]["n_card"] == n // 20 and found[14]["n_secret"] == 1
+
+
+def test_hosts_of_many_labels(spark):
+    name = "someone@" + "ab." * 120 + "example.org"
+    row = replaced(spark, [f"to {name}, or x@a..org, x@a.b.c"])[0]
+    assert row["n_email"] == 1 and row["text"].endswith("@" + name.split("@")[1] + ", or x@a..org, x@a.b.c")
+
+
+def test_numbers_of_no_issuer_are_no_cards(spark):
+    rng = random.Random(9)
+    issued = ["4111", "5100", "5500", "2221", "2720", "3005", "3400", "3700", "3528", "6011", "6500", "6212"]
+    others = ["0111", "1234", "2220", "2721", "2100", "3100", "3306", "5900", "6800", "7317", "8100", "9492"]
+
+    def valid(prefix):
+        body = prefix + "".join(rng.choice("0123456789") for _ in range(11))
+        return body + str(next(c for c in range(10) if luhn(body + str(c)) == 0))
+
+    numbers = [valid(p) for p in issued + others]
+    found = replaced(spark, [f"pay {n} now" for n in numbers])
+    assert [found[i]["n_card"] for i in range(len(numbers))] == [1] * len(issued) + [0] * len(others)
+    for i in range(len(issued)):
+        new = found[i]["text"].split()[1]
+        assert new != numbers[i] and new[:4] == numbers[i][:4] and luhn(new) == 0

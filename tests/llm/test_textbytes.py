@@ -65,3 +65,27 @@ def test_slices_nulls_and_types_of_columns():
         assert [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])] == [b"", b"", b"cde"]
     assert [len(p) for p in chunks(pa.array([], pa.string()))] == []
     assert np.diff(as_bytes(pa.chunked_array([column, column]))[1]).tolist() == [2, 0, 0, 3] * 2
+
+
+def thue_morse(n):
+    """A string of a and b, and its complement: polynomials modulo a power of two hash both alike, whatever the base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_strings_made_to_collide_have_different_hashes():
+    for n in (1024, 2048, 4096):
+        one, other = thue_morse(n)
+        data = np.frombuffer((one + other + one).encode(), np.uint8)
+        hashes = SpanHasher(data)(np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n]))
+        assert hashes[0] == hashes[2] != hashes[1]
+        values, bounds, _ = shingle_sets(next(chunks(pa.array([one, other]))), 4)
+        assert values[0] != values[1] and bounds.tolist() == [0, 1, 2]
+
+
+def test_hashes_tell_all_short_strings_apart():
+    data = np.frombuffer(b"".join(bytes([a, b]) for a in range(256) for b in range(256)), np.uint8)
+    starts = np.arange(0, len(data), 2)
+    assert len(np.unique(SpanHasher(data)(starts, starts + 2))) == 65536
+    ones = SpanHasher(np.zeros(1000, np.uint8))(np.zeros(1000, int), np.arange(1000))
+    assert len(np.unique(ones)) == 1000

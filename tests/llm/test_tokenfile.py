@@ -73,3 +73,26 @@ def test_frequent_ids_are_short(spark, documents):
     assert blocks["bytes"] < 1.6 * blocks["n"]
     ranks = [r["n"] for r in spark.read.parquet(f"{folder}/ranks").orderBy("rank").collect()]
     assert ranks == sorted(ranks, reverse=True)
+
+
+def test_strings_made_to_collide(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    texts = [one, one.translate(str.maketrans("ab", "ba")), f"x {one} y"]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1))
+
+
+def test_long_texts_are_cut_between_pieces(spark, documents, monkeypatch):
+    text = " \u3000 ".join(r["text"] or "" for r in documents.limit(30).collect()) + "<|endoftext|> <|endoftext|>\xa0\n"
+    want = TOKENIZER.encode(text, add_special_tokens=False).ids
+    encoder = tokenfile.PieceEncoder(VOCABULARY)
+    for size in (1, 100, 10_000):
+        parts = list(tokenfile.slices(text, size))
+        assert "".join(parts) == text and len(parts) > 1
+        assert np.frombuffer(b"".join(encoder(parts)), "<u4").tolist() == want
+
+
+def test_ids_that_do_not_tell_the_ends_of_pieces(monkeypatch):
+    encoder = tokenfile.PieceEncoder(VOCABULARY)
+    encoder.bytes_of[:] = 1  # as if the vocabulary were another
+    for text in HARD:
+        assert np.frombuffer(encoder([text])[0], "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
