@@ -12,7 +12,6 @@ frequency in the corpus, so most take one byte; the ranks' meaning lies in a tab
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -21,22 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.textbytes import as_bytes
+from shelfwise.llm.textbytes import Texts, as_bytes, chunks, span_hashes
 from shelfwise.sources.storage import write_once
 
 END_ID = 0
-#: Characters that are encoded together.
-_ENCODE_CHARS = 1 << 20
-#: Distinct pieces a task remembers; beyond that it forgets all but those of the texts at hand.
-_MEMO_PIECES = 600_000
+#: Bytes of text that are encoded together; a longer text is encoded alone.
+_ENCODE_BYTES = 1 << 20
+#: Distinct pieces a worker remembers, about 50 bytes each; beyond that it forgets all and starts again.
+_MEMO_PIECES = 2_000_000
 _BLOCK_TOKENS = 1 << 18
 
-# Fixed value: the white space of Unicode, which the tokenizer's split pattern goes by.
-_SPACE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_CUT = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
-#: A piece that may stand among others in one text: it begins with white space and does not end with it.
-_INNER = re.compile(f"[{_SPACE}]+[^{_SPACE}]+")
+_ascii_space = np.zeros(256, bool)
+_ascii_space[[0x20, *range(0x09, 0x0E)]] = True
 #: Pieces that go through the tokenizer as one text.
 _JOINED = 200
 
@@ -47,68 +42,140 @@ _BLOCKS = (
 _DECODED = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def slices(text: str, size: int) -> Iterator[str]:
-    """A text in parts of about ``size`` characters, cut where pieces begin."""
-    start = 0
-    while len(text) - start > size:
-        cut = _CUT.search(text, start + size)
-        if cut is None:
-            break
-        yield text[start : cut.start()]
-        start = cut.start()
-    yield text[start:]
+def _behind_wide_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places stand behind a white space character of Unicode that is not ASCII (fixed values: their bytes)."""
+    behind = np.zeros(len(at), bool)
+    odd = np.flatnonzero((data[at - 1] >= 0x80) & (data[at - 1] <= 0xAF))
+    last, two, three = (data[np.maximum(at[odd] - k, 0)] for k in (1, 2, 3))
+    wide = (two == 0xC2) & ((last == 0x85) | (last == 0xA0))
+    wide |= (three == 0xE1) & (two == 0x9A) & (last == 0x80)
+    wide |= (three == 0xE2) & ((two == 0x80) | (two == 0x81))
+    wide |= (three == 0xE3) & (two == 0x80) & (last == 0x80)
+    behind[odd] = wide
+    return behind
+
+
+def piece_starts(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of all texts begin, and the index of each text's first piece (one more entry than texts).
+
+    A text is cut before every run of ASCII white space, but not behind other white space of Unicode, which the
+    pattern would take as one run with it.
+    """
+    data, offsets = texts.data, texts.offsets
+    space = _ascii_space[data]
+    cut = np.zeros(len(data), bool)
+    cut[1:] = space[1:] & ~space[:-1]
+    at = np.flatnonzero(cut)
+    cut[at[_behind_wide_space(data, at)]] = False
+    begins = offsets[:-1][np.diff(offsets) > 0]
+    cut[begins] = True
+    starts = np.flatnonzero(cut)
+    return starts, np.searchsorted(starts, offsets)
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all bytes of the spans, one span after the other."""
+    upto = np.cumsum(lengths)
+    return np.repeat(starts - upto + lengths, lengths) + np.arange(upto[-1] if len(upto) else 0)
 
 
 class PieceEncoder:
-    """Encodes texts with a tokenizer, remembering the ids of distinct pieces; a piece is known by its characters."""
+    """Encodes texts with a tokenizer, remembering the ids of distinct pieces.
+
+    Pieces are looked up by hash and compared byte by byte; should two different ones ever share a hash, the texts they stand in
+    go through the tokenizer as they are.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.memo: dict[str, bytes] = {}
         # How many bytes of text an id stands for: a character of a byte-level token is a byte, an added token is spelled out.
         added = self.tokenizer.get_added_tokens_decoder()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token.encode()) if i in added else len(token)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Many pieces go through the tokenizer as one text. Where the ids of each end, their lengths in bytes tell; should they
-        not meet the pieces' ends, the pieces go one by one."""
-        inner = [p for p in pieces if _INNER.fullmatch(p)]
-        alone = [p for p in pieces if not _INNER.fullmatch(p)]
-        groups = [inner[i : i + _JOINED] for i in range(0, len(inner), _JOINED)]
-        for group, ids in zip(groups, self._encode(["".join(g) for g in groups])):
-            ids = np.array(ids, "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # sorted hashes
+        self.slot = np.zeros(0, np.int32)  # of each hash, its place below
+        self.ids_upto, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.text_upto, self.text = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, raw: bytes, lengths: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces that ``raw`` consists of, and how many each has.
+
+        Inner pieces begin with white space and do not end with it, so many go through the tokenizer as one text; the ids'
+        lengths in bytes tell where each ends. Should they not meet the ends, and else, pieces go one by one.
+        """
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        if inner.all():
+            edges = upto[np.append(np.arange(0, len(lengths), _JOINED), len(lengths))].tolist()
+            ids = np.concatenate(self._encode([raw[a:b].decode() for a, b in zip(edges[:-1], edges[1:])]))
             reach = np.cumsum(self.bytes_of[ids])
-            ends = np.cumsum([len(p.encode()) for p in group])
-            upto = np.searchsorted(reach, ends) + 1
-            if upto[-1] != len(ids) or (reach[upto - 1] != ends).any():
-                alone += group
+            last = np.minimum(np.searchsorted(reach, upto[1:]), len(ids) - 1)
+            if reach[-1] == upto[-1] and (reach[last] == upto[1:]).all():
+                return ids, np.diff(last, prepend=-1)
+        edges = upto.tolist()
+        each = self._encode([raw[a:b].decode() for a, b in zip(edges[:-1], edges[1:])])
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        ends = starts + lengths
+        inner = _ascii_space[data[starts]] & ~_ascii_space[data[ends - 1]] & ~_behind_wide_space(data, ends)
+        for group in (np.flatnonzero(inner), np.flatnonzero(~inner)):
+            if not len(group):
                 continue
-            raw, begin = ids.tobytes(), 0
-            for piece, end in zip(group, (4 * upto).tolist()):
-                self.memo[piece] = raw[begin:end]
-                begin = end
-        for piece, ids in zip(alone, self._encode(alone)):
-            self.memo[piece] = np.array(ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text, as little-endian 32-bit integers."""
-        pieces = [_PIECE.findall(text) for text in texts]
-        distinct = set().union(*pieces)
-        new = distinct.difference(self.memo)
-        if len(self.memo) + len(new) > _MEMO_PIECES:
-            self.memo = {p: self.memo[p] for p in distinct - new}
-        self._learn(list(new))
-        known = self.memo.__getitem__
-        return [b"".join(map(known, p)) for p in pieces]
+            text = data[_spans(starts[group], lengths[group])]
+            ids, counts = self._encode_pieces(text.tobytes(), lengths[group], inner[group])
+            slots = np.arange(len(self.ids_upto) - 1, len(self.ids_upto) - 1 + len(group), dtype=np.int32)
+            self.ids_upto = np.concatenate([self.ids_upto, self.ids_upto[-1] + np.cumsum(counts)])
+            self.text_upto = np.concatenate([self.text_upto, self.text_upto[-1] + np.cumsum(lengths[group])])
+            self.ids, self.text = np.concatenate([self.ids, ids]), np.concatenate([self.text, text])
+            places = np.searchsorted(self.known, hashes[group])
+            self.known = np.insert(self.known, places, hashes[group])
+            self.slot = np.insert(self.slot, places, slots)
+
+    def _plainly(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        edges, raw = texts.offsets.tolist(), texts.data.tobytes()
+        each = self._encode([raw[a:b].decode() for a, b in zip(edges[:-1], edges[1:])])
+        return np.concatenate(each), np.cumsum([0, *map(len, each)])
+
+    def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a chunk and where the ids of each text begin (one more entry than texts)."""
+        data = texts.data
+        starts, bounds = piece_starts(texts)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        lengths = np.diff(np.append(starts, len(data)))
+        distinct, first, inverse = np.unique(span_hashes(data, starts, starts + lengths), return_index=True, return_inverse=True)
+        # Every piece must be, byte by byte, the first one of its hash.
+        if (lengths != lengths[first][inverse]).any() or (data[_spans(starts[first][inverse], lengths)] != data).any():
+            return self._plainly(texts)
+        if len(self.known) + len(distinct) > _MEMO_PIECES:
+            self._forget()
+        at = np.searchsorted(self.known, distinct)
+        held = np.zeros(len(distinct), bool)
+        inside = at < len(self.known)
+        held[inside] = self.known[at[inside]] == distinct[inside]
+        new, old = first[~held], first[held]
+        slots = self.slot[at[held]]
+        sizes = self.text_upto[slots + 1] - self.text_upto[slots]
+        if (sizes != lengths[old]).any() or (self.text[_spans(self.text_upto[slots], sizes)] != data[_spans(starts[old], sizes)]).any():
+            return self._plainly(texts)
+        if len(new):
+            self._learn(distinct[~held], data, starts[new], lengths[new])
+            at = np.searchsorted(self.known, distinct)
+        slots = self.slot[at][inverse]
+        counts = self.ids_upto[slots + 1] - self.ids_upto[slots]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        return self.ids[_spans(self.ids_upto[slots], counts)], upto[bounds]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -158,36 +225,33 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 def _encode_batches(tokenizer_file: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, end = 0, np.array([end_id], "<u4").tobytes()
+        start = 0
         for batch in batches:
             encoder = _encoder(tokenizer_file)
-            held: list[bytes] = []
-            texts: list[str] = []
-            first = size = 0
-            for row, text in enumerate(batch.column("text")):
-                text = text.as_py() or ""
-                if len(text) > _ENCODE_CHARS:
-                    held += encoder(texts)
-                    held.append(b"".join(encoder([part])[0] for part in slices(text, _ENCODE_CHARS)))
-                    texts = []
-                else:
-                    texts.append(text)
-                size += len(text)
-                if size > _ENCODE_CHARS or row == batch.num_rows - 1:
-                    ids = [x + end for x in held + encoder(texts)]
-                    lengths = np.array([len(x) // 4 for x in ids], np.int64)
-                    upto = np.concatenate([[0], np.cumsum(lengths)])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("doc_id")[first : row + 1],
-                            pa.array(start + upto[:-1], pa.int64()),
-                            pa.array(lengths, pa.int64()),
-                            pa.array(ids, pa.binary()),
-                        ],
-                        names=["doc_id", "start", "n_tokens", "ids"],
-                    )
-                    start += int(upto[-1])
-                    held, texts, first, size = [], [], row + 1, 0
+            text = batch.column("text")
+            for part in chunks(text, _ENCODE_BYTES):
+                ids, bounds = encoder(part)
+                # One more id at the end of every document.
+                lengths = np.diff(bounds) + 1
+                upto = np.concatenate([[0], np.cumsum(lengths)])
+                whole = np.full(int(upto[-1]), end_id, "<u4")
+                mask = np.ones(len(whole), bool)
+                mask[upto[1:] - 1] = False
+                whole[mask] = ids
+                held = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(part), [None, pa.py_buffer((upto * 4).astype(np.int64)), pa.py_buffer(whole)]
+                )
+                rows = slice(part.first_row, part.first_row + len(part))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id")[rows],
+                        pa.array(start + upto[:-1], pa.int64()),
+                        pa.array(lengths, pa.int64()),
+                        held.cast(pa.binary()),
+                    ],
+                    names=["doc_id", "start", "n_tokens", "ids"],
+                )
+                start += int(upto[-1])
 
     return run
 

@@ -3,10 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from shelfwise.llm import tokenfile
+from shelfwise.llm.textbytes import chunks
 from shelfwise.sources.storage import shared_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,18 +83,30 @@ def test_strings_made_to_collide(spark):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1))
 
 
-def test_long_texts_are_cut_between_pieces(spark, documents, monkeypatch):
-    text = " \u3000 ".join(r["text"] or "" for r in documents.limit(30).collect()) + "<|endoftext|> <|endoftext|>\xa0\n"
-    want = TOKENIZER.encode(text, add_special_tokens=False).ids
-    encoder = tokenfile.PieceEncoder(VOCABULARY)
-    for size in (1, 100, 10_000):
-        parts = list(tokenfile.slices(text, size))
-        assert "".join(parts) == text and len(parts) > 1
-        assert np.frombuffer(b"".join(encoder(parts)), "<u4").tolist() == want
+def encoded(encoder, texts):
+    found = []
+    for part in chunks(pa.array(texts), 1 << 20):
+        ids, bounds = encoder(part)
+        found += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    return found
+
+
+def wanted(texts):
+    return [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_that_share_a_hash(monkeypatch, documents):
+    """Within a chunk and with the memo, for any hash: at worst all pieces have the same."""
+    texts = HARD + [r["text"] or "" for r in documents.limit(20).collect()]
+    for bits in (0, 3, 12, 20):
+        plain = tokenfile.span_hashes
+        monkeypatch.setattr(tokenfile, "span_hashes", lambda *a: plain(*a) >> np.uint64(64 - bits) if bits else plain(*a) * np.uint64(0))
+        encoder = tokenfile.PieceEncoder(VOCABULARY)
+        assert [encoded(encoder, [t])[0] for t in texts] == wanted(texts)
+        monkeypatch.setattr(tokenfile, "span_hashes", plain)
 
 
-def test_ids_that_do_not_tell_the_ends_of_pieces(monkeypatch):
+def test_ids_that_do_not_tell_the_ends_of_pieces():
     encoder = tokenfile.PieceEncoder(VOCABULARY)
     encoder.bytes_of[:] = 1  # as if the vocabulary were another
-    for text in HARD:
-        assert np.frombuffer(encoder([text])[0], "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert encoded(encoder, HARD) == wanted(HARD)
