@@ -1,9 +1,9 @@
 """Global order without a global window.
 
-``ntile() over (order by ...)`` and ``percentile_cont over ()`` send every row to one task in Spark. Here the rows are
-range-partitioned on a total order and written once; the per-partition row counts then turn any global rank into an
-address (partition, slot), so the few rows that delimit buckets or surround a percentile are read back directly. Only
-those rows and the counts reach the driver: their number depends on partitions and buckets, never on the data.
+``ntile() over (order by ...)`` and ``percentile_cont over ()`` send every row to one task in Spark. Here the few rows that
+delimit buckets or surround a percentile are found by counting (``operators.selection``), and no row moves. Running totals
+and row numbers need the rows in order: they are range-partitioned on a total order and written once, and one count or sum
+per partition carries over to the partitions behind it.
 """
 
 from __future__ import annotations
@@ -12,16 +12,17 @@ from collections.abc import Sequence
 from decimal import Decimal
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.operators.selection import comes_after, key_columns, select_ranks, whole_units
 from shelfwise.sources.storage import write_once
 
 _SLOT_BITS = 33  # monotonically_increasing_id keeps the partition above, the position within it below
 
 
 class OrderedRows:
-    """Rows written in a global total order, addressable by 0-based global position.
+    """Rows written in a global total order.
 
     ``order`` must be total (end with a unique key): ties then never decide the result, and a value shared by a third of
     the rows still spreads over many partitions.
@@ -34,29 +35,11 @@ class OrderedRows:
             .withColumn("_address", F.monotonically_increasing_id()),
             label,
         )
-        sizes = self.frame.groupBy(self.partition().alias("p")).agg(F.count("*").alias("n")).collect()
-        self._sizes = sorted((row.p, row.n) for row in sizes)
-        self.count = sum(n for _, n in self._sizes)
 
     @staticmethod
     def partition() -> Column:
         return F.shiftright("_address", _SLOT_BITS)
 
-    def _address(self, position: int) -> int:
-        for partition, size in self._sizes:
-            if position < size:
-                return (partition << _SLOT_BITS) + position
-            position -= size
-        raise IndexError(position)
-
-    def rows_at(self, positions: Sequence[int]) -> dict[int, Row]:
-        """The rows at the given positions; the address filter is pushed into the parquet scan."""
-        if not positions:
-            return {}
-        by_address = {self._address(p): p for p in positions}
-        found = self.frame.filter(F.col("_address").isin(list(by_address))).collect()
-        return {by_address[row["_address"]]: row for row in found}
-
     def with_position(self) -> DataFrame:
         """Every row with its 1-based global ``position``; the offsets have one row per partition."""
         running = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,84 +60,54 @@ class OrderedRows:
 def add_ntiles(df: DataFrame, key: str, buckets: int, **orders: tuple[str, bool]) -> DataFrame:
     """Add one exact NTILE column per keyword, ``name=(column, descending)``; ties are broken by the unique ``key``.
 
-    All orders share one range shuffle. NULLs come first ascending and last descending. ``df`` is read twice, so pass a
-    written table. Bucket sizes follow NTILE: with n = q * buckets + r the first r buckets hold q + 1 rows.
+    NULLs come first ascending and last descending. Bucket sizes follow NTILE: with n = q * buckets + r the first r buckets hold
+    q + 1 rows. The last row of every bucket is found by counting (``select_ranks``), all orders in the same passes; rows
+    are compared with it where they are. ``df`` is read several times, so pass a written table. Values count to four
+    places; ``key`` is an integer or a text.
     """
+    tie = key_columns(df, key)
 
-    def sort_value(column: str, descending: bool) -> Column:
-        value = F.col(column).cast("decimal(38,4)")
-        missing = F.col(column).isNull()
+    def sort_columns(column: str, descending: bool) -> list[Column]:
+        units, missing = whole_units(F.col(column)), F.col(column).isNull()
         rank = F.when(missing, 1 if descending else 0).otherwise(0 if descending else 1)
-        return F.struct(rank.alias("rank"), (-value if descending else value).alias("value"), F.col(key).alias("key"))
-
-    specs = list(orders.items())
-    stacked = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(i).alias("list"), sort_value(*spec).alias("at")) for i, (_, spec) in enumerate(specs)])
-        ).alias("entry")
-    ).select("entry.list", "entry.at.*")
-    ordered = OrderedRows(stacked, ["list", "rank", "value", "key"], "ntile")
-    rows = ordered.count // len(specs)
-    share, extra = divmod(rows, buckets)
-    last_of = [b * share + min(b, extra) - 1 for b in range(1, buckets)]
-    wanted = {(i, at): i * rows + at for i in range(len(specs)) for at in last_of if at >= 0}
-    found = ordered.rows_at(sorted(set(wanted.values())))
+        return [rank, F.coalesce(-units if descending else units, F.lit(0).cast("decimal(38,0)")), *tie]
 
-    key_type = df.schema[key].dataType
+    columns = [sort_columns(*spec) for spec in orders.values()]
+    rows = df.count()
+    share, extra = divmod(rows, buckets)
+    last_of = [at for b in range(1, buckets) if (at := b * share + min(b, extra) - 1) >= 0]
+    found = select_ranks(df, columns, {i: sorted(set(last_of)) for i in range(len(columns))}) if last_of else {}
     result = df
-    for i, (name, spec) in enumerate(specs):
-        bucket = F.lit(1)
-        for at in last_of:
-            if at >= 0:
-                row = found[wanted[i, at]]
-                limit = F.struct(
-                    F.lit(row["rank"]).alias("rank"),
-                    F.lit(row["value"]).cast("decimal(38,4)").alias("value"),
-                    F.lit(row["key"]).cast(key_type).alias("key"),
-                )
-                bucket = bucket + F.when(sort_value(*spec) > limit, 1).otherwise(0)
-        result = result.withColumn(name, bucket)
+    for i, name in enumerate(orders):
+        later = [comes_after(columns[i], found[i, at]).cast("int") for at in last_of]
+        result = result.withColumn(name, sum(later, F.lit(1)))
     return result
 
 
-_ACCURACY = 10_000  # relative rank error of the sketch: one in this many rows
-
+def exact_percentiles(df: DataFrame, value: str, fractions: Sequence[Fraction]) -> list[Decimal | None]:
+    """Continuous percentiles of a decimal column: the two rows around each fraction of the global order, interpolated exactly.
 
-def _bracket(present: DataFrame, fraction: Fraction, rows: int) -> tuple[Decimal, Decimal]:
-    """Two values that the wanted percentile of ``value`` should lie between, from a mergeable sketch."""
-    margin = Fraction(4, _ACCURACY) + Fraction(2, rows)
-    ends = [float(max(fraction - margin, 0)), float(min(fraction + margin, 1))]
-    return tuple(present.agg(F.percentile_approx("value", ends, _ACCURACY)).first()[0])
-
-
-def exact_percentile(df: DataFrame, value: str, key: str, fraction: Fraction) -> Decimal | None:
-    """Continuous percentile of a decimal column: the two neighbouring rows of the global order, interpolated exactly.
-
-    A sketch first brackets the percentile, so that only the rows between two values (a few per mille of many rows,
-    unless a value repeats) have to be put in order. The rows below the bracket are counted, not guessed: should the
-    bracket miss the wanted ranks, all rows are ordered instead. ``df`` is read several times: pass a written table.
+    Values count to four places and NULLs not at all; without a value the percentiles are None. The rows are found by counting
+    (``select_ranks``), all of them in the same passes over the column. ``df`` is read several times: pass a written table.
     Runs its jobs when called.
     """
-    present = df.select(F.col(value).cast("decimal(38,4)").alias("value"), F.col(key).alias("key")).dropna(
-        subset=["value"]
-    )
+    present = df.select(whole_units(F.col(value)).alias("units")).dropna()
     rows = present.count()
     if rows == 0:
-        return None
-    low, part = divmod(fraction * (rows - 1), 1)
-    wanted = [low, low + 1] if part else [low]
-    start, stop = _bracket(present, fraction, rows)
-    inside = F.col("value").between(start, stop)
-    below, within = present.agg(F.count_if(F.col("value") < start), F.count_if(inside)).first()
-    if below <= wanted[0] and wanted[-1] < below + within:
-        present = present.filter(inside)
-    else:
-        below = 0
-    found = OrderedRows(present, ["value", "key"], "percentile").rows_at([p - below for p in wanted])
-    first = found[low - below]["value"]
-    if not part:
-        return first
-    return first + (found[low + 1 - below]["value"] - first) * Decimal(part.numerator) / Decimal(part.denominator)
+        return [None] * len(fractions)
+    places = [divmod(f * (rows - 1), 1) for f in fractions]
+    wanted = sorted({int(at) for low, part in places for at in ((low, low + 1) if part else (low,))})
+    found = select_ranks(present, [[F.col("units")]], {0: wanted})
+    at = lambda rank: Decimal(found[0, int(rank)][0]).scaleb(-4)
+    return [
+        at(low) + (at(low + 1) - at(low)) * Decimal(part.numerator) / Decimal(part.denominator) if part else at(low)
+        for low, part in places
+    ]
+
+
+def exact_percentile(df: DataFrame, value: str, fraction: Fraction) -> Decimal | None:
+    """One of ``exact_percentiles``."""
+    return exact_percentiles(df, value, [fraction])[0]
 
 
 def running_totals(df: DataFrame, value: str, key: str) -> DataFrame:

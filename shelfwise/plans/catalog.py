@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +12,8 @@ from pyspark.sql.types import DecimalType
 
 from shelfwise.plans import basket, category, clean, customers, growth, kpi, quality, ratings, sales, views360
 from shelfwise.sources.session import tune
-from shelfwise.sources.star import star_tables
-from shelfwise.sources.storage import fingerprint, write_once
+from shelfwise.sources.star import TABLES, star_tables
+from shelfwise.sources.storage import listing, write_once
 from shelfwise.tables import RetailTables
 
 # The period the registered queries keep (inside the range of the test tables, so that some lines drop out).
@@ -21,10 +21,6 @@ START, END = "1995-02-01", "2001-06-30"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_STEPS: dict[tuple[str, str], DataFrame] = {}
-_IMPORTED: dict[str, RetailTables] = {}
-
-
 def plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles, the type every result uses for money."""
     columns = [
@@ -34,38 +30,32 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def imported(spark: SparkSession, sf_dir: str) -> RetailTables:
-    """The six raw tables of a folder. The order lines, a join of three star tables, are written on first use: the import
-    step. The others are cheap projections and stay scans of their source."""
-    built = star_tables(spark, sf_dir)
-    key = " ".join(fingerprint(df) for _, df in sorted(built.present().items()))
-    if key not in _IMPORTED:
-        _IMPORTED[key] = replace(built, orders=write_once(built.orders, "raw-orders"))
-    return _IMPORTED[key]
-
-
-def repaired(spark: SparkSession, sf_dir: str) -> RetailTables:
-    """The repaired tables of a folder: repaired and written on first use, then only read."""
-    return clean.repaired_once(imported(spark, sf_dir), START, END)
-
-
-class _Repair:
-    """The repair chain step by step; steps that later ones read twice are written once."""
+class Bound:
+    """The star tables of a folder as retail tables, and what queries have written of them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.raw = imported(spark, sf_dir)
+        built = star_tables(spark, sf_dir)
+        # The order lines, a join of three star tables, are written: the import step. The others are cheap projections.
+        self.raw = replace(built, orders=write_once(built.orders, "raw-orders"))
+        self._written: dict[str, DataFrame] = {}
+
+    @cached_property
+    def clean(self) -> RetailTables:
+        """The repaired tables: repaired and written on first use, then only read."""
+        return clean.write_repaired(self.raw, START, END)
 
     def _step(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
-        key = (fingerprint(self.raw.orders), label)
-        if key not in _STEPS:
-            _STEPS[key] = write_once(build(), label)
-        return _STEPS[key]
+        """A step of the repair chain that later ones read twice."""
+        if label not in self._written:
+            self._written[label] = write_once(build(), label)
+        return self._written[label]
 
     def dated(self) -> DataFrame:
         return clean.parse_bill_dates(self.raw.orders)
 
     def priced(self) -> DataFrame:
-        return self._step("step-priced", lambda: clean.prepare_lines(self.raw.orders, START, END))
+        """A filter and a product: cheaper to repeat than to write."""
+        return clean.prepare_lines(self.raw.orders, START, END)
 
     def collapsed(self) -> DataFrame:
         return self._step("step-collapsed", lambda: clean.collapse_lines(self.priced()))
@@ -80,7 +70,18 @@ class _Repair:
         return clean.pivot_payments(self.raw.payments)
 
 
-REPAIRS: dict[str, Callable[[_Repair], DataFrame]] = {
+_BOUND: dict[tuple[str, str], tuple[str, Bound]] = {}
+
+
+def bound(spark: SparkSession, sf_dir: str) -> Bound:
+    """The tables of a folder in this application; bound anew when its files are no longer those of the last call."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), listing(spark, sf_dir, TABLES)
+    if _BOUND.get(key, ("",))[0] != now:
+        _BOUND[key] = (now, Bound(spark, sf_dir))
+    return _BOUND[key][1]
+
+
+REPAIRS: dict[str, Callable[[Bound], DataFrame]] = {
     "c01_parse_bill_dates": lambda r: r.dated(),
     "c02_filter_date_range": lambda r: clean.filter_date_range(r.dated(), START, END),
     "c03_dedupe_stores": lambda r: clean.dedupe_stores(r.raw.stores),
@@ -98,7 +99,7 @@ REPAIRS: dict[str, Callable[[_Repair], DataFrame]] = {
 }
 
 # What each repair would change (the source's "to check" half).
-PREVIEWS: dict[str, Callable[[_Repair], DataFrame]] = {
+PREVIEWS: dict[str, Callable[[Bound], DataFrame]] = {
     "c02_outside_period": lambda r: clean.filter_date_range_preview(r.dated(), START, END),
     "c03_duplicate_stores": lambda r: clean.dedupe_stores_preview(r.raw.stores),
     "c04_category_changes": lambda r: clean.fix_category_preview(r.raw.products),
@@ -110,7 +111,7 @@ PREVIEWS: dict[str, Callable[[_Repair], DataFrame]] = {
 }
 
 
-def _repair_counts(steps: _Repair) -> DataFrame:
+def _repair_counts(steps: Bound) -> DataFrame:
     counts = [
         clean.changed_rows(build(steps)).select(F.lit(name).alias("repair"), "rows_affected")
         for name, build in PREVIEWS.items()
@@ -204,11 +205,11 @@ for _number, _by in enumerate(ratings.DIMENSIONS, start=1):
 
 
 def all_queries() -> dict[str, Query]:
-    def repair(build: Callable[[_Repair], DataFrame]) -> Query:
-        return lambda spark, sf_dir: plain(build(_Repair(tune(spark), sf_dir)))
+    def repair(build: Callable[[Bound], DataFrame]) -> Query:
+        return lambda spark, sf_dir: plain(build(bound(tune(spark), sf_dir)))
 
     def analysis(build: Callable[[RetailTables], DataFrame]) -> Query:
-        return lambda spark, sf_dir: plain(build(repaired(tune(spark), sf_dir)))
+        return lambda spark, sf_dir: plain(build(bound(tune(spark), sf_dir).clean))
 
     return {
         **{name: repair(build) for name, build in REPAIRS.items()},

@@ -311,21 +311,25 @@ def clean_all(tables: RetailTables, start: str = PERIOD[0], end: str = PERIOD[1]
     )
 
 
+def write_repaired(tables: RetailTables, start: str = PERIOD[0], end: str = PERIOD[1]) -> RetailTables:
+    """Repair ``tables`` and write the results. Runs its jobs when called.
+
+    Tables no repair touches are passed on as they are. Lines are written clustered by order, so a later group-by on the
+    order collapses almost completely before its shuffle.
+    """
+    result = {}
+    for table, df in clean_all(tables, start, end).present().items():
+        untouched = df is getattr(tables, table)
+        result[table] = df if untouched else write_once(df, table, "order_id" if table == "orders" else None)
+    return RetailTables(**result)
+
+
 _REPAIRED: dict[tuple[str, ...], RetailTables] = {}
 
 
 def repaired_once(tables: RetailTables, start: str, end: str) -> RetailTables:
-    """Repair ``tables`` and write the results once; later calls on the same tables, files unchanged, reuse them.
-
-    Tables no repair touches are passed on as they are. Lines are written clustered by order, so a later group-by on the
-    order collapses almost completely before its shuffle. Runs its jobs when called.
-    """
+    """Like ``write_repaired``, but later calls on the same tables, files unchanged, reuse the written results."""
     key = (start, end, *(f"{table} {fingerprint(df)}" for table, df in sorted(tables.present().items())))
     if key not in _REPAIRED:
-        clean = clean_all(tables, start, end)
-        result = {}
-        for table, df in clean.present().items():
-            untouched = df is getattr(tables, table)
-            result[table] = df if untouched else write_once(df, table, "order_id" if table == "orders" else None)
-        _REPAIRED[key] = RetailTables(**result)
+        _REPAIRED[key] = write_repaired(tables, start, end)
     return _REPAIRED[key]

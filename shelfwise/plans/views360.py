@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import is_weekend, line_cost, line_profit, number, percent2, safe_divide
 from shelfwise.operators.grouping import first_per_key, total_order
-from shelfwise.operators.ranking import add_ntiles, exact_percentile
+from shelfwise.operators.ranking import add_ntiles, exact_percentile, exact_percentiles
 from shelfwise.sources.storage import write_once
 
 # The profit percentile that counts as high, spend segments, discount classes (upper limits in percent).
@@ -114,7 +114,7 @@ def store360(orders: DataFrame, products: DataFrame, stores: DataFrame, review_s
         _distinct_at_place(orders, stores, "customer_id", "customers"),
     ]
     base = write_once(reduce(_join_places, parts, per_place), "store360")
-    high = exact_percentile(base, "profit", "storeid", HIGH_PROFIT)
+    high = exact_percentile(base, "profit", HIGH_PROFIT)
     known = F.col("storeid").isNotNull()
 
     def per(total: str, count: str) -> Column:
@@ -165,7 +165,7 @@ def orders360(orders: DataFrame, products: DataFrame) -> DataFrame:
     Runs jobs when called: the sums are written before the percentile is looked for.
     """
     base = write_once(_order_sums(orders, products), "orders360")
-    high = exact_percentile(base, "profit", "order_id", HIGH_PROFIT)
+    high = exact_percentile(base, "profit", HIGH_PROFIT)
     weekday = F.dayofweek("last")
     return base.select(
         "order_id",
@@ -395,7 +395,7 @@ def customer360(
     segment = F.element_at(F.array(*[F.lit(s) for s in SPEND_SEGMENTS]), F.col("tile"))
     if percentile_segments:
         parts = len(SPEND_SEGMENTS)
-        limits = [exact_percentile(everyone, "monetary", "custid", Fraction(k, parts)) for k in range(1, parts)]
+        limits = exact_percentiles(everyone, "monetary", [Fraction(k, parts) for k in range(1, parts)])
         tile = reduce(lambda a, b: a + b, [F.when(F.col("monetary") > F.lit(x), 1).otherwise(0) for x in limits], F.lit(1))
         tiled = everyone.withColumn("tile", F.when(F.col("monetary").isNotNull(), tile))
     else:

@@ -11,6 +11,7 @@ from shelfwise.tables import RetailTables
 PAYMENT_TYPES = ("Voucher", "UPI/Cash", "Credit_card", "Debit_card")
 DATE_FORMATS = ("MM/dd/yyyy HH:mm", "dd/MM/yyyy HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
 UNKNOWN_STORE_OFFSET = 100_000
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 PROSPECT_OFFSET, WALK_IN_OFFSET = 1_000_000_000, 2_000_000_000
 
 

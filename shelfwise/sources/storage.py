@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -65,6 +66,19 @@ def fingerprint(df: DataFrame) -> str:
     return digest.hexdigest()
 
 
+def listing(spark: SparkSession, folder: str, names: list[str]) -> str:
+    """What files the named tables of a folder have, with sizes and times: another text when one is rewritten, added or gone.
+
+    A table ``<folder>/<name>.parquet`` is a file or a folder of files. Two calls to the file system, however many there are.
+    """
+    path, found = spark._jvm.org.apache.hadoop.fs.Path, ""
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    tables = f"{folder.rstrip('/')}/{{{','.join(names)}}}.parquet"
+    for pattern in (tables, f"{tables}/*"):
+        found += spark._jvm.org.apache.commons.lang3.ArrayUtils.toString(files.globStatus(path(pattern)))
+    return hashlib.sha256(re.sub(r"access_time=\d+", "", found).encode()).hexdigest()
+
+
 def write_once(df: DataFrame, label: str, cluster_by: str | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and return a scan of it. Runs the job when called.
 

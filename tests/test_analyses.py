@@ -16,7 +16,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def small(spark):
-    return catalog.repaired(spark, SMALL)
+    return catalog.bound(spark, SMALL).clean
 
 
 @pytest.fixture(scope="module")

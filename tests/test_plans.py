@@ -1,12 +1,14 @@
 """The plans must stay distributed: no global window over rows, no cartesian product, no Python worker."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.plans import basket, catalog, clean, growth, views360
 from shelfwise.sources import storage
+from shelfwise.sources.star import TABLES
 from shelfwise.sources.storage import shared_dir, write_once
 
 SMALL = "/root/testdata/sf0.001"
@@ -18,15 +20,14 @@ def plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    return catalog.repaired(spark, SMALL)
+    return catalog.bound(spark, SMALL).clean
 
 
 @pytest.fixture(scope="module")
 def plans(spark):
     """The plan of every query and of every frame written for it, nothing being reused from earlier queries."""
     found = {}
-    for cache in (catalog._IMPORTED, catalog._STEPS, clean._REPAIRED):
-        cache.clear()
+    catalog._BOUND.clear()
     for name, query in catalog.all_queries().items():
         seen = []
         storage.OBSERVERS.append(lambda label, df: seen.append((label, plan(df))))
@@ -123,3 +124,30 @@ def test_intermediates_go_to_the_folder_the_session_names(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark).startswith(base.rstrip("/"))
     assert write_once(spark.range(1), "where").inputFiles()[0].startswith(base)
+
+
+def test_queries_after_the_first_only_list_the_folder(spark, tables, monkeypatch):
+    """What a query costs the driver before its first job does not grow with files, tables or queries."""
+    def never(*_, **__):
+        raise AssertionError("bound or fingerprinted again")
+
+    monkeypatch.setattr(catalog, "star_tables", never)
+    monkeypatch.setattr(storage, "fingerprint", never)
+    monkeypatch.setattr(catalog, "write_once", never)
+    t0 = time.monotonic()
+    catalog.all_queries()["t2_monthly_sales"](spark, SMALL)
+    assert time.monotonic() - t0 < 1
+
+
+def test_rewritten_files_are_noticed(spark, tmp_path):
+    for name in TABLES:
+        spark.read.parquet(f"{SMALL}/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    folder = str(tmp_path)
+    total = lambda: catalog.all_queries()["kpi_total_orders"](spark, folder).first()[0]
+    first, held = total(), catalog.bound(spark, folder)
+    assert total() == first and catalog.bound(spark, folder) is held
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    lines.filter("l_orderkey > 3000").write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
+    assert catalog.bound(spark, folder) is not held and total() < first
+    lines.limit(5).write.mode("append").parquet(f"{folder}/lineitem.parquet")
+    assert catalog.bound(spark, folder) is catalog.bound(spark, folder)

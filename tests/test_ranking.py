@@ -1,4 +1,5 @@
 import random
+import re
 from decimal import Decimal
 from fractions import Fraction
 
@@ -7,8 +8,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.grouping import first_per_key, mode_per_key
-from shelfwise.operators import ranking
-from shelfwise.operators.ranking import OrderedRows, add_ntiles, exact_percentile, numbered_surplus, running_totals
+from shelfwise.operators import ranking, selection
+from shelfwise.operators.ranking import (
+    OrderedRows,
+    add_ntiles,
+    exact_percentile,
+    exact_percentiles,
+    numbered_surplus,
+    running_totals,
+)
+from shelfwise.operators.selection import comes_after, key_columns, select_ranks, whole_units
 
 
 @pytest.fixture(scope="module")
@@ -39,21 +48,69 @@ def test_ntiles_of_few_rows(spark, rows):
 
 
 @pytest.mark.parametrize("size", [0, 1, 2, 3, 4, 97, 500])
-@pytest.mark.parametrize("missed", [False, True])
-def test_percentile_equals_the_builtin(spark, sample, size, missed, monkeypatch):
-    """Also when the sketch's bracket does not hold the wanted rows."""
-    if missed:
-        monkeypatch.setattr(ranking, "_bracket", lambda *_: (Decimal("-999999"), Decimal("-999998")))
+def test_percentile_equals_the_builtin(sample, size):
     part = sample.filter(F.col("k") < size).withColumn("d", F.col("v").cast("decimal(28,4)") / 4)
-    got = exact_percentile(part, "d", "k", Fraction(3, 4))
-    want = part.agg(F.expr("percentile_cont(0.75) within group (order by cast(d as double))")).first()[0]
-    assert (got is None) == (want is None)
-    assert got is None or float(got) == want
+    fractions = [Fraction(3, 4), Fraction(0), Fraction(1), Fraction(1, 3), Fraction(1, 2)]
+    got = exact_percentiles(part, "d", fractions)
+    for fraction, value in zip(fractions, got):
+        sql = f"percentile_cont({float(fraction)}) within group (order by cast(d as double))"
+        want = part.agg(F.expr(sql)).first()[0]
+        assert (value is None) == (want is None)
+        assert value is None or float(value) == pytest.approx(want, abs=1e-9)
 
 
 def test_percentile_of_a_constant(spark):
     df = spark.range(1000).select(F.lit(Decimal("2.5")).cast("decimal(28,4)").alias("d"), F.col("id").alias("k"))
-    assert exact_percentile(df, "d", "k", Fraction(3, 4)) == Decimal("2.5")
+    assert exact_percentile(df, "d", Fraction(3, 4)) == Decimal("2.5")
+
+
+@pytest.mark.parametrize("buckets", [2, 7, 4096])
+def test_selection_by_many_digits(spark, buckets, monkeypatch):
+    """Values of very different size, huge ones among them, ties and many passes."""
+    monkeypatch.setattr(selection, "BUCKETS", buckets)
+    rng = random.Random(3)
+    values = [rng.choice([0, 1, -1, 10**k, -(10**k), rng.randrange(-(10**25), 10**25)]) for k in range(1, 26) for _ in range(4)]
+    keys = [rng.choice(["", "a", "ab", "ab\0", "ä", "zz" * 9]) + str(i) for i in range(len(values))]
+    rows = [(Decimal(v).scaleb(-4), k) for v, k in zip(values, keys)]
+    df = spark.createDataFrame(rows, "v decimal(38,4), k string").repartition(3)
+    orders = [[whole_units(F.col("v")), *key_columns(df, "k")], key_columns(df, "k")]
+    ranks = [0, 1, 17, 50, 98, 99]
+    found = select_ranks(df, orders, {0: ranks, 1: ranks})
+    places = [sorted(range(100), key=lambda i: (values[i], keys[i].encode())), sorted(range(100), key=lambda i: keys[i].encode())]
+    for (order, rank), limit in found.items():
+        later = df.filter(comes_after(orders[order], limit)).select("k").collect()
+        assert sorted(r["k"] for r in later) == sorted(keys[i] for i in places[order][rank + 1 :])
+
+
+def test_ranks_beyond_the_rows(spark):
+    with pytest.raises(IndexError):
+        select_ranks(spark.range(3), [[F.col("id")]], {0: [3]})
+
+
+def test_ntiles_with_missing_and_text_keys(spark):
+    rows = [(None if i == 4 else f"k{i % 7}{'x' * (i % 5)}{i}", None if i % 6 == 0 else i % 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(4)
+    got = add_ntiles(df, "k", 7, up=("v", False), down=("v", True))
+    up = F.ntile(7).over(Window.orderBy(F.col("v").asc_nulls_first(), "k"))
+    down = F.ntile(7).over(Window.orderBy(F.col("v").desc_nulls_last(), "k"))
+    assert got.withColumn("up2", up).withColumn("down2", down).filter("up <> up2 or down <> down2").isEmpty()
+
+
+def test_no_row_is_put_in_order(spark, sample, monkeypatch):
+    """Neither percentiles nor tiles sort or deal out rows: what is shuffled are the buckets' counts."""
+    plans = []
+    kind = type(sample)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: (plans.append(df), collect(df))[1])
+    big = sample.crossJoin(spark.range(40)).select((F.col("k") * 40 + F.col("id")).alias("k"), "v")
+    add_ntiles(big, "k", 4, up=("v", False), down=("v", True))
+    exact_percentile(big, "v", Fraction(3, 4))
+    assert plans
+    for df in plans:
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in text and "Sort " not in text and "Window" not in text
+        assert all(key.startswith("_groupingexpression") for key in re.findall(r"hashpartitioning\((\w+)", text)), text
+    assert not hasattr(ranking, "_bracket")
 
 
 def test_running_totals_equal_the_window(sample):
@@ -72,10 +129,7 @@ def test_positions_are_global(sample):
     want = sample.withColumn("n", F.row_number().over(Window.orderBy("v", "k")))
     got = ordered.with_position().join(want.select("k", "n"), "k")
     assert got.filter("position != n").count() == 0
-    assert ordered.count == 500
-    assert {p: r.k for p, r in ordered.rows_at([0, 250, 499]).items()} == {
-        r.n - 1: r.k for r in want.filter("n in (1, 251, 500)").collect()
-    }
+    assert got.count() == 500
 
 
 def test_surplus_rows_equal_the_window(sample):
