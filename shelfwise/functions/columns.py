@@ -74,6 +74,11 @@ def ratio2(numerator: Column, denominator: Column, truncate: bool = False) -> Co
     return F.when(den != 0, sign * units)
 
 
+def whole_average(total: Column, count: Column) -> Column:
+    """A mean cut to a whole number, as double; NULL without values."""
+    return F.when(count > 0, F.call_function("div", total, count)).cast("double")
+
+
 def percent2(part: Column, whole: Column) -> Column:
     return ratio2(part.cast("decimal(31,4)") * 100, whole)
 

@@ -167,6 +167,28 @@ def with_tables(names: str, query: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + query
 
 
+def _spelled(name: str, key: str) -> str:
+    return f"CASE {key} % 3 WHEN 0 THEN upper({name}) WHEN 1 THEN lower({name}) ELSE {name} END"
+
+
+def folded(query: str) -> str:
+    """A query of ``with_tables`` over names spelled in capitals, small letters or as they are, by id: one spelling per name."""
+    names = {
+        "p": ("product_id", ["category"], "product_id"),
+        "s": ("storeid", ["seller_city", "seller_state", "region"], "storeid"),
+        "c": ("custid", ["customer_city", "customer_state", "gender"], "custid"),
+    }
+    for table, (key, columns, ids) in names.items():
+        body = f"{table} AS MATERIALIZED ({CTES[table].strip()})"
+        if body not in query:
+            continue
+        spelled = ", ".join(f"{_spelled(c, key)} AS {c}" for c in columns)
+        one = ", ".join(f"min({c}) OVER (PARTITION BY lower({c})) AS {c}" for c in columns)
+        new = f"SELECT {ids}, {one} FROM (SELECT {ids}, {spelled} FROM ({CTES[table].strip()}))"
+        query = query.replace(body, f"{table} AS MATERIALIZED ({new})")
+    return query
+
+
 RAW_LINE = f"""order_id, line_no, customer_id, product_id, delivered_storeid, channel, bill_date_timestamp, quantity,
     {dbl('mrp')} AS mrp, {dbl('discount')} AS discount, {dbl('cost_per_unit')} AS cost_per_unit,
     {dbl('total_amount')} AS total_amount"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from shelfwise.oracle.base import (
     COST,
     DATED_LINE,
@@ -14,10 +16,12 @@ from shelfwise.oracle.base import (
     START,
     big,
     dbl,
+    folded,
     pct2,
     ratio2,
     with_tables,
 )
+from shelfwise.plans.catalog import STORED
 
 NTA = "new_total_amount"
 
@@ -67,6 +71,11 @@ def _repair() -> dict[str, str]:
         "c04_fix_category": with_tables("p", "SELECT * FROM p"),
         "c05_pivot_payments": with_tables("ops1", f"SELECT {PAYMENT_SUMMARY} FROM ops1"),
         "c06_average_review": with_tables("ras", "SELECT * FROM ras"),
+        "c06_average_review_integer": with_tables(
+            "rev",
+            """SELECT order_id, CAST(sum(customer_satisfaction_score) // count(customer_satisfaction_score) AS DOUBLE)
+                   AS average_score FROM rev GROUP BY order_id""",
+        ),
         "c07_add_line_amount": with_tables("l7", f"SELECT {LINE} FROM l7"),
         "c08_audit_amounts": with_tables(
             "l7 ops1",
@@ -790,8 +799,16 @@ def _quality() -> dict[str, str]:
     return {"p09_quality_profile": with_tables("l0 l1 c p0 s0 pay rev", " UNION ALL ".join(parts))}
 
 
+def _stored(found: dict[str, str]) -> dict[str, str]:
+    """Queries over tables stored in another way: the SQL of the query they are named after."""
+    ending = re.compile("_(late_lines|state|bucketed|folded)$")
+    plain = {name: ending.sub("", name) for name in STORED}
+    return {name: folded(found[of]) if name.endswith("_folded") else found[of] for name, of in plain.items()}
+
+
 def all_queries() -> dict[str, str]:
-    return {
+    found = {
         **_repair(), **_views(), **_kpis(), **_growth(), **_sales(), **_customers(), **_categories(), **_ratings(),
         **_quality(),
     }
+    return found | _stored(found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property, reduce
@@ -10,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from shelfwise.plans import basket, category, clean, customers, growth, kpi, quality, ratings, sales, views360
+from shelfwise.plans import basket, category, clean, customers, growth, kpi, late, quality, ratings, sales, views360
+from shelfwise.plans.state import CustomerState
+from shelfwise.sources.buckets import save_bucketed
 from shelfwise.sources.session import tune
-from shelfwise.sources.star import TABLES, star_tables
-from shelfwise.sources.storage import listing, write_once
+from shelfwise.sources.star import TABLES, mixed_case, star_tables
+from shelfwise.sources.storage import listing, shared_dir, write_once
 from shelfwise.tables import RetailTables
 
 # The period the registered queries keep (inside the range of the test tables, so that some lines drop out).
 START, END = "1995-02-01", "2001-06-30"
+#: Buckets of the bucketed queries; a cluster takes about one per 128 MB of lines.
+BUCKETS = 16
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +49,42 @@ class Bound:
         """The repaired tables: repaired and written on first use, then only read."""
         return clean.write_repaired(self.raw, START, END)
 
+    @cached_property
+    def folded(self) -> RetailTables:
+        """The repaired tables with names in mixed spelling, brought to one spelling each and written."""
+        names = clean.fold_names(mixed_case(self.clean))
+        return replace(names, **{t: write_once(getattr(names, t), f"folded-{t}") for t in clean.NAMES})
+
+    @cached_property
+    def late_lines(self) -> DataFrame:
+        """Repaired lines of a store to which the fifth and later lines of every order came in two late portions."""
+        lines = self.raw.orders
+        place = f"{shared_dir(lines.sparkSession)}/late-{uuid.uuid4().hex}"
+        stored = late.store_lines(lines.filter("line_no < 5"), place, START, END)
+        late.add_late_lines(stored, lines.filter("line_no > 5"))
+        late.add_late_lines(stored, lines.filter("line_no = 5"))
+        return stored.repaired.read()
+
+    @cached_property
+    def state(self) -> CustomerState:
+        """State of first purchases, from one increment per quarter of the year, one of which comes twice, the middle ones merged."""
+        lines = self.clean.orders
+        held = CustomerState(lines.sparkSession, f"{shared_dir(lines.sparkSession)}/state-{uuid.uuid4().hex}")
+        quarter = F.coalesce(F.quarter("correct_date"), F.lit(0))
+        for n in (2, 3, 2):
+            held.add(f"quarter{n}", lines.filter(quarter == n))
+        held.compact("merged")
+        for n in (4, 1, 0, 3):  # the first quarter is late, the third was merged before
+            held.add(f"quarter{n}", lines.filter(quarter == n))
+        return held
+
+    def bucketed(self, key: str) -> RetailTables:
+        """The repaired tables with lines bucketed by a key."""
+        if key not in self._written:
+            name = f"lines_by_{key}_{uuid.uuid4().hex}"
+            self._written[key] = save_bucketed(self.clean.orders, name, key, BUCKETS)[0]
+        return replace(self.clean, orders=self._written[key])
+
     def _step(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A step of the repair chain that later ones read twice."""
         if label not in self._written:
@@ -89,6 +130,7 @@ REPAIRS: dict[str, Callable[[Bound], DataFrame]] = {
     "c04_fix_category": lambda r: clean.fix_category(r.raw.products),
     "c05_pivot_payments": lambda r: r.summary(),
     "c06_average_review": lambda r: clean.average_review(r.raw.reviews),
+    "c06_average_review_integer": lambda r: clean.average_review(r.raw.reviews, integer_averages=True),
     "c07_add_line_amount": lambda r: r.priced(),
     "c08_audit_amounts": lambda r: clean.audit_amounts(r.priced(), r.summary()),
     "c09_collapse_lines": lambda r: r.collapsed(),
@@ -195,6 +237,27 @@ ANALYSES |= {
     f"kpi_{name.lower()}": (lambda t, name=name: kpi.kpi(name, t))  # each KPI as its own 1-row query
     for name in kpi.KPIS
 }
+
+# The same analyses over names in mixed spelling, folded on load.
+FOLDED = (
+    "v1_store360", "l1_sales_trend", "a1_category_sales", "a2_category_profit", "a3_category_penetration",
+    "a4_categories_per_bill_by_state", "a5_categories_per_bill_by_region", "a6_first_purchase_categories",
+    "p02_gender_patterns", "p03_region_share", "p03_state_share",
+)
+
+# Analyses over tables that are stored in another way; they give the results of those they are named after.
+STORED: dict[str, Callable[[Bound], DataFrame]] = {
+    "clean_all_orders_late_lines": lambda b: b.late_lines,
+    "g1_new_customers_by_month_state": lambda b: growth.new_customers_by_month(b.state.firsts()),
+    "g3_new_vs_existing_revenue_state": lambda b: growth.new_vs_existing_revenue(b.state.sums()),
+    "h1_cohorts_state": lambda b: growth.cohorts(b.state.sums()),
+    "a6_first_purchase_categories_state": lambda b: category.first_purchase_categories(b.state.firsts(), b.clean.products),
+    "v2_orders360_bucketed": lambda b: ANALYSES["v2_orders360"](b.bucketed("order_id")),
+    "x1_category_pairs_bucketed": lambda b: ANALYSES["x1_category_pairs"](b.bucketed("order_id")),
+    "b6_customer_preferences_bucketed": lambda b: ANALYSES["b6_customer_preferences"](b.bucketed("customer_id")),
+    **{f"{name}_folded": (lambda b, name=name: ANALYSES[name](b.folded)) for name in FOLDED},
+}
+
 for _number, _by in enumerate(ratings.DIMENSIONS, start=1):
     ANALYSES[f"r{_number}_average_rating_by_{_by}"] = lambda t, by=_by: ratings.average_rating(
         t.orders, t.reviews, by, t.products, t.customers
@@ -216,5 +279,6 @@ def all_queries() -> dict[str, Query]:
         **{name: repair(build) for name, build in PREVIEWS.items()},
         "repair_counts": repair(_repair_counts),
         **{name: analysis(build) for name, build in ANALYSES.items()},
+        **{name: repair(build) for name, build in STORED.items()},
         "p09_quality_profile": repair(lambda r: quality.quality_profile(r.raw)),
     }

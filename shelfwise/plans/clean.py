@@ -7,10 +7,12 @@ customer holding a large part of the data only makes the join skewed, which adap
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import is_instore, line_amount, parse_bill_date, same_text
+from shelfwise.functions.columns import is_instore, line_amount, parse_bill_date, same_text, whole_average
 from shelfwise.operators.grouping import first_per_key, total_order
 from shelfwise.operators.ranking import numbered_surplus
 from shelfwise.sources.storage import fingerprint, write_once
@@ -27,6 +29,42 @@ PAYMENT_COLUMNS = {
 }
 
 
+#: Columns that hold names, which the source system compares without regard to upper and lower case.
+NAMES = {
+    "customers": ("customer_city", "customer_state", "gender"),
+    "products": ("category",),
+    "stores": ("seller_city", "seller_state", "region"),
+}
+#: The collation that tells which spellings are one name.
+COLLATION = "UTF8_LCASE"
+
+
+def one_spelling(df: DataFrame, column: str, collation: str = COLLATION) -> DataFrame:
+    """Give all names that are equal under a collation the same spelling, the first of theirs by bytes. NULL stays NULL.
+
+    Groups and joins by the column then agree with the collation, and their results do not depend on which spelling came
+    first. The spellings are joined back to the rows: one row per name, which the engine broadcasts if it is small.
+    """
+    spelled = (
+        df.filter(F.col(column).isNotNull())
+        .groupBy(F.collate(column, collation).alias("_name"))
+        .agg(F.min(column).alias("_spelling"))
+    )
+    same = F.collate(F.col(column), collation) == F.col("_name")
+    return df.join(spelled, same, "left").withColumn(column, F.col("_spelling")).drop("_name", "_spelling")
+
+
+def fold_names(tables: RetailTables, collation: str = COLLATION) -> RetailTables:
+    """All names of customers, products and stores in one spelling each. Channels and payment types fold where they are used."""
+    folded = {}
+    for table, columns in NAMES.items():
+        df = getattr(tables, table)
+        for column in columns:
+            df = one_spelling(df, column, collation)
+        folded[table] = df
+    return replace(tables, **folded)
+
+
 def parse_bill_dates(orders: DataFrame) -> DataFrame:
     """Add ``correct_date``; texts no format fits become NULL."""
     return orders.withColumn("correct_date", parse_bill_date(F.col("bill_date_timestamp")))
@@ -81,9 +119,11 @@ def pivot_payments(payments: DataFrame) -> DataFrame:
     return payments.groupBy("order_id").agg(*columns, F.sum("payment_value").alias("Total_Amount"))
 
 
-def average_review(reviews: DataFrame) -> DataFrame:
+def average_review(reviews: DataFrame, integer_averages: bool = False) -> DataFrame:
+    """Mean score per order; ``integer_averages`` truncates it, as the source system's mean of whole numbers does."""
     score = F.col("customer_satisfaction_score")
-    return reviews.groupBy("order_id").agg(F.avg(score).alias("average_score"))
+    mean = whole_average(F.sum(score), F.count(score)) if integer_averages else F.avg(score)
+    return reviews.groupBy("order_id").agg(mean.alias("average_score"))
 
 
 def add_line_amount(orders: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,3 +145,20 @@ def _reviews(orders: DataFrame) -> DataFrame:
         .otherwise(F.array(first))
     )
     return orders.select(key.alias("order_id"), F.explode(scores).alias("customer_satisfaction_score"))
+
+
+def mixed_case(tables: RetailTables) -> RetailTables:
+    """The same tables with names spelled in capitals, small letters or as they are, by the row's id."""
+
+    def spelled(df: DataFrame, key: str, names: tuple[str, ...]) -> DataFrame:
+        turn = F.col(key) % 3
+        return df.withColumns(
+            {n: F.when(turn == 0, F.upper(n)).when(turn == 1, F.lower(n)).otherwise(F.col(n)) for n in names}
+        )
+
+    return replace(
+        tables,
+        customers=spelled(tables.customers, "custid", ("customer_city", "customer_state", "gender")),
+        products=spelled(tables.products, "product_id", ("category",)),
+        stores=spelled(tables.stores, "storeid", ("seller_city", "seller_state", "region")),
+    )
