@@ -138,9 +138,14 @@ def contamination(
 
 
 def clean_documents(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose own text has no hit; other rows of the same id, or without one, do not count."""
+    """Rows of ``docs`` whose own text has no hit; other rows of the same id, or without one, do not count.
+
+    The hit rows' ids and hashes are a written table, so the engine knows its size and, if it is small, broadcasts it in place of
+    moving texts.
+    """
     id_, hash_ = fresh(docs, "_id"), fresh(docs, "_hash")
     bad = verdicts.filter("contaminated").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    bad = write_once(bad, "contaminated")
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
     return docs.join(bad, same, "left_anti")
 

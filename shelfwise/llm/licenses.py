@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from shelfwise.llm.textbytes import LOWER, SpanHasher, Texts, chunks, words_of
 
 COVERAGE = 0.8
-#: Gaps without a common unique word are aligned word by word up to this many cells; longer ones by their ends only.
-SMALL_GAP = 4096
+#: Words that a passage may hold besides, in shares of its template's words: what lies wider apart is no passage.
+MOST_INSERTED = 1.0
+#: Cells up to which a gap without a common unique word is aligned by one table; larger ones are halved first.
+TABLE_CELLS = 4096
 
 # Notices, grants, names and whole texts of common licenses, by name and class.
 TEMPLATES: dict[tuple[str, str], list[str]] = {
@@ -230,8 +232,8 @@ def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def _common_subsequence(a: tuple, b: tuple) -> list[tuple[int, int]]:
-    """Aligned places of two short sequences without a common unique word."""
+def _by_table(a: tuple, b: tuple) -> list[tuple[int, int]]:
+    """Aligned places of a longest common subsequence, from the table of all lengths."""
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -248,6 +250,35 @@ def _common_subsequence(a: tuple, b: tuple) -> list[tuple[int, int]]:
     return found
 
 
+def _common_lengths(a: tuple, b: tuple) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` and every beginning of ``b``, one row of the table at a time."""
+    row, words = np.zeros(len(b) + 1, np.int64), np.array(b, np.uint64)
+    for word in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (words == np.uint64(word))))
+    return row
+
+
+def _common_subsequence(a: tuple, b: tuple) -> list[tuple[int, int]]:
+    """Aligned places of a longest common subsequence of two sequences of any length, in memory of one row.
+
+    The first sequence is halved; where the second is best cut, the lengths of both halves' subsequences tell. Parts that are small
+    enough are aligned by a table.
+    """
+    found: list[tuple[int, int]] = []
+    open_ = [(0, len(a), 0, len(b))]
+    while open_:
+        i, i_end, j, j_end = open_.pop()
+        if i_end - i <= 1 or (i_end - i) * (j_end - j) <= TABLE_CELLS:
+            found += [(i + p, j + q) for p, q in _by_table(a[i:i_end], b[j:j_end])]
+            continue
+        half = (i + i_end) // 2
+        begin = _common_lengths(a[i:half], b[j:j_end])
+        end = _common_lengths(a[half:i_end][::-1], b[j:j_end][::-1])[::-1]
+        cut = j + int(np.argmax(begin + end))
+        open_ += [(i, half, j, cut), (half, i_end, cut, j_end)]
+    return sorted(found)
+
+
 def patience(a: tuple[int, ...], b: tuple[int, ...]) -> list[tuple[int, int]]:
     """Aligned places (in ``a``, in ``b``) of two word sequences, rising in both."""
     found: list[tuple[int, int]] = []
@@ -269,7 +300,7 @@ def patience(a: tuple[int, ...], b: tuple[int, ...]) -> list[tuple[int, int]]:
             found += anchors
             edges = [(i - 1, j - 1), *anchors, (i_end, j_end)]
             open_ += [(p + 1, q, r + 1, s) for (p, r), (q, s) in zip(edges[:-1], edges[1:])]
-        elif (i_end - i) * (j_end - j) <= SMALL_GAP:
+        else:
             found += [(i + p, j + q) for p, q in _common_subsequence(a[i:i_end], b[j:j_end])]
     return sorted(found)
 
@@ -298,19 +329,41 @@ def _aligned(template: Template, window: tuple[int, ...], rows: list[np.ndarray]
     return found + [(i + p, j + q) for p, q in patience(template.words[i:], window[j:])]
 
 
+def _densest(aligned: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
+    """The most aligned places that lie within ``width`` words of the text; of equally many the closest together."""
+    best, begin = (0, 0), 0
+    for end in range(1, len(aligned) + 1):
+        while aligned[end - 1][1] - aligned[begin][1] >= width:
+            begin += 1
+        more, now = end - begin, best[1] - best[0]
+        span = lambda i, j: aligned[j - 1][1] - aligned[i][1]
+        if more > now or (more == now and span(begin, end) < span(*best)):
+            best = (begin, end)
+    return aligned[best[0] : best[1]]
+
+
+def _holds_required(template: Template, aligned: list[tuple[int, int]]) -> bool:
+    places = dict(aligned)
+    return all(
+        first in places and all(places.get(first + n) == places[first] + n for n in range(end - first))
+        for first, end in template.required
+    )
+
+
 def matches(words: np.ndarray, template: Template, least: float = COVERAGE) -> list[tuple[int, int, float]]:
     """Places (first word, end, coverage) where a text covers at least that share of the template, from left to right.
 
-    A place is a window a quarter longer than the template that begins with one of its words; a window with too few of
-    the template's words to reach the share, or without its required words in a row, is passed over. After a match the search
-    goes on behind it.
+    A place is a window that begins with one of the template's words and holds ``MOST_INSERTED`` times as many others as
+    the template has words; a window with too few of its words to reach the share, or without its required words in a row, is
+    passed over. Where the share is reached but not the whole template, a window of twice the width is aligned: a stray
+    word ahead of the passage may have cut its end off. After a match the search goes on behind it.
     """
     size = len(template.words)
     rows = [_occurrences(words, template.words[i:j]) for i, j in template.required]
     if any(not len(r) for r in rows):
         return []
     needed = int(np.ceil(least * size - 1e-9))
-    width = size + max(2, size // 4)
+    width = size + max(2, int(MOST_INSERTED * size))
     member = np.isin(words, np.array(template.words, np.uint64))
     sums = np.concatenate([[0], np.cumsum(member)])
     begins = np.flatnonzero(member)
@@ -322,12 +375,17 @@ def matches(words: np.ndarray, template: Template, least: float = COVERAGE) -> l
     for begin in begins.tolist():
         if begin < free:
             continue
-        aligned = _aligned(template, tuple(words[begin : begin + width].tolist()), [r - begin for r in rows])
-        if len(aligned) >= needed and aligned:
-            first, last = begin + aligned[0][1], begin + aligned[-1][1] + 1
-            if first >= free:
-                found.append((first, last, len(aligned) / size))
-                free = last
+        window = lambda n: tuple(words[begin : begin + n].tolist())  # noqa: B023, E731
+        places = [r - begin for r in rows]
+        aligned = _aligned(template, window(width), places)
+        if len(aligned) < needed or not aligned:
+            continue
+        if len(aligned) < size:
+            wider = _densest(_aligned(template, window(2 * width), places), width)
+            if len(wider) > len(aligned) and _holds_required(template, wider):
+                aligned = wider
+        found.append((begin + aligned[0][1], begin + aligned[-1][1] + 1, len(aligned) / size))
+        free = found[-1][1]
     return found
 
 

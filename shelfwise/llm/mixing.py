@@ -118,6 +118,30 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     ).select(*targets.columns, F.coalesce("threshold", F.lit(0)).alias("threshold"))
 
 
+def _sized(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    """The narrow table all figures come from, written."""
+    return write_once(
+        docs.select(
+            F.col(key).alias("doc_id"),
+            F.col(source).alias("source"),
+            word_count(F.col(text)).alias("size"),
+            document_hash(F.col(key)).alias("hash"),
+        ),
+        "mix-sizes",
+    )
+
+
+def _limits(sized: DataFrame, weights: tuple[int, ...], share: Fraction, repeats: int) -> DataFrame:
+    """One row per source (``_s``): its size, target, whole passes and the hash below which a document is taken once more."""
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sizes, weights, share, repeats)
+    return write_once(thresholds(sized, targets).withColumnRenamed("source", "_s"), "mix-limits")
+
+
+def _copies(hash_: Column, passes: Column, threshold: Column) -> Column:
+    return (passes + F.when(hash_ < threshold, 1).otherwise(0)).cast("bigint")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
@@ -135,23 +159,11 @@ def mix_sources(
     size. Columns of ``docs`` other than the three named are not read. An empty table gives an empty result.
     Writes the narrow size table and one row per source and level; the documents are read once.
     """
-    sized = write_once(
-        docs.select(
-            F.col(key).alias("doc_id"),
-            F.col(source).alias("source"),
-            word_count(F.col(text)).alias("size"),
-            document_hash(F.col(key)).alias("hash"),
-        ),
-        "mix-sizes",
-    )
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    limits = write_once(
-        thresholds(sized, source_targets(sizes, weights, share, repeats)).withColumnRenamed("source", "_s"), "mix-limits"
-    )
-    copies = (F.col("passes") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)).cast("bigint")
+    sized = _sized(docs, key, source, text)
+    limits = _limits(sized, weights, share, repeats)
     return (
         sized.join(limits, F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("copies", copies)
+        .withColumn("copies", _copies(F.col("hash"), F.col("passes"), F.col("threshold")))
         .select(
             "doc_id",
             "source",
@@ -165,20 +177,22 @@ def mix_sources(
     )
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them (``mixed`` from ``mix_sources`` with its default columns).
+def apply_mix(
+    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), repeats: int = 2
+) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix_sources`` says, by the columns ``doc_id, source, text``.
 
-    Texts move once, to meet their narrow verdict. Rows with equal keys and source have the same verdict.
+    A filter: a document's hash is held against its source's limits, one small written row per source, which the engine
+    broadcasts if they are small enough. Texts are neither sorted nor, then, moved. The documents are read twice.
     """
-    id_, source, copies, copy = (fresh(docs, name) for name in ("_id", "_source", "_copies", "_copy"))
-    verdict = (
-        mixed.filter("copies > 0")
-        .groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source))
-        .agg(F.max("copies").alias(copies))
-    )
-    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source))
+    limits = _limits(_sized(docs, "doc_id", "source", "text"), weights, share, repeats)
+    source, passes, threshold, copy = (fresh(docs, name) for name in ("_source", "_passes", "_threshold", "_copy"))
+    narrow = limits.select(F.col("_s").alias(source), F.col("passes").alias(passes), F.col("threshold").alias(threshold))
+    copies = _copies(document_hash(F.col("doc_id")), F.col(passes), F.col(threshold))
     return (
-        docs.join(verdict, same)
-        .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies))))
+        docs.join(narrow, F.col("source").eqNullSafe(F.col(source)))
+        .withColumn(copy, copies)
+        .filter(F.col(copy) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copy))))
         .select(*[F.col(c) for c in docs.columns])
     )

@@ -32,6 +32,8 @@ REGISTERS, BANDS = 128, 32
 LEAST_AGREEING = 78
 #: Members that one copy of a bucket's head serves; rows and shingles on one side of a block comparison, about.
 PER_HEAD, PER_BLOCK, BLOCK_SHINGLES = 256, 512, 1 << 18
+#: Nodes that a task's union-find holds at once.
+MOST_NODES = 1 << 20
 _SLICE = 1 << 16
 _U = np.uint64
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -221,6 +223,28 @@ def _links_in_blocks(width: int, percent: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def _agreeing_members(percent: int) -> Callable[[Batches], Batches]:
+    """Members of a bucket's pair of blocks whose size and signature agree with a member of another group there."""
+    least = LEAST_AGREEING * percent // PERCENT
+
+    def run(batches: Batches) -> Batches:
+        for table in _grouped(batches, ["bucket", "block_a", "block_b"]):
+            column = lambda name: np.array(table.column(name).combine_chunks())  # noqa: B023, E731
+            rep, group, block, size = (column(c) for c in ("rep", "component", "block", "n_shingles"))
+            block_a, block_b = table.column("block_a")[0].as_py(), table.column("block_b")[0].as_py()
+            signature = _matrix(table.column("signature").combine_chunks(), np.uint16)
+            close = np.zeros(len(rep), bool)
+            for i in np.flatnonzero(block == block_a).tolist():
+                j = np.flatnonzero((block == block_b) & (group != group[i]) & _similar_sizes(size, size[i], percent))
+                j = j[(signature[j] == signature[i]).sum(axis=1) >= least]
+                close[j] = True
+                close[i] |= len(j) > 0
+            buckets = table.column("bucket").combine_chunks().filter(pa.array(close))
+            yield pa.RecordBatch.from_arrays([buckets, pa.array(rep[close])], ["bucket", "rep"])
+
+    return run
+
+
 def _compare_with_head(width: int, percent: int) -> Callable[[Batches], Batches]:
     """Links between heads (rows without b, first of their group) and the members that follow them, on full sets."""
 
@@ -267,7 +291,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def _union_find(batches: Batches) -> Batches:
-    """A spanning forest of the task's edges: every node with the smallest node it is connected to here."""
+    """Spanning forests of the task's edges: every node with the smallest node it is connected to here.
+
+    With ``MOST_NODES`` nodes the forest is handed on and another begun, so memory stays bounded; later steps join them.
+    """
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -278,15 +305,21 @@ def _union_find(batches: Batches) -> Batches:
             parent[x], x = top, parent[x]
         return top
 
+    def forest() -> pa.RecordBatch:
+        stars = [(root(x), x) for x in list(parent) if root(x) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([s[0] for s in stars], pa.int64()), pa.array([s[1] for s in stars], pa.int64())], ["a", "b"]
+        )
+
     for batch in batches:
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
             x, y = root(a), root(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-    stars = [(root(x), x) for x in list(parent) if root(x) != x]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([s[0] for s in stars], pa.int64()), pa.array([s[1] for s in stars], pa.int64())], ["a", "b"]
-    )
+            if len(parent) >= MOST_NODES:
+                yield forest()
+    yield forest()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -338,22 +371,29 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         "signatures",
     )
     present = signed.filter("n_shingles > 0 and doc_id is not null")
+    # A class is a set of shingles. Its number is not a document's: an id may stand in rows of several classes.
+    digest = ["n_shingles", "set_a", "set_b"]
     classes = write_once(
-        present.groupBy("n_shingles", "set_a", "set_b").agg(
+        present.groupBy(*digest).agg(
             F.min(F.struct("doc_id", "text_key")).alias("first"),
             F.first("bands").alias("bands"),
             F.first("signature").alias("signature"),
-        ).select("n_shingles", "set_a", "set_b", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("rep_key"),
-                 "bands", "signature"),
+        ).select(F.monotonically_increasing_id().alias("rep"), *digest, F.col("first.doc_id").alias("low"),
+                 F.col("first.text_key").alias("low_key"), "bands", "signature"),
         "classes",
     )
-    same_set = [F.col(f"p.{c}") == F.col(f"c.{c}") for c in ("n_shingles", "set_a", "set_b")]
-    copies = (
-        present.select("doc_id", "n_shingles", "set_a", "set_b").alias("p")
-        .join(classes.select("rep", "n_shingles", "set_a", "set_b").alias("c"), same_set)
-        .filter("doc_id <> rep")
-        .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    members_of = write_once(
+        signed.select("doc_id", *digest).join(classes.select("rep", *digest), digest, "left").select(
+            "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")
+        ),
+        "class-members",
     )
+    # Classes that one id stands in are one document's.
+    several = members_of.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
+    several = several.filter("a < z").select(F.col("doc_id").alias("_doc"), "a")
+    copies = (
+        members_of.join(several, F.col("doc_id") == F.col("_doc")).filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    )
 
     banded = classes.select("rep", "n_shingles", "bands").mapInArrow(
         _explode_bands, "bucket bigint, rep bigint, n_shingles bigint"
@@ -381,10 +421,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     close = to_head.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreeing_pairs(percent), "a bigint, b bigint")
     pairs = write_once(close.distinct(), "pairs")
 
-    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "rep_key")
+    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "low", "low_key")
     texts = write_once(
-        docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.xxhash64("text").alias("rep_key"), "text")
-        .join(wanted, ["rep", "rep_key"], "left_semi")
+        docs.select(F.col("doc_id").cast("bigint").alias("low"), F.xxhash64("text").alias("low_key"), "text")
+        .join(wanted, ["low", "low_key"])
         .select("rep", "text"),
         "candidate-texts",
     )
@@ -399,35 +439,53 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         .select("bucket", "rep", blocks.alias("blocks"), F.coalesce("component", "rep").alias("component"))
     )
     mixed = open_.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    blocked = (
-        open_.join(mixed.select("bucket"), "bucket")
-        .join(classes.select("rep", "signature"), "rep")
-        .join(texts, "rep")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-        .withColumn("partner", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        .withColumn("block_a", F.least("block", "partner"))
-        .withColumn("block_b", F.greatest("block", "partner"))
-        .select("bucket", "block_a", "block_b", "block", "rep", "component", "signature", "text")
+    open_ = open_.join(mixed.select("bucket"), "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+
+    def paired(rows: DataFrame) -> DataFrame:
+        """Every row in all pairs of blocks that its block is one of, pairs together."""
+        pairs = rows.withColumn("partner", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        pairs = pairs.withColumns({"block_a": F.least("block", "partner"), "block_b": F.greatest("block", "partner")})
+        key = ["bucket", "block_a", "block_b"]
+        return pairs.drop("partner", "blocks").repartition(*key).sortWithinPartitions(*key)
+
+    # Signatures first, which are small: texts move only for members that agree with one of another component.
+    signatures = classes.select("rep", "n_shingles", "signature")
+    close = (
+        paired(open_.join(signatures, "rep"))
+        .mapInArrow(_agreeing_members(percent), "bucket bigint, rep bigint")
+        .distinct()
     )
-    rest = (
-        blocked.repartition("bucket", "block_a", "block_b")
-        .sortWithinPartitions("bucket", "block_a", "block_b")
-        .mapInArrow(_links_in_blocks(width, percent), "a bigint, b bigint")
+    left = write_once(open_.join(close, ["bucket", "rep"]), "open-members")
+    rest = paired(left.join(signatures.drop("n_shingles"), "rep").join(texts, "rep")).mapInArrow(
+        _links_in_blocks(width, percent), "a bigint, b bigint"
     )
     rest = write_once(rest, "verified")
     final = components(links.union(rest))
+    placed = classes.select("rep", "low").join(final, F.col("rep") == F.col("node"), "left")
+    placed = placed.select("rep", "low", F.coalesce("component", "rep").alias("component"))
+    lowest = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    of_class = placed.join(lowest, "component").select("rep", "component_id")
     return (
-        signed.select("doc_id", "n_shingles")
-        .join(final, F.col("doc_id") == F.col("node"), "left")
-        .withColumn("component_id", F.coalesce("component", "doc_id"))
+        members_of.join(of_class, "rep", "left")
+        .withColumn("component_id", F.coalesce("component_id", "doc_id"))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )
 
 
 def keep_one(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents that represent their group; of rows that share an id one stays, rows without an id all stay."""
-    id_, nth = fresh(docs, "_id"), fresh(docs, "_nth")
-    ids = verdicts.filter("kept and doc_id is not null").select(F.col("doc_id").alias(id_)).distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    chosen = docs.join(ids, F.col("doc_id") == F.col(id_)).withColumn(nth, once).filter(F.col(nth) == 1)
-    return chosen.select([F.col(c) for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
+    """The documents that represent their group; rows without an id all stay.
+
+    Of rows that share an id one stays, the one whose text has the smallest hash. The ids that go and those that repeat are
+    written tables of known size: small ones are broadcast, and only rows of repeated ids are dealt out by id.
+    """
+    id_, nth, hash_ = fresh(docs, "_id"), fresh(docs, "_nth"), fresh(docs, "_hash")
+    known = verdicts.filter("doc_id is not null")
+    gone = write_once(known.filter("not kept").select(F.col("doc_id").alias(id_)).distinct(), "ids-that-go")
+    often = known.filter("kept").groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias("n")).filter("n > 1")
+    often = write_once(often.select(id_), "repeated-ids")
+    same = F.col("doc_id") == F.col(id_)
+    stay = docs.join(gone, same, "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(hash_))
+    repeated = stay.join(often, same, "left_semi").withColumn(hash_, F.xxhash64("text")).withColumn(nth, first)
+    chosen = repeated.filter(F.col(nth) == 1).select([F.col(c) for c in docs.columns])
+    return stay.join(often, same, "left_anti").unionByName(chosen)

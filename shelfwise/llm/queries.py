@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -25,7 +24,7 @@ from shelfwise.llm import (
     toxicity,
     trie,
 )
-from shelfwise.sources.storage import shared_dir
+from shelfwise.sources.storage import work_folder
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -48,7 +47,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id bigint, turn bigint, role string, text string"
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
-    folder = f"{shared_dir(spark)}/chat-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "chat")
     chat.format_turns(turns).write.parquet(folder)
     return chat.read_back(spark.read.parquet(folder))
 
@@ -83,7 +82,7 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_rows(docs: DataFrame) -> DataFrame:
     """Encode, write and read back: what the token files of these documents hold."""
-    folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    folder = work_folder(docs.sparkSession, "tokens")
     tokenfile.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
     return tokenfile.read_tokens(docs.sparkSession, folder)
 

@@ -20,22 +20,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.textbytes import Texts, as_bytes, chunks, span_hashes
+from shelfwise.llm.textbytes import Texts, as_bytes, chunks, mix
 from shelfwise.sources.storage import write_once
 
 END_ID = 0
 #: Bytes of text that are encoded together; a longer text is encoded alone.
 _ENCODE_BYTES = 1 << 20
-#: Distinct pieces a worker remembers, about 50 bytes each; beyond that it forgets all and starts again.
+#: Distinct short pieces a worker remembers, about 55 bytes each; beyond that it forgets all and starts again.
 _MEMO_PIECES = 2_000_000
 _BLOCK_TOKENS = 1 << 18
 
 _ascii_space = np.zeros(256, bool)
 _ascii_space[[0x20, *range(0x09, 0x0E)]] = True
-#: Pieces that go through the tokenizer as one text.
-_JOINED = 200
+#: Pieces that go through the tokenizer as one text, and bytes of a short piece.
+_JOINED, SHORT = 200, 16
 
-_ENCODED = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
+#: A task ends with a row that holds, in place of ids, how often each id occurred in it.
+_ENCODED = "doc_id bigint, start bigint, n_tokens bigint, ids binary, counts boolean"
 _BLOCKS = (
     "start bigint, doc_ids array<bigint>, lengths array<bigint>, n_values bigint, control binary, data binary, shard int"
 )
@@ -79,11 +80,29 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - upto + lengths, lengths) + np.arange(upto[-1] if len(upto) else 0)
 
 
+#: Masks that leave the first n bytes of eight.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def short_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """First and last eight bytes (all, of shorter pieces) and length, per piece of at most ``SHORT`` bytes: they tell it exactly."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    mask = _FIRST_BYTES[np.minimum(lengths, 8)]
+    last = eight[starts + np.maximum(lengths - 8, 0)] & mask
+    return np.column_stack([eight[starts] & mask, last, lengths.astype(np.uint64)])
+
+
+def piece_hashes(keys: np.ndarray) -> np.ndarray:
+    return mix(mix(mix(keys[:, 0]) + keys[:, 1]) + keys[:, 2])
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizer, remembering the ids of distinct pieces.
 
-    Pieces are looked up by hash and compared byte by byte; should two different ones ever share a hash, the texts they stand in
-    go through the tokenizer as they are.
+    Short pieces are looked up by hash of their key and compared with the key remembered; should two different ones ever share a
+    hash, the texts they stand in go through the tokenizer as they are. Longer pieces are told apart by their bytes, and not
+    remembered beyond the chunk.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -102,45 +121,84 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)  # sorted hashes
         self.slot = np.zeros(0, np.int32)  # of each hash, its place below
+        self.keys = np.zeros((0, 3), np.uint64)
         self.ids_upto, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        self.text_upto, self.text = np.zeros(1, np.int64), np.zeros(0, np.uint8)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_pieces(self, raw: bytes, lengths: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces that ``raw`` consists of, and how many each has.
+    def _encode_pieces(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, and how many each has.
 
         Inner pieces begin with white space and do not end with it, so many go through the tokenizer as one text; the ids'
         lengths in bytes tell where each ends. Should they not meet the ends, and else, pieces go one by one.
         """
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        if inner.all():
-            edges = upto[np.append(np.arange(0, len(lengths), _JOINED), len(lengths))].tolist()
-            ids = np.concatenate(self._encode([raw[a:b].decode() for a, b in zip(edges[:-1], edges[1:])]))
-            reach = np.cumsum(self.bytes_of[ids])
-            last = np.minimum(np.searchsorted(reach, upto[1:]), len(ids) - 1)
-            if reach[-1] == upto[-1] and (reach[last] == upto[1:]).all():
-                return ids, np.diff(last, prepend=-1)
-        edges = upto.tolist()
-        each = self._encode([raw[a:b].decode() for a, b in zip(edges[:-1], edges[1:])])
-        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
-
-    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         ends = starts + lengths
         inner = _ascii_space[data[starts]] & ~_ascii_space[data[ends - 1]] & ~_behind_wide_space(data, ends)
-        for group in (np.flatnonzero(inner), np.flatnonzero(~inner)):
+        counts = np.zeros(len(starts), np.int64)
+        parts, order = [], []
+        for group, joined in ((np.flatnonzero(inner), True), (np.flatnonzero(~inner), False)):
             if not len(group):
                 continue
-            text = data[_spans(starts[group], lengths[group])]
-            ids, counts = self._encode_pieces(text.tobytes(), lengths[group], inner[group])
-            slots = np.arange(len(self.ids_upto) - 1, len(self.ids_upto) - 1 + len(group), dtype=np.int32)
-            self.ids_upto = np.concatenate([self.ids_upto, self.ids_upto[-1] + np.cumsum(counts)])
-            self.text_upto = np.concatenate([self.text_upto, self.text_upto[-1] + np.cumsum(lengths[group])])
-            self.ids, self.text = np.concatenate([self.ids, ids]), np.concatenate([self.text, text])
-            places = np.searchsorted(self.known, hashes[group])
-            self.known = np.insert(self.known, places, hashes[group])
-            self.slot = np.insert(self.slot, places, slots)
+            raw = data[_spans(starts[group], lengths[group])].tobytes()
+            upto = np.concatenate([[0], np.cumsum(lengths[group])])
+            if joined:
+                edges = upto[np.append(np.arange(0, len(group), _JOINED), len(group))].tolist()
+                ids = np.concatenate(self._encode([raw[a:b].decode() for a, b in zip(edges[:-1], edges[1:])]))
+                reach = np.cumsum(self.bytes_of[ids])
+                last = np.minimum(np.searchsorted(reach, upto[1:]), len(ids) - 1)
+                joined = reach[-1] == upto[-1] and (reach[last] == upto[1:]).all()
+                counts[group] = np.diff(last, prepend=-1)
+            if not joined:
+                edges = upto.tolist()
+                each = self._encode([raw[a:b].decode() for a, b in zip(edges[:-1], edges[1:])])
+                ids = np.concatenate(each)
+                counts[group] = [len(x) for x in each]
+            parts.append(ids)
+            order.append(group)
+        # Back into the order of the pieces.
+        ids, order = np.concatenate(parts), np.concatenate(order)
+        begins = np.empty(len(starts), np.int64)
+        begins[order] = np.cumsum(counts[order]) - counts[order]
+        return ids[_spans(begins, counts)], counts
+
+    def _learn(self, hashes: np.ndarray, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        slots = np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32)
+        self.keys, self.ids = np.concatenate([self.keys, keys]), np.concatenate([self.ids, ids])
+        self.ids_upto = np.concatenate([self.ids_upto, self.ids_upto[-1] + np.cumsum(counts)])
+        places = np.searchsorted(self.known, hashes)
+        self.known, self.slot = np.insert(self.known, places, hashes), np.insert(self.slot, places, slots)
+
+    def _short(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Where the ids of each short piece begin among ``self.ids``, and how many there are; None if two share a hash."""
+        keys = short_keys(data, starts, lengths)
+        hashes = piece_hashes(keys)
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if (keys != keys[first][inverse]).any():
+            return None
+        if len(self.known) + len(distinct) > _MEMO_PIECES:
+            self._forget()
+        at = np.searchsorted(self.known, distinct)
+        held = np.zeros(len(distinct), bool)
+        inside = at < len(self.known)
+        held[inside] = self.known[at[inside]] == distinct[inside]
+        if (self.keys[self.slot[at[held]]] != keys[first[held]]).any():
+            return None
+        new = first[~held]
+        if len(new):
+            self._learn(distinct[~held], keys[new], *self._encode_pieces(data, starts[new], lengths[new]))
+            at = np.searchsorted(self.known, distinct)
+        slots = self.slot[at][inverse]
+        return self.ids_upto[slots], self.ids_upto[slots + 1] - self.ids_upto[slots]
+
+    def _long(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct long pieces, and for each piece where its ids begin there and how many there are."""
+        raw = data.tobytes()
+        number: dict[bytes, int] = {}
+        which = [number.setdefault(raw[a : a + n], len(number)) for a, n in zip(starts.tolist(), lengths.tolist())]
+        _, first = np.unique(which, return_index=True)
+        ids, counts = self._encode_pieces(data, starts[first], lengths[first])
+        return ids, (np.cumsum(counts) - counts)[which], counts[which]
 
     def _plainly(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         edges, raw = texts.offsets.tolist(), texts.data.tobytes()
@@ -154,28 +212,19 @@ class PieceEncoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         lengths = np.diff(np.append(starts, len(data)))
-        distinct, first, inverse = np.unique(span_hashes(data, starts, starts + lengths), return_index=True, return_inverse=True)
-        # Every piece must be, byte by byte, the first one of its hash.
-        if (lengths != lengths[first][inverse]).any() or (data[_spans(starts[first][inverse], lengths)] != data).any():
-            return self._plainly(texts)
-        if len(self.known) + len(distinct) > _MEMO_PIECES:
-            self._forget()
-        at = np.searchsorted(self.known, distinct)
-        held = np.zeros(len(distinct), bool)
-        inside = at < len(self.known)
-        held[inside] = self.known[at[inside]] == distinct[inside]
-        new, old = first[~held], first[held]
-        slots = self.slot[at[held]]
-        sizes = self.text_upto[slots + 1] - self.text_upto[slots]
-        if (sizes != lengths[old]).any() or (self.text[_spans(self.text_upto[slots], sizes)] != data[_spans(starts[old], sizes)]).any():
+        short = lengths <= SHORT
+        begins, counts = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        found = self._short(data, starts[short], lengths[short])
+        if found is None:
             return self._plainly(texts)
-        if len(new):
-            self._learn(distinct[~held], data, starts[new], lengths[new])
-            at = np.searchsorted(self.known, distinct)
-        slots = self.slot[at][inverse]
-        counts = self.ids_upto[slots + 1] - self.ids_upto[slots]
+        begins[short], counts[short] = found
+        ids = self.ids
+        if not short.all():
+            more, at, counts[~short] = self._long(data, starts[~short], lengths[~short])
+            begins[~short] = at + len(ids)
+            ids = np.concatenate([ids, more])
         upto = np.concatenate([[0], np.cumsum(counts)])
-        return self.ids[_spans(self.ids_upto[slots], counts)], upto[bounds]
+        return ids[_spans(begins, counts)], upto[bounds]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -225,7 +274,7 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 def _encode_batches(tokenizer_file: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = 0
+        start, counted = 0, np.zeros(0, np.int64)
         for batch in batches:
             encoder = _encoder(tokenizer_file)
             text = batch.column("text")
@@ -248,26 +297,30 @@ def _encode_batches(tokenizer_file: str, end_id: int) -> Callable[[Iterator[pa.R
                         pa.array(start + upto[:-1], pa.int64()),
                         pa.array(lengths, pa.int64()),
                         held.cast(pa.binary()),
+                        pa.array(np.zeros(len(part), bool)),
                     ],
-                    names=["doc_id", "start", "n_tokens", "ids"],
+                    names=["doc_id", "start", "n_tokens", "ids", "counts"],
                 )
                 start += int(upto[-1])
+                found = np.bincount(whole)
+                size = max(len(found), len(counted))
+                counted = np.pad(counted, (0, size - len(counted))) + np.pad(found, (0, size - len(found)))
+        total = [pa.array([v], pa.int64()) for v in (None, -1, len(counted))]
+        yield pa.RecordBatch.from_arrays(
+            [*total, pa.array([counted.astype("<i8").tobytes()], pa.binary()), pa.array([True])],
+            names=["doc_id", "start", "n_tokens", "ids", "counts"],
+        )
 
     return run
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of every id in the task's documents."""
-    counts = np.zeros(0, np.int64)
+    """Occurrences of every id, from the rows in which the tasks have counted them."""
     for batch in batches:
-        data, offsets = as_bytes(batch.column("ids"))
-        ids = data[offsets[0] : offsets[-1]].view("<u4")
-        for at in range(0, len(ids), _BLOCK_TOKENS):
-            found = np.bincount(ids[at : at + _BLOCK_TOKENS])
-            counts = np.pad(counts, (0, max(0, len(found) - len(counts))))
-            counts[: len(found)] += found
-    present = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(present, pa.int64()), pa.array(counts[present], pa.int64())], ["id", "n"])
+        for held in batch.column("ids").to_pylist():
+            counts = np.frombuffer(held, "<i8")
+            present = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(present, pa.int64()), pa.array(counts[present])], ["id", "n"])
 
 
 def _one_list(values: pa.Array) -> pa.Array:
@@ -349,7 +402,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
         "token-ids",
         compression="zstd",
     )
-    counted = encoded.select("ids").mapInArrow(_count_batches, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = encoded.filter("counts").select("ids").mapInArrow(_count_batches, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     counts = sorted((-r["n"], r["id"]) for r in counted.collect())
     id_of = np.array([i for _, i in counts] or [end_id], np.uint32)
     rank_of = np.zeros(int(id_of.max()) + 1, np.uint32)
@@ -357,7 +410,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
     ranks = [(rank, i, -n) for rank, (n, i) in enumerate(counts)]
     spark.createDataFrame(ranks, "rank bigint, id bigint, n bigint").coalesce(1).write.parquet(f"{folder}/ranks")
     (
-        encoded.mapInArrow(_block_batches(rank_of), _BLOCKS)
+        encoded.filter("not counts").mapInArrow(_block_batches(rank_of), _BLOCKS)
         .sortWithinPartitions("shard", "start")
         .write.partitionBy("shard")
         .option("compression", "zstd")

@@ -1,9 +1,10 @@
 """Toxicity by a classifier chain over hashed words and word beginnings.
 
-The categories are ordered. Each has a linear model whose inputs are the marks found in a text and the probabilities of the
-categories before it; in training these earlier probabilities are out-of-fold predictions, so that a later model sees them as
-unsure as they will be on new texts. The marks are the words and word beginnings (4, 5 and 6 bytes, for inflected forms) that
-tell the classes of the fitting sample apart best.
+The categories are ordered, degrees of toxicity first and the label's own last, whose model decides. Each has a linear model
+whose inputs are the marks found in a text and the probabilities of the categories before it; in training these earlier
+probabilities are out-of-fold predictions, so that a later model sees them as unsure as they will be on new texts. The marks
+are the words and word beginnings (4, 5 and 6 bytes, for inflected forms) that tell the classes of the fitting sample apart
+best. Folds are made of whole texts (copies share one), and for each fold the marks are chosen without it.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ SAMPLE_ROWS, MARKS, LEAST_DOCUMENTS = 8000, 512, 3
 LEAST_STRENGTH = 10.8
 FOLDS = 3
 PREFIXES = (4, 5, 6)
-CATEGORIES = ("toxic", "repeated", "dense")
+CATEGORIES = ("dense", "repeated", "toxic")
 
 _letter = np.zeros(256, bool)
 for _range in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     _letter[slice(*_range)] = True
 
+_COUNTED_NAMES = ["mark", *(f"{kind}{k}" for k in range(FOLDS) for kind in ("n", "with"))]
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -48,11 +51,11 @@ def text_marks(texts: Texts) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
 
 
 def _count_marks() -> Callable[[Batches], Batches]:
-    """Documents with each mark, and how many of them carry the label, of one task's part of the sample."""
+    """Documents with each mark per fold, and how many of them carry the label, of one task's part of the sample."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            label = np.asarray(batch.column("label")).astype(np.int64)
+            label, fold = (np.asarray(batch.column(c)).astype(np.int64) for c in ("label", "fold"))
             for part in chunks(batch.column("text")):
                 kinds, owner, _ = text_marks(part)
                 marks = np.concatenate(kinds)
@@ -64,15 +67,9 @@ def _count_marks() -> Callable[[Batches], Batches]:
                 fresh = np.append(True, (marks[1:] != marks[:-1]) | (owners[1:] != owners[:-1]))
                 marks, owners = marks[fresh], owners[fresh]
                 distinct, first = np.unique(marks, return_index=True)
-                with_label = np.add.reduceat(label[part.first_row + owners], first)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(distinct.view(np.int64)),
-                        pa.array(np.diff(np.append(first, len(marks)))),
-                        pa.array(with_label),
-                    ],
-                    ["mark", "n", "n_label"],
-                )
+                of_fold, with_label = fold[part.first_row + owners], label[part.first_row + owners]
+                counts = [np.add.reduceat((of_fold == k) * x, first) for k in range(FOLDS) for x in (1, with_label)]
+                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), *map(pa.array, counts)], _COUNTED_NAMES)
 
     return run
 
@@ -107,10 +104,9 @@ def _find_marks(marks: np.ndarray) -> Callable[[Batches], Batches]:
             for part in chunks(batch.column("text")):
                 rows, columns, counts = finder(part)
                 lists = [c.tolist() for c in np.split(columns, np.searchsorted(rows, np.arange(1, len(part))))]
-                label = batch.column("label")[part.first_row : part.first_row + len(part)]
-                yield pa.RecordBatch.from_arrays(
-                    [label, pa.array(counts, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["label", "words", "marks"]
-                )
+                label, fold = (batch.column(c)[part.first_row : part.first_row + len(part)] for c in ("label", "fold"))
+                held = pa.array(lists, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([label, fold, pa.array(counts, pa.int64()), held], ["label", "fold", "words", "marks"])
 
     return run
 
@@ -148,7 +144,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int
 @dataclass
 class Chain:
     """The marks, per category the weights (marks, earlier categories' probabilities, intercept), and the probability of the
-    first category from which a text is rejected."""
+    last category from which a text is rejected."""
 
     marks: np.ndarray
     weights: list[np.ndarray]
@@ -181,59 +177,78 @@ def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
     return float(_sigmoid(np.log(ends / (1 - ends)).mean()))
 
 
+def _best_marks(counted: DataFrame, without: int | None, n: int, p: int) -> DataFrame:
+    """The strongest marks by the documents outside one fold: ``mark, n, with_label``, ``MARKS`` rows at most.
+
+    ``n`` documents and ``p`` of them with the label are outside. Strength is the likelihood ratio of mark and label.
+    """
+    folds = [k for k in range(FOLDS) if k != without]
+    total = lambda kind: sum((F.col(f"{kind}{k}") for k in folds), F.lit(0))
+    held = counted.select("mark", total("n").alias("n"), total("with").alias("with_label")).filter(F.col("n") >= LEAST_DOCUMENTS)
+    part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
+    have, lack = F.col("with_label"), F.col("n") - F.col("with_label")
+    strength = (
+        part(have, F.col("n") * p / max(n, 1))
+        + part(lack, F.col("n") * (n - p) / max(n, 1))
+        + part(p - have, (n - F.col("n")) * p / max(n, 1))
+        + part(n - p - lack, (n - F.col("n")) * (n - p) / max(n, 1))
+    )
+    ranked = held.withColumn("strength", 2 * strength).filter(F.col("strength") >= LEAST_STRENGTH)
+    return ranked.orderBy(F.col("strength").desc(), "mark").limit(MARKS).select("mark", "n", "with_label")
+
+
 def fit_chain(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Chain:
     """Fit the chain on about ``sample_rows`` labelled documents (all, if there are fewer), chosen by hash of the id.
 
     ``labels`` has ``doc_id`` and a 0/1 column; rows with a null label or id, or without a document, teach nothing. The
-    categories after ``toxic`` are degrees of it: ``repeated`` for toxic texts with four or more different marks that no
+    categories before ``toxic`` are degrees of it: ``repeated`` for toxic texts with four or more different marks that no
     clean text of the sample has, ``dense`` for toxic texts in which these come to five or more per hundred words. Without
-    any labelled row the chain gives every text the same low score. What reaches the driver is bounded by the sample.
+    any labelled row the chain gives every text the same low score. The threshold is the one with fewest errors on
+    out-of-fold scores of the last category. What reaches the driver is bounded by the sample.
     """
-    sample = write_once(labelled_sample(docs, labels, label, sample_rows), "labelled")
-    totals = sample.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
-    n, p = totals["n"], totals["p"] or 0
-    counted = (
-        sample.select("text", "label")
-        .mapInArrow(_count_marks(), "mark bigint, n bigint, n_label bigint")
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
+    sample = write_once(labelled_sample(docs, labels, label, sample_rows).select("text", "label", fold), "labelled")
+    sizes = {r["fold"]: (r["n"], r["p"]) for r in sample.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()}
+    counted = write_once(
+        sample.mapInArrow(_count_marks(), ", ".join(f"{c} bigint" for c in _COUNTED_NAMES))
         .groupBy("mark")
-        .agg(F.sum("n").alias("n"), F.sum("n_label").alias("with_label"))
-        .filter(F.col("n") >= LEAST_DOCUMENTS)
+        .agg(*[F.sum(c).alias(c) for c in _COUNTED_NAMES[1:]]),
+        "marks",
     )
-    part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
-    have, without = F.col("with_label"), F.col("n") - F.col("with_label")
-    strength = (
-        part(have, F.col("n") * p / max(n, 1))
-        + part(without, F.col("n") * (n - p) / max(n, 1))
-        + part(p - have, (n - F.col("n")) * p / max(n, 1))
-        + part(n - p - without, (n - F.col("n")) * (n - p) / max(n, 1))
+    chosen: dict[int | None, list[int]] = {}
+    pure: set[int] = set()
+    for without in (None, *range(FOLDS)):
+        n, p = (sum(size[x] for k, size in sizes.items() if k != without) for x in (0, 1))
+        best = _best_marks(counted, without, n, p).collect()
+        chosen[without] = [r["mark"] for r in best]
+        if without is None:
+            pure = {r["mark"] for r in best if r["with_label"] == r["n"]}
+    every = sorted({m for marks in chosen.values() for m in marks})
+    place = {m: i for i, m in enumerate(every)}
+    columns = {without: [place[m] for m in marks] for without, marks in chosen.items()}
+
+    found = sample.mapInArrow(
+        _find_marks(np.array(every, np.int64).view(np.uint64)), "label int, fold int, words bigint, marks array<bigint>"
     )
-    ranked = counted.withColumn("strength", 2 * strength).filter(F.col("strength") >= LEAST_STRENGTH)
-    best = ranked.orderBy(F.col("strength").desc(), "mark").limit(MARKS).collect()
-    marks = np.array([r["mark"] for r in best], np.int64).view(np.uint64)
-    pure = np.array([r["with_label"] == r["n"] for r in best], bool)
-
-    rows = sample.select("text", "label").mapInArrow(_find_marks(marks), "label int, words bigint, marks array<bigint>")
-    rows = rows.orderBy("label", "words", "marks").collect()
-    x = np.zeros((len(rows), len(marks)))
+    rows = sorted(found.collect(), key=lambda r: (r["label"], r["fold"], r["words"], r["marks"]))
+    has = np.zeros((len(rows), len(every)), np.float32)
     for i, r in enumerate(rows):
-        x[i, r["marks"]] = 1
-    toxic = np.array([r["label"] for r in rows], float)
-    hits = x[:, pure].sum(axis=1) if len(rows) else np.zeros(0)
+        has[i, r["marks"]] = 1
+    toxic, folds = (np.array([r[c] for r in rows], float) for c in ("label", "fold"))
+    hits = has[:, [place[m] for m in sorted(pure)]].sum(axis=1) if len(rows) else np.zeros(0)
     n_words = np.array([max(r["words"], 1) for r in rows], float)
-    targets = [toxic, toxic * (hits >= 4), toxic * (hits >= 0.05 * n_words) * (hits > 0)]
+    targets = [toxic * (hits >= 0.05 * n_words) * (hits > 0), toxic * (hits >= 4), toxic]
 
-    fold = np.arange(len(rows)) % FOLDS
-    weights, threshold = [], 0.5
+    weights, earlier, unseen = [], np.zeros((len(rows), 0)), np.zeros(len(rows))
     for y in targets:
-        weights.append(fit_logistic(x, y))
+        weights.append(fit_logistic(np.column_stack([has[:, columns[None]], earlier]), y))
         unseen = np.zeros(len(rows))
         for k in range(FOLDS):
-            w = fit_logistic(x[fold != k], y[fold != k])
-            unseen[fold == k] = _sigmoid(x[fold == k] @ w[:-1] + w[-1])
-        if not weights[1:]:
-            threshold = best_threshold(unseen, y)
-        x = np.column_stack([x, unseen])
-    return Chain(marks, weights, threshold)
+            x = np.column_stack([has[:, columns[k]], earlier])
+            w = fit_logistic(x[folds != k], y[folds != k])
+            unseen[folds == k] = _sigmoid(x[folds == k] @ w[:-1] + w[-1])
+        earlier = np.column_stack([earlier, unseen])
+    return Chain(np.array(chosen[None], np.int64).view(np.uint64), weights, best_threshold(unseen, targets[-1]))
 
 
 def _score_batches(chain: Chain) -> Callable[[Batches], Batches]:
@@ -255,12 +270,12 @@ def _score_batches(chain: Chain) -> Callable[[Batches], Batches]:
 def toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
     """``doc_id``, a probability per category and ``rejected`` for every row: the whole text is scored.
 
-    Rejected is a text whose first category reaches the chain's threshold. Null and empty texts hold no mark and get the score of
+    Rejected is a text whose last category, which sees the probabilities of the others, reaches the chain's threshold. Null and empty texts hold no mark and get the score of
     a text without any. Only ``doc_id`` and ``text`` are read; repeated rows get equal scores.
     """
     schema = ", ".join([f"doc_id {dict(docs.dtypes)['doc_id']}", *(f"{c} double" for c in chain.categories)])
     scored = docs.select("doc_id", "text").mapInArrow(_score_batches(chain), schema)
-    return scored.withColumn("rejected", F.col(chain.categories[0]) >= chain.threshold)
+    return scored.withColumn("rejected", F.col(chain.categories[-1]) >= chain.threshold)
 
 
 def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -272,7 +287,7 @@ def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
             keep = np.zeros(batch.num_rows, bool)
             for part in chunks(batch.column("text")):
                 rows, columns, _ = finder(part)
-                keep[part.first_row : part.first_row + len(part)] = chain.scores(rows, columns, len(part))[:, 0] < chain.threshold
+                keep[part.first_row : part.first_row + len(part)] = chain.scores(rows, columns, len(part))[:, -1] < chain.threshold
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -107,3 +107,60 @@ def test_whole_texts_are_found_as_themselves():
         found = licenses.distinct_passages([(a, b, c, t) for t in all_ for a, b, c in licenses.matches(words, t)])
         best = max(found, key=lambda f: f["words"])
         assert (best["license"], best["coverage"]) == (name, 1.0), file
+
+
+def exact_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above, row = row, [0] * (len(b) + 1)
+        for j, y in enumerate(b, 1):
+            row[j] = above[j - 1] + 1 if x == y else max(above[j], row[j - 1])
+    return row[-1]
+
+
+def test_large_gaps_are_aligned_exactly():
+    """Sequences of a few words that repeat have no anchors at all: the common subsequence is as long as can be."""
+    rng = random.Random(8)
+    for size in (3, 80, 300):
+        a, b = (tuple(rng.randrange(4) for _ in range(size + rng.randrange(20))) for _ in range(2))
+        found = licenses._common_subsequence(a, b)
+        assert all(a[i] == b[j] for i, j in found)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+        assert len(found) == exact_length(a, b)
+    once = tuple(range(1, 50))
+    assert licenses._common_subsequence((7,), tuple([1] * 9000 + [7])) == [(0, 9000)]
+    assert len(licenses.patience((1, 2) * 100 + once, once + (2, 1) * 100)) >= 49
+
+
+def test_scan_against_all_windows_of_whole_texts(spark):
+    """Passages with words left out, changed and put in, anywhere in prose: found if and only if some window covers enough."""
+    rng = random.Random(11)
+    template = licenses._template("X", "y", MIT)
+    size = len(template.words)
+    prose = [f"p{i}" for i in range(400)]
+    width = 2 * size
+    for trial in range(60):
+        lost, put_in = rng.choice([0, 0.1, 0.3]), rng.choice([0, 0.3, 0.6])
+        passage = []
+        for w in MIT.split():
+            if rng.random() >= lost:
+                passage.append(w)
+            if rng.random() < put_in:
+                passage.append(rng.choice(prose))
+        stray = [rng.choice(MIT.split())] + rng.choices(prose, k=rng.randrange(1, size)) if trial % 3 == 0 else []
+        text = " ".join(rng.choices(prose, k=50) + stray + passage + rng.choices(prose, k=50))
+        words = licenses.word_ids(text)
+        best = max(exact_length(template.words, words[i : i + width]) for i in range(0, len(words), 7)) / size
+        found = licenses.matches(licenses.np.array(words, licenses.np.uint64), template)
+        if best >= 0.86:
+            assert len(found) == 1 and found[0][2] >= best - 0.06, (trial, best, found)
+        if best < 0.8:
+            assert not found, (trial, best, found)
+
+
+def test_a_stray_word_does_not_cut_the_end_off():
+    template = licenses._template("X", "y", MIT)
+    size = len(template.words)
+    text = "software " + "zzz " * (size - 10) + MIT
+    found = licenses.matches(licenses.np.array(licenses.word_ids(text), licenses.np.uint64), template)
+    assert [f[2] for f in found] == [1.0] and found[0][1] - found[0][0] == size

@@ -75,9 +75,19 @@ def test_mixes_are_nested(spark, documents):
 def test_odd_documents_and_copies(spark, odd_documents, no_documents):
     mixed = mixing.mix_sources(odd_documents)
     assert mixed.count() == odd_documents.count()
-    applied = mixing.apply_mix(odd_documents, mixed)
+    applied = mixing.apply_mix(odd_documents)
     assert applied.columns == odd_documents.columns
     assert applied.count() == sum(r["copies"] for r in mixed.collect())
     assert mixing.mix_sources(no_documents).count() == 0
     only_empty = odd_documents.filter("doc_id = 1")
     assert [(r["taken"], r["target"]) for r in mixing.mix_sources(only_empty).collect()] == [(0, 0.0)]
+
+
+def test_applying_a_mix_moves_no_text(documents):
+    """The documents meet one broadcast row per source: nothing of them is sorted or exchanged."""
+    plan = mixing.apply_mix(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Sort" not in plan
+    assert not re.search(r"Exchange (?!.*Broadcast)", plan.replace("BroadcastExchange", "")), plan
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(documents).collect() if r["copies"]}
+    got = {r["doc_id"]: r["count"] for r in mixing.apply_mix(documents).groupBy("doc_id").count().collect()}
+    assert got == want

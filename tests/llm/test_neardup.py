@@ -127,3 +127,47 @@ def test_shingles_are_those_of_the_words():
     assert np.diff(bounds).tolist() == [len(shingles(t)) for t in texts]
     assert words.tolist() == [9, 2, 0, 4]
     assert LOWER[ord("Z")] == ord("z")
+
+
+def words_of(seed, n=60):
+    return [f"w{(seed * 7919 + i * 104729) % 5003}" for i in range(n)]
+
+
+def test_an_id_with_two_texts_ties_what_either_is_linked_with(spark):
+    a, b = words_of(1), words_of(2)
+    near = lambda w: " ".join(w[:-1] + ["other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(words_of(3)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    verdicts = neardup.near_duplicates(docs)
+    kept = [tuple(r) for _ in range(2) for r in neardup.keep_one(docs.repartition(2), verdicts).orderBy("doc_id").collect()]
+    assert [k[0] for k in kept] == [1, 4, 1, 4] and kept[:2] == kept[2:]
+
+
+def test_small_forests_join_to_the_same_components(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(0, 300) if i % 50] + [(5, 250)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint").coalesce(1)
+    want = {r["node"]: r["component"] for r in neardup.components(df).collect()}
+    forests = list(neardup._union_find(iter(df.toArrow().to_batches())))
+    monkeypatch.setattr(neardup, "MOST_NODES", 7)
+    parts = list(neardup._union_find(iter(df.toArrow().to_batches())))
+    assert len(forests) == 1 < len(parts)
+    again = spark.createDataFrame([p for b in parts for p in zip(*b.to_pydict().values())], "a bigint, b bigint")
+    assert {r["node"]: r["component"] for r in neardup.components(again).collect()} == want
+
+
+def test_open_members_without_agreement_move_no_text(spark, monkeypatch):
+    """A crowded bucket whose members are not like each other: nothing is left after the signatures are compared."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    n = 40
+    signature = rng.integers(0, 1 << 16, (n, neardup.REGISTERS)).astype(np.uint16)
+    signature[7] = signature[3]
+    batch = pa.RecordBatch.from_pydict(
+        {"bucket": [1] * n, "block_a": [0] * n, "block_b": [0] * n, "block": [0] * n, "rep": list(range(n)),
+         "component": list(range(n)), "n_shingles": [100] * n, "signature": [s.tobytes() for s in signature]}
+    )
+    left = [r for b in neardup._agreeing_members(80)(iter([batch])) for r in b.to_pydict()["rep"]]
+    assert sorted(left) == [3, 7]

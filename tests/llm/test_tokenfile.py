@@ -98,12 +98,22 @@ def wanted(texts):
 def test_pieces_that_share_a_hash(monkeypatch, documents):
     """Within a chunk and with the memo, for any hash: at worst all pieces have the same."""
     texts = HARD + [r["text"] or "" for r in documents.limit(20).collect()]
+    plain = tokenfile.piece_hashes
     for bits in (0, 3, 12, 20):
-        plain = tokenfile.span_hashes
-        monkeypatch.setattr(tokenfile, "span_hashes", lambda *a: plain(*a) >> np.uint64(64 - bits) if bits else plain(*a) * np.uint64(0))
+        cut = (lambda k, b=bits: plain(k) >> np.uint64(64 - b)) if bits else (lambda k: plain(k) * np.uint64(0))
+        monkeypatch.setattr(tokenfile, "piece_hashes", cut)
         encoder = tokenfile.PieceEncoder(VOCABULARY)
         assert [encoded(encoder, [t])[0] for t in texts] == wanted(texts)
-        monkeypatch.setattr(tokenfile, "span_hashes", plain)
+
+
+def test_keys_tell_short_pieces_apart():
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    starts = rng.integers(0, 3900, 3000)
+    lengths = rng.integers(1, tokenfile.SHORT + 1, 3000)
+    pieces = [data[a : a + n].tobytes() for a, n in zip(starts, lengths)]
+    keys = [tuple(k) for k in tokenfile.short_keys(data, starts, lengths).tolist()]
+    assert len(set(zip(pieces, keys))) == len(set(pieces)) == len(set(keys))
 
 
 def test_ids_that_do_not_tell_the_ends_of_pieces():
