@@ -5,14 +5,13 @@ Every stage is a function of (spark, docs, sf_dir); its result is written as Par
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm import decontamination, mixing, neardup, toxicity
 from shelfwise.llm.queries import table, token_rows
-from shelfwise.sources.storage import scope, shared_dir
+from shelfwise.sources.storage import scope, work_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them: left out, once or twice."""
-    return mixing.apply_mix(docs, mixing.mix_sources(docs))
+    return mixing.apply_mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again; the result of the last."""
+    """All stages over the documents, each written and read again; the result of the last.
+
+    Inside a ``scope`` what the stages write goes at its end.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "pipeline")
     for name, stage in STAGES:
         with scope(spark):  # what the stage writes on the way goes when its result is written
             result = stage(spark, docs, sf_dir)

@@ -48,6 +48,11 @@ def scope(spark: SparkSession) -> Iterator[str]:
         drop_folder(spark, folder)
 
 
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for a table written on the way: in the innermost ``scope``, with which it goes, or in the shared folder."""
+    return f"{_SCOPES[-1] if _SCOPES else shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def drop_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder through Hadoop, so that it may lie in any store Spark reaches."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -86,7 +91,7 @@ def write_once(df: DataFrame, label: str, cluster_by: str | None = None, compres
     ``cluster_by`` brings rows of the same key together in evenly sized files; adaptive execution splits a key that is
     too large for one file. Inside a ``scope`` the table lives until the scope ends, else as long as the folder does.
     """
-    path = f"{_SCOPES[-1] if _SCOPES else shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = work_folder(df.sparkSession, label)
     even = df.hint("rebalance", cluster_by).sortWithinPartitions(cluster_by) if cluster_by else df
     for see in OBSERVERS:
         see(label, even)
