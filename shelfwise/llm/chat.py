@@ -6,7 +6,7 @@ into one preallocated buffer that is the Arrow column. Segments need no other tu
 formatted by many tasks; its text is its segments in order.
 
 Control strings inside texts are escaped: a ``<``, any number of backslashes and a ``|`` get one backslash more behind the
-``<``. No escaped text holds ``<|``, and taking one backslash away gives the text back. In roles ``%`` and line feeds are
+``<``. No escaped text holds ``<|``, and taking one backslash away gives the text back. In roles ``%``, ``<`` and line feeds are
 percent-encoded.
 """
 
@@ -47,7 +47,8 @@ def insert_points(texts: Texts) -> np.ndarray:
 
 
 def role_header(role: str | None) -> bytes:
-    return _START + (role or "").replace("%", "%25").replace("\n", "%0A").encode() + b"\n"
+    """A role cannot hold a control string or end its line: ``%``, line feeds and ``<`` are percent-encoded."""
+    return _START + (role or "").replace("%", "%25").replace("\n", "%0A").replace("<", "%3C").encode() + b"\n"
 
 
 def assemble(texts: Texts, roles: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +130,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
             raise ValueError(f"no turn begins at {at}")
         line = formatted.index("\n", at)
         stop = formatted.index(END, line + 1)
-        role = formatted[at + len(START) : line].replace("%0A", "\n").replace("%25", "%")
+        role = formatted[at + len(START) : line].replace("%3C", "<").replace("%0A", "\n").replace("%25", "%")
         turns.append((role, unescape(formatted[line + 1 : stop])))
         at = stop + len(END)
     return turns

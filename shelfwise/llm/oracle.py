@@ -108,7 +108,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(24 + length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + length(text)
+  sum(24 + length(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C')) + length(text)
     + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id
 """

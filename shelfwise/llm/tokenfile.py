@@ -302,9 +302,7 @@ def _encode_batches(tokenizer_file: str, end_id: int) -> Callable[[Iterator[pa.R
                     names=["doc_id", "start", "n_tokens", "ids", "counts"],
                 )
                 start += int(upto[-1])
-                found = np.bincount(whole)
-                size = max(len(found), len(counted))
-                counted = np.pad(counted, (0, size - len(counted))) + np.pad(found, (0, size - len(found)))
+                counted = _added(counted, np.bincount(whole))
         total = [pa.array([v], pa.int64()) for v in (None, -1, len(counted))]
         yield pa.RecordBatch.from_arrays(
             [*total, pa.array([counted.astype("<i8").tobytes()], pa.binary()), pa.array([True])],
@@ -314,13 +312,20 @@ def _encode_batches(tokenizer_file: str, end_id: int) -> Callable[[Iterator[pa.R
     return run
 
 
+def _added(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The sum of two tables of counts, the shorter one ending in zeros."""
+    size = max(len(one), len(other))
+    return np.pad(one, (0, size - len(one))) + np.pad(other, (0, size - len(other)))
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of every id, from the rows in which the tasks have counted them."""
+    """Occurrences of every id, from the rows in which the encoding tasks have counted them."""
+    total = np.zeros(0, np.int64)
     for batch in batches:
         for held in batch.column("ids").to_pylist():
-            counts = np.frombuffer(held, "<i8")
-            present = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(present, pa.int64()), pa.array(counts[present])], ["id", "n"])
+            total = _added(total, np.frombuffer(held, "<i8"))
+    present = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(present, pa.int64()), pa.array(total[present])], ["id", "n"])
 
 
 def _one_list(values: pa.Array) -> pa.Array:
