@@ -159,10 +159,22 @@ def _views() -> dict[str, str]:
         FROM base CROSS JOIN high"""
     head, tail = order.split("SELECT order_id, items AS", 1)
     feedback = f"{head}SELECT order_id, average_score, items AS{tail} LEFT JOIN ras USING (order_id)"
+    whole = "CAST(sum(CAST({0} AS DECIMAL(38,10))) // nullif(count({0}), 0) AS DOUBLE)"
+    whole_scores = "(SELECT order_id, sum(customer_satisfaction_score) // count(customer_satisfaction_score) AS average_score FROM rev GROUP BY order_id)"
+    store_rating = f"{dbl('sum(CAST(average_score AS DECIMAL(20,10)))')} / nullif(count(average_score), 0)"
+    customer = _customer_view(first_only=False, dedupe=False)
     return {
+        "v1_store360_integer": with_tables(
+            "o p s rev",
+            store.replace(store_rating, whole.format("average_score")).replace("JOIN ras", f"JOIN {whole_scores} AS ras"),
+        ),
+        "v3_customer360_integer": with_tables(
+            "main_c o p s ops rev",
+            customer.replace(f"{dbl('sum(score)')} / nullif(count(score), 0)", whole.format("score")),
+        ),
         "v1_store360": with_tables("o p s ras", store),
         "v2_orders360": with_tables("o p", order),
-        "v3_customer360": with_tables("main_c o p s ops rev", _customer_view(first_only=False, dedupe=False)),
+        "v3_customer360": with_tables("main_c o p s ops rev", customer),
         "v3_customer360_corrected": with_tables("main_c o p s ops rev", _customer_view(first_only=True, dedupe=True)),
         "v3_customer360_percentile_segments": with_tables(
             "main_c o p s ops rev", _customer_view(first_only=False, dedupe=False, percentiles=True)
@@ -359,6 +371,13 @@ def _growth() -> dict[str, str]:
                 GROUP BY 1, 2""",
         ),
         "h1_cohorts": with_tables("o", cohort),
+        "k29_distinct_counts_by_month": with_tables(
+            "o",
+            f"""SELECT {MONTH} AS "Month", count(DISTINCT customer_id) AS customers, count(DISTINCT order_id) AS orders,
+                       count(DISTINCT product_id) AS products, true AS customers_close, true AS orders_close,
+                       true AS products_close
+                FROM o GROUP BY 1""",
+        ),
     }
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from shelfwise.plans import basket, category, clean, customers, growth, kpi, late, quality, ratings, sales, views360
+from shelfwise.plans import basket, category, clean, customers, growth, kpi, late, quality, ratings, sales, sketches, views360
 from shelfwise.plans.state import CustomerState
 from shelfwise.sources.buckets import save_bucketed
 from shelfwise.sources.session import tune
@@ -164,6 +164,12 @@ def _repair_counts(steps: Bound) -> DataFrame:
 ANALYSES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "clean_all_orders": lambda t: t.orders,
     "v1_store360": lambda t: views360.store360(t.orders, t.products, t.stores, t.review_scores),
+    "v1_store360_integer": lambda t: views360.store360(
+        t.orders, t.products, t.stores, clean.average_review(t.reviews, integer_averages=True), integer_averages=True
+    ),
+    "v3_customer360_integer": lambda t: views360.customer360(
+        t.customers, t.orders, t.products, t.payment_summary, t.stores, t.reviews, integer_averages=True
+    ),
     "v2_orders360": lambda t: views360.orders360(t.orders, t.products),
     "v3_customer360": lambda t: views360.customer360(
         t.customers, t.orders, t.products, t.payment_summary, t.stores, t.reviews
@@ -230,6 +236,7 @@ ANALYSES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "a6_first_purchase_categories": lambda t: category.first_purchase_categories(t.orders, t.products),
     "x1_category_pairs": lambda t: basket.category_pairs(t.orders, t.products),
     "x1_category_pairs_unordered": lambda t: basket.category_pairs(t.orders, t.products, unordered=True),
+    "k29_distinct_counts_by_month": lambda t: sketches.distinct_counts_by_month(t.orders),
     "x2_category_triples": lambda t: basket.category_triples(t.orders, t.products),
     "x2_category_triples_unordered": lambda t: basket.category_triples(t.orders, t.products, unordered=True),
 }

@@ -64,12 +64,17 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
     return _long(lost, table, "orphan", [column])
 
 
-def quality_profile(tables: RetailTables) -> DataFrame:
-    """Missing values, duplicate keys, unreadable dates, placeholder categories and orphan ids of the raw tables."""
+def quality_profile(tables: RetailTables, rejects: DataFrame | None = None) -> DataFrame:
+    """Missing values, duplicate keys, unreadable dates, placeholder categories and orphan ids of the raw tables.
+
+    ``rejects`` are the counts of an import (``sources.imports``), which are listed with the others.
+    """
     frames = tables.present()
     parts = [row_rules(df, name) for name, df in frames.items()]
     parts += [duplicate_keys(frames[name], name, keys) for name, keys in UNIQUE_KEYS.items()]
     parts += [orphans(frames[t], c, frames[p], pc, t) for t, c, p, pc in REFERENCES]
+    if rejects is not None:
+        parts.append(rejects)
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import is_weekend, line_cost, line_profit, number, percent2, safe_divide
+from shelfwise.functions.columns import is_weekend, line_cost, line_profit, number, percent2, safe_divide, whole_average
 from shelfwise.operators.grouping import first_per_key, total_order
 from shelfwise.operators.ranking import add_ntiles, exact_percentile, exact_percentiles
 from shelfwise.sources.storage import write_once
@@ -69,16 +69,20 @@ def _join_places(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(renamed, same).drop(*[f"_{c}" for c in PLACE])
 
 
-def store360(orders: DataFrame, products: DataFrame, stores: DataFrame, review_scores: DataFrame) -> DataFrame:
+def store360(
+    orders: DataFrame, products: DataFrame, stores: DataFrame, review_scores: DataFrame, integer_averages: bool = False
+) -> DataFrame:
     """One row per store with sales, profit, flags and per-visit averages.
 
+    ``integer_averages`` cuts the mean rating to a whole number; give it scores per order that are (``average_review``).
+
     Only stores with orders appear; orders of unknown stores share one NULL row, whose visit columns are empty (0 for the
     two sums) as they match no store. A visit is a distinct (order, customer, store, timestamp).
 
     Money is summed straight per store. Visits and distinct counts run as separate narrow aggregates over ids only, so
     no wide row is repeated per distinct count; everything meets again at one row per store.
     """
-    weekend = is_weekend("correct_date")
+    weekend, mean = is_weekend("correct_date"), whole_average if integer_averages else safe_divide
     money = orders.groupBy("delivered_storeid").agg(
         *_line_sums(),
         F.max("correct_date").alias("last"),
@@ -99,7 +103,7 @@ def store360(orders: DataFrame, products: DataFrame, stores: DataFrame, review_s
             F.count_if("priced").alias("priced_visits"),
             F.count_if("costed").alias("costed_visits"),
             # A mean of decimals: it does not depend on the order of its inputs.
-            safe_divide(F.sum(F.col("average_score").cast("decimal(20,10)")), F.count("average_score")).alias("rating"),
+            mean(F.sum(F.col("average_score").cast("decimal(20,10)")), F.count("average_score")).alias("rating"),
         )
     )
     assortment = (
@@ -285,15 +289,14 @@ def _buyer_totals(buyer_orders: DataFrame, latest: Column, extra: list[Column])
     )
 
 
-def _purchase_sums() -> list[Column]:
+def _purchase_sums(integer_averages: bool = False) -> list[Column]:
     """The "first purchase" figures, which in the source cover all purchases and repeat per review."""
-    copies = F.col("copies")
+    copies, total, rows = F.col("copies"), F.sum(F.col("lines") * F.col("score_sum")), F.sum(F.col("lines") * F.col("scored"))
+    mean = whole_average(total.cast("decimal(38,10)"), rows) if integer_averages else safe_divide(total, rows)
     return [
         F.sum(F.col("qty") * copies).alias("First_Purchase_Qty"),
         F.sum(F.col("amount") * copies).alias("first_amount"),
-        safe_divide(F.sum(F.col("lines") * F.col("score_sum")), F.sum(F.col("lines") * F.col("scored"))).alias(
-            "Average_Satisfaction_Score"
-        ),
+        mean.alias("Average_Satisfaction_Score"),
     ]
 
 
@@ -339,6 +342,7 @@ def customer360(
     dedupe_reviews: bool = False,
     first_purchase_only: bool = False,
     percentile_segments: bool = False,
+    integer_averages: bool = False,
 ) -> DataFrame:
     """One row per customer who bought something: activity, money, variety, payment habits, spend segment.
 
@@ -347,14 +351,14 @@ def customer360(
     ``dedupe_reviews`` counts every line once; ``first_purchase_only`` restricts those columns to lines with the
     customer's first timestamp; for a buyer without any they are NULL. The spend segment is NTILE(3) over all customers,
     buyers or not; with ``percentile_segments`` it follows from where the spend of buyers has its 1/3 and 2/3 percentiles
-    (equal spends then always share a segment). A customer listed twice counts once, with the first by the other columns.
+    (equal spends then always share a segment). ``integer_averages`` cuts the mean satisfaction to a whole number. A customer listed twice counts once, with the first by the other columns.
 
     Runs jobs when called: the view is written before customers are put in order. Nothing is repeated physically: lines are summed per (customer, order), reviews and payments per order, and the
     products of the two give the repeated figures. All parts end up hashed by customer, so joining them is local.
     """
     latest = orders.agg(F.max("correct_date")).scalar()
     rated, buyer_orders = _buyer_orders(orders, payment_summary, reviews, dedupe_reviews)
-    totals = _buyer_totals(buyer_orders, latest, [] if first_purchase_only else _purchase_sums())
+    totals = _buyer_totals(buyer_orders, latest, [] if first_purchase_only else _purchase_sums(integer_averages))
     kept = orders.filter(F.col("customer_id").isNotNull())
     first_lines = _first_lines(kept) if first_purchase_only else kept
     # What, how and where a customer buys, from one pass: distinct combinations first, then distinct counts of them.
@@ -379,7 +383,7 @@ def customer360(
     ]
     if first_purchase_only:
         first_orders = _buyer_orders(first_lines, payment_summary, reviews, dedupe_reviews)[1]
-        parts.append(first_orders.groupBy(F.col("customer_id").alias("buyer")).agg(*_purchase_sums()))
+        parts.append(first_orders.groupBy(F.col("customer_id").alias("buyer")).agg(*_purchase_sums(integer_averages)))
         variety = _categories(first_lines, products, rated)
         parts += [
             _counts(first_lines, F.col("product_id"), "First_Purchase_Distinct_Items"),
