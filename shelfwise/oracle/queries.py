@@ -159,7 +159,7 @@ def _views() -> dict[str, str]:
         FROM base CROSS JOIN high"""
     head, tail = order.split("SELECT order_id, items AS", 1)
     feedback = f"{head}SELECT order_id, average_score, items AS{tail} LEFT JOIN ras USING (order_id)"
-    whole = "CAST(sum(CAST({0} AS DECIMAL(38,10))) // nullif(count({0}), 0) AS DOUBLE)"
+    whole = "floor(CAST(sum({0}) AS DOUBLE) / nullif(count({0}), 0))"
     whole_scores = "(SELECT order_id, sum(customer_satisfaction_score) // count(customer_satisfaction_score) AS average_score FROM rev GROUP BY order_id)"
     store_rating = f"{dbl('sum(CAST(average_score AS DECIMAL(20,10)))')} / nullif(count(average_score), 0)"
     customer = _customer_view(first_only=False, dedupe=False)
