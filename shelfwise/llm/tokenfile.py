@@ -27,7 +27,7 @@ END_ID = 0
 #: Bytes of text that are encoded together; a longer text is encoded alone.
 _ENCODE_BYTES = 1 << 20
 #: Distinct short pieces a worker remembers, about 55 bytes each; beyond that it forgets all and starts again.
-_MEMO_PIECES = 2_000_000
+_MEMO_PIECES = 1_000_000
 _BLOCK_TOKENS = 1 << 18
 
 _ascii_space = np.zeros(256, bool)
