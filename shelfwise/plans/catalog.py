@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -13,17 +14,14 @@ from pyspark.sql.types import DecimalType
 
 from shelfwise.plans import basket, category, clean, customers, growth, kpi, late, quality, ratings, sales, sketches, views360
 from shelfwise.plans.state import CustomerState
-from shelfwise.sources.buckets import save_bucketed
+from shelfwise.sources.buckets import bucket_count, save_bucketed, write_by_key
 from shelfwise.sources.session import tune
 from shelfwise.sources.star import TABLES, mixed_case, star_tables
-from shelfwise.sources.storage import listing, shared_dir, write_once
+from shelfwise.sources.storage import dealt_by_one_key, listing, shared_dir, write_once
 from shelfwise.tables import RetailTables
 
 # The period the registered queries keep (inside the range of the test tables, so that some lines drop out).
 START, END = "1995-02-01", "2001-06-30"
-#: Buckets of the bucketed queries; a cluster takes about one per 128 MB of lines.
-BUCKETS = 16
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 def plain(df: DataFrame) -> DataFrame:
@@ -39,9 +37,13 @@ class Bound:
     """The star tables of a folder as retail tables, and what queries have written of them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        built = star_tables(spark, sf_dir)
         # The order lines, a join of three star tables, are written: the import step. The others are cheap projections.
-        self.raw = replace(built, orders=write_once(built.orders, "raw-orders"))
+        # The join deals them out by order (payments are lines of the same table), and so they stay for all repairs.
+        self.buckets = bucket_count(star_tables(spark, sf_dir).payments, "order_id")
+        built = star_tables(spark, sf_dir, self.buckets)
+        lines = built.orders
+        written = write_by_key(lines, "raw-orders", "order_id", self.buckets) if self.buckets else write_once(lines, "raw-orders")
+        self.raw = replace(built, orders=written)
         self._written: dict[str, DataFrame] = {}
 
     @cached_property
@@ -81,22 +83,34 @@ class Bound:
     def bucketed(self, key: str) -> RetailTables:
         """The repaired tables with lines bucketed by a key."""
         if key not in self._written:
-            name = f"lines_by_{key}_{uuid.uuid4().hex}"
-            self._written[key] = save_bucketed(self.clean.orders, name, key, BUCKETS)[0]
+            name, lines = f"lines_by_{key}_{uuid.uuid4().hex}", self.clean.orders
+            buckets = bucket_count(lines, key)
+            self._written[key] = save_bucketed(lines, name, key, buckets)[0] if buckets else write_once(lines, name, key)
         return replace(self.clean, orders=self._written[key])
 
     def _step(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A step of the repair chain that later ones read twice."""
+        """A step of the repair chain that later ones read twice, dealt out by order like the raw lines."""
         if label not in self._written:
-            self._written[label] = write_once(build(), label)
+            step = build()
+            self._written[label] = write_by_key(step, label, "order_id", self.buckets) if self.buckets else write_once(step, label)
         return self._written[label]
 
     def dated(self) -> DataFrame:
-        return clean.parse_bill_dates(self.raw.orders)
+        """Raw lines with their dates; read anew from the texts each time, unless ``keep_dated`` was called."""
+        return self._written.get("step-dated") or clean.parse_bill_dates(self.raw.orders)
+
+    def keep_dated(self) -> None:
+        """Write the dated lines, for queries that take them several times: reading the texts is most of their work."""
+        self._step("step-dated", self.dated)
 
     def priced(self) -> DataFrame:
         """A filter and a product: cheaper to repeat than to write."""
-        return clean.prepare_lines(self.raw.orders, START, END)
+        return clean.add_line_amount(clean.filter_date_range(self.dated(), START, END))
+
+    def surplus(self) -> DataFrame:
+        """What collapsing drops. Bucketed lines stay in their buckets when those that occur once are dropped."""
+        with dealt_by_one_key(self.raw.orders.sparkSession) if self.buckets else contextlib.nullcontext():
+            return clean.collapse_lines_preview(self.priced())
 
     def collapsed(self) -> DataFrame:
         return self._step("step-collapsed", lambda: clean.collapse_lines(self.priced()))
@@ -145,7 +159,7 @@ PREVIEWS: dict[str, Callable[[Bound], DataFrame]] = {
     "c02_outside_period": lambda r: clean.filter_date_range_preview(r.dated(), START, END),
     "c03_duplicate_stores": lambda r: clean.dedupe_stores_preview(r.raw.stores),
     "c04_category_changes": lambda r: clean.fix_category_preview(r.raw.products),
-    "c09_surplus_lines": lambda r: clean.collapse_lines_preview(r.priced()),
+    "c09_surplus_lines": lambda r: r.surplus(),
     "c10_store_changes": lambda r: clean.unify_store_preview(r.collapsed()),
     "c11_timestamp_changes": lambda r: clean.unify_timestamp_preview(r.placed()),
     "c12_orphan_payments": lambda r: clean.drop_orphan_payments_preview(r.summary(), r.stamped()),
@@ -154,6 +168,7 @@ PREVIEWS: dict[str, Callable[[Bound], DataFrame]] = {
 
 
 def _repair_counts(steps: Bound) -> DataFrame:
+    steps.keep_dated()
     counts = [
         clean.changed_rows(build(steps)).select(F.lit(name).alias("repair"), "rows_affected")
         for name, build in PREVIEWS.items()

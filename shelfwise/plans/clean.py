@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from shelfwise.functions.columns import is_instore, line_amount, parse_bill_date, same_text, whole_average
 from shelfwise.operators.grouping import first_per_key, total_order
 from shelfwise.operators.ranking import numbered_surplus
-from shelfwise.sources.storage import fingerprint, write_once
+from shelfwise.sources.buckets import bucket_count, write_by_key
+from shelfwise.sources.storage import dealt_by_one_key, fingerprint, write_once
 from shelfwise.tables import RetailTables
 
 # Period kept, bad and replacement category, payment types with their summary columns.
@@ -297,7 +298,8 @@ def unify_orders(lines: DataFrame) -> DataFrame:
     """``unify_store``, ``unify_timestamp`` and ``unify_customer`` in one aggregate and one join back.
 
     The customer step never looks at stores or timestamps, and the other two work per original (customer, order), so
-    one pass over the pairs answers all three. ``lines`` is read twice: pass a written table.
+    one pass over the pairs answers all three. ``lines`` is read twice: pass a written table. If that is bucketed by order,
+    no line moves.
     """
     pairs = lines.groupBy("order_id", "customer_id").agg(
         _preferred_store().alias("PreferredStore"),
@@ -333,12 +335,21 @@ def unify_orders(lines: DataFrame) -> DataFrame:
     return lines.join(choices, on, "left").select(*[changed.get(c, F.col(c)) for c in lines.columns])
 
 
-def clean_all(tables: RetailTables, start: str = PERIOD[0], end: str = PERIOD[1]) -> RetailTables:
+def written_lines(lines: DataFrame, buckets: int | None) -> DataFrame:
+    """Collapse prepared lines and write them by order. With ``buckets`` they are dealt out once, or not at all if they were."""
+    dealt = lines.repartition(buckets, "order_id") if buckets else lines
+    return write_by_key(collapse_lines(dealt), "lines", "order_id", buckets)
+
+
+def clean_all(
+    tables: RetailTables, start: str = PERIOD[0], end: str = PERIOD[1], buckets: int | None = None
+) -> RetailTables:
     """All repairs in the order of the source. The collapsed lines are written once, as the unify step reads them twice.
 
-    Orphan payments are judged after the line repairs; customers change afterwards in the source, which cannot matter.
+    With ``buckets`` (``bucket_count`` of the raw lines by order) lines move once at most, as every repair looks at one order;
+    without, as for a hot order, every step moves them and adaptive execution splits what is too large. Orphan payments are judged after the line repairs; customers change afterwards in the source, which cannot matter.
     """
-    lines = write_once(collapse_lines(prepare_lines(tables.orders, start, end)), "lines", "order_id")
+    lines = written_lines(prepare_lines(tables.orders, start, end), buckets)
     return RetailTables(
         orders=unify_orders(lines),
         customers=tables.customers,
@@ -357,10 +368,15 @@ def write_repaired(tables: RetailTables, start: str = PERIOD[0], end: str = PERI
     Tables no repair touches are passed on as they are. Lines are written clustered by order, so a later group-by on the
     order collapses almost completely before its shuffle.
     """
-    result = {}
-    for table, df in clean_all(tables, start, end).present().items():
-        untouched = df is getattr(tables, table)
-        result[table] = df if untouched else write_once(df, table, "order_id" if table == "orders" else None)
+    result, buckets = {}, bucket_count(tables.orders, "order_id")
+    for table, df in clean_all(tables, start, end, buckets).present().items():
+        if df is getattr(tables, table):
+            result[table] = df
+        elif table == "orders" and buckets:  # lines repaired bucket by bucket lie together as they are
+            with dealt_by_one_key(df.sparkSession):
+                result[table] = write_once(df, table, compression="zstd")
+        else:
+            result[table] = write_once(df, table, "order_id" if table == "orders" else None)
     return RetailTables(**result)
 
 

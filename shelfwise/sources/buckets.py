@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.sources.storage import shared_dir, write_once
+from shelfwise.sources.storage import shared_dir, write_bucketed, write_once
 
 #: Rows that one key may hold, in shares of an even bucket, for the table to be bucketed.
 MOST_IN_A_KEY = 2.0
+#: Rows of an even bucket where the number of buckets follows the table: what one task sorts in memory.
+ROWS_IN_A_BUCKET = 1_000_000
 
 
 def _largest_key(df: DataFrame, key: str) -> tuple[int, int]:
@@ -23,6 +25,27 @@ def _largest_key(df: DataFrame, key: str) -> tuple[int, int]:
     return found["rows"] or 0, found["most"] or 0
 
 
+def bucket_count(df: DataFrame, key: str) -> int | None:
+    """How many buckets ``df`` takes by ``key``: they grow with its rows, so that a bucket does not. None if one would hold too many.
+
+    Reads the key alone, twice, and shuffles a count per bucket. A frame with some of these rows may be dealt out likewise.
+    Where rows are many there are as many buckets as shuffle partitions at least: with fewer the engine moves both sides of a join.
+    """
+    spark, rows = df.sparkSession, df.count()
+    least = spark.sparkContext.defaultParallelism
+    if rows > ROWS_IN_A_BUCKET:
+        least = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(-(-rows // ROWS_IN_A_BUCKET), least)
+    in_bucket = df.groupBy(F.pmod(F.hash(key), F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"))
+    largest = in_bucket.agg(F.max("n").alias("n")).first()["n"] or 0
+    return buckets if largest <= MOST_IN_A_KEY * ROWS_IN_A_BUCKET else None
+
+
+def write_by_key(df: DataFrame, label: str, key: str, buckets: int | None) -> DataFrame:
+    """Write ``df`` in that many buckets by ``key``; without a number (``bucket_count``) plainly, clustered by the key."""
+    return write_bucketed(df, label, key, buckets) if buckets else write_once(df, label, key)
+
+
 def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, folder: str | None = None) -> tuple[DataFrame, bool]:
     """Save ``df`` as table ``name``, bucketed and sorted by ``key``, and return a scan of it and whether it is bucketed.
 

@@ -43,12 +43,14 @@ def _bill_date(key: Column) -> Column:
     )
 
 
-def star_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
+def star_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> RetailTables:
+    """The retail tables of a folder; the order lines dealt out by order into ``buckets`` partitions, if given."""
+
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
     return RetailTables(
-        orders=_orders(table("lineitem"), table("orders"), table("part")),
+        orders=_orders(table("lineitem"), table("orders"), table("part"), buckets),
         customers=_customers(table("customer"), table("supplier"), table("nation")),
         products=table("part").select(
             F.col("p_partkey").alias("product_id"),
@@ -66,7 +68,8 @@ def star_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
     )
 
 
-def _orders(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
+def _orders(lineitem: DataFrame, orders: DataFrame, part: DataFrame, buckets: int | None) -> DataFrame:
+    """Lines of known orders and parts. Prices come first: the join with the orders then leaves lines dealt out by order."""
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
     billed = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), ((key + line) % 24).cast("int"))
     price, buyer = F.col("p_retailprice").cast("decimal(12,2)"), F.col("o_custkey")
@@ -77,9 +80,11 @@ def _orders(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFram
         .when(key % 2 == 0, "Instore")
         .otherwise("instore")
     )
+    priced = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    if buckets:
+        priced, orders = priced.repartition(buckets, "l_orderkey"), orders.repartition(buckets, "o_orderkey")
     return (
-        lineitem.join(orders, key == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        priced.join(orders, key == F.col("o_orderkey"))
         .withColumn("billed", billed)
         .select(
             key.alias("order_id"),
