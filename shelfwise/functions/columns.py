@@ -96,16 +96,25 @@ def _full_day(text: Column) -> Column:
     return F.concat(part(1), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), part(3))
 
 
+def _to_timestamp(dated: Column) -> Column:
+    """A text of the four notations; one with slashes is rearranged to ISO, month first if that is a date."""
+    slashed = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
+    as_iso = lambda parts: F.regexp_replace(dated, slashed, parts).try_cast("timestamp_ntz")
+    return F.when(dated.contains("/"), F.coalesce(as_iso("$3-$1-$2"), as_iso("$3-$2-$1"))).otherwise(
+        dated.try_cast("timestamp_ntz")
+    )
+
+
 def parse_bill_date(text: Column) -> Column:
     """Mixed date texts to a timestamp without zone: month/day/year first, then day/month/year, then ISO.
 
     Blanks around the text do not count; a time may be on the 24-hour clock or carry AM or PM. Slashed dates are
     rearranged to ISO, which ``try_cast`` reads without raising per bad row. Anything else is NULL, also a text with a
-    zone offset (its wall-clock time elsewhere is unknown) or a year of more than four digits.
+    zone offset (its wall-clock time elsewhere is unknown) or a year of more than four digits. The usual text meets one
+    pattern; the half-day one, which ends in a letter, is tried only on others.
     """
     trimmed = F.trim(text)
-    exact = F.when(trimmed.rlike(_HALF_DAY), _full_day(trimmed)).otherwise(trimmed)
-    slashed = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
-    month_first = F.regexp_replace(exact, slashed, "$3-$1-$2").try_cast("timestamp_ntz")
-    day_first = F.regexp_replace(exact, slashed, "$3-$2-$1").try_cast("timestamp_ntz")
-    return F.when(exact.rlike(_DATED), F.coalesce(month_first, day_first))
+    full = _full_day(trimmed)
+    return F.when(trimmed.rlike(_DATED), _to_timestamp(trimmed)).when(
+        trimmed.rlike(_HALF_DAY), F.when(full.rlike(_DATED), _to_timestamp(full))
+    )
