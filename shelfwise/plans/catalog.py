@@ -14,7 +14,7 @@ from pyspark.sql.types import DecimalType
 
 from shelfwise.plans import basket, category, clean, customers, growth, kpi, late, quality, ratings, sales, sketches, views360
 from shelfwise.plans.state import CustomerState
-from shelfwise.sources.buckets import bucket_count, save_bucketed, write_by_key
+from shelfwise.sources.buckets import bucket_count, partition_by_rows, save_bucketed, write_by_key
 from shelfwise.sources.session import tune
 from shelfwise.sources.star import TABLES, mixed_case, star_tables
 from shelfwise.sources.storage import dealt_by_one_key, listing, shared_dir, write_once
@@ -39,7 +39,10 @@ class Bound:
     def __init__(self, spark: SparkSession, sf_dir: str):
         # The order lines, a join of three star tables, are written: the import step. The others are cheap projections.
         # The join deals them out by order (payments are lines of the same table), and so they stay for all repairs.
-        self.buckets = bucket_count(star_tables(spark, sf_dir).payments, "order_id")
+        payments = star_tables(spark, sf_dir).payments
+        self.rows = payments.count()
+        partition_by_rows(spark, self.rows)
+        self.buckets = bucket_count(payments, "order_id")
         built = star_tables(spark, sf_dir, self.buckets)
         lines = built.orders
         written = write_by_key(lines, "raw-orders", "order_id", self.buckets) if self.buckets else write_once(lines, "raw-orders")
@@ -133,7 +136,9 @@ def bound(spark: SparkSession, sf_dir: str) -> Bound:
     key, now = (spark.sparkContext.applicationId, sf_dir), listing(spark, sf_dir, TABLES)
     if _BOUND.get(key, ("",))[0] != now:
         _BOUND[key] = (now, Bound(spark, sf_dir))
-    return _BOUND[key][1]
+    held = _BOUND[key][1]
+    partition_by_rows(spark, held.rows)
+    return held
 
 
 REPAIRS: dict[str, Callable[[Bound], DataFrame]] = {

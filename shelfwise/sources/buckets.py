@@ -7,15 +7,15 @@ table is written plainly instead, clustered by the key, and its joins are left t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.sources.storage import shared_dir, write_bucketed, write_once
 
 #: Rows that one key may hold, in shares of an even bucket, for the table to be bucketed.
 MOST_IN_A_KEY = 2.0
-#: Rows of an even bucket where the number of buckets follows the table: what one task sorts in memory.
-ROWS_IN_A_BUCKET = 1_000_000
+#: Rows of an even bucket where the number of buckets follows the table: what one task sorts in memory, several times at once.
+ROWS_IN_A_BUCKET = 250_000
 
 
 def _largest_key(df: DataFrame, key: str) -> tuple[int, int]:
@@ -41,6 +41,16 @@ def bucket_count(df: DataFrame, key: str) -> int | None:
     return buckets if largest <= MOST_IN_A_KEY * ROWS_IN_A_BUCKET else None
 
 
+def partition_by_rows(spark: SparkSession, rows: int) -> None:
+    """Let shuffles start with partitions of at most ``ROWS_IN_A_BUCKET`` of that many rows; adaptive execution joins small ones.
+
+    With a fixed number what a task holds would grow with the tables. The number set for the session is the least.
+    """
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = max(-(-rows // ROWS_IN_A_BUCKET), least)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(first))
+
+
 def write_by_key(df: DataFrame, label: str, key: str, buckets: int | None) -> DataFrame:
     """Write ``df`` in that many buckets by ``key``; without a number (``bucket_count``) plainly, clustered by the key."""
     return write_bucketed(df, label, key, buckets) if buckets else write_once(df, label, key)

@@ -116,3 +116,25 @@ def test_usual_dates_meet_one_pattern(spark):
     ]
     text = plan(spark.range(1).select(parse_bill_date(F.col("id").cast("string")).alias("d")))
     assert text.index("{4}|") < text.index("[AaPp]")
+
+
+def test_groups_of_an_order_move_no_line_once_repaired(spark, no_broadcast):
+    """Repaired lines and payment summaries lay in plain files, so every query dealt them out by order again."""
+    clean_tables = catalog.Bound(spark, SMALL).clean
+    sums = clean_tables.orders.groupBy("order_id", "customer_id").agg(F.sum("quantity").alias("n"))
+    joined = sums.join(clean_tables.payment_summary, "order_id", "left")
+    assert "Exchange hashpartitioning(order_id" not in plan(joined)
+    assert joined.count() == sums.count()
+
+
+def test_shuffles_start_with_more_partitions_for_more_rows(spark, monkeypatch):
+    """With the session's number alone what one task holds grew with the tables."""
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    monkeypatch.setattr(buckets, "ROWS_IN_A_BUCKET", 1_000)
+    held = catalog.bound(spark, SMALL)
+    lines = held.raw.payments.count()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    catalog.bound(spark, SMALL)
+    assert int(spark.conf.get(name)) == max(-(-lines // 1_000), least)
+    buckets.partition_by_rows(spark, 10)
+    assert int(spark.conf.get(name)) == least
