@@ -30,7 +30,7 @@ def sales_trend(
     An order's sales count once per payment row, as in the source; ``share_weighted`` splits them by payment value
     instead, each part rounded to a millionth, so that they add up to the true total but for that rounding. Payment rows
     are counted per order and type before the join, and the counts multiply the sums: the same numbers without repeating
-    lines. Lines move once, by order; products and stores are named on the aggregated result.
+    lines. Products and stores are named before that join, which makes several rows of a line: these move once.
     """
     lines = orders.groupBy(
         "order_id", month_of("correct_date").alias("month"), "product_id", "delivered_storeid", "channel"
@@ -51,15 +51,11 @@ def sales_trend(
             return (F.col(column).cast("double") * F.coalesce("weight", F.lit(1.0))).cast("decimal(28,6)")
         return F.col(column) * F.coalesce("weight", F.lit(1))
 
-    grouped = (
-        lines.join(paid, "order_id", "left")
-        .groupBy("month", "product_id", "delivered_storeid", "channel", "payment_type")
-        .agg(F.sum(weighted("sales")).alias("sales"), F.sum(weighted("quantity")).alias("quantity"))
-    )
-    quantity = F.sum("quantity")
+    quantity = F.sum(weighted("quantity"))
     return (
-        grouped.join(products, "product_id", "left")
+        lines.join(products, "product_id", "left")
         .join(stores.select("storeid", "region"), F.col("delivered_storeid") == F.col("storeid"), "left")
+        .join(paid, "order_id", "left")
         .groupBy(
             F.col("month").alias("Month"),
             F.col("category").alias("Product_Category"),
@@ -71,7 +67,7 @@ def sales_trend(
         .agg(
             F.min("channel").alias("Channel"),
             F.min("payment_type").alias("payment_type"),
-            number(F.sum("sales")).alias("Total_Sales"),
+            number(F.sum(weighted("sales"))).alias("Total_Sales"),
             (number(quantity) if share_weighted else quantity.cast("bigint")).alias("Total_Quantity"),
         )
         .drop("_channel", "_payment")
