@@ -1,7 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams meets every window of the documents.
 
-Window hashes are exploded next to their words and probe the broadcast set in the same stage; a hit counts only after its
-words have been compared. One pass over the texts, no shuffle of texts or windows.
+Window hashes, of four of their words, are exploded next to the words and probe the broadcast set in the same stage; a hit counts
+only after all its words have been compared. One pass over the texts, no shuffle of texts or windows.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from shelfwise.llm.naming import fresh
 from shelfwise.sources.storage import write_once
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words.
+BREAK = WORD.replace("^", "")
 WIDTH = 10
 #: Windows in one broadcast, about 200 bytes each; a larger benchmark is taken in blocks of that many.
 BLOCK_WINDOWS = 500_000
@@ -23,7 +25,7 @@ BLOCK_WINDOWS = 500_000
 def words(text: Column) -> Column:
     """Normalised words: A-Z lower-cased, split at every other ASCII character that is no digit; null has none."""
     lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return F.filter(F.split(lowered, BREAK, -1), lambda w: w != "")
 
 
 def _windows(count: Column, length: int | Column) -> Column:
@@ -40,11 +42,17 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     ).distinct()
 
 
+def _key(array: Column | str, start: Column, length: Column | int) -> Column:
+    """Hash of a window's first and last word and two between: a window with this key is compared word by word before it counts."""
+    places = [0, length / 3, 2 * length / 3, length - 1] if isinstance(length, Column) else [0, length // 3, 2 * length // 3, length - 1]
+    return F.xxhash64(*[F.get(array, (start + p).cast("int")) for p in places])
+
+
 def _window_keys(length: int) -> Column:
-    """Hashes of all windows of that many words."""
-    starts = F.sequence(F.lit(1), F.size("words") - length + 1)
-    hashed = F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, length)))
-    return F.when(F.size("words") >= length, hashed).otherwise(F.array().cast("array<bigint>"))
+    """Keys of all windows of that many words."""
+    starts = F.sequence(F.lit(0), F.size("words") - length)
+    keys = F.transform(starts, lambda i: _key("words", i, length))
+    return F.when(F.size("words") >= length, keys).otherwise(F.array().cast("array<bigint>"))
 
 
 def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int], with_documents: bool) -> DataFrame:
@@ -88,7 +96,7 @@ def contamination(
     Runs jobs: the hits of every document are a written table.
     """
     by_item = benchmark_windows(benchmark, width).withColumn("_window_id", F.md5(F.concat_ws(" ", "window")))
-    distinct = by_item.select("window", "_window_id").distinct().withColumn("_window_key", F.xxhash64("window"))
+    distinct = by_item.select("window", "_window_id").distinct().withColumn("_window_key", _key("window", F.lit(0), F.size("window")))
     counted = distinct.groupBy(F.size("window").alias("n")).count().collect()  # at most one row per length
     lengths = sorted(r["n"] for r in counted) or [width]
     blocks = max(1, -(-sum(r["count"] for r in counted) // block_windows))

@@ -83,3 +83,20 @@ def test_only_the_hit_rows_of_an_id_go(spark):
     clean = dc.clean_documents(docs, dc.contamination(docs, benchmark))
     left = [(None, "a clean text"), (None, None), (1, "clean too"), (1, "clean too")]
     assert sorted(map(tuple, clean.collect()), key=str) == sorted(left, key=str)
+
+
+def test_windows_that_share_the_hashed_words_only_do_not_count(spark):
+    """Keys hash four words of a window; they hashed all ten, most of the operator's work."""
+    w = [f"w{i}" for i in range(10)]
+    other = [x if i in (0, 3, 6, 9) else f"v{i}" for i, x in enumerate(w)]
+    items = [(1, " ".join(w)), (2, "a b c"), (3, "a x c"), (4, "a"), (5, "a a")]
+    docs = [(1, " ".join(["x", *w, "y"])), (2, " ".join(["x", *other, "y"])), (3, "a b c, A a!"), (4, "z a z c"), (5, None)]
+    check(spark, docs, items)
+    check(spark, docs, items, block_windows=2)
+    assert str(dc._window_keys(10)).count("get") == 4
+
+
+def test_words_are_what_lies_between_breaks(spark):
+    texts = ["", "...", "A-b  Cé`d[E]", "-x-", "x", None, "ÀB\u00a0c\u2003d"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(dc.words(dc.F.col("t"))).collect()
+    assert [r[0] for r in found] == [words(t) for t in texts]
