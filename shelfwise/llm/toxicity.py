@@ -115,12 +115,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 400) -> np.ndarray:
+def _inputs(has: np.ndarray, earlier: np.ndarray, rows: np.ndarray, columns: list[int]) -> np.ndarray:
+    """What a model sees of some rows, one array made in one step: some marks, the earlier probabilities and, last, a 1."""
+    inputs = np.ones((len(rows), len(columns) + earlier.shape[1] + 1))
+    for at, column in enumerate(columns):
+        inputs[:, at] = has[rows, column]
+    inputs[:, len(columns) : -1] = earlier[rows]
+    return inputs
+
+
+def fit_logistic(inputs: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 400) -> np.ndarray:
     """Weights and, last, the intercept of a linear model under logistic loss, both classes weighing alike.
 
-    Accelerated gradient descent over all rows; the step comes from the largest eigenvalue of the weighted inputs.
+    The last column of ``inputs`` is 1; they are the driver's largest array and not copied. Accelerated gradient descent over all rows; the step comes from the largest eigenvalue of the weighted inputs.
     """
-    inputs = np.column_stack([x, np.ones(len(y))])
     weights = np.zeros(inputs.shape[1])
     if len(y) == 0 or y.min() == y.max():
         weights[-1] = 5.0 if len(y) and y[0] else -5.0
@@ -231,7 +239,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_r
         _find_marks(np.array(every, np.int64).view(np.uint64)), "label int, fold int, words bigint, marks array<bigint>"
     )
     rows = sorted(found.collect(), key=lambda r: (r["label"], r["fold"], r["words"], r["marks"]))
-    has = np.zeros((len(rows), len(every)), np.float32)
+    has = np.zeros((len(rows), len(every)), bool)
     for i, r in enumerate(rows):
         has[i, r["marks"]] = 1
     toxic, folds = (np.array([r[c] for r in rows], float) for c in ("label", "fold"))
@@ -239,14 +247,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_r
     n_words = np.array([max(r["words"], 1) for r in rows], float)
     targets = [toxic * (hits >= 0.05 * n_words) * (hits > 0), toxic * (hits >= 4), toxic]
 
-    weights, earlier, unseen = [], np.zeros((len(rows), 0)), np.zeros(len(rows))
+    del rows
+    weights, earlier, unseen = [], np.zeros((len(toxic), 0)), np.zeros(len(toxic))
     for y in targets:
-        weights.append(fit_logistic(np.column_stack([has[:, columns[None]], earlier]), y))
-        unseen = np.zeros(len(rows))
+        weights.append(fit_logistic(_inputs(has, earlier, np.arange(len(y)), columns[None]), y))
+        unseen = np.zeros(len(y))
         for k in range(FOLDS):
-            x = np.column_stack([has[:, columns[k]], earlier])
-            w = fit_logistic(x[folds != k], y[folds != k])
-            unseen[folds == k] = _sigmoid(x[folds == k] @ w[:-1] + w[-1])
+            inside, outside = np.flatnonzero(folds == k), np.flatnonzero(folds != k)
+            w = fit_logistic(_inputs(has, earlier, outside, columns[k]), y[outside])
+            unseen[inside] = _sigmoid(_inputs(has, earlier, inside, columns[k])[:, :-1] @ w[:-1] + w[-1])
         earlier = np.column_stack([earlier, unseen])
     return Chain(np.array(chosen[None], np.int64).view(np.uint64), weights, best_threshold(unseen, targets[-1]))
 

@@ -151,3 +151,21 @@ def test_chain_takes_anything(spark, odd_documents, no_documents):
         assert kept.schema == odd_documents.schema
     none = toxicity.fit_chain(no_documents, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert toxicity.without_toxic(odd_documents, none).count() == odd_documents.count()
+
+
+def test_fitting_the_chain_holds_one_array_of_inputs():
+    """The driver held the inputs of a model three times."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    has, y = rng.random((2000, 300)) < 0.1, (rng.random(2000) < 0.5).astype(float)
+    columns, earlier = list(range(0, 300, 2)), rng.random((2000, 1))
+    rows = np.flatnonzero(rng.random(2000) < 0.7)
+    before = np.column_stack([has[:, columns], earlier, np.ones(2000)])[rows]
+    tracemalloc.start()
+    inputs = toxicity._inputs(has, earlier, rows, columns)
+    weights = toxicity.fit_logistic(inputs, y[rows], steps=5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (inputs == before).all() and len(weights) == inputs.shape[1]
+    assert peak < 1.5 * inputs.nbytes
