@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from shelfwise.functions.columns import is_instore, line_amount, parse_bill_date, same_text, whole_average
 from shelfwise.operators.grouping import first_per_key, total_order
 from shelfwise.operators.ranking import numbered_surplus
-from shelfwise.sources.buckets import bucket_count, write_by_key
-from shelfwise.sources.storage import fingerprint, write_once
+from shelfwise.sources.buckets import bucket_count, fills_buckets, write_by_key
+from shelfwise.sources.storage import dealt_by_one_key, fingerprint, write_once
 from shelfwise.tables import RetailTables
 
 # Period kept, bad and replacement category, payment types with their summary columns.
@@ -365,17 +365,22 @@ def clean_all(
 def write_repaired(tables: RetailTables, start: str = PERIOD[0], end: str = PERIOD[1]) -> RetailTables:
     """Repair ``tables`` and write the results. Runs its jobs when called.
 
-    Tables no repair touches are passed on as they are. Lines and payment summaries are written in buckets by order, unless an
-    order is hot: what groups or joins them by order afterwards moves nothing.
+    Tables no repair touches are passed on as they are. Lines and payment summaries of more rows than a bucket holds are written in
+    buckets by order, unless an order is hot: what groups or joins them by order afterwards moves nothing. Fewer lines are
+    written clustered by order.
     """
     result, buckets = {}, bucket_count(tables.orders, "order_id")
+    many = bool(buckets) and fills_buckets(tables.orders)
     for table, df in clean_all(tables, start, end, buckets).present().items():
         if df is getattr(tables, table):
             result[table] = df
-        elif table in ("orders", "payment_summary"):
+        elif many and table in ("orders", "payment_summary"):
             result[table] = write_by_key(df, table, "order_id", buckets)
+        elif table == "orders" and buckets:  # lines repaired bucket by bucket lie together as they are
+            with dealt_by_one_key(df.sparkSession):
+                result[table] = write_once(df, table, compression="zstd")
         else:
-            result[table] = write_once(df, table)
+            result[table] = write_once(df, table, "order_id" if table == "orders" else None)
     return RetailTables(**result)
 
 

@@ -41,6 +41,11 @@ def bucket_count(df: DataFrame, key: str) -> int | None:
     return buckets if largest <= MOST_IN_A_KEY * ROWS_IN_A_BUCKET else None
 
 
+def fills_buckets(df: DataFrame) -> bool:
+    """Whether ``df`` has more rows than one bucket holds; for fewer an exchange costs less than a file per bucket."""
+    return df.count() > ROWS_IN_A_BUCKET
+
+
 def partition_by_rows(spark: SparkSession, rows: int) -> None:
     """Let shuffles start with partitions of at most ``ROWS_IN_A_BUCKET`` of that many rows; adaptive execution joins small ones.
 

@@ -118,8 +118,9 @@ def test_usual_dates_meet_one_pattern(spark):
     assert text.index("{4}|") < text.index("[AaPp]")
 
 
-def test_groups_of_an_order_move_no_line_once_repaired(spark, no_broadcast):
+def test_groups_of_an_order_move_no_line_once_repaired(spark, no_broadcast, monkeypatch):
     """Repaired lines and payment summaries lay in plain files, so every query dealt them out by order again."""
+    monkeypatch.setattr(buckets, "ROWS_IN_A_BUCKET", 1_000)
     clean_tables = catalog.Bound(spark, SMALL).clean
     sums = clean_tables.orders.groupBy("order_id", "customer_id").agg(F.sum("quantity").alias("n"))
     joined = sums.join(clean_tables.payment_summary, "order_id", "left")
