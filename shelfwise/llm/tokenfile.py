@@ -11,6 +11,7 @@ frequency in the corpus, so most take one byte; the ranks' meaning lies in a tab
 
 from __future__ import annotations
 
+import contextlib
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,19 +25,23 @@ from shelfwise.llm.textbytes import Texts, as_bytes, chunks, mix
 from shelfwise.sources.storage import write_once
 
 END_ID = 0
-#: Bytes of text that are encoded together; a longer text is encoded alone.
-_ENCODE_BYTES = 1 << 20
-#: Distinct short pieces a worker remembers, about 55 bytes each; beyond that it forgets all and starts again.
-_MEMO_PIECES = 1_000_000
+#: Bytes of text that are encoded together; a longer text is encoded alone. Small, so that the work stays in the processor's cache.
+_ENCODE_BYTES = 1 << 18
+#: Bytes of rows that are handed to a worker at once, where the engine's limit is higher.
+_BATCH_BYTES = 4 << 20
+#: Distinct short pieces after which a worker begins a new memo, about 40 bytes each. It keeps the one before, no older ones.
+_MEMO_PIECES = 500_000
+#: Places of the memo's table where a piece may stand, in a row.
+_PROBES = 24
 _BLOCK_TOKENS = 1 << 18
 
 _ascii_space = np.zeros(256, bool)
 _ascii_space[[0x20, *range(0x09, 0x0E)]] = True
 #: Pieces that go through the tokenizer as one text, and bytes of a short piece.
-_JOINED, SHORT = 200, 16
+_JOINED, SHORT = 200, 15
 
-#: A task ends with a row that holds, in place of ids, how often each id occurred in it.
-_ENCODED = "doc_id bigint, start bigint, n_tokens bigint, ids binary, counts boolean"
+#: Ids take two bytes each if all of the vocabulary do, else four. A task ends with a row that only tells how often each id occurred.
+_ENCODED = "doc_id bigint, start bigint, n_tokens bigint, ids binary, counts binary"
 _BLOCKS = (
     "start bigint, doc_ids array<bigint>, lengths array<bigint>, n_values bigint, control binary, data binary, shard int"
 )
@@ -85,24 +90,109 @@ _FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def short_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """First and last eight bytes (all, of shorter pieces) and length, per piece of at most ``SHORT`` bytes: they tell it exactly."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
-    mask = _FIRST_BYTES[np.minimum(lengths, 8)]
-    last = eight[starts + np.maximum(lengths - 8, 0)] & mask
-    return np.column_stack([eight[starts] & mask, last, lengths.astype(np.uint64)])
+    """The bytes and, in the last one, the length of each piece of at most ``SHORT`` bytes, as two integers: they tell it exactly."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+    keys = np.empty((len(starts), 2), np.uint64)
+    keys[:, 0] = eight[starts] & _FIRST_BYTES[np.minimum(lengths, 8)]
+    keys[:, 1] = eight[starts + 8] & _FIRST_BYTES[np.maximum(lengths - 8, 0)]
+    keys[:, 1] |= lengths.astype(np.uint64) << np.uint64(56)
+    return keys
 
 
 def piece_hashes(keys: np.ndarray) -> np.ndarray:
-    return mix(mix(mix(keys[:, 0]) + keys[:, 1]) + keys[:, 2])
+    return mix(mix(keys[:, 0]) + keys[:, 1])
+
+
+def distinct_keys(keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one of each distinct key, and for every key the number of its kind."""
+    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    if (keys != keys[first][inverse]).any():
+        _, first, inverse = np.unique(keys, axis=0, return_index=True, return_inverse=True)
+    return first, inverse.ravel()
+
+
+def _grown(held: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for ``size`` rows, or for half as many again as it has."""
+    room = np.empty((max(size, len(held) * 3 // 2), *held.shape[1:]), held.dtype)
+    room[: len(held)] = held
+    return room
+
+
+class PieceMemo:
+    """Ids of short pieces, found by key in a hash table with linear probing.
+
+    Keys are compared, so pieces that share a hash only lie further from their place; one that finds no place within ``_PROBES`` is
+    not remembered.
+    """
+
+    def __init__(self, kind: type):
+        self._bits = max(2 * _MEMO_PIECES, 64).bit_length()
+        self._table = np.zeros(1 << self._bits, np.int32)  # number of a piece plus one; 0 where free
+        self._keys = np.empty((1024, 2), np.uint64)
+        self._begins = np.empty(1024, np.int64)
+        self._counts = np.empty(1024, np.int32)
+        self.ids = np.empty(4096, kind)
+        self.size = self.used = 0
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each piece, -1 where it is not known."""
+        at, found, todo = self._places(hashes), None, None
+        for _ in range(_PROBES):
+            number = self._table[at] - 1
+            same = self._keys[number] == (keys if todo is None else keys[todo])
+            same = same[:, 0] & same[:, 1] & (number >= 0)
+            if found is None:
+                found = np.where(same, number, -1)
+                todo = np.flatnonzero((number >= 0) & ~same)
+                at = at[todo]
+            else:
+                found[todo[same]] = number[same]
+                left = (number >= 0) & ~same
+                todo, at = todo[left], at[left]
+            if not len(todo):
+                break
+            at = (at + 1) & (len(self._table) - 1)
+        return found
+
+    def put(self, ids: np.ndarray) -> int:
+        """Lay ids behind those remembered, until the next call, and tell where they begin."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = _grown(self.ids, self.used + len(ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        return self.used
+
+    def learn(self, keys: np.ndarray, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Remember new distinct pieces and return their numbers."""
+        first, size = self.size, self.size + len(keys)
+        if size > len(self._begins):
+            self._keys, self._begins, self._counts = (_grown(x, size) for x in (self._keys, self._begins, self._counts))
+        self._keys[first:size] = keys
+        self._begins[first:size] = self.put(ids) + np.cumsum(counts) - counts
+        self._counts[first:size] = counts
+        self.size, self.used = size, self.used + len(ids)
+        todo, at = np.arange(first, size), self._places(hashes)
+        for _ in range(_PROBES):
+            free = self._table[at] == 0
+            self._table[at[free]] = todo[free] + 1  # of several for one place the last gets it
+            left = self._table[at] != todo + 1
+            todo, at = todo[left], (at[left] + 1) & (len(self._table) - 1)
+            if not len(todo):
+                break
+        return np.arange(first, size)
+
+    def spans(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of these pieces begin among ``ids``, and how many there are."""
+        return self._begins[numbers], self._counts[numbers]
 
 
 class PieceEncoder:
     """Encodes texts with a tokenizer, remembering the ids of distinct pieces.
 
-    Short pieces are looked up by hash of their key and compared with the key remembered; should two different ones ever share a
-    hash, the texts they stand in go through the tokenizer as they are. Longer pieces are told apart by their bytes, and not
-    remembered beyond the chunk.
+    Short pieces are looked up by their key. Longer pieces are told apart by their bytes, and not remembered beyond the chunk.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -116,13 +206,8 @@ class PieceEncoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token.encode()) if i in added else len(token)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # sorted hashes
-        self.slot = np.zeros(0, np.int32)  # of each hash, its place below
-        self.keys = np.zeros((0, 3), np.uint64)
-        self.ids_upto, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.kind = np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32
+        self.memo, self.earlier = PieceMemo(self.kind), PieceMemo(self.kind)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -162,34 +247,30 @@ class PieceEncoder:
         begins[order] = np.cumsum(counts[order]) - counts[order]
         return ids[_spans(begins, counts)], counts
 
-    def _learn(self, hashes: np.ndarray, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        slots = np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32)
-        self.keys, self.ids = np.concatenate([self.keys, keys]), np.concatenate([self.ids, ids])
-        self.ids_upto = np.concatenate([self.ids_upto, self.ids_upto[-1] + np.cumsum(counts)])
-        places = np.searchsorted(self.known, hashes)
-        self.known, self.slot = np.insert(self.known, places, hashes), np.insert(self.slot, places, slots)
-
-    def _short(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        """Where the ids of each short piece begin among ``self.ids``, and how many there are; None if two share a hash."""
+    def _short(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each short piece begin in the memo, and how many there are."""
+        if self.memo.size >= _MEMO_PIECES:
+            self.memo, self.earlier = PieceMemo(self.kind), self.memo
         keys = short_keys(data, starts, lengths)
         hashes = piece_hashes(keys)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if (keys != keys[first][inverse]).any():
-            return None
-        if len(self.known) + len(distinct) > _MEMO_PIECES:
-            self._forget()
-        at = np.searchsorted(self.known, distinct)
-        held = np.zeros(len(distinct), bool)
-        inside = at < len(self.known)
-        held[inside] = self.known[at[inside]] == distinct[inside]
-        if (self.keys[self.slot[at[held]]] != keys[first[held]]).any():
-            return None
-        new = first[~held]
-        if len(new):
-            self._learn(distinct[~held], keys[new], *self._encode_pieces(data, starts[new], lengths[new]))
-            at = np.searchsorted(self.known, distinct)
-        slots = self.slot[at][inverse]
-        return self.ids_upto[slots], self.ids_upto[slots + 1] - self.ids_upto[slots]
+        numbers = self.memo.find(keys, hashes)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            first, inverse = distinct_keys(keys[missing], hashes[missing])
+            new = missing[first]
+            before = self.earlier.find(keys[new], hashes[new])
+            learnt = np.empty(len(new), np.int64)
+            for group, known in ((np.flatnonzero(before >= 0), True), (np.flatnonzero(before < 0), False)):
+                if not len(group):
+                    continue
+                if known:
+                    begins, counts = self.earlier.spans(before[group])
+                    ids = self.earlier.ids[_spans(begins, counts)]
+                else:
+                    ids, counts = self._encode_pieces(data, starts[new[group]], lengths[new[group]])
+                learnt[group] = self.memo.learn(keys[new[group]], hashes[new[group]], ids, counts)
+            numbers[missing] = learnt[inverse]
+        return self.memo.spans(numbers)
 
     def _long(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the distinct long pieces, and for each piece where its ids begin there and how many there are."""
@@ -200,31 +281,21 @@ class PieceEncoder:
         ids, counts = self._encode_pieces(data, starts[first], lengths[first])
         return ids, (np.cumsum(counts) - counts)[which], counts[which]
 
-    def _plainly(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        edges, raw = texts.offsets.tolist(), texts.data.tobytes()
-        each = self._encode([raw[a:b].decode() for a, b in zip(edges[:-1], edges[1:])])
-        return np.concatenate(each), np.cumsum([0, *map(len, each)])
-
     def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk and where the ids of each text begin (one more entry than texts)."""
         data = texts.data
         starts, bounds = piece_starts(texts)
         if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, self.kind), np.zeros(len(texts) + 1, np.int64)
         lengths = np.diff(np.append(starts, len(data)))
         short = lengths <= SHORT
         begins, counts = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        found = self._short(data, starts[short], lengths[short])
-        if found is None:
-            return self._plainly(texts)
-        begins[short], counts[short] = found
-        ids = self.ids
+        begins[short], counts[short] = self._short(data, starts[short], lengths[short])
         if not short.all():
-            more, at, counts[~short] = self._long(data, starts[~short], lengths[~short])
-            begins[~short] = at + len(ids)
-            ids = np.concatenate([ids, more])
+            ids, at, counts[~short] = self._long(data, starts[~short], lengths[~short])
+            begins[~short] = at + self.memo.put(ids)
         upto = np.concatenate([[0], np.cumsum(counts)])
-        return ids[_spans(begins, counts)], upto[bounds]
+        return self.memo.ids[_spans(begins, counts)], upto[bounds]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -277,18 +348,19 @@ def _encode_batches(tokenizer_file: str, end_id: int) -> Callable[[Iterator[pa.R
         start, counted = 0, np.zeros(0, np.int64)
         for batch in batches:
             encoder = _encoder(tokenizer_file)
+            kind = encoder.kind if end_id < 1 << 16 else np.uint32
             text = batch.column("text")
             for part in chunks(text, _ENCODE_BYTES):
                 ids, bounds = encoder(part)
                 # One more id at the end of every document.
                 lengths = np.diff(bounds) + 1
                 upto = np.concatenate([[0], np.cumsum(lengths)])
-                whole = np.full(int(upto[-1]), end_id, "<u4")
+                whole = np.full(int(upto[-1]), end_id, kind)
                 mask = np.ones(len(whole), bool)
                 mask[upto[1:] - 1] = False
                 whole[mask] = ids
                 held = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(part), [None, pa.py_buffer((upto * 4).astype(np.int64)), pa.py_buffer(whole)]
+                    pa.large_binary(), len(part), [None, pa.py_buffer((upto * whole.itemsize).astype(np.int64)), pa.py_buffer(whole)]
                 )
                 rows = slice(part.first_row, part.first_row + len(part))
                 yield pa.RecordBatch.from_arrays(
@@ -297,15 +369,15 @@ def _encode_batches(tokenizer_file: str, end_id: int) -> Callable[[Iterator[pa.R
                         pa.array(start + upto[:-1], pa.int64()),
                         pa.array(lengths, pa.int64()),
                         held.cast(pa.binary()),
-                        pa.array(np.zeros(len(part), bool)),
+                        pa.nulls(len(part), pa.binary()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids", "counts"],
                 )
                 start += int(upto[-1])
                 counted = _added(counted, np.bincount(whole))
-        total = [pa.array([v], pa.int64()) for v in (None, -1, len(counted))]
+        none = [pa.array([None], kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays(
-            [*total, pa.array([counted.astype("<i8").tobytes()], pa.binary()), pa.array([True])],
+            [*none, pa.array([counted.astype("<i8").tobytes()], pa.binary())],
             names=["doc_id", "start", "n_tokens", "ids", "counts"],
         )
 
@@ -313,17 +385,18 @@ def _encode_batches(tokenizer_file: str, end_id: int) -> Callable[[Iterator[pa.R
 
 
 def _added(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """The sum of two tables of counts, the shorter one ending in zeros."""
-    size = max(len(one), len(other))
-    return np.pad(one, (0, size - len(one))) + np.pad(other, (0, size - len(other)))
+    """The sum of two tables of counts, the shorter one ending in zeros. It takes the place of the longer one."""
+    longer, shorter = (one, other) if len(one) >= len(other) else (other, one)
+    longer[: len(shorter)] += shorter
+    return longer
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of every id, from the rows in which the encoding tasks have counted them."""
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for held in batch.column("ids").to_pylist():
-            total = _added(total, np.frombuffer(held, "<i8"))
+        for held in batch.column("counts").to_pylist():
+            total = _added(total, np.frombuffer(held, "<i8").copy())
     present = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(present, pa.int64()), pa.array(total[present])], ["id", "n"])
 
@@ -338,9 +411,10 @@ def _block_batches(rank_of: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = as_bytes(batch.column("ids"))
-            places = offsets // 4
-            ids = data[: len(data) // 4 * 4].view("<u4")
             starts, lengths, shards = (np.asarray(batch.column(c)) for c in ("start", "n_tokens", "shard"))
+            width = int(offsets[-1] - offsets[0]) // max(int(lengths.sum()), 1) or 4  # bytes of an id
+            places = (offsets - offsets[0]) // width
+            ids = data[offsets[0] : offsets[-1]].view(f"<u{width}")
             breaks = (starts[1:] != starts[:-1] + lengths[:-1]) | (shards[1:] != shards[:-1])
             runs = np.append(np.flatnonzero(breaks) + 1, batch.num_rows)
             row = 0
@@ -388,6 +462,18 @@ def _decode_batches(id_of: np.ndarray, with_ids: bool) -> Callable[[Iterator[pa.
     return run
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Inside, workers get rows in batches of about ``most`` bytes: rows are bounded by number alone else, whatever their size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = END_ID) -> None:
     """Encode all texts and write them as token blocks to ``folder/blocks``, the vocabulary's ranks to ``folder/ranks``.
 
@@ -398,29 +484,32 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
     """
     spark = docs.sparkSession
     tie = F.xxhash64("text")
-    encoded = write_once(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .repartitionByRange("doc_id", tie)
-        .sortWithinPartitions("doc_id", tie)
-        .mapInArrow(_encode_batches(tokenizer_file, end_id), _ENCODED)
-        .withColumn("shard", F.spark_partition_id()),
-        "token-ids",
-        compression="zstd",
-    )
-    counted = encoded.filter("counts").select("ids").mapInArrow(_count_batches, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    with small_batches(spark, _BATCH_BYTES):
+        encoded = write_once(
+            docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+            .repartitionByRange("doc_id", tie)
+            .sortWithinPartitions("doc_id", tie)
+            .mapInArrow(_encode_batches(tokenizer_file, end_id), _ENCODED)
+            .withColumn("shard", F.spark_partition_id()),
+            "token-ids",
+            compression="zstd",
+        )
+    counted = encoded.select("counts").filter("counts is not null").mapInArrow(_count_batches, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     counts = sorted((-r["n"], r["id"]) for r in counted.collect())
     id_of = np.array([i for _, i in counts] or [end_id], np.uint32)
     rank_of = np.zeros(int(id_of.max()) + 1, np.uint32)
     rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
     ranks = [(rank, i, -n) for rank, (n, i) in enumerate(counts)]
     spark.createDataFrame(ranks, "rank bigint, id bigint, n bigint").coalesce(1).write.parquet(f"{folder}/ranks")
-    (
-        encoded.filter("not counts").mapInArrow(_block_batches(rank_of), _BLOCKS)
-        .sortWithinPartitions("shard", "start")
-        .write.partitionBy("shard")
-        .option("compression", "zstd")
-        .parquet(f"{folder}/blocks")
-    )
+    held = encoded.filter("counts is null").drop("counts")
+    with small_batches(spark, _BATCH_BYTES):
+        (
+            held.mapInArrow(_block_batches(rank_of), _BLOCKS)
+            .sortWithinPartitions("shard", "start")
+            .write.partitionBy("shard")
+            .option("compression", "zstd")
+            .parquet(f"{folder}/blocks")
+        )
 
 
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:

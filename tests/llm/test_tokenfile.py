@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 from shelfwise.llm import tokenfile
 from shelfwise.llm.textbytes import chunks
+from shelfwise.sources import storage
 from shelfwise.sources.storage import shared_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -120,3 +121,34 @@ def test_ids_that_do_not_tell_the_ends_of_pieces():
     encoder = tokenfile.PieceEncoder(VOCABULARY)
     encoder.bytes_of[:] = 1  # as if the vocabulary were another
     assert encoded(encoder, HARD) == wanted(HARD)
+
+
+def test_pieces_of_the_memo_before_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(tokenfile, "_MEMO_PIECES", 20)
+    encoder, seen = tokenfile.PieceEncoder(VOCABULARY), []
+    encode = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda texts: seen.extend(texts) or encode(texts))
+    usual = " ".join(f"usual{i}" for i in range(10))
+    for k in range(6):
+        texts = [usual, " ".join(f"rare{k}x{i}" for i in range(12))]
+        assert encoded(encoder, texts) == wanted(texts)
+    assert "".join(seen).count("usual5") == 1
+
+
+def test_workers_get_rows_by_their_size(spark, monkeypatch):
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    long = spark.range(200).coalesce(1).selectExpr("repeat('x', 10000) text")
+    with tokenfile.small_batches(spark, 1 << 17):
+        assert max(r["n"] for r in long.mapInArrow(sizes, "n bigint").collect()) <= 20
+    found = []
+    see = lambda label, df: found.append((label, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")))
+    monkeypatch.setattr(storage, "OBSERVERS", [see])
+    round_trip(long.selectExpr("1L doc_id", "text"))
+    assert found == [("token-ids", str(tokenfile._BATCH_BYTES))]
+
+
+def test_ids_on_the_way_take_two_bytes(spark, documents):
+    encoder = tokenfile.PieceEncoder(VOCABULARY)
+    assert encoder(next(chunks(pa.array(HARD))))[0].dtype == np.uint16
+    first = next(tokenfile._encode_batches(VOCABULARY, 1 << 20)(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b"]})])))
+    assert np.frombuffer(first["ids"][0].as_py(), "<u4")[-1] == 1 << 20  # an end id that takes more
