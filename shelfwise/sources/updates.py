@@ -1,8 +1,8 @@
 """Stored tables that are changed in place: rows replaced, deleted and added, columns added, month by month.
 
 A table lies in one folder per month. A change finds the months it touches, rewrites those and leaves the files of all others
-as they are. What a month will hold is written aside first and then moved in by a dynamic partition overwrite, so a job that
-dies half-way leaves whole months, old or new, and can be run again.
+as they are. What a month will hold is moved in by a dynamic partition overwrite, which writes it aside and replaces months when
+all of it is there, so a job that dies half-way leaves whole months, old or new, and can be run again.
 """
 
 from __future__ import annotations
@@ -32,9 +32,13 @@ class MonthlyTable:
     def create(cls, df: DataFrame, folder: str, stamp: str) -> MonthlyTable:
         """Store ``df``. Rows of a month lie together; adaptive execution splits a month too large for one file."""
         table = cls(df.sparkSession, folder, df.schema, stamp)
-        table._with_month(df).hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(folder)
+        table._write(table._with_month(df), "errorifexists")
         return table
 
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        writer = rows.hint("rebalance", MONTH).write.partitionBy(MONTH).option("compression", "zstd")
+        writer.option("partitionOverwriteMode", "dynamic").mode(mode).parquet(self.folder)
+
     def _with_month(self, df: DataFrame) -> DataFrame:
         month = F.coalesce(F.date_format(self.stamp, "yyyy-MM"), F.lit(NO_MONTH))
         return df.select(*self.schema.names, month.alias(MONTH))
@@ -67,7 +71,7 @@ class MonthlyTable:
         with scope(self.spark):
             wanted = write_once(keys.distinct(), "keys")
             losing = self.months_of(wanted)
-            added = None if rows is None else write_once(self._with_month(rows), "added")
+            added = None if rows is None else write_once(self._with_month(rows), "added", compression="zstd")
             gaining = [] if added is None else sorted(r[0] for r in added.select(MONTH).distinct().collect())
             months = sorted({*losing, *gaining})
             if not months:
@@ -79,6 +83,10 @@ class MonthlyTable:
             self._move_in(future, months)
         return months
 
+    def add(self, rows: DataFrame) -> None:
+        """Add ``rows`` in new files of their months; all files there are stay as they are."""
+        self._write(self._with_month(rows), "append")
+
     def update(self, condition: Column, **values: Column) -> list[str]:
         """Set columns of the rows that meet the condition, and return the months that were rewritten.
 
@@ -109,14 +117,9 @@ class MonthlyTable:
 
     def _move_in(self, future: DataFrame, months: list[str]) -> None:
         """Make these months hold the rows of ``future``; a month without rows goes."""
-        staged = write_once(future, "months")
-        left = {r[0] for r in staged.select(MONTH).distinct().collect()}
-        (
-            staged.hint("rebalance", MONTH)
-            .write.partitionBy(MONTH)
-            .option("partitionOverwriteMode", "dynamic")
-            .mode("overwrite")
-            .parquet(self.folder)
-        )
-        for month in sorted(set(months) - left):
-            drop_folder(self.spark, f"{self.folder}/{MONTH}={month}")
+        before = set(self._stored().inputFiles())
+        self._write(future, "overwrite")
+        kept = {name for name in self._stored().inputFiles() if name in before}
+        for month in months:
+            if any(f"/{MONTH}={month}/" in name for name in kept):  # nothing came in place of its rows
+                drop_folder(self.spark, f"{self.folder}/{MONTH}={month}")

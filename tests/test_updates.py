@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.plans import basket, catalog, category, clean, customers, growth, late, views360
 from shelfwise.plans.state import CustomerState
-from shelfwise.sources import buckets
+from shelfwise.sources import buckets, storage
 from shelfwise.sources.storage import scope
 from shelfwise.sources.updates import MONTH, MonthlyTable
 
@@ -210,3 +210,31 @@ def test_state_over_increments_equals_all_lines(spark, repaired, tmp_path):
     state.compact("all")
     check(lines)
     assert {"day0", "day1", "day2", "day3", "until-now"} <= set(state.increments())
+
+
+def test_rows_that_are_added_leave_all_files(spark, tmp_path):
+    table = small_table(spark, tmp_path, START_ROWS)
+    before = files(table.folder)
+    new = [(7, "g", day(1, 9)), (8, "h", None), (9, "i", day(6))]
+    table.add(spark.createDataFrame(new, table.schema))
+    after = files(table.folder)
+    assert all(before[m] <= after[m] for m in before) and "2024-06" in after
+    assert rows(table.read()) == rows(spark.createDataFrame(START_ROWS + new, table.schema))
+
+
+@pytest.mark.parametrize("bucket", [5, 250_000])
+def test_late_lines_are_written_once_on_the_way(spark, raw, tmp_path, monkeypatch, bucket):
+    """In buckets or not, what months will hold is not written aside again, and raw lines keep their files."""
+    monkeypatch.setattr(buckets, "ROWS_IN_A_BUCKET", bucket)
+    monkeypatch.setattr(buckets, "MOST_IN_A_KEY", 1000.0)
+    lines, written = raw.orders, []
+    stored = late.store_lines(lines.filter("line_no < 5"), str(tmp_path / "lines"), *PERIOD)
+    before = files(stored.raw.folder)
+    monkeypatch.setattr(storage, "OBSERVERS", [lambda label, df: written.append(label)])
+    late.add_late_lines(stored, lines.filter("line_no >= 5"))
+    assert written.count("added") == 1 and not {"months", "again"} & set(written)
+    after = files(stored.raw.folder)
+    assert all(before[m] <= after[m] for m in before)
+    with scope(spark):
+        whole = clean.unify_orders(clean.collapse_lines(clean.prepare_lines(lines, *PERIOD)))
+        assert rows(stored.repaired.read()) == rows(whole)
