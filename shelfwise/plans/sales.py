@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import line_profit, month_of, number, percent2, safe_divide
 from shelfwise.operators.ranking import running_totals
+from shelfwise.sources.buckets import bucket_count
 from shelfwise.sources.storage import write_once
 
+#: Lists of payment types, up to that many different ones, are a table that joins broadcast: lines carry the number of theirs.
+MOST_MIXES = 10_000
+
 
 def _by_store(orders: DataFrame, *measures: Column) -> DataFrame:
     return orders.groupBy(F.col("delivered_storeid").alias("sold_at")).agg(*measures)
@@ -22,6 +26,43 @@ def _at_store() -> Column:
     return F.col("sold_at") == F.col("storeid")
 
 
+def _paid_types(payments: DataFrame, share_weighted: bool) -> DataFrame:
+    """Per order a list of its payment types with their weights: their rows or, ``share_weighted``, their shares of the value.
+
+    Payments are dealt out by order once; if an order is hot, they are counted before they move.
+    """
+    known = payments.filter(F.col("order_id").isNotNull())
+    dealt = known.repartition("order_id") if bucket_count(known, "order_id") else known
+    per_type = dealt.groupBy("order_id", "payment_type").agg(
+        F.count("*").alias("rows"), F.sum("payment_value").alias("value")
+    )
+    if not share_weighted:
+        counted = F.struct("payment_type", F.col("rows").alias("weight"))
+        return per_type.groupBy("order_id").agg(F.array_sort(F.collect_list(counted)).alias("paid"))
+
+    def share(part: Column) -> Column:
+        by_value = F.try_divide(part["value"].cast("double"), F.col("whole").cast("double"))
+        return F.struct(part["payment_type"], F.coalesce(by_value, part["rows"] / F.col("all_rows")).alias("weight"))
+
+    return (
+        per_type.groupBy("order_id")
+        .agg(
+            F.collect_list(F.struct("payment_type", "rows", "value")).alias("parts"),
+            F.sum("value").alias("whole"),
+            F.sum("rows").alias("all_rows"),
+        )
+        .select("order_id", F.transform("parts", share).alias("paid"))
+    )
+
+
+def _numbered(paid: DataFrame) -> DataFrame | None:
+    """The distinct lists of ``paid`` with a number each, written; None if there are more than ``MOST_MIXES``."""
+    lists = paid.select("paid").distinct()
+    if lists.limit(MOST_MIXES + 1).count() > MOST_MIXES:
+        return None
+    return write_once(lists.withColumn("mix", F.monotonically_increasing_id()), "payment-mixes")
+
+
 def sales_trend(
     orders: DataFrame, products: DataFrame, stores: DataFrame, payments: DataFrame, share_weighted: bool = False
 ) -> DataFrame:
@@ -29,33 +70,54 @@ def sales_trend(
 
     An order's sales count once per payment row, as in the source; ``share_weighted`` splits them by payment value
     instead, each part rounded to a millionth, so that they add up to the true total but for that rounding. Payment rows
-    are counted per order and type before the join, and the counts multiply the sums: the same numbers without repeating
-    lines. Products and stores are named before that join, which makes several rows of a line: these move once.
+    are counted per order and type, and the counts multiply the sums: the same numbers without repeating lines.
+
+    Lines carry the list of their order's payment types, or its number where few lists occur, and become a row per type
+    only where these are summed. So lines move, not their repetitions: once for the names of their products, once to
+    their group. If a month and store hold too many of them they are summed before the second move, in rows per type.
+    Writes the lists on the way and counts lines and payments when called: pass written tables.
     """
-    lines = orders.groupBy(
-        "order_id", month_of("correct_date").alias("month"), "product_id", "delivered_storeid", "channel"
-    ).agg(F.sum("total_amount").alias("sales"), F.sum("quantity").alias("quantity"))
-    paid = payments.groupBy("order_id", "payment_type").agg(
-        F.count("*").alias("rows"), F.sum("payment_value").alias("value")
+    month = month_of("correct_date").alias("month")
+    lines = orders.select(
+        "order_id",
+        month,
+        "product_id",
+        "delivered_storeid",
+        "channel",
+        F.col("total_amount").alias("sales"),
+        F.col("quantity").cast("bigint").alias("quantity"),
     )
-    if share_weighted:
-        whole = payments.groupBy("order_id").agg(F.sum("payment_value").alias("whole"), F.count("*").alias("all_rows"))
-        by_value = F.try_divide(F.col("value").cast("double"), F.col("whole").cast("double"))
-        weight = F.coalesce(by_value, F.col("rows") / F.col("all_rows"))
-        paid = paid.join(whole, "order_id").withColumn("weight", weight)
+    paid, mixes = _paid_types(payments, share_weighted), None
+    if share_weighted:  # parts are rounded per order, not per line; shares hardly ever repeat
+        keys = ["order_id", "month", "product_id", "delivered_storeid", "channel"]
+        lines = lines.groupBy(*keys).agg(F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity"))
     else:
-        paid = paid.withColumn("weight", F.col("rows"))
+        paid = write_once(paid, "payment-lists")
+        mixes = _numbered(paid)
+    if mixes is not None:
+        paid = paid.join(mixes, "paid").drop("paid")
 
     def weighted(column: str) -> Column:
         if share_weighted:  # a rounded decimal, so that the sum does not depend on the order of its inputs
             return (F.col(column).cast("double") * F.coalesce("weight", F.lit(1.0))).cast("decimal(28,6)")
         return F.col(column) * F.coalesce("weight", F.lit(1))
 
+    named = (
+        lines.join(paid, "order_id", "left")
+        .drop("order_id")
+        .join(products, "product_id", "left")
+        .drop("product_id")
+        .join(stores.select("storeid", "region"), F.col("delivered_storeid") == F.col("storeid"), "left")
+        .drop("delivered_storeid")
+    )
+    if bucket_count(orders.select(month, "delivered_storeid"), "month", "delivered_storeid"):
+        named = named.repartition("month", "category", "storeid")
+    if mixes is not None:
+        named = named.join(mixes, "mix", "left")
     quantity = F.sum(weighted("quantity"))
     return (
-        lines.join(products, "product_id", "left")
-        .join(stores.select("storeid", "region"), F.col("delivered_storeid") == F.col("storeid"), "left")
-        .join(paid, "order_id", "left")
+        named.withColumn("part", F.explode_outer("paid"))
+        .withColumns({"payment_type": F.col("part.payment_type"), "weight": F.col("part.weight")})
         .groupBy(
             F.col("month").alias("Month"),
             F.col("category").alias("Product_Category"),

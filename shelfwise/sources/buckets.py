@@ -25,7 +25,7 @@ def _largest_key(df: DataFrame, key: str) -> tuple[int, int]:
     return found["rows"] or 0, found["most"] or 0
 
 
-def bucket_count(df: DataFrame, key: str) -> int | None:
+def bucket_count(df: DataFrame, *key: str) -> int | None:
     """How many buckets ``df`` takes by ``key``: they grow with its rows, so that a bucket does not. None if one would hold too many.
 
     Reads the key alone, twice, and shuffles a count per bucket. A frame with some of these rows may be dealt out likewise.
@@ -36,7 +36,7 @@ def bucket_count(df: DataFrame, key: str) -> int | None:
     if rows > ROWS_IN_A_BUCKET:
         least = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = max(-(-rows // ROWS_IN_A_BUCKET), least)
-    in_bucket = df.groupBy(F.pmod(F.hash(key), F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"))
+    in_bucket = df.groupBy(F.pmod(F.hash(*key), F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"))
     largest = in_bucket.agg(F.max("n").alias("n")).first()["n"] or 0
     return buckets if largest <= MOST_IN_A_KEY * ROWS_IN_A_BUCKET else None
 

@@ -205,6 +205,54 @@ def test_share_weighted_trend_adds_up(tiny):
     assert abs(trend.agg(F.sum("Total_Sales")).first()[0] - float(total)) < 1e-4
 
 
+@pytest.mark.parametrize("numbered", [True, False])
+@pytest.mark.parametrize("even", [True, False])
+def test_trend_in_every_layout(make, tiny, monkeypatch, numbered, even):
+    """Lists of payment types numbered or not, keys dealt out or hot: payments and lines without key or type, lines without payment."""
+    monkeypatch.setattr(sales, "MOST_MIXES", 10_000 if numbered else 0)
+    if not even:
+        monkeypatch.setattr(sales, "bucket_count", lambda *_: None)
+    lines = make.lines(
+        {"order": 1, "prod": 1, "store": 1, "qty": 2}, {"order": 1, "prod": 1, "store": 1, "qty": 3, "channel": "ONLINE"},
+        {"order": 2, "prod": 2, "store": 98, "qty": 1}, {"order": 3, "prod": 2, "store": 99, "qty": 4},
+        {"order": 4, "prod": 7, "store": None, "qty": 1, "ts": None}, {"order": None, "prod": None, "store": 2, "qty": 5},
+        {"order": 5, "prod": 1, "store": 2, "qty": None, "amount": None},
+    )
+    pay = make.table(
+        "payments",
+        [(1, "Voucher", Decimal(1)), (1, "voucher", Decimal(2)), (1, "Debit_card", Decimal(4)), (1, None, Decimal(1)),
+         (2, "Voucher", Decimal(0)), (2, "Voucher", None), (3, "Voucher", Decimal(9)), (None, "Voucher", Decimal(9)),
+         (4, None, None), (4, None, Decimal(3)), (5, "Voucher", Decimal(1)), (6, "Voucher", Decimal(1))],
+    )
+    got = sales.sales_trend(lines, tiny.products, tiny.stores, pay)
+    month, key = "2022-01", lambda r: tuple((v is not None, str(v)) for v in r)
+    assert rows(got) == sorted(
+        [
+            (month, "A", "North", 1, "ONLINE", "Voucher", 100.0, 10),
+            (month, "A", "North", 1, "ONLINE", "Debit_card", 50.0, 5),
+            (month, "A", "North", 1, "ONLINE", None, 50.0, 5),
+            (month, "B", None, None, "Online", "Voucher", 60.0, 6),
+            (None, None, None, None, "Online", None, 20.0, 2),
+            (month, None, "South", 2, "Online", None, 50.0, 5),
+            (month, "A", "South", 2, "Online", "Voucher", None, None),
+        ],
+        key=key,
+    )
+    shares = sales.sales_trend(lines, tiny.products, tiny.stores, pay, share_weighted=True)
+    assert rows(shares) == sorted(
+        [
+            (month, "A", "North", 1, "ONLINE", "Voucher", 18.75, 1.875),
+            (month, "A", "North", 1, "ONLINE", "Debit_card", 25.0, 2.5),
+            (month, "A", "North", 1, "ONLINE", None, 6.25, 0.625),
+            (month, "B", None, None, "Online", "Voucher", 50.0, 5.0),
+            (None, None, None, None, "Online", None, 10.0, 1.0),
+            (month, None, "South", 2, "Online", None, 50.0, 5.0),
+            (month, "A", "South", 2, "Online", "Voucher", None, None),
+        ],
+        key=key,
+    )
+
+
 def test_tied_debit_falls_to_upi(make, tiny):
     lines = make.lines({"order": 1, "cust": 1})
     pay = clean.pivot_payments(make.table("payments", [(1, "UPI/Cash", Decimal(1)), (1, "Debit_card", Decimal(1))]))

@@ -82,6 +82,14 @@ def test_basket_never_joins_lines_to_lines(tables):
     assert text.count("ReadSchema: struct<order_id:bigint,product_id:bigint>") == 1
 
 
+def test_trend_repeats_lines_only_where_they_are_summed(tables):
+    """A line becomes a row per payment type after its last move, so what moves does not grow with the payments of an order."""
+    for name in ("l1_sales_trend", "l1_sales_trend_share_weighted"):
+        text = plan(catalog.ANALYSES[name](tables))
+        assert "Generate explode" in text, name
+        assert "Exchange" not in text.split("Generate explode")[0], name
+
+
 def test_large_dimensions_are_not_broadcast(spark, tables):
     """Without a size below the limit every dimension join is a sort-merge join that adaptive execution can split."""
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
