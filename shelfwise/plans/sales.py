@@ -74,7 +74,8 @@ def sales_trend(
 
     Lines carry the list of their order's payment types, or its number where few lists occur, and become a row per type
     only where these are summed. So lines move, not their repetitions: once for the names of their products, once to
-    their group. If a month and store hold too many of them they are summed before the second move, in rows per type.
+    their group. If a month and store hold too many of them they are summed before the second move, in rows per type;
+    unknown stores are counted one by one for that, though they share a group per month and category.
     Writes the lists on the way and counts lines and payments when called: pass written tables.
     """
     month = month_of("correct_date").alias("month")
